@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding
+from . import chat, quality, sharding
 from .shared import read_table
 
 
@@ -20,6 +20,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -32,6 +36,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_quality": op3_quality,
     "op9_chat": op9_chat,
 }
 
@@ -41,7 +46,32 @@ for _c in chat.CONTROL:
 _OPEN = {r: len(a) for r, a, _ in chat.MARKS}
 _BOTH = {r: len(a) + len(b) for r, a, b in chat.MARKS}
 
+_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+
 ORACLES: dict[str, str] = {
+    "op3_quality": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda x: x <> '') AS w FROM d),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+win AS (
+  SELECT r, i, string_agg(word, ' ') OVER v AS g, count(*) OVER v AS n FROM words
+  WINDOW v AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win WHERE n = 8) WHERE c > 1),
+rep AS (SELECT r, count(*) AS n_repeat_words FROM (SELECT DISTINCT r, unnest(generate_series(i, i + 7)) AS j FROM twice) GROUP BY r),
+lines AS (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
+full_lines AS (SELECT *, trim(regexp_replace(lower(line), '{_SPACE}', ' ', 'g')) AS norm FROM lines WHERE regexp_replace(line, '{_SPACE}', '', 'g') <> ''),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY r),
+frequent AS (SELECT host, norm FROM full_lines GROUP BY host, norm HAVING count(DISTINCT text) > 20),
+gone AS (SELECT r, sum(len(string_split(norm, ' '))) AS removed_words FROM full_lines SEMI JOIN frequent USING (host, norm) GROUP BY r),
+base AS (
+  SELECT d.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 0.5 * n_words AS kept
+FROM base""",
     "op9_chat": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
