@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding
+from . import chat, decontam, quality, sharding
 from .shared import read_table
 
 
@@ -24,6 +24,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -37,6 +41,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_quality": op3_quality,
+    "op8_decontam": op8_decontam,
     "op9_chat": op9_chat,
 }
 
@@ -46,6 +51,7 @@ for _c in chat.CONTROL:
 _OPEN = {r: len(a) for r, a, _ in chat.MARKS}
 _BOTH = {r: len(a) + len(b) for r, a, b in chat.MARKS}
 
+_TERMS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 ORACLES: dict[str, str] = {
@@ -72,6 +78,20 @@ base AS (
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 0.5 * n_words AS kept
 FROM base""",
+    "op8_decontam": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id, {_TERMS.format("coalesce(text, '')")} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+places AS (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM d, sizes WHERE len(w) >= k),
+hits AS (SELECT r, s, places.k, item_id FROM places JOIN win ON places.k = win.k AND array_to_string(w[s:s + places.k - 1], ' ') = g),
+covered AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + k - 1)) AS j FROM hits) GROUP BY r),
+items AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS i FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(i), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(i, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
     "op9_chat": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
