@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, quality, sharding
-from .shared import read_table
+from . import chat, decontam, quality, sharding, tokens
+from .shared import read_table, shared_dir
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tracewright/{spark.sparkContext.applicationId}/blocks-{uuid.uuid4().hex}"
+    tokenizer = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    tokens.write_blocks(read_table(spark, sf_dir, "documents"), path, tokenizer, 2)
+    return tokens.read_blocks(spark, path)
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("th")
 
@@ -41,6 +51,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_quality": op3_quality,
+    "op4_tokens": op4_tokens,
     "op8_decontam": op8_decontam,
     "op9_chat": op9_chat,
 }

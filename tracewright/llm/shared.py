@@ -6,13 +6,20 @@ Lineage is cut with Parquet tables in the shared folder that the cluster names i
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__package__])  # executors need no copy of this package
+
 #: ASCII upper- and lower-case letters, for lower-casing that leaves every other letter alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A run of ASCII white space, between two words.
@@ -107,3 +114,26 @@ class Prefix:
         joined = rows.join(at if self.group else F.broadcast(at), same)  # without groups: a row for each partition
         keep = [c for c in self.rows.columns if c not in ("_pid", "_row")]
         return joined.select(*keep, *[(F.col(f"_i_{m}") + F.col(f"_o_{m}")).alias(f"before_{m}") for m in self.measures])
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of texts, lower-cased in A-Z and parted by ASCII white space: offsets by text, codes, distinct words.
+
+    Null and empty texts have none. Splitting and numbering run in Arrow's C++ code.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat, offsets = lists.values.slice(lists.offsets[0].as_py()), np.asarray(lists.offsets)
+    offsets = (offsets - offsets[0]).astype(np.int64)
+    flat = flat.slice(0, int(offsets[-1]))
+    keep = np.asarray(pc.not_equal(flat, ""))  # ends of texts leave empty pieces
+    before = np.concatenate([[0], np.cumsum(keep)])
+    named = pc.dictionary_encode(flat.filter(pa.array(keep)))
+    return before[offsets], np.asarray(named.indices).astype(np.int64), named.dictionary
+
+
+def chunks(batches, size: int = 8_000_000):
+    """Record batches cut to at most about ``size`` bytes, so that memory follows the longest text, not the batch."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
