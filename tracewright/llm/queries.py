@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, quality, sharding, tokens
+from . import chat, decontam, quality, sharding, tokens, toxicity
 from .shared import read_table, shared_dir
 
 
@@ -48,12 +48,21 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = read_table(spark, sf_dir, "labels").filter(~held_out)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_quality": op3_quality,
     "op4_tokens": op4_tokens,
     "op8_decontam": op8_decontam,
     "op9_chat": op9_chat,
+    "op10_toxicity": op10_toxicity,
 }
 
 _ESC = "replace({}, chr(92), chr(92) || chr(92))"

@@ -121,7 +121,8 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
     Null and empty texts have none. Splitting and numbering run in Arrow's C++ code.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    texts = pc.take(texts.cast(pa.large_string()), pa.array(np.arange(len(texts))))  # ascii_lower misreads slices
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat, offsets = lists.values.slice(lists.offsets[0].as_py()), np.asarray(lists.offsets)
     offsets = (offsets - offsets[0]).astype(np.int64)
     flat = flat.slice(0, int(offsets[-1]))
