@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, minhash, quality, sharding, tokens, toxicity
+from . import chat, decontam, minhash, ngram, quality, sharding, tokens, toxicity
 from .shared import read_table, shared_dir
 
 
@@ -34,6 +34,13 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_blocks(spark, path)
 
 
+def op5_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model = ngram.train(docs.filter(~held_out))
+    return ngram.score(docs.withColumn("held_out", held_out), model)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("th")
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_quality": op3_quality,
     "op4_tokens": op4_tokens,
+    "op5_ngram": op5_ngram,
     "op7_minhash": op7_minhash,
     "op8_decontam": op8_decontam,
     "op9_chat": op9_chat,
