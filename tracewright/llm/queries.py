@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, minhash, ngram, quality, sharding, tokens, toxicity
+from . import chat, decontam, linedups, minhash, ngram, quality, sharding, tokens, toxicity
 from .shared import read_table, shared_dir
 
 
@@ -23,6 +23,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_linedups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # line numbers as text, for the comparison of results by value
+    out = linedups.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(read_table(spark, sf_dir, "documents"))
 
@@ -69,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_linedups": op2_linedups,
     "op3_quality": op3_quality,
     "op4_tokens": op4_tokens,
     "op5_ngram": op5_ngram,
@@ -88,6 +95,26 @@ _TERMS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 ORACLES: dict[str, str] = {
+    "op2_linedups": f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM d),
+sets AS (
+  SELECT doc_id, i, list_sort(list_distinct(list_filter(regexp_split_to_array(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda x: x <> ''))) AS s FROM lines),
+places AS (SELECT * FROM sets WHERE len(s) > 0),
+classes AS (SELECT s, min((doc_id, i)) AS f, row_number() OVER () AS c, len(s) AS n FROM places GROUP BY s),
+words AS (SELECT c, f, n, unnest(s) AS w FROM classes),
+freq AS (SELECT w, count(*) AS k FROM words GROUP BY w),
+ranked AS (SELECT c, f, n, w, row_number() OVER (PARTITION BY c ORDER BY k, w) AS p FROM words JOIN freq USING (w)),
+pre AS (SELECT * FROM ranked WHERE p <= n - ceil(n * 80 / 100) + 1),
+cand AS (SELECT DISTINCT a.c AS x, b.c AS y FROM pre a JOIN pre b USING (w) WHERE a.f < b.f AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+gone AS (
+  SELECT DISTINCT y AS c FROM cand JOIN classes a ON a.c = x JOIN classes b ON b.c = y
+  WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n - len(list_intersect(a.s, b.s)))),
+out AS (SELECT p.doc_id, p.i, (p.doc_id, p.i) <> k.f OR k.c IN (FROM gone) AS gone FROM places p JOIN classes k USING (s))
+SELECT d.doc_id, count(out.i)::BIGINT AS n_lines, coalesce(sum(gone::INT), 0)::BIGINT AS n_removed,
+  coalesce(string_agg(out.i::VARCHAR, ',' ORDER BY out.i) FILTER (gone), '') AS removed
+FROM d LEFT JOIN out USING (doc_id) GROUP BY d.doc_id""",
     "op3_quality": f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
