@@ -1,13 +1,92 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxic documents go, one of each group of near copies stays, documents with benchmark passages
+go, sources are interleaved to their weights, and token ids are written in blocks.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next one's docs. All stages but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from pathlib import Path
+
+import public_tokenizers
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.llm import decontam, minhash, mixing, tokens, toxicity
+from tracewright.llm.shared import join_small, materialise, shared_dir
+
+#: Token ids run over several stages; SQL has no rANS, no FTRL and no min-hashes.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, hash of the text) isn't in ``bad``; null ids compare as equal."""
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    bad = materialise(bad.select(plain(F.col("doc_id")).alias("_d"), F.col("th").alias("_t")).distinct(), "bad")
+    rows = docs.withColumn("_d", plain(F.col("doc_id"))).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return join_small(rows, bad, ["_d", "_t"], "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of toxicity 0.5 or more, by a model of the labelled ones among them."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, out_col="_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by 0.8 of their five-word shingles; of rows that
+    repeat an id and its text, one."""
+    found = minhash.near_duplicates(docs, shingle=5, percent=80)
+    single = _without(docs, found.filter("NOT kept"))
+    again = docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).count().filter("count > 1").select("doc_id", "th")
+    again = materialise(again, "again")
+    if again.isEmpty():
+        return single
+    keys = again.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
+    rows = single.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
+    first = rows.join(keys, same, "left_semi").dropDuplicates(["doc_id", "_h"])
+    return rows.join(keys, same, "left_anti").unionByName(first).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents in which a window of a benchmark item occurs."""
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.filter("contaminated"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mix: its files, by name, and their rows hold it."""
+    return mixing.mixed(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token blocks in the order of the files that ``docs`` reads (of ids, where it reads none), read back."""
+    order = ["doc_id"]
+    try:
+        docs = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        order = ["_file", "_at"]
+    except AnalysisException:  # not straight from files
+        pass
+    path = f"{shared_dir(spark)}/tracewright/{spark.sparkContext.applicationId}/corpus-{uuid.uuid4().hex}"
+    tokens.write_blocks(docs, path, Path(public_tokenizers.path("word_bpe_49k.json")).read_text(), 2, order)
+    return tokens.read_blocks(spark, path)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("tokens", write_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linedups, minhash, ngram, quality, sharding, tokens, toxicity
+from . import chat, decontam, linedups, minhash, mixing, ngram, quality, sharding, tokens, toxicity
 from .shared import read_table, shared_dir
 
 
@@ -47,6 +47,11 @@ def op5_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score(docs.withColumn("held_out", held_out), model)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.ranked(mixing.place(read_table(spark, sf_dir, "documents")))
+    return placed.select("doc_id", "source", "size", "block", "release", "due", "slot", "position")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("th")
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_tokens": op4_tokens,
     "op5_ngram": op5_ngram,
+    "op6_mixing": op6_mixing,
     "op7_minhash": op7_minhash,
     "op8_decontam": op8_decontam,
     "op9_chat": op9_chat,
