@@ -1,6 +1,307 @@
-"""Every query of the event-log engine, with its SQL twin for DuckDB."""
+"""Every query of the event-log engine over the driver's tables, with its SQL twin for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .model import EventLog, lifecycle
+from .operators import detection, episodes, features, filters, graphs, patterns, summary
+from .plans import stateql
+from .sources.adapters import clickstream, orders
+
+QUERY = """
+STATE state FOR LEADING OBJECT TYPE user AS CASE  -- a user's standing at each event
+  WHEN event.type = 'error' THEN 'Failed'
+  WHEN object.last_purchase > 60 THEN 'Valued'
+  WHEN event.type LIKE '%purch%' OR event.k IS NULL THEN 'Normal buyer'
+  WHEN NOT (event.value > 20) THEN 'Idle'
+END"""
+
+
+def _stated(spark: SparkSession, sf_dir: str) -> EventLog:
+    return stateql.apply_state_query(clickstream(spark, sf_dir), QUERY)
+
+
+def _states(query: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = stateql.assignments(clickstream(spark, sf_dir), stateql.parse(query))
+        return found.select("event_id", F.col("value").alias("state"))
+
+    return run
+
+
+def _filtered(chosen: filters.LogFilter):
+    """Counts of a filtered log."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        log = filters.apply_filter(clickstream(spark, sf_dir), chosen)
+        return summary.summary(log).select("events", "objects", "e2o_relationships", "objects_with_lifecycle")
+
+    return run
+
+
+def _six(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def _seq(df: DataFrame) -> DataFrame:
+    """Sequences and edge sets as text."""
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(">", x["source"], x["target"])), "|")
+    return df.select("leading_object_type", "state", "to_state", F.array_join("sequence", "|").alias("sequence"), flat("eo").alias("eo"), flat("oo").alias("oo"), "support", "mass")
+
+
+NODES = [
+    features.CausalNode("clicks", "observable", "activity.click", "sqrt"), features.CausalNode("views", "observable", "activity.view", "log_e"),
+    features.CausalNode("interest", "latent"), features.CausalNode("sales", "outcome", "activity.purchase"),
+]
+EDGES = [("clicks", "interest"), ("views", "interest"), ("interest", "sales")]
+T0, T1 = 1_704_100_000_000, 1_704_500_000_000
+
+
+def _pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _stated(spark, sf_dir)
+    chosen = filters.LogFilter(patterns=[{"family": "intra", "state": "Failed", "sequence": ["START Failed", "error [Failed]", "END Failed"], "eo": [("error [Failed]", "key")], "oo": [("user", "key")]}])
+    return filters.matching_objects(log, chosen)
+
+
+QUERIES = {
+    "summary": lambda s, d: summary.summary(orders(s, d)),
+    "text_attribute_options": lambda s, d: summary.text_attribute_options(orders(s, d)),
+    "time_histogram": lambda s, d: summary.time_histogram(clickstream(s, d)),
+    "object_search": lambda s, d: summary.object_search(clickstream(s, d), "1", "user", 40),
+    "lifecycle_order": lambda s, d: lifecycle(orders(s, d), object_type="order").select("object_id", "pos", "event_id", "event_type", "time_ms"),
+    "lifecycle_related": lambda s, d: summary.related_objects(clickstream(s, d), "u1"),
+    "state_bands": lambda s, d: episodes.state_bands(_stated(s, d), "user"),
+    "filter_event_types": _filtered(filters.LogFilter(event_types=["purchase", "signup"])),
+    "filter_object_types": _filtered(filters.LogFilter(object_types=["key"])),
+    "filter_time_range": _filtered(filters.LogFilter(start_ms=T0, end_ms=T1)),
+    "filter_df_node": _filtered(filters.LogFilter(object_types=["user"], df_nodes=["signup", "error"])),
+    "filter_df_edge": _filtered(filters.LogFilter(df_edges=[("purchase", "purchase"), ("signup", "error")])),
+    "filter_text_attribute": _filtered(filters.LogFilter(text_attributes=[{"scope": "event", "name": "k", "values": ["7", "12"]}])),
+    "filter_combined": _filtered(filters.LogFilter(event_types=["click", "view", "error"], object_types=["user"], end_ms=T1, df_nodes=["signup"])),
+    "filter_pattern": _pattern,
+    "dfg_user": lambda s, d: graphs.dfg(clickstream(s, d), "user").edges,
+    "oc_dfg_nodes": lambda s, d: _six(graphs.oc_dfg(clickstream(s, d)).nodes, "avg_order"),
+    "oc_dfg_edges": lambda s, d: graphs.oc_dfg(clickstream(s, d)).edges,
+    "oc_dfg_orders": lambda s, d: graphs.oc_dfg(orders(s, d)).edges,
+    "oc_dfg_filtered": lambda s, d: graphs.oc_dfg(clickstream(s, d), ["user", "key"], 1, 100).edges,
+    "state_query_event": _states("STATE state FOR LEADING OBJECT TYPE 'user' AS CASE WHEN event.value >= 50 AND event.type != 'view' THEN event.type WHEN event.k < 10 THEN 'low' ELSE 'rest' END"),
+    "state_query_asof_object": _states(QUERY),
+    "state_query_not_null_logic": _states("STATE state FOR LEADING OBJECT TYPE user AS CASE WHEN NOT (object.last_purchase > 30) THEN 'small or none' WHEN object.last_purchase IS NOT NULL THEN object.last_purchase END"),
+    "state_query_like": _states("STATE state FOR LEADING OBJECT TYPE user AS CASE WHEN event.activity LIKE '%I%w' THEN 'seen' WHEN event.type LIKE 'C%' OR event.type LIKE 'error' THEN TRUE ELSE 1.5 END"),
+    "state_aware_dfg_edges": lambda s, d: graphs.state_aware_oc_dfg(_stated(s, d), ["user"]).edges,
+    "state_aware_dfg_nodes": lambda s, d: _six(graphs.state_aware_oc_dfg(_stated(s, d), ["user"]).nodes, "avg_order"),
+    "episodes": lambda s, d: episodes.episodes(_stated(s, d), "user").select("object_id", "episode", "state", "start_ms", "last_ms", "event_count", "dwell_ms", "next_state"),
+    "transition_kpis": lambda s, d: episodes.transition_kpis(_stated(s, d), "user"),
+    "dwell_kpis": lambda s, d: episodes.dwell_kpis(_stated(s, d), "user"),
+    "recovery": lambda s, d: episodes.recovery(_stated(s, d), "user"),
+    "stuck_states": lambda s, d: episodes.stuck(_stated(s, d), "user", 25),
+    "time_buckets": lambda s, d: _six(episodes.time_buckets(_stated(s, d), 32), "percentage"),
+    "performance_spectrum": lambda s, d: _six(episodes.performance_spectrum(_stated(s, d), "user", "Failed", "Valued"), "avg_ms"),
+    "performance_roundtrip": lambda s, d: episodes.performance_samples(_stated(s, d), "user", "Failed", "Idle", True),
+    "dominant_state": lambda s, d: episodes.dominant_states(_stated(s, d), "user"),
+    "patterns_intra": lambda s, d: _seq(patterns.patterns(_stated(s, d), "intra")),
+    "patterns_inter": lambda s, d: _seq(patterns.patterns(_stated(s, d), "inter")),
+    "feature_table": lambda s, d: features.object_features(orders(s, d), "order"),
+    "feature_table_wide": lambda s, d: features.feature_table(clickstream(s, d), "user").toDF("object_id", "click", "error", "purchase", "signup", "view", "keys", "last_purchase"),
+    "state_correlation": lambda s, d: features.state_correlations(_stated(s, d), "user"),
+    "causal_fit_nodes": lambda s, d: features.fit_causal_model(clickstream(s, d), "user", NODES, EDGES)[0],
+    "causal_fit_edges": lambda s, d: features.fit_causal_model(clickstream(s, d), "user", NODES, EDGES)[1],
+    "lifecycle_windows": lambda s, d: detection.windows(clickstream(s, d), "user", 4).groupBy("object_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("start").alias("starts"), F.sum("end_ms").alias("ends")),
+    "window_features": lambda s, d: detection.window_features(clickstream(s, d), "user", 4),
+    "pca_projection": lambda s, d: detection.detect(clickstream(s, d), "user").points,
+    "som_cells": lambda s, d: detection.cells(detection.detect(clickstream(s, d), "user", width=3, height=3)),
+    "som_transitions": lambda s, d: detection.transitions(detection.detect(clickstream(s, d), "user", width=3, height=3)),
+    "cell_boundary_windows": lambda s, d: detection.boundary_windows(detection.detect(clickstream(s, d), "user", width=3, height=3), 1, 1),
+    "apply_detection": lambda s, d: detection.event_labels(detection.detect(clickstream(s, d), "user", width=3, height=3)),
+}
+
+LOG = """
+ev AS (
+  SELECT event_id AS seq, event_id::VARCHAR AS event_id, event_type, epoch_us(ts) // 1000 AS t, user_id, value,
+    try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+rel AS (
+  SELECT seq, 0 AS rel_seq, 'u' || user_id AS object_id, 'user' AS object_type FROM ev
+  UNION ALL SELECT seq, 1, 'k' || k, 'key' FROM ev WHERE k IS NOT NULL),
+life AS (
+  SELECT r.object_id, r.object_type, e.event_id, e.seq, r.rel_seq, e.event_type, e.t,
+    row_number() OVER (PARTITION BY r.object_id ORDER BY e.t, e.seq, r.rel_seq) - 1 AS pos FROM rel r JOIN ev e USING (seq))"""
+ASOF = LOG + """,
+bought AS (SELECT user_id, t, arg_max(value, seq) AS last_purchase FROM ev WHERE event_type = 'purchase' GROUP BY user_id, t),
+seen AS (SELECT e.*, p.last_purchase FROM ev e ASOF LEFT JOIN bought p ON e.user_id = p.user_id AND e.t >= p.t)"""
+STATED = ASOF + """,
+st AS (
+  SELECT seq, event_id, CASE WHEN event_type = 'error' THEN 'Failed' WHEN coalesce(last_purchase > 60, false) THEN 'Valued'
+    WHEN event_type LIKE '%purch%' OR k IS NULL THEN 'Normal buyer' WHEN NOT coalesce(value > 20, false) THEN 'Idle' END AS state FROM seen),
+slife AS (
+  SELECT l.* EXCLUDE (pos), st.state, row_number() OVER (PARTITION BY l.object_id ORDER BY l.pos) - 1 AS pos
+  FROM life l JOIN st USING (seq) WHERE st.state IS NOT NULL),
+marked AS (
+  SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER w OR pos = 0 THEN 1 ELSE 0 END AS new FROM slife
+  WINDOW w AS (PARTITION BY object_id ORDER BY pos)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY object_id ORDER BY pos)::BIGINT AS episode FROM marked),
+ep0 AS (
+  SELECT object_id, object_type, episode, any_value(state) AS state, arg_min(t, pos) AS start_ms, arg_max(t, pos) AS last_ms, count(*) AS event_count
+  FROM runs GROUP BY object_id, object_type, episode),
+ep AS (
+  SELECT *, lead(state) OVER w AS next_state, greatest(coalesce(lead(start_ms) OVER w, last_ms) - start_ms, 0) AS dwell_ms FROM ep0
+  WINDOW w AS (PARTITION BY object_id ORDER BY episode)),
+uep AS (SELECT * FROM ep WHERE object_type = 'user')"""
+STATS = """min({0}) AS min_ms, list_sort(list({0}))[count(*) // 2 + 1] AS median_ms, round(avg({0}), 6) AS avg_ms, max({0}) AS max_ms"""
+EDGE = """
+SELECT source, target, object_type, count(*) AS weight FROM (
+  SELECT object_type, event_type AS source, coalesce(lead(event_type) OVER (PARTITION BY object_id ORDER BY pos), 'END' || chr(10) || object_type) AS target FROM {0}
+  UNION ALL SELECT object_type, 'START' || chr(10) || object_type, event_type FROM {0} WHERE pos = 0) GROUP BY ALL"""
+SPOTS = """
+SELECT label, kind, count(*) AS count, round(avg(o), 6) AS avg_order FROM (
+  SELECT event_type AS label, 'activity' AS kind, pos + 1 AS o FROM life
+  UNION ALL SELECT 'START' || chr(10) || object_type, 'start', 0 FROM life WHERE pos = 0
+  UNION ALL SELECT 'END' || chr(10) || object_type, 'end', max(pos) + 2 FROM life GROUP BY object_id, object_type) GROUP BY label, kind"""
+STEPS = """
+sx AS (
+  SELECT *, event_type || ' [' || state || ']' AS label, lead(event_type || ' [' || state || ']') OVER w AS nl, lead(state) OVER w AS ns
+  FROM slife WHERE object_type = 'user' WINDOW w AS (PARTITION BY object_id ORDER BY pos)),
+sc AS (SELECT *, CASE WHEN ns <> state THEN 'CHANGE ' || state || ' -> ' || ns END AS ch FROM sx)"""
+
+
+def _counts(kept_events: str, chosen: str, drop_bare: bool) -> str:
+    """SQL of a filtered log's counts: conditions on ``ev`` rows and on objects (object_id, object_type)."""
+    return f"""WITH {LOG},
+o AS (SELECT DISTINCT object_id, object_type FROM rel), chosen AS (SELECT object_id FROM o WHERE {chosen}),
+kept AS (SELECT * FROM ev WHERE {kept_events}),
+r AS (SELECT rel.* FROM rel JOIN kept USING (seq) WHERE object_id IN (FROM chosen))
+SELECT (SELECT count(*) FROM kept WHERE {'seq IN (SELECT seq FROM r)' if drop_bare else 'true'}) AS events, (SELECT count(DISTINCT object_id) FROM r) AS objects,
+  (SELECT count(*) FROM r) AS e2o_relationships, (SELECT count(DISTINCT object_id) FROM r) AS objects_with_lifecycle"""
+
+
+_NEXT = "(SELECT object_id, event_type AS a, lead(event_type) OVER (PARTITION BY object_id ORDER BY pos) AS b FROM life)"
+_WORDS = """
+lab AS (SELECT object_id, object_type, episode, list(event_type || ' [' || state || ']' ORDER BY pos) AS labels, any_value(state) AS state FROM runs WHERE object_type = 'user' GROUP BY ALL),
+met AS (
+  SELECT r.object_id, r.episode, r.event_type || ' [' || r.state || ']' AS label, o.object_type AS related FROM runs r JOIN rel o ON o.seq = r.seq AND o.object_id <> r.object_id WHERE r.object_type = 'user'),
+prs AS (SELECT object_id, episode, list_distinct(list(label || '>' || related)) AS eo, list_distinct(list(least('user', related) || '>' || greatest('user', related))) AS oo FROM met GROUP BY ALL),
+sp AS (SELECT lab.*, coalesce(eo, []) AS eo, coalesce(oo, []) AS oo FROM lab LEFT JOIN prs USING (object_id, episode))"""
+_JOIN = "array_to_string(list_sort(list_distinct({})), '|')"
+_ORDERS = """
+placed AS (SELECT o_orderkey AS k, 'place-' || o_orderkey AS event_id, 'Place Order' AS event_type, epoch_us(o_orderdate) // 1000 AS t, o_orderkey::BIGINT * 1048576 AS seq, 'o' || o_orderkey AS o, 'c' || o_custkey AS c FROM orders),
+lines AS (SELECT DISTINCT l_orderkey AS k, epoch_us(l_shipdate) // 1000 AS t, l_partkey AS p, l_suppkey AS s FROM lineitem),
+ship AS (SELECT *, 'ship-' || k || '-' || (t // 86400000) AS event_id, k::BIGINT * 1048576 + 1 + t // 86400000 AS seq FROM lines),
+oev AS (SELECT event_id, event_type, t, seq FROM placed UNION ALL SELECT DISTINCT event_id, 'Ship', t, seq FROM ship),
+orel AS (
+  SELECT seq, o AS object_id, 'order' AS object_type, 0 AS rel_seq FROM placed UNION ALL SELECT seq, c, 'customer', 1 FROM placed
+  UNION ALL SELECT DISTINCT seq, 'o' || k, 'order', 0 FROM ship UNION ALL SELECT DISTINCT seq, 'p' || p, 'part', p + (1 << 30) FROM ship
+  UNION ALL SELECT DISTINCT seq, 's' || s, 'supplier', s + (1::BIGINT << 31) FROM ship),
+olife AS (
+  SELECT object_id, object_type, event_id, event_type, t, row_number() OVER (PARTITION BY object_id ORDER BY t, oev.seq, rel_seq) - 1 AS pos FROM orel JOIN oev USING (seq))"""
+_USERS = """
+acts AS (SELECT 'u' || user_id AS object_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase,
+  count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'view') AS view, count(DISTINCT k) AS keys,
+  coalesce(arg_max(value, (t, seq)) FILTER (event_type = 'purchase'), 0) AS last_purchase FROM ev GROUP BY user_id)"""
+_FIT = """
+vals AS (SELECT sqrt(click) AS clicks, CASE WHEN view > 0 THEN ln(view) ELSE 0 END AS views, purchase::DOUBLE AS sales FROM acts),
+full_ AS (SELECT *, ((clicks - (SELECT avg(clicks) FROM vals)) / (SELECT stddev_pop(clicks) FROM vals) + (views - (SELECT avg(views) FROM vals)) / (SELECT stddev_pop(views) FROM vals)) / 2 AS interest FROM vals)"""
+
+ORACLES = {
+    "summary": f"""WITH {_ORDERS}
+SELECT 2::BIGINT AS event_types, 4::BIGINT AS object_types, (SELECT count(*) FROM oev) AS events,
+  (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(DISTINCT p) FROM lines) + (SELECT count(DISTINCT s) FROM lines) AS objects,
+  (SELECT count(*) FROM orel) AS e2o_relationships, (SELECT count(*) FROM orders) + (SELECT count(*) FROM (SELECT DISTINCT k, p FROM lines)) AS o2o_relationships,
+  (SELECT count(DISTINCT object_id) FROM orel) AS objects_with_lifecycle, 0::BIGINT AS stateful_events""",
+    "text_attribute_options": "SELECT DISTINCT 'object' AS scope, 'priority' AS name, o_orderpriority AS value FROM orders UNION SELECT 'object', 'segment', c_mktsegment FROM customer",
+    "time_histogram": f"""WITH {LOG},
+b AS (SELECT min(t) AS lo, max(t) AS hi, greatest(max(t) - min(t), 1)::DOUBLE AS span FROM ev),
+c AS (SELECT least(floor((t - lo) / span * 32), 31)::BIGINT AS bucket, count(*) AS n FROM ev, b GROUP BY 1)
+SELECT i AS bucket, lo + round(span / 32 * i)::BIGINT AS start_ms, CASE WHEN i = 31 THEN hi ELSE lo + round(span / 32 * (i + 1))::BIGINT END AS end_ms, coalesce(n, 0)::BIGINT AS count
+FROM range(32) g(i) CROSS JOIN b LEFT JOIN c ON bucket = i""",
+    "object_search": f"WITH {LOG} SELECT object_id, 'user' AS object_type, count(*) AS event_count FROM rel WHERE object_type = 'user' AND contains(object_id, '1') GROUP BY object_id ORDER BY substr(object_id, 2)::BIGINT LIMIT 40",
+    "lifecycle_order": f"WITH {_ORDERS} SELECT object_id, pos, event_id, event_type, t AS time_ms FROM olife WHERE object_type = 'order'",
+    "lifecycle_related": f"WITH {LOG} SELECT object_id, object_type, 'subject' AS qualifier, count(*) AS count FROM rel WHERE seq IN (SELECT seq FROM rel WHERE object_id = 'u1') AND object_id <> 'u1' GROUP BY ALL",
+    "state_bands": f"""WITH {STATED},
+x AS (SELECT l.object_id, l.pos, l.t, st.state, CASE WHEN st.state IS DISTINCT FROM lag(st.state) OVER (PARTITION BY object_id ORDER BY pos) OR pos = 0 THEN 1 ELSE 0 END AS new FROM life l JOIN st USING (seq) WHERE object_type = 'user'),
+y AS (SELECT *, sum(new) OVER (PARTITION BY object_id ORDER BY pos) AS g FROM x)
+SELECT object_id, state, arg_min(t, pos) AS start_ms, arg_max(t, pos) AS end_ms, count(*) AS event_count FROM y WHERE state IS NOT NULL GROUP BY object_id, g, state""",
+    "filter_event_types": _counts("event_type IN ('purchase', 'signup')", "true", False),
+    "filter_object_types": _counts("true", "object_type = 'key'", True),
+    "filter_time_range": _counts(f"t BETWEEN {T0} AND {T1}", "true", False),
+    "filter_df_node": _counts("true", "object_type = 'user' AND object_id IN (SELECT object_id FROM life WHERE event_type = 'signup') AND object_id IN (SELECT object_id FROM life WHERE event_type = 'error')", True),
+    "filter_df_edge": _counts("true", f"object_id IN (SELECT object_id FROM {_NEXT} WHERE a = 'purchase' AND b = 'purchase') AND object_id IN (SELECT object_id FROM {_NEXT} WHERE a = 'signup' AND b = 'error')", True),
+    "filter_text_attribute": _counts("true", "object_id IN (SELECT object_id FROM rel JOIN ev USING (seq) WHERE k IN (7, 12))", True),
+    "filter_combined": _counts(f"event_type IN ('click', 'view', 'error') AND t <= {T1}", "object_type = 'user' AND object_id IN (SELECT object_id FROM life WHERE event_type = 'signup')", True),
+    "filter_pattern": f"WITH {STATED}, {_WORDS} SELECT DISTINCT object_id, 'user' AS object_type FROM sp WHERE state = 'Failed' AND labels = ['error [Failed]'] AND eo = ['error [Failed]>key'] AND oo = ['key>user']",
+    "dfg_user": f"WITH {LOG}, u AS (SELECT * FROM life WHERE object_type = 'user')" + EDGE.format("u"),
+    "oc_dfg_nodes": f"WITH {LOG}" + SPOTS,
+    "oc_dfg_edges": f"WITH {LOG}" + EDGE.format("life"),
+    "oc_dfg_orders": f"WITH {_ORDERS}" + EDGE.format("olife"),
+    "oc_dfg_filtered": f"WITH {LOG}" + EDGE.format("life") + " HAVING count(*) >= 100",
+    "state_query_event": f"WITH {LOG} SELECT event_id, CASE WHEN value >= 50 AND event_type <> 'view' THEN event_type WHEN coalesce(k < 10, false) THEN 'low' ELSE 'rest' END AS state FROM ev",
+    "state_query_asof_object": f"WITH {STATED} SELECT event_id, state FROM st WHERE state IS NOT NULL",
+    "state_query_not_null_logic": f"WITH {ASOF} SELECT event_id, CASE WHEN NOT coalesce(last_purchase > 30, false) THEN 'small or none' WHEN last_purchase = floor(last_purchase) THEN last_purchase::BIGINT::VARCHAR ELSE last_purchase::VARCHAR END AS state FROM seen",
+    "state_query_like": f"WITH {LOG} SELECT event_id, CASE WHEN event_type LIKE '%i%w' THEN 'seen' WHEN event_type LIKE 'c%' OR event_type = 'error' THEN 'true' ELSE '1.5' END AS state FROM ev",
+    "state_aware_dfg_edges": f"""WITH {STATED}, {STEPS}
+SELECT source, target, 'user' AS object_type, count(*) AS weight FROM (
+  SELECT 'START' || chr(10) || 'user' AS source, label AS target FROM sc WHERE pos = 0
+  UNION ALL SELECT label, coalesce(nl, 'END' || chr(10) || 'user') FROM sc WHERE ch IS NULL
+  UNION ALL SELECT label, ch FROM sc WHERE ch IS NOT NULL UNION ALL SELECT ch, nl FROM sc WHERE ch IS NOT NULL) GROUP BY source, target""",
+    "state_aware_dfg_nodes": f"""WITH {STATED}, {STEPS}
+SELECT label, kind, count(*) AS count, round(avg(o), 6) AS avg_order FROM (
+  SELECT label, 'activity' AS kind, 2 * pos + 1 AS o FROM sc UNION ALL SELECT 'START' || chr(10) || 'user', 'start', 0 FROM sc WHERE pos = 0
+  UNION ALL SELECT 'END' || chr(10) || 'user', 'end', 2 * pos + 2 FROM sc WHERE nl IS NULL UNION ALL SELECT ch, 'state_change', 2 * pos + 2 FROM sc WHERE ch IS NOT NULL) GROUP BY label, kind""",
+    "episodes": f"WITH {STATED} SELECT object_id, episode, state, start_ms, last_ms, event_count, dwell_ms, next_state FROM uep",
+    "transition_kpis": f"WITH {STATED} SELECT state AS from_state, next_state AS to_state, count(*) AS count, count(DISTINCT object_id) AS object_count, {STATS.format('dwell_ms')} FROM uep WHERE next_state IS NOT NULL GROUP BY state, next_state",
+    "dwell_kpis": f"WITH {STATED} SELECT state, count(*) AS episode_count, count(DISTINCT object_id) AS object_count, sum(dwell_ms)::BIGINT AS total_ms, {STATS.format('dwell_ms')} FROM uep GROUP BY state",
+    "recovery": f"WITH {STATED} SELECT state AS from_state, next_state AS to_state, count(*) AS count, count(DISTINCT object_id) AS object_count, {STATS.format('dwell_ms')} FROM uep WHERE regexp_matches(lower(next_state), 'normal|available|standard') GROUP BY state, next_state",
+    "stuck_states": f"WITH {STATED} SELECT object_id, state, start_ms AS entered_time_ms, last_ms AS last_time_ms, dwell_ms AS duration_ms, event_count FROM uep WHERE next_state IS NULL ORDER BY dwell_ms DESC, object_id LIMIT 25",
+    "time_buckets": f"""WITH {STATED},
+b AS (SELECT min(t) AS lo, max(t) AS hi, greatest(max(t) - min(t), 1)::DOUBLE AS span FROM ev),
+c AS (SELECT least(floor((t - lo) / span * 32), 31)::BIGINT AS bucket, state, count(*) AS n FROM ev JOIN st USING (seq), b WHERE state IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT i AS bucket, state, coalesce(n, 0) AS n FROM range(32) r(i) CROSS JOIN (SELECT DISTINCT state FROM st WHERE state IS NOT NULL) LEFT JOIN c USING (state) WHERE c.bucket = i OR NOT EXISTS (FROM c c2 WHERE c2.bucket = i AND c2.state = c.state)),
+h AS (SELECT bucket, state, max(CASE WHEN n2 IS NULL THEN 0 ELSE n2 END) AS n FROM (SELECT i AS bucket, s.state, c.n AS n2 FROM range(32) r(i) CROSS JOIN (SELECT DISTINCT state FROM st WHERE state IS NOT NULL) s LEFT JOIN c ON c.bucket = i AND c.state = s.state) GROUP BY ALL)
+SELECT bucket, lo + round(span / 32 * bucket)::BIGINT AS start_ms, CASE WHEN bucket = 31 THEN hi ELSE lo + round(span / 32 * (bucket + 1))::BIGINT END AS end_ms,
+  (sum(n) OVER (PARTITION BY bucket))::BIGINT AS total, state, n::BIGINT AS count, round(CASE WHEN sum(n) OVER (PARTITION BY bucket) = 0 THEN 0 ELSE n / sum(n) OVER (PARTITION BY bucket) * 100 END, 6) AS percentage FROM h, b""",
+    "performance_spectrum": f"""WITH {STATED}, u AS (SELECT * FROM slife WHERE object_type = 'user'),
+s AS (SELECT a.object_id, a.pos, a.t, min(b.pos) AS m FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos > a.pos AND b.state = 'Valued' WHERE a.state = 'Failed' GROUP BY ALL),
+d AS (SELECT u.t - s.t AS d FROM s JOIN u ON u.object_id = s.object_id AND u.pos = m)
+SELECT count(*) AS sample_count, min(d) AS min_ms, list_sort(list(d))[count(*) // 2 + 1] AS median_ms, round(avg(d), 6) AS avg_ms, max(d) AS max_ms FROM d WHERE d >= 0""",
+    "performance_roundtrip": f"""WITH {STATED}, u AS (SELECT * FROM slife WHERE object_type = 'user'),
+s AS (SELECT a.object_id, a.pos, a.t, min(b.pos) AS m FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos > a.pos AND b.state = 'Idle' WHERE a.state = 'Failed' GROUP BY ALL),
+e AS (SELECT s.*, min(c.pos) AS f FROM s JOIN u c ON c.object_id = s.object_id AND c.pos > m AND c.state = 'Failed' GROUP BY ALL)
+SELECT e.object_id, e.t AS start_time_ms, x.t AS middle_time_ms, y.t AS end_time_ms, y.t - e.t AS duration_ms FROM e JOIN u x ON x.object_id = e.object_id AND x.pos = m JOIN u y ON y.object_id = e.object_id AND y.pos = f WHERE y.t >= e.t""",
+    "dominant_state": f"WITH {STATED} SELECT object_id, state FROM (SELECT object_id, state, row_number() OVER (PARTITION BY object_id ORDER BY count(*) DESC, max(pos) DESC, state) AS r FROM slife WHERE object_type = 'user' GROUP BY object_id, state) WHERE r = 1",
+    "patterns_intra": f"""WITH {STATED}, {_WORDS}
+SELECT 'user' AS leading_object_type, state, NULL::VARCHAR AS to_state, 'START ' || state || '|' || array_to_string(labels, '|') || '|END ' || state AS sequence, {_JOIN.format('eo')} AS eo, {_JOIN.format('oo')} AS oo, count(*) AS support, count(*) * (len(any_value(labels)) + 1) AS mass
+FROM sp GROUP BY ALL""",
+    "patterns_inter": f"""WITH {STATED}, {_WORDS},
+n AS (SELECT *, lead(state) OVER w AS ns, lead(labels) OVER w AS nl, lead(eo) OVER w AS neo, lead(oo) OVER w AS noo FROM sp WINDOW w AS (PARTITION BY object_id ORDER BY episode))
+SELECT 'user' AS leading_object_type, state, ns AS to_state, 'START ' || state || '|' || array_to_string(labels, '|') || '|CHANGE ' || state || ' -> ' || ns || '|' || array_to_string(nl, '|') || '|END ' || ns AS sequence,
+  {_JOIN.format('eo || neo')} AS eo, {_JOIN.format('oo || noo')} AS oo, count(*) AS support, count(*) * (len(any_value(labels)) + len(any_value(nl)) + 2) AS mass FROM n WHERE ns IS NOT NULL GROUP BY ALL""",
+    "feature_table": f"""WITH {_ORDERS}
+SELECT object_id, 'activity.' || event_type AS feature, count(*)::DOUBLE AS value FROM olife WHERE object_type = 'order' GROUP BY object_id, event_type
+UNION ALL SELECT object_id, 'related_objects.' || type, count(DISTINCT other)::DOUBLE FROM (
+  SELECT a.object_id, b.object_id AS other, b.object_type AS type FROM orel a JOIN orel b ON a.seq = b.seq AND a.object_id <> b.object_id WHERE a.object_type = 'order') GROUP BY object_id, type
+UNION ALL SELECT 'o' || o_orderkey, 'attribute.priority=' || o_orderpriority, 1.0 FROM orders UNION ALL SELECT 'o' || o_orderkey, 'attribute.total', o_totalprice FROM orders""",
+    "feature_table_wide": f"WITH {LOG}, {_USERS} SELECT object_id, click::DOUBLE AS click, error::DOUBLE AS error, purchase::DOUBLE AS purchase, signup::DOUBLE AS signup, view::DOUBLE AS view, keys::DOUBLE AS keys, last_purchase FROM acts",
+    "state_correlation": f"""WITH {STATED}, {_USERS},
+dom AS (SELECT object_id, state FROM (SELECT object_id, state, row_number() OVER (PARTITION BY object_id ORDER BY count(*) DESC, max(pos) DESC, state) AS r FROM slife WHERE object_type = 'user' GROUP BY object_id, state) WHERE r = 1),
+long AS (
+  SELECT object_id, f.name AS feature, f.v AS v FROM acts, (SELECT unnest([
+    {{name: 'activity.click', v: click::DOUBLE}}, {{name: 'activity.error', v: error::DOUBLE}}, {{name: 'activity.purchase', v: purchase::DOUBLE}}, {{name: 'activity.signup', v: signup::DOUBLE}},
+    {{name: 'activity.view', v: view::DOUBLE}}, {{name: 'related_objects.key', v: keys::DOUBLE}}, {{name: 'attribute.last_purchase', v: last_purchase}}]) AS f)),
+tot AS (SELECT feature, count(*) AS n, sum(v) AS s, sqrt(greatest(sum(v * v) / count(*) - (sum(v) / count(*)) ** 2, 0)) AS sd FROM long JOIN dom USING (object_id) GROUP BY feature),
+grp AS (SELECT feature, state, count(*) AS c, sum(v) AS gs FROM long JOIN dom USING (object_id) GROUP BY feature, state),
+cor AS (SELECT feature, state, n, c, gs / c AS i, CASE WHEN n > c THEN (s - gs) / (n - c) ELSE 0 END AS o, sd FROM grp JOIN tot USING (feature)),
+r AS (SELECT *, CASE WHEN n >= 2 AND n > c AND sd > 2.220446049250313e-16 THEN least(greatest((i - o) * sqrt(c / n * (n - c) / n) / sd, -1), 1) ELSE 0 END AS r FROM cor)
+SELECT feature, state, round(r, 6) AS correlation, round(abs(r), 6) AS strength, n AS sample_count, c AS state_count, round(i, 6) AS mean_in_state, round(o, 6) AS mean_outside_state
+FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(abs(r), 12) DESC, state) AS k FROM r) WHERE k = 1""",
+    "causal_fit_nodes": f"""WITH {LOG}, {_USERS}, {_FIT}
+SELECT 'clicks' AS id, 'clicks' AS label, 'observable' AS role, 'activity.click' AS feature, 'sqrt' AS operation, round(avg(clicks), 6) AS mean, round(stddev_pop(clicks), 6) AS std_dev FROM full_
+UNION ALL SELECT 'views', 'views', 'observable', 'activity.view', 'log_e', round(avg(views), 6), round(stddev_pop(views), 6) FROM full_
+UNION ALL SELECT 'interest', 'interest', 'latent', NULL, 'identity', abs(round(avg(interest), 6)), round(stddev_pop(interest), 6) FROM full_
+UNION ALL SELECT 'sales', 'sales', 'outcome', 'activity.purchase', 'identity', round(avg(sales), 6), round(stddev_pop(sales), 6) FROM full_""",
+    "causal_fit_edges": f"""WITH {LOG}, {_USERS}, {_FIT},
+c AS (SELECT 'clicks' AS source, 'interest' AS target, corr(clicks, interest) AS r, count(*) AS n FROM full_ UNION ALL SELECT 'views', 'interest', corr(views, interest), count(*) FROM full_ UNION ALL SELECT 'interest', 'sales', corr(interest, sales), count(*) FROM full_)
+SELECT source, target, round(r, 6) AS correlation, round(abs(r), 6) AS intensity, round(exp(0 - (r * r * (n - 2) / greatest(1 - r * r, 1e-12)) / 2), 6) AS p_value, n AS sample_count FROM c""",
+    "lifecycle_windows": f"""WITH {LOG}, u AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n FROM life WHERE object_type = 'user'),
+w AS (SELECT a.object_id, a.pos AS start, b.t AS e FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos = least(a.pos + 3, a.n - 1) WHERE a.pos <= greatest(a.n - 4, 0))
+SELECT object_id, count(*) AS windows, sum(start)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM w GROUP BY object_id""",
+}
