@@ -5,10 +5,10 @@ A signature is CHUNKS x WIDTH min-hashes. Signatures within a distance (componen
 therefore entered WIDTH times, with each component left out in turn, and such a pair shares an entry. Two sets of
 Jaccard similarity 0.8 differ in a component with probability 0.2 and miss all entries with one of 3 in a million.
 
-Equal sets are one class from the start. In a bucket of one entry every member is first held against the smallest;
+Equal sets are one class from the start. In a bucket of one entry every member is first held against the best connected;
 confirmed links give components, and only members of different components are then paired, so a large group of
-near copies never becomes all its pairs, and no link between components is lost. Pairs must also fit by size, and
-their signatures must be near, before full sets are read.
+near copies never becomes all its pairs, and no link between components is lost. Pairs must also fit by size and
+by odd sketches (both bounds are exact), and their signatures must be near, before full sets are read.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ from .shared import chunks, join_small, materialise, word_codes
 
 CHUNKS, WIDTH = 12, 6
 K = CHUNKS * WIDTH
-#: Signatures of candidates further apart than this are of sets too unlike: at 0.8, one in 10**10 is.
-FAR = 38
+#: Signatures of candidates further apart than this are of sets too unlike: at 0.8, one in a million is.
+FAR = 32
+#: 64-bit words of an odd sketch: for each of 64 * ODD places, whether an odd number of shingles falls on it. As many
+#: places differ between two sketches as elements between their sets, at most.
+ODD = 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -75,6 +78,13 @@ def signatures(offsets: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
+def odd_sketches(offsets: np.ndarray, key: np.ndarray) -> np.ndarray:
+    docs, places = len(offsets) - 1, 64 * ODD
+    owner = np.repeat(np.arange(docs), np.diff(offsets))
+    odd = np.bincount(owner * places + (key % np.uint64(places)).astype(np.int64), minlength=docs * places) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(docs, places), axis=1, bitorder="little").view("<i8")
+
+
 def entries(signature: np.ndarray) -> np.ndarray:
     """The K keys of each signature: of each chunk, with each component left out in turn."""
     out = np.zeros(signature.shape, np.uint64)
@@ -109,15 +119,15 @@ def near_duplicates(
             s = signatures(offsets, key)
             names = [xxhash.xxh3_128_digest(key[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(names, pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())],
-                ["doc_id", "th", "n", "set", "sig"],
+                [batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(names, pa.binary()), pa.array([x.tobytes() for x in s], pa.binary()), pa.array(list(odd_sketches(offsets, key)), pa.list_(pa.int64()))],
+                ["doc_id", "th", "n", "set", "sig", "odd"],
             )
 
-    sketched = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").mapInArrow(sketch, "doc_id long, th long, n long, set binary, sig binary")
+    sketched = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").mapInArrow(sketch, "doc_id long, th long, n long, set binary, sig binary, odd array<long>")
     sketched = materialise(sketched, "sketches")
     # one node for each distinct set, named by its smallest id
     nodes = materialise(
-        sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes"
+        sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd")), "nodes"
     )
 
     def enter(batches):
@@ -131,19 +141,26 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), batch.column(0).take(pa.array(ids)), batch.column(2).take(pa.array(ids))], ["key", "id", "n"])
 
     entered = nodes.select("id", "sig", "n").mapInArrow(enter, "key long, id long, n long")
-    first = entered.groupBy("key").agg(F.min_by(F.struct("id", "n"), F.struct("n", "id")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "c")
-    shared = materialise(entered.join(first, "key"), "buckets")  # entries of buckets with two members or more
+    sizes = entered.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = materialise(entered.join(sizes, "key"), "buckets")  # entries of buckets with two members or more
+    # a bucket's centre is the member that meets most others, over all buckets: of a group of near copies, the text
+    # that they were made from rather than one of them, which is further from the rest
+    score = shared.groupBy("id", "n").agg(F.sum("size").alias("score"))
+    centre = shared.select("key", "id", "n").join(score, ["id", "n"]).groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("score", "n", "id")).alias("c"))
     # node names may repeat where one id has several sets, so nodes go by (id, n)
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    stars = shared.filter(fits(F.col("n"), F.col("c.n"))).select(F.col("c.id").alias("a"), F.col("c.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
+    stars = shared.join(centre, "key").filter(fits(F.col("n"), F.col("c.n"))).select(F.col("c.id").alias("a"), F.col("c.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
     links = _confirm(rows, nodes, stars, shingle, percent)
     found = components(links)
     place = join_small(shared.select("key", "id", "n"), found.select(F.col("node").alias("id"), "component"), ["id"], "left")
     place = place.withColumn("component", F.coalesce("component", "id"))
     mixed = place.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rest = materialise(place.join(mixed, "key"), "rest")
+    odd = nodes.select("id", "n", *[F.get("odd", F.lit(i)).alias(f"o{i}") for i in range(ODD)])
+    rest = materialise(place.join(mixed, "key").join(odd, ["id", "n"]), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    apart = F.expr("x.key = y.key AND x.component < y.component") & fits(F.col("x.n"), F.col("y.n"))
+    differ = F.expr(" + ".join(f"bit_count(x.o{i} ^ y.o{i})" for i in range(ODD)))
+    close = differ <= F.floor((F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent) + 1e-9)  # what their sets may differ by
+    apart = F.expr("x.key = y.key AND x.component < y.component") & fits(F.col("x.n"), F.col("y.n")) & close
     pairs = x.join(y, apart).select(F.col("x.id").alias("a"), F.col("x.n").alias("an"), F.col("y.id").alias("b"), F.col("y.n").alias("bn"))
     more = _confirm(rows, nodes, pairs, shingle, percent)
     # an id with several sets is one node of the graph
