@@ -25,8 +25,9 @@ SEGMENT = LANES * STEPS
 LOW = 1 << 31
 MAGIC = b"TWR1"
 HEAD = "<4sIIIII"  # mark, ids, segments, words, checksum of the table, checksum of the rest
-#: Distinct words whose ids a worker keeps at hand.
-CACHE = 400_000
+#: Distinct pieces of text whose ids a worker keeps at hand.
+CACHE = 1_000_000
+STOPS = ".,;:!?"
 
 
 class Tables:
@@ -133,28 +134,54 @@ def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, order: list[str]
     top = max([end_id, *vocab["model"]["vocab"].values(), *(t["id"] for t in vocab["added_tokens"])])
     kind = "<u2" if top < 1 << 16 else "<u4"
 
+    # where white space is dropped and marks of word ends are in the ids, no id spans two words
+    first = (vocab["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+    suffix = vocab["model"].get("end_of_word_suffix")
+    by_word = bool(suffix) and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"]
+
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from unicodedata import is_normalized
+
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
 
-        class Words(dict):
-            """Ids of pieces between blanks and line ends, where no token of this tokenizer goes on."""
-
-            def __missing__(self, piece):
-                if len(self) > CACHE:
-                    self.clear()
-                found = np.array(tokenizer.encode(piece, add_special_tokens=False).ids, kind).tobytes()
-                if len(piece) < 64:
-                    self[piece] = found
-                return found
-
-        words, end, seq, pid = Words(), np.array([end_id], kind).tobytes(), 0, TaskContext.get().partitionId()
-        for batch in chunks(batches, 16_000_000):
-            ids = [b"".join(map(words.__getitem__, (t or "").replace("\n", " ").split(" "))) + end for t in batch.column(1).to_pylist()]
+        pack = lambda ids: np.array(ids, kind).tobytes()
+        each = lambda texts: [pack(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        known, words, end, seq, pid = {"": b""}, {}, pack([end_id]), 0, TaskContext.get().partitionId()
+        last = np.zeros(top + 1, bool)
+        last[[i for t, i in vocab["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
+
+        def learn(pieces: list[str]) -> None:
+            """Ids of pieces between blanks. Those of letters and maybe a stop share their lower-case word's ids."""
+            cut = {p: (p[:-1], p[-1]) if p[-1] in STOPS else (p, "") for p in pieces}
+            plain = {p: (c.lower(), s) for p, (c, s) in cut.items() if c.lower().isalpha() and max(c) < "\u0250" and is_normalized("NFC", c)}
+            new = sorted({c for c, _ in plain.values()} - words.keys())
+            ids = [np.frombuffer(x, kind) for x in each([" ".join(new[i : i + 500]) for i in range(0, len(new), 500)])]
+            ids = np.concatenate(ids) if ids else np.zeros(0, kind)
+            ends = np.flatnonzero(last[ids]) + 1  # each word is one run of letters, whose last id ends it
+            for w, i, j in zip(new, [0, *ends.tolist()][: len(ends)], ends.tolist(), strict=True):
+                words[w] = ids[i:j].tobytes()
+            odd = [p for p in pieces if p not in plain]
+            known.update(zip(odd, each(odd), strict=True))
+            known.update((p, words[c] + stops[s]) for p, (c, s) in plain.items())
+
+        stops = {"": b""} | (dict(zip(STOPS, each(list(STOPS)), strict=True)) if by_word else {})
+        for batch in chunks(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            if by_word:
+                texts = [t.replace("\n", " ").split(" ") for t in texts]
+                new = set().union(*texts).difference(known)
+                if len(known) + len(new) > CACHE:
+                    known, words = {"": b""}, {}
+                    new = set().union(*texts) - {""}
+                learn(list(new))
+                ids = [b"".join(map(known.__getitem__, pieces)) + end for pieces in texts]
+            else:
+                ids = [x + end for x in each(texts)]
             width = np.dtype(kind).itemsize
             yield pa.RecordBatch.from_arrays(
                 [
