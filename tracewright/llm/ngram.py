@@ -30,7 +30,7 @@ from .shared import chunks, materialise, partitions, shared_dir, word_codes
 END = 1  # the hash of a text's end, which is also the context of its first word
 DISCOUNT = 0.75
 LEVELS = 256
-CHUNK = 24_000_000
+CHUNK = 8_000_000
 
 
 def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> None:

@@ -134,6 +134,7 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def chunks(batches, size: int = 8_000_000):
     """Record batches cut to at most about ``size`` bytes, so that memory follows the longest text, not the batch."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives back what it doesn't need; two workers share an executor
     for batch in batches:
         step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
