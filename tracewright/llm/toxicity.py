@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .shared import chunks, word_codes
 
 BITS = 20
+CHUNK = 3_000_000  # bytes of text at a time; its features take some thirty times as much
 STEMS = (4, 6)
 #: Ends of a word that aren't part of it for features.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -82,17 +83,18 @@ def train(
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(known.filter(drawn), "_id")
 
     def featurise(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK):
             offsets, place = places(batch.column(2))
             data = [np.unique(place[a:b]).astype("<u4").tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["h", "y", "data"])
 
     def fit(batches):
-        rows = sorted((r["h"], r["y"], r["data"]) for batch in batches for r in batch.to_pylist())
+        rows = pa.Table.from_batches(list(batches), pa.schema({"h": pa.int64(), "y": pa.int32(), "data": pa.binary()})).sort_by([("h", "ascending"), ("y", "ascending")])
+        labels_, data = rows.column("y").to_pylist(), rows.column("data")
         model = Ftrl(alpha, beta, l1, l2)
         for _ in range(epochs):
-            for _, y, data in rows:
-                model.learn(np.frombuffer(data, "<u4").astype(np.int64), y)
+            for y, x in zip(labels_, data, strict=True):
+                model.learn(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64), y)
         w = model.weights(model.z, model.n, l1)
         at = np.flatnonzero(w)
         at = np.append(at, 1 << BITS)
@@ -119,7 +121,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
     def run(batches):
         dense = np.zeros(1 << BITS)
         dense[at] = weights
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK):
             offsets, place = places(batch.column(col))
             hit = np.flatnonzero(dense[place])  # few: each counts once in a text
             doc = np.searchsorted(offsets, hit, side="right") - 1
