@@ -3,7 +3,7 @@
 A line is the set of its words. Lines with equal sets are one class, named by its first line in the order of
 (doc_id, line number, set). Words are ordered by rarity; two sets that share ``percent`` hundredths of their union
 share a word among the rarest few of each (the prefix), and its place bounds what they can share at all. Rarity is
-read from a table of 2**BITS word counts over all lines: its size is fixed, and words that fall together only
+read from a table of 2**BITS word counts over all texts: its size is fixed, and words that fall together only
 change the order, which all lines have in common, never the result.
 
 Entries (prefix word, line) are dealt by word and sorted by size, and each run of one word is compared with the
@@ -78,8 +78,9 @@ def find_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     def count(batches):
         total = np.zeros(1 << BITS, np.int64)
         for batch in chunks(batches):
-            words = line_sets(batch.column(0))[4]
-            total += np.bincount((words & MASK).astype(np.int64), minlength=1 << BITS)
+            _, codes, distinct = word_codes(batch.column(0))
+            names = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()], np.uint64)
+            total += np.bincount((names & MASK).astype(np.int64), np.bincount(codes, minlength=len(names)), minlength=1 << BITS).astype(np.int64)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["h", "c"])
 
@@ -105,7 +106,7 @@ def find_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
             ids = np.asarray(batch.column(0))[owner] if len(owner) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(number), pa.array(name), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), lists], ["doc_id", "line", "set", "n", "bits", "prefix"])
 
-    sketched = rows.mapInArrow(sketch, f"{LINE}, n int, bits long, prefix array<struct<t: long, pos: int>>")
+    sketched = materialise(rows.mapInArrow(sketch, f"{LINE}, n int, bits long, prefix array<struct<t: long, pos: int>>"), "lines")
     classes = sketched.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     classes = materialise(classes, "classes")
     entries = classes.select(F.explode("prefix").alias("p"), "first.doc_id", "first.line", "set", "n", "bits").select("p.t", "n", "p.pos", "bits", "doc_id", "line", "set")
