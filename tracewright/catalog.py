@@ -301,6 +301,12 @@ UNION ALL SELECT 'sales', 'sales', 'outcome', 'activity.purchase', 'identity', r
     "causal_fit_edges": f"""WITH {LOG}, {_USERS}, {_FIT},
 c AS (SELECT 'clicks' AS source, 'interest' AS target, corr(clicks, interest) AS r, count(*) AS n FROM full_ UNION ALL SELECT 'views', 'interest', corr(views, interest), count(*) FROM full_ UNION ALL SELECT 'interest', 'sales', corr(interest, sales), count(*) FROM full_)
 SELECT source, target, round(r, 6) AS correlation, round(abs(r), 6) AS intensity, round(exp(0 - (r * r * (n - 2) / greatest(1 - r * r, 1e-12)) / 2), 6) AS p_value, n AS sample_count FROM c""",
+    "window_features": f"""WITH {ASOF}, u AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n FROM life WHERE object_type = 'user'),
+w AS (SELECT a.object_id, a.pos AS start, b.pos AS last, b.t AS e FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos = least(a.pos + 3, a.n - 1) WHERE a.pos <= greatest(a.n - 4, 0)),
+we AS (SELECT w.object_id, w.start, u.seq, u.event_type FROM w JOIN u ON u.object_id = w.object_id AND u.pos BETWEEN w.start AND w.last)
+SELECT object_id, start, 'activity.' || event_type AS feature, count(*)::DOUBLE AS value FROM we GROUP BY object_id, start, event_type
+UNION ALL SELECT we.object_id, start, 'related_objects.' || r.object_type, count(DISTINCT r.object_id)::DOUBLE FROM we JOIN rel r ON r.seq = we.seq AND r.object_id <> we.object_id GROUP BY we.object_id, start, r.object_type
+UNION ALL SELECT w.object_id, start, 'attribute.last_purchase', b.last_purchase FROM w ASOF JOIN (SELECT 'u' || user_id AS o, t, last_purchase FROM bought) b ON b.o = w.object_id AND w.e >= b.t""",
     "lifecycle_windows": f"""WITH {LOG}, u AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n FROM life WHERE object_type = 'user'),
 w AS (SELECT a.object_id, a.pos AS start, b.t AS e FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos = least(a.pos + 3, a.n - 1) WHERE a.pos <= greatest(a.n - 4, 0))
 SELECT object_id, count(*) AS windows, sum(start)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM w GROUP BY object_id""",
