@@ -291,7 +291,7 @@ tot AS (SELECT feature, count(*) AS n, sum(v) AS s, sqrt(greatest(sum(v * v) / c
 grp AS (SELECT feature, state, count(*) AS c, sum(v) AS gs FROM long JOIN dom USING (object_id) GROUP BY feature, state),
 cor AS (SELECT feature, state, n, c, gs / c AS i, CASE WHEN n > c THEN (s - gs) / (n - c) ELSE 0 END AS o, sd FROM grp JOIN tot USING (feature)),
 r AS (SELECT *, CASE WHEN n >= 2 AND n > c AND sd > 2.220446049250313e-16 THEN least(greatest((i - o) * sqrt(c / n * (n - c) / n) / sd, -1), 1) ELSE 0 END AS r FROM cor)
-SELECT feature, state, round(r, 6) AS correlation, round(abs(r), 6) AS strength, n AS sample_count, c AS state_count, round(i, 6) AS mean_in_state, round(o, 6) AS mean_outside_state
+SELECT feature, state, round(r, 6) + 0.0 AS correlation, round(abs(r), 6) AS strength, n AS sample_count, c AS state_count, round(i, 6) AS mean_in_state, round(o, 6) AS mean_outside_state
 FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(abs(r), 12) DESC, state) AS k FROM r) WHERE k = 1""",
     "causal_fit_nodes": f"""WITH {LOG}, {_USERS}, {_FIT}
 SELECT 'clicks' AS id, 'clicks' AS label, 'observable' AS role, 'activity.click' AS feature, 'sqrt' AS operation, round(avg(clicks), 6) AS mean, round(stddev_pop(clicks), 6) AS std_dev FROM full_

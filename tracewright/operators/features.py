@@ -99,7 +99,7 @@ def state_correlations(log: EventLog, object_type: str) -> DataFrame:
     grid = grid.select("feature", STATE, F.col("n").alias("sample_count"), "state_count", inside.alias("i"), without.alias("o"), r.alias("r"))
     order = Window.partitionBy("feature").orderBy(F.desc(F.round(F.abs("r"), 12)), STATE)
     best = grid.withColumn("k", F.row_number().over(order)).filter("k = 1")
-    six = lambda c, name: F.round(c, 6).alias(name)
+    six = lambda c, name: (F.round(c, 6) + F.lit(0.0)).alias(name)  # noqa: E731  no negative zeros
     return best.select("feature", STATE, six(F.col("r"), "correlation"), six(F.abs("r"), "strength"), "sample_count", "state_count", six(F.col("i"), "mean_in_state"), six(F.col("o"), "mean_outside_state"))
 
 
@@ -188,7 +188,7 @@ def fit_causal_model(log: EventLog, object_type: str, nodes: list[CausalNode], e
             wide = wide.withColumn(place[n.id], sum(scores[1:], scores[0]) / len(scores) if scores else F.lit(0.0))
     measure([n.id for n in order])
     spark = log.events.sparkSession
-    six = lambda x: math.floor(abs(x) * 1e6 + 0.5) / 1e6 * (-1 if x < 0 else 1)
+    six = lambda x: math.floor(abs(x) * 1e6 + 0.5) / 1e6 * (-1 if x < 0 else 1) + 0.0  # noqa: E731  no negative zeros
     node_rows = [(n.id, n.label or n.id, n.role, n.feature, OPERATIONS[n.operation.strip().lower()], six(stats[n.id][0]), six(stats[n.id][1])) for n in nodes]
     edge_rows = []
     if edges:
