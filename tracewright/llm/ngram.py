@@ -30,7 +30,8 @@ from .shared import chunks, materialise, partitions, shared_dir, word_codes
 END = 1  # the hash of a text's end, which is also the context of its first word
 DISCOUNT = 0.75
 LEVELS = 256
-CHUNK = 8_000_000
+CHUNK = 8_000_000  # bytes of text whose pairs are counted at a time
+SCORED = 2_000_000  # bytes scored at a time: a score takes about a hundred bytes a token
 
 
 def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> None:
@@ -328,7 +329,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         words = model.words
-        for batch in chunks(batches):
+        for batch in chunks(batches, SCORED):
             offsets, codes, hashes = tokens_of(batch.column(batch.num_columns - 1))
             number, count = words.find(hashes) if model.total else (np.full(len(hashes), -1), np.zeros(len(hashes), np.int64))
             before = np.empty_like(codes)
