@@ -26,7 +26,7 @@ LOW = 1 << 31
 MAGIC = b"TWR1"
 HEAD = "<4sIIIII"  # mark, ids, segments, words, checksum of the table, checksum of the rest
 #: Distinct pieces of text whose ids a worker keeps at hand.
-CACHE = 1_000_000
+CACHE, WORDS = 1_000_000, 500_000
 STOPS = ".,;:!?"
 
 
@@ -143,6 +143,8 @@ def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, order: list[str]
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import sys
+        from types import ModuleType
         from unicodedata import is_normalized
 
         from tokenizers import Tokenizer
@@ -151,7 +153,13 @@ def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, order: list[str]
 
         pack = lambda ids: np.array(ids, kind).tobytes()
         each = lambda texts: [pack(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        known, words, end, seq, pid = {"": b""}, {}, pack([end_id]), 0, TaskContext.get().partitionId()
+        known, end, seq, pid = {"": b""}, pack([end_id]), 0, TaskContext.get().partitionId()
+        # ids of lower-case words outlive a task, in the worker
+        kept = sys.modules.setdefault("tracewright_word_ids", ModuleType("tracewright_word_ids"))
+        words = kept.__dict__.setdefault(f"ids_{zlib.crc32(tokenizer_json.encode())}_{kind[1:]}", {})
+        # such words need neither normalising nor the search for runs of letters
+        light = vocab | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *vocab["pre_tokenizer"]["pretokenizers"][1:]]}} if by_word else vocab
+        light = Tokenizer.from_str(json.dumps(light))
         last = np.zeros(top + 1, bool)
         last[[i for t, i in vocab["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
 
@@ -159,8 +167,10 @@ def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, order: list[str]
             """Ids of pieces between blanks. Those of letters and maybe a stop share their lower-case word's ids."""
             cut = {p: (p[:-1], p[-1]) if p[-1] in STOPS else (p, "") for p in pieces}
             plain = {p: (c.lower(), s) for p, (c, s) in cut.items() if c.lower().isalpha() and max(c) < "\u0250" and is_normalized("NFC", c)}
+            if len(words) > WORDS:
+                words.clear()
             new = sorted({c for c, _ in plain.values()} - words.keys())
-            ids = [np.frombuffer(x, kind) for x in each([" ".join(new[i : i + 500]) for i in range(0, len(new), 500)])]
+            ids = [np.array(e.ids, kind) for e in light.encode_batch_fast([" ".join(new[i : i + 500]) for i in range(0, len(new), 500)], add_special_tokens=False)]
             ids = np.concatenate(ids) if ids else np.zeros(0, kind)
             ends = np.flatnonzero(last[ids]) + 1  # each word is one run of letters, whose last id ends it
             for w, i, j in zip(new, [0, *ends.tolist()][: len(ends)], ends.tolist(), strict=True):
@@ -176,7 +186,7 @@ def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, order: list[str]
                 texts = [t.replace("\n", " ").split(" ") for t in texts]
                 new = set().union(*texts).difference(known)
                 if len(known) + len(new) > CACHE:
-                    known, words = {"": b""}, {}
+                    known = {"": b""}
                     new = set().union(*texts) - {""}
                 learn(list(new))
                 ids = [b"".join(map(known.__getitem__, pieces)) + end for pieces in texts]
