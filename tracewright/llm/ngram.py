@@ -211,7 +211,7 @@ def train(rows: DataFrame) -> Model:
     model = Model(folder, firsts, bases, total, np.zeros(0, np.uint64))
     if not total:
         return model
-    parts = max(1, partitions(spark))
+    parts = 3 * partitions(spark)  # segments, and what a task sorts, stay small beside an executor
 
     def cut(batches):  # segments of words under their final names, and where segments of pairs begin
         for batch in batches:
