@@ -213,6 +213,29 @@ def test_mixing(spark, docs, none):
     assert mixed.columns == docs.columns and mixed.count() == len(ROWS)
 
 
+@pytest.mark.parametrize("n, large", [(20, 0.5), (500, 1 / 3)])
+def test_mixing_keeps_to_the_given_weights(spark, n, large):
+    given = {f"s{i:03}": large if i == 0 else (1 - large) / (n - 1) for i in range(n)}
+    rows = [(i, "x" * 9, s) for s, w in given.items() for i in range(math.ceil(10_000 * w))]  # a block each
+    placed = mixing.place(make(spark, rows), given, block_bytes=10).select("source", "block", "slot", "release", "due").collect()
+    assert len(placed) == len(rows) == len({r["slot"] for r in placed})
+    taken, slots = Counter(), {r["slot"]: r for r in placed}
+    for t in range(10_000):  # several times 4096 slots
+        r = slots[t]
+        w = given[r["source"]] / math.fsum(given.values())
+        assert r["release"] <= t < r["due"] and abs(r["release"] - r["block"] / w) < 1 + 1e-6 and abs(r["due"] - (r["block"] + 1) / w) < 1 + 1e-6
+        taken[r["source"]] += 1
+        if t % 512 == 511 or t % 4096 == 4095:
+            assert all(abs(taken[s] - (t + 1) * w) < 1 + 1e-6 for s, w in given.items())
+
+
+def test_mixing_goes_on_past_sources_that_run_out():
+    rows = list(mixing.windows({"a": 1, "b": 10**12}, {"a": 3, "b": 4}))
+    assert [(s, k) for s, k, *_ in rows] == [("b", 0), ("b", 1), ("b", 2), ("b", 3), ("a", 0), ("a", 1), ("a", 2)]
+    assert all(release <= t < due for *_, release, due, t in rows)
+    assert list(mixing.windows(mixing.whole_weights({"a": 0.1}), {"a": 2})) == [("a", 0, 0, 1, 0), ("a", 1, 1, 2, 1)]
+
+
 def near(rows, n, percent=80):
     sets = {}
     for i, t, _ in rows:

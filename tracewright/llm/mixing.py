@@ -1,21 +1,26 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows, in order, are cut into blocks of equal bytes. With weights of W slots in each Q, block k of a
-source is released at slot floor(k * Q / W) and due at ceil((k + 1) * Q / W); earliest deadline first then puts
-every block between the two, so that at any slot each source has been given its weight's share within less than one
-block. As weights are whole slots of Q, the schedule repeats after Q slots: one period is worked out on the driver
-(Q entries, whatever the corpus) and every block's slot follows from it. Nothing is dropped or repeated: a source
-that has run out leaves its slots empty, and the others go on.
+Each source's rows, in order, are cut into blocks of equal bytes. With a weight w of all slots, block k of a source is
+released at slot floor(k / w) and due at ceil((k + 1) / w); earliest deadline first then puts every block between the
+two, so that at any slot of the whole run each source that still has blocks has been given its weight's share within
+less than one block. Weights are taken as the exact ratios of their doubles, so nothing drifts. The schedule is a row
+for each block (64 KB), worked out by one task that holds a row for each source and writes as it goes. Nothing is
+dropped or repeated: a source that has run out leaves its slots empty, and the others go on.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Prefix, materialise
+from .shared import Prefix, join_small, materialise
 
 PERIOD = 4096
 #: Sources whose schedule is worked out on the driver at most; more raise an error.
@@ -23,28 +28,48 @@ MOST = 1 << 16
 
 
 def whole_slots(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Weights as whole slots of ``period``, at least one each, by largest remainders."""
+    """Weights rounded to whole slots of ``period``, at least one each, by largest remainders (for ``schedule``)."""
     total = sum(weights.values())
-    spare = period - len(weights)
-    shares = {s: w / total * spare for s, w in weights.items()}
-    slots = {s: 1 + int(x) for s, x in shares.items()}
-    for s in sorted(weights, key=lambda s: (int(shares[s]) - shares[s], s))[: period - sum(slots.values())]:
-        slots[s] += 1
+    shares = {s: w / total * period for s, w in weights.items()}
+    slots = {s: max(1, int(x)) for s, x in shares.items()}
+    while (left := period - sum(slots.values())) != 0:
+        by = sorted((s for s in weights if left > 0 or slots[s] > 1), key=lambda s: (slots[s] - shares[s], s), reverse=left < 0)
+        for s in by[: abs(left)]:
+            slots[s] += 1 if left > 0 else -1
     return slots
 
 
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the ratios of ``weights``."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*[w.denominator for w in exact.values()])
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def windows(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, due, slot) of all blocks, by slot: earliest deadline first among the released ones."""
+    total = sum(weights.values())
+    waiting = [(0, -(-total // w), s, 0) for s, w in weights.items() if blocks[s]]
+    heapq.heapify(waiting)
+    ready, t = [], 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])  # the slots of sources that have run out
+        while waiting and waiting[0][0] <= t:
+            release, due, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, s, k, release))
+        due, s, k, release = heapq.heappop(ready)
+        assert release <= t < due
+        yield s, k, release, due, t
+        if k + 1 < blocks[s]:  # it can't go before the next slot
+            heapq.heappush(waiting, ((k + 1) * total // weights[s], -(-(k + 2) * total // weights[s]), s, k + 1))
+        t += 1
+
+
 def schedule(slots: dict[str, int], period: int) -> list[tuple[str, int, int]]:
-    """One period: (source, block, slot), earliest deadline first among the blocks that are released."""
-    waiting = sorted(((k * period // w, -(-(k + 1) * period // w), s, k) for s, w in slots.items() for k in range(w)), reverse=True)
-    ready, out = [], []
-    for t in range(period):
-        while waiting and waiting[-1][0] <= t:
-            _, due, s, k = waiting.pop()
-            heapq.heappush(ready, (due, s, k))
-        due, s, k = heapq.heappop(ready)  # weights fill the period, so a block is always ready
-        assert t < due
-        out.append((s, k, t))
-    return out
+    """One period of weights that fill it: (source, block, slot)."""
+    assert sum(slots.values()) == period
+    return [(s, k, t) for s, k, _, _, t in windows(slots, slots)]
 
 
 def place(
@@ -67,29 +92,28 @@ def place(
     )
     prefix = Prefix(rows, ["source"], ["doc_id", "th"], ["size"], "mix")
     totals = prefix.totals.groupBy("source").agg(F.sum("_t_size").alias("n"))
-    found = {r["source"]: float(r["n"]) ** temperature for r in totals.limit(MOST + 1).collect()}
+    found = {r["source"]: r["n"] for r in totals.limit(MOST + 1).collect()}
     if len(found) > MOST:
         raise ValueError(f"more than {MOST} sources")
-    spark, schema = docs.sparkSession, "_s string, _k long, w long, slot long"
-    period = max(PERIOD, 1 << (4 * len(found)).bit_length())
-    table = []
-    if found:
-        given = {s: w for s, w in (weights or {}).items() if s in found and w > 0}
-        scale = sum(given.values()) / sum(found[s] for s in given) if given else 1.0
-        slots = whole_slots({s: given.get(s, w * scale) for s, w in found.items()}, period)
-        table = [(s, k, slots[s], t) for s, k, t in schedule(slots, period)]
-    plan = spark.createDataFrame(table, schema)
-    lengths = spark.createDataFrame(sorted({(s, w) for s, _, w, _ in table}), "_l string, w long")
+    own = {s: float(n) ** temperature for s, n in found.items()}
+    given = {s: w for s, w in (weights or {}).items() if s in found and w > 0}
+    scale = sum(given.values()) / sum(own[s] for s in given) if given else 1.0
+    whole = whole_weights({s: given.get(s, w * scale) for s, w in own.items()})
+    blocks = {s: (n - 1) // block_bytes + 1 for s, n in found.items()}
+    total = sum(whole.values())
+    if any(n * total // whole[s] >= 1 << 62 for s, n in blocks.items()):
+        raise ValueError("a weight is so small that its slots don't fit 63 bits")
+
+    def run(batches):
+        for _ in batches:
+            rows = windows(whole, blocks)
+            while some := list(islice(rows, 1 << 16)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some, strict=True)], ["source", "block", "release", "due", "slot"])
+
+    plan = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "source string, block long, release long, due long, slot long")
     placed = prefix.sums().withColumnRenamed("before_size", "at").withColumn("block", F.floor(F.col("at") / block_bytes).cast("long"))
-    placed = placed.join(F.broadcast(lengths), F.col("source") == F.col("_l"))  # a row for each source, at most MOST
-    placed = placed.withColumn("cycle", F.floor(F.col("block") / F.col("w")).cast("long")).withColumn("k", F.col("block") % F.col("w"))
-    placed = placed.join(F.broadcast(plan.drop("w")), (F.col("source") == F.col("_s")) & (F.col("k") == F.col("_k")))  # a row for each slot of the period
-    start = F.col("cycle") * period
-    return placed.select(
-        "doc_id", "th", "source", "size", "at", "block",
-        (start + F.floor(F.col("k") * period / F.col("w")).cast("long")).alias("release"),
-        (start + F.ceil((F.col("k") + 1) * period / F.col("w")).cast("long")).alias("due"), (start + F.col("slot")).alias("slot"),
-    )
+    placed = join_small(placed, materialise(plan, "schedule"), ["source", "block"], "inner")  # a row for each block
+    return placed.select("doc_id", "th", "source", "size", "at", "block", "release", "due", "slot")
 
 
 def ranked(placed: DataFrame) -> DataFrame:
