@@ -196,6 +196,33 @@ def test_ngram(spark, docs, none):
     assert len(empty) == len(ROWS) and all(r["score"] == 0 for r in empty if r["n_tokens"] == 1) and ngram.score(none, model).count() == 0
 
 
+def test_ngram_of_order_3(spark, docs, none):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "the", "of", f"x{i % 7}"], rng.integers(0, 60))) for i in range(150)]
+    rows = [*[(1000 + i, t, "a") for i, t in enumerate(texts)], *ROWS]
+    more = make(spark, [*rows, (5000, "a b never c d a the of the", "a")])
+    learnt = [[*words(t), None] for i, t, _ in rows if i is not None and i != 1003]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        model = ngram.train(make(spark, [r for r in rows if r[0] is not None and r[0] != 1003]), order=3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(model.parts) > 100 and len(np.unique(model.cuts[0])) < len(model.cuts[0])  # words and pairs over several segments
+    c = Counter(w for s in learnt for w in s)
+    two = Counter(p for s in learnt for p in zip([None, *s], s, strict=False))
+    three = Counter(p for s in learnt for p in zip([None, *s], s, s[1:], strict=False))
+    n, v, kinds, next_kinds, d = sum(c.values()), len(c), Counter(a for a, _ in two), Counter(x[:2] for x in three), 0.75
+    p1 = lambda w: max(c[w] - d, 0) / n + d * v / n / (v + 1)
+    p2 = lambda a, w: (max(two[a, w] - d, 0) + d * kinds[a] * p1(w)) / c[a] if c[a] else p1(w)
+    p3 = lambda a, b, w: (max(three[a, b, w] - d, 0) + d * next_kinds[a, b] * p2(b, w)) / two[a, b] if next_kinds[a, b] else p2(b, w)
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in ngram.score(more, model).collect()}
+    for i, t, _ in [*rows, (5000, "a b never c d a the of the", "a")]:
+        s = [*words(t), None]
+        full = math.log10(p2(None, s[0])) + sum(math.log10(p3(*x)) for x in zip([None, *s], s, s[1:], strict=False))
+        assert abs(got[i, len(s)] - full) < 1e-3 * len(s)
+    assert ngram.score(docs, ngram.train(none, order=3)).count() == len(ROWS)
+
+
 def test_mixing(spark, docs, none):
     rows = [(i, "x" * (50 + i * 37 % 200), "abcde"[min(4, int(math.log2(1 + i % 31)))]) for i in range(3000)]
     placed = mixing.ranked(mixing.place(make(spark, rows), {"a": 1.0, "b": 2.0, "c": 1.0, "d": 3.0, "e": 5.0}, block_bytes=400)).collect()

@@ -1,13 +1,15 @@
 """LM scoring: a word n-gram model as an Elias-Fano trie in compact, memory-mapped levels.
 
 Level 1 has the words: sorted 63-bit hashes (Elias-Fano), whose rank is a word's number, and exact counts. Level 2
-has, for each context word, the words that follow it: monotone pointers (Elias-Fano) give a context's range, the
-followers' numbers are one Elias-Fano sequence made monotone by adding up each context's last value, and each has a
-quantised smoothed probability. A query finds its context's range and searches the successor within it.
-
-Both levels are cut into segments of bounded size, each a file of arrays in the shared folder, written by one task
-under a name that a repeated task writes again. Workers map the files; only the pages that queries touch are read.
-A frequent context spreads over segments: cuts are made in the product order of context and follower.
+has, for each word, the words that follow it, and level 3 (order 3), for each such pair, the words that follow that:
+monotone pointers (Elias-Fano) give a context's range, the followers' numbers are one Elias-Fano sequence made
+monotone by adding up each context's last value, and each has a quantised count. A query finds its context's range
+and searches the successor within it; discounted probabilities back off from level to level.
+
+Levels are cut into segments of bounded size, each a file of arrays in the shared folder, written by one task under
+a name that a repeated task writes again. Workers map the files; only the pages that queries touch are read.
+Pairs and triples are one shuffle: a row for each pair and the word after it, so that a pair's count is the sum of
+its rows. A frequent context, of either length, spreads over segments: cuts are pairs with the word after them.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from .shared import chunks, materialise, partitions, shared_dir, word_codes
 
 END = 1  # the hash of a text's end, which is also the context of its first word
 DISCOUNT = 0.75
-LEVELS = 256
-CHUNK = 8_000_000  # bytes of text whose pairs are counted at a time
+NONE = (1 << 31) - 1  # the number of no word: what comes after an end, or after any pair in a model of order 2
+CHUNK = 8_000_000  # bytes of text whose n-grams are counted at a time
+SAMPLE = 2_000_000  # words, about, from which cuts between segments are chosen; results don't depend on them
 SCORED = 2_000_000  # bytes scored at a time: a score takes about a hundred bytes a token
 
 
@@ -91,12 +94,12 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Words:
     """Level 1: numbers and counts of hashed words."""
 
-    def __init__(self, folder: str, firsts: list[int], bases: list[int]):
-        self.folder, self.firsts, self.bases, self.open = folder, np.array(firsts, np.uint64), np.array([*bases], np.int64), {}
+    def __init__(self, folder: str, pids: list[int], firsts: list[int], bases: list[int]):
+        self.folder, self.pids, self.firsts, self.bases, self.open = folder, pids, np.array(firsts, np.uint64), np.array([*bases], np.int64), {}
 
     def segment(self, i: int):
         if i not in self.open:
-            *sequence, counts = map_arrays(self.folder, f"words-{i}")
+            *sequence, counts = map_arrays(self.folder, f"words-{self.pids[i]}")
             self.open[i] = EliasFano(sequence), counts
         return self.open[i]
 
@@ -115,25 +118,119 @@ class Words:
         return number, count
 
 
+def parts_of(cuts: tuple[np.ndarray, np.ndarray], pair: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The segment of each (pair, word after it), which are sorted."""
+    lo, hi = np.searchsorted(pair, cuts[0]), np.searchsorted(pair, cuts[0], side="right")
+    for j in np.flatnonzero(lo < hi).tolist():
+        lo[j] += np.searchsorted(after[lo[j] : hi[j]], cuts[1][j])
+    return np.repeat(np.arange(len(lo) + 1, dtype=np.int32), np.diff(np.concatenate([[0], lo, [len(pair)]])))
+
+
+def followers(groups: np.ndarray, follower: np.ndarray) -> list[np.ndarray]:
+    """An Elias-Fano sequence of sorted followers by group: each group's go on from the last value of the one before."""
+    starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
+    ends = np.concatenate([starts[1:], [len(groups)]])[: len(starts)]
+    added = np.concatenate([[0], np.cumsum(follower[ends - 1])[:-1]])[: len(starts)].astype(np.uint64)
+    return EliasFano.build(follower.astype(np.uint64) + np.repeat(added, ends - starts))
+
+
+def find_follower(sequence: EliasFano, lo: np.ndarray, hi: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The place of ``word`` among the followers in [lo, hi), or -1."""
+    out = np.full(len(lo), -1, np.int64)
+    some = np.flatnonzero((hi > lo) & (word >= 0))
+    lo, hi = lo[some], hi[some]
+    x = word[some].astype(np.uint64) + np.where(lo > 0, sequence[np.maximum(lo - 1, 0)], np.uint64(0)) if len(some) else np.zeros(0, np.uint64)
+    place = sequence.successor(x, lo, hi)
+    hit = np.flatnonzero(place < hi)
+    hit = hit[sequence[place[hit]] == x[hit]]
+    out[some[hit]] = place[hit]
+    return out
+
+
+def quantise(c: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and code book of counts: the lower half of the codes are exact, the others grow by a factor."""
+    half = 1 << (8 * np.dtype(kind).itemsize - 1)
+    book = np.concatenate([np.arange(1, half + 1), np.geomspace(half, max(half + 1, c.max(initial=1)), half + 1)[1:]])
+    return np.searchsorted((book[1:] + book[:-1]) / 2, c).astype(kind), book.view(np.uint64)
+
+
+class Segment:
+    """Pairs and the words after them, between two cuts."""
+
+    def __init__(self, folder: str, part: int):
+        a = map_arrays(folder, f"grams-{part}")
+        self.first, self.pointers, self.words, self.counts, self.book = int(a[0][0]), EliasFano(a[1:5]), EliasFano(a[5:9]), a[9], a[10].view(np.float64)
+        self.next_pointers, self.next_words, self.next_counts, self.next_book = EliasFano(a[11:15]), EliasFano(a[15:19]), a[19], a[20].view(np.float64)
+
+    @staticmethod
+    def write(folder: str, part: int, pair: np.ndarray, after: np.ndarray, c: np.ndarray) -> list[int]:
+        """Write sorted rows; what the driver needs of the segment's first and last words and pairs (``EDGES``)."""
+        new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (after[1:] != after[:-1])]))
+        c, pair, after = np.add.reduceat(c, new), pair[new], after[new]
+        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        total, keys = np.add.reduceat(c, starts), pair[starts]
+        context = keys >> 32
+        first, last = int(context[0]), int(context[-1])
+        ranges = np.searchsorted(context, np.arange(first, last + 2))
+        more = after != NONE
+        of = (np.cumsum(np.concatenate([[True], pair[1:] != pair[:-1]])) - 1)[more]
+        next_ranges = np.searchsorted(of, np.arange(len(keys) + 1))
+        arrays = [np.array([first], np.int64), *EliasFano.build(ranges), *followers(context, keys & 0xFFFFFFFF), *quantise(total, np.uint16)]
+        arrays += [*EliasFano.build(next_ranges), *followers(of, after[more].astype(np.int64)), *quantise(c[more], np.uint8)]
+        write_arrays(folder, f"grams-{part}", arrays)
+        kinds, next_kinds = np.diff(ranges), np.diff(next_ranges)
+        return [part, *(int(x[i]) for i in (0, -1) for x in (keys, kinds, total, next_kinds))]
+
+    def pair(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs (-1: not here) and the number of words after their contexts."""
+        place, kinds = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
+        c = context - self.first
+        at = np.flatnonzero((c >= 0) & (c < self.pointers.n - 1))
+        lo, hi = self.pointers[c[at]].astype(np.int64), self.pointers[c[at] + 1].astype(np.int64)
+        kinds[at] = hi - lo
+        place[at] = find_follower(self.words, lo, hi, word[at])
+        return place, kinds
+
+
+EDGES = ["part", "first", "first_kinds", "first_count", "first_next", "last", "last_kinds", "last_count", "last_next"]
+
+
 class Model:
     """What a worker needs to find and read the levels; small, whatever the corpus: a few numbers for each segment."""
 
-    def __init__(self, folder: str, firsts: list[int], bases: list[int], total: int, cuts: np.ndarray):
-        self.folder, self.firsts, self.bases, self.total, self.cuts = folder, firsts, bases, total, cuts
+    def __init__(self, folder: str, pids: list[int], firsts: list[int], bases: list[int], total: int, order: int):
+        self.folder, self.pids, self.firsts, self.bases, self.total, self.order = folder, pids, firsts, bases, total, order
         self.distinct = bases[-1]
-        self.ranges: dict[int, tuple[int, int, int, int]] = {}  # segment: first and last context, their followers
+        self.cuts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: set[int] = set()
+        # words and pairs at which segments begin or end: the words after them, and the pairs' counts, over all segments
+        self.edge_words = self.edge_pairs = (np.zeros(0, np.int64),) * 3
         self._words = self._open = None
 
+    def set_edges(self, rows: list) -> None:
+        words, pairs, before = {}, {}, None
+        for r in sorted(rows, key=lambda r: r["part"]):
+            ends = ["first"] if r["first"] == r["last"] else ["first", "last"]
+            for e in ends:
+                count, kinds = pairs.get(r[e], (0, 0))
+                pairs[r[e]] = count + r[f"{e}_count"], kinds + r[f"{e}_next"]
+            for e in ["first"] if r["first"] >> 32 == r["last"] >> 32 else ["first", "last"]:
+                again = e == "first" and r["first"] == before  # the pair goes on from the segment before
+                words[r[e] >> 32] = words.get(r[e] >> 32, 0) + r[f"{e}_kinds"] - again
+            before = r["last"]
+        self.parts = {r["part"] for r in rows}
+        self.edge_words = tuple(np.array(x, np.int64) for x in zip(*sorted((w, n, 0) for w, n in words.items()), strict=True))
+        self.edge_pairs = tuple(np.array(x, np.int64) for x in zip(*sorted((p, *x) for p, x in pairs.items()), strict=True))
+
     @property
     def words(self) -> Words:
         if self._words is None:
-            self._words, self._open = Words(self.folder, self.firsts, self.bases), {}
+            self._words, self._open = Words(self.folder, self.pids, self.firsts, self.bases), {}
         return self._words
 
-    def followers(self, i: int):
+    def segment(self, i: int) -> Segment:
         if i not in self._open:
-            a = map_arrays(self.folder, f"pairs-{i}")
-            self._open[i] = int(a[0][0]), EliasFano(list(a[1:5])), EliasFano(list(a[5:9])), a[9], a[10]
+            self._open[i] = Segment(self.folder, i)
         return self._open[i]
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
@@ -141,39 +238,61 @@ class Model:
         rest = DISCOUNT * v / n if self.total else 1.0
         return np.maximum(count - DISCOUNT, 0) / n + rest / (v + 1)
 
-    def log10(self, context: np.ndarray, context_count: np.ndarray, word: np.ndarray, word_count: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words after contexts, by number (sorted by both, for the sake of locality)."""
-        p, seen, kinds = self.unigram(word_count), np.zeros(len(word)), np.zeros(len(word), np.int64)
-        edges = {}
-        for first, last, f, g in self.ranges.values():  # contexts that segments share
-            edges[first] = edges.get(first, 0) + f
-            if last != first:
-                edges[last] = edges.get(last, 0) + g
+    @staticmethod
+    def at_edges(edges: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are at edges, and where there."""
+        if not len(edges[0]):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i = np.minimum(np.searchsorted(edges[0], keys), len(edges[0]) - 1)
+        found = np.flatnonzero(edges[0][i] == keys)
+        return found, i[found]
+
+    def pairs(self, context: np.ndarray, context_count: np.ndarray, word: np.ndarray, p: np.ndarray):
+        """Of pairs, sorted by numbers (-1: unknown): probabilities from those of their words; segments, places and counts."""
+        n = len(word)
+        kinds, place, count = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.zeros(n)
         known = np.flatnonzero(context >= 0)
-        key = (context[known].astype(np.uint64) << np.uint64(32)) | np.maximum(word[known], 0).astype(np.uint64)
-        which = np.searchsorted(self.cuts, key, side="right")
-        for i in np.unique(which).tolist():
-            if i not in self.ranges:
+        key = (context[known] << 32) | np.maximum(word[known], 0)
+        part = np.full(n, -1, np.int64)
+        part[known] = parts_of(self.cuts, key, np.full(len(known), -1))
+        for i in np.unique(part[known]).tolist():
+            if i not in self.parts:
                 continue
-            at = known[which == i]
-            base, pointers, sequence, codes, book = self.followers(i)
-            c = context[at] - base
-            inside = (c >= 0) & (c < pointers.n - 1)
-            at, c = at[inside], c[inside]
-            lo, hi = pointers[c].astype(np.int64), pointers[c + 1].astype(np.int64)
-            kinds[at] = hi - lo
-            some = np.flatnonzero((hi > lo) & (word[at] >= 0))
-            at, lo, hi = at[some], lo[some], hi[some]
-            x = word[at].astype(np.uint64) + np.where(lo > 0, sequence[np.maximum(lo - 1, 0)], np.uint64(0))
-            place = sequence.successor(x, lo, hi)
-            hit = place < hi
-            place, x, at = place[hit], x[hit], at[hit]
-            hit = sequence[place] == x
-            seen[at[hit]] = book.view(np.float64)[codes[place[hit]]]
-        for c, n in edges.items():
-            kinds[context == c] = n
+            at, segment = np.flatnonzero(part == i), self.segment(i)
+            place[at], kinds[at] = segment.pair(context[at], word[at])
+            hit = at[place[at] >= 0]
+            count[hit] = segment.book[segment.counts[place[hit]]]
+        at, e = self.at_edges(self.edge_words, context)
+        kinds[at] = self.edge_words[1][e]
+        at, e = self.at_edges(self.edge_pairs, np.where((context >= 0) & (word >= 0), (context << 32) | word, -1))
+        count[at] = self.edge_pairs[1][e]
         share = np.where(kinds > 0, DISCOUNT * kinds / np.maximum(context_count, 1), 1.0)
-        return np.log10(seen + share * p)
+        return np.maximum(count - DISCOUNT, 0) / np.maximum(context_count, 1) + share * p, part, place, count
+
+    def triples(self, context: np.ndarray, word: np.ndarray, after: np.ndarray, part: np.ndarray, place: np.ndarray, count: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities of words after pairs, sorted by numbers, from those that they have after the pairs' second words."""
+        part, place = part.copy(), place.copy()
+        key = np.where((context >= 0) & (word >= 0), (context << 32) | word, -1)
+        edge, e = self.at_edges(self.edge_pairs, key)
+        part[edge] = parts_of(self.cuts, key[edge], after[edge])
+        seen, kinds = np.zeros(len(after)), np.zeros(len(after), np.int64)
+        at_edge = np.zeros(len(after), bool)
+        at_edge[edge] = True
+        for i in np.unique(part[(place >= 0) | at_edge]).tolist():
+            if i not in self.parts:
+                continue
+            segment, at = self.segment(i), np.flatnonzero(part == i)
+            own = at[at_edge[at]]
+            place[own] = segment.pair(context[own], word[own])[0]
+            at = at[place[at] >= 0]
+            lo, hi = segment.next_pointers[place[at]].astype(np.int64), segment.next_pointers[place[at] + 1].astype(np.int64)
+            kinds[at] = hi - lo
+            found = find_follower(segment.next_words, lo, hi, after[at])
+            hit = found >= 0
+            seen[at[hit]] = segment.next_book[segment.next_counts[found[hit]]]
+        kinds[edge] = self.edge_pairs[2][e]
+        count = np.maximum(count, 1)
+        return np.maximum(seen - DISCOUNT, 0) / count + np.where(kinds > 0, DISCOUNT * kinds / count, 1.0) * p
 
 
 def _level1(rows: DataFrame, folder: str) -> tuple[list[int], list[int], list[int], int]:
@@ -189,7 +308,7 @@ def _level1(rows: DataFrame, folder: str) -> tuple[list[int], list[int], list[in
         if parts:
             h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
             pid = TaskContext.get().partitionId()
-            write_arrays(folder, f"raw-{pid}", [*EliasFano.build(h), c.astype(np.uint64)])
+            write_arrays(folder, f"words-{pid}", [*EliasFano.build(h), c.astype(np.uint64)])
             yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([int(h[0])]), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64())], ["pid", "h", "n", "c"])
 
     counts = rows.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 0")
@@ -199,104 +318,69 @@ def _level1(rows: DataFrame, folder: str) -> tuple[list[int], list[int], list[in
     return [r["pid"] for r in segments], [r["h"] for r in segments], [r["n"] for r in segments], sum(r["c"] for r in segments)
 
 
-def train(rows: DataFrame) -> Model:
-    """Learn from ``rows`` (text; null: empty). No rows: every word is unknown."""
+def train(rows: DataFrame, order: int = 2) -> Model:
+    """Learn from ``rows`` (text; null: empty): n-grams of up to ``order`` (2 or 3) words. No rows: every word is unknown."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = rows.sparkSession
     folder = f"{shared_dir(spark)}/tracewright/{spark.sparkContext.applicationId}/levels-{uuid.uuid4().hex}"
     pids, firsts, sizes, total = _level1(rows, folder)
     bases = np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist()
-    if bases[-1] >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words")
-    name = lambda i: f"raw-{pids[i]}"
-    model = Model(folder, firsts, bases, total, np.zeros(0, np.uint64))
+    if bases[-1] >= NONE:
+        raise ValueError("2**31 distinct words or more")
+    model = Model(folder, pids, firsts, bases, total, order)
     if not total:
         return model
     parts = 3 * partitions(spark)  # segments, and what a task sorts, stay small beside an executor
 
-    def cut(batches):  # segments of words under their final names, and where segments of pairs begin
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                arrays = map_arrays(folder, name(i))
-                write_arrays(folder, f"words-{i}", [np.array(a) for a in arrays])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([int(arrays[-1].sum())], pa.int64())], ["i", "c"])
-
-    masses = dict(spark.range(0, len(pids), 1, min(len(pids), parts)).select("id").mapInArrow(cut, "i long, c long").collect())  # as many as segments
-    before = np.concatenate([[0], np.cumsum([masses[i] for i in range(len(pids))])])
-
-    def number_at(target: float, counts_of) -> tuple[int, float]:
-        """The number of the word in whose mass ``target`` lies, and which share of its mass is before that."""
-        i = min(len(pids) - 1, int(np.searchsorted(before, target, side="right")) - 1)
-        own = counts_of(i)
-        j = min(len(own) - 1, int(np.searchsorted(own, target - before[i], side="right")))
-        prior = own[j - 1] if j else 0
-        return bases[i] + j, (target - before[i] - prior) / (own[j] - prior)
-
-    def find_cuts(batches):
-        sums = {}
-
-        def counts_of(i):
-            if i not in sums:
-                if len(sums) > 2:
-                    sums.clear()
-                sums[i] = np.cumsum(map_arrays(folder, f"words-{i}")[-1].astype(np.float64))
-            return sums[i]
+    def grams(batch, words):
+        """Sorted pairs, the words after them, and their counts: each place of a text gives one row."""
+        offsets, codes, hashes = tokens_of(batch.column(0))
+        number, _ = words.find(hashes)
+        rank = np.argsort(np.argsort(number))
+        before = np.empty_like(codes)
+        before[1:] = codes[:-1]
+        before[offsets[:-1]] = len(hashes) - 1
+        n = len(hashes)
+        pair = rank[before] * n + rank[codes]
+        ordered = np.sort(number)
+        if order == 2:
+            key, count = np.unique(pair, return_counts=True)
+            return (ordered[key // n] << 32) | ordered[key % n], np.full(len(key), NONE), count
+        key, back = np.unique(pair, return_inverse=True)
+        after = np.empty_like(codes)
+        after[:-1] = rank[codes[1:]]
+        after[offsets[1:] - 1] = n
+        both, count = np.unique(back * (n + 1) + after, return_counts=True)
+        key = key[both // (n + 1)]
+        return (ordered[key // n] << 32) | ordered[key % n], np.append(ordered, NONE)[both % (n + 1)], count
+
+    step = max(1, min(total, SAMPLE) // (32 * parts))
+
+    def sample(batches):
+        words = Words(folder, pids, firsts, bases)
+        for batch in chunks(batches, CHUNK):
+            if batch.num_rows:
+                pair, after, _ = grams(batch, words)
+                some = slice(xxhash.xxh3_64_intdigest(pair.tobytes()[:800]) % step, None, step)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[some]), pa.array(after[some])], ["pair", "after"])
 
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                context, share = number_at(total * k / parts, counts_of)
-                word, _ = number_at(total * min(1 - 1e-12, max(0.0, share)), counts_of)
-                yield pa.RecordBatch.from_arrays([pa.array([context], pa.int64()), pa.array([word], pa.int64())], ["c", "w"])
-
-    if parts > 1:
-        found = spark.range(1, parts, 1, min(parts, 8)).select("id").mapInArrow(find_cuts, "c long, w long").collect()  # parts - 1 rows
-        model.cuts = np.unique(np.array([(r["c"] << 32) | r["w"] for r in found], np.uint64))
-    firsts_, cuts = firsts, model.cuts
-
-    def pair(batches):
-        words = Words(folder, firsts_, bases)
+    texts = rows.select("text")
+    some = texts if total <= SAMPLE else texts.sample(SAMPLE / total, 17)
+    found = sorted({(r["pair"], r["after"]) for r in some.mapInArrow(sample, "pair long, after long").collect()})  # about 32 rows a segment
+    found = [found[i] for i in sorted({len(found) * k // parts for k in range(1, parts)})] if found else []
+    cuts = model.cuts = np.array([x for x, _ in found], np.int64), np.array([x for _, x in found], np.int64)
+
+    def count(batches):
+        words = Words(folder, pids, firsts, bases)
         for batch in chunks(batches, CHUNK):
-            offsets, codes, hashes = tokens_of(batch.column(0))
-            if not len(codes):
-                continue
-            number, _ = words.find(hashes)
-            after = number[codes].astype(np.uint64)
-            context = np.empty_like(after)
-            context[1:] = after[:-1]
-            context[offsets[:-1]] = number[-1]
-            key, count = np.unique((context << np.uint64(32)) | after, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, key, side="right").astype(np.int32)), pa.array(key.view(np.int64)), pa.array(count)], ["part", "key", "c"])
+            if batch.num_rows:
+                pair, after, c = grams(batch, words)
+                yield pa.RecordBatch.from_arrays([pa.array(parts_of(cuts, pair, after)), pa.array(pair), pa.array(after.astype(np.int32)), pa.array(c)], ["part", "pair", "after", "c"])
 
     def build(batches):
-        words, held, part = Words(folder, firsts_, bases), [], None
-
-        def segment():
-            key, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            key = key.view(np.uint64)
-            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            c, key = np.add.reduceat(c, new), key[new]
-            context, follower = (key >> np.uint64(32)).astype(np.int64), key & np.uint64((1 << 32) - 1)
-            first, last = int(context[0]), int(context[-1])
-            ranges = np.searchsorted(context, np.arange(first, last + 2))
-            starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            # each context's followers go on from the last value of the one before
-            lasts = follower[np.concatenate([starts[1:], [len(key)]]) - 1]
-            added = np.concatenate([[0], np.cumsum(lasts)[:-1]]).astype(np.uint64)
-            sequence = follower + np.repeat(added, np.diff(np.concatenate([starts, [len(key)]])))
-            of = np.zeros(last - first + 1, np.int64)
-            for i in range(len(bases) - 1):  # exact counts of the contexts, from level 1
-                a, b = max(first, bases[i]), min(last + 1, bases[i + 1])
-                if a < b:
-                    of[a - first : b - first] = words.segment(i)[1][a - bases[i] : b - bases[i]]
-            p = np.maximum(c - DISCOUNT, 1e-3) / of[context - first]
-            log = np.log10(p)
-            low = min(log.min(), -1e-6)
-            code = np.rint(log / low * (LEVELS - 1)).astype(np.uint8)
-            book = 10 ** (np.arange(LEVELS) / (LEVELS - 1) * low)
-            arrays = [np.array([first], np.int64), *EliasFano.build(ranges), *EliasFano.build(sequence), code, book.view(np.uint64)]
-            write_arrays(folder, f"pairs-{part}", arrays)
-            size = np.diff(ranges)
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, first, last, int(size[0]), int(size[-1]))], ["part", "first", "last", "f", "l"])
-
+        held, part = [], None
+        written = lambda: pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in Segment.write(folder, part, *(np.concatenate(x) for x in zip(*held, strict=True)))], EDGES)
         for batch in batches:
             p = np.asarray(batch.column(0))
             edges = np.concatenate([[0], np.flatnonzero(p[1:] != p[:-1]) + 1, [len(p)]])
@@ -304,17 +388,16 @@ def train(rows: DataFrame) -> Model:
                 if a == b:
                     continue
                 if held and p[a] != part:
-                    yield segment()
+                    yield written()
                     held = []
                 part = int(p[a])
-                held.append((np.asarray(batch.column(1))[a:b], np.asarray(batch.column(2))[a:b]))
+                held.append(tuple(np.asarray(batch.column(i))[a:b] for i in (1, 2, 3)))
         if held:
-            yield segment()
+            yield written()
 
-    pairs = rows.select("text").mapInArrow(pair, "part int, key long, c long")
-    pairs = pairs.repartition(parts, "part").sortWithinPartitions("part", "key")
-    done = pairs.mapInArrow(build, "part long, first long, last long, f long, l long").collect()  # a row for each segment
-    model.ranges = {r["part"]: (r["first"], r["last"], r["f"], r["l"]) for r in done}
+    counted = texts.mapInArrow(count, "part int, pair long, after int, c long")
+    counted = counted.repartition(parts, "part").sortWithinPartitions("part", "pair", "after")
+    model.set_edges(counted.mapInArrow(build, ", ".join(f"{c} long" for c in EDGES)).collect())  # a row for each segment
     return model
 
 
@@ -335,12 +418,22 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             before = np.empty_like(codes)
             before[1:] = codes[:-1]
             before[offsets[:-1]] = len(hashes) - 1
-            # each pair once, in the order of the trie
+            # each pair and each triple once, in the order of the trie
+            n = len(hashes)
             rank = np.argsort(np.argsort(number, kind="stable"), kind="stable")
-            pair, back = np.unique(rank[before] * len(hashes) + rank[codes], return_inverse=True)
+            pair, back = np.unique(rank[before] * n + rank[codes], return_inverse=True)
             order = np.argsort(rank, kind="stable")
-            a, b = order[pair // len(hashes)], order[pair % len(hashes)]
-            logs = model.log10(number[a], count[a], number[b], count[b])[back]
+            a, b = order[pair // n], order[pair % n]
+            p, *found = model.pairs(number[a], count[a], number[b], model.unigram(count[b]))
+            logs = np.log10(p)[back]
+            if model.order > 2:
+                later = np.ones(len(codes), bool)
+                later[offsets[:-1]] = False
+                later = np.flatnonzero(later)
+                triple, to = np.unique(back[later - 1] * n + rank[codes[later]], return_inverse=True)
+                q, w = triple // n, order[triple % n]
+                own = np.searchsorted(pair, rank[b[q]] * n + rank[w])  # the triple's later pair
+                logs[later] = np.log10(model.triples(number[a[q]], number[b[q]], number[w], *(x[q] for x in found), p[own]))[to]
             base = np.log10((count + 1) / (model.total + model.distinct + 1))[codes]
             sums = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: E731  no text is without tokens
             yield pa.RecordBatch.from_arrays(

@@ -43,7 +43,7 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    model = ngram.train(docs.filter(~held_out))
+    model = ngram.train(docs.filter(~held_out), order=3)
     return ngram.score(docs.withColumn("held_out", held_out), model)
 
 
