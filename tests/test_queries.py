@@ -43,3 +43,32 @@ def test_weights_of_a_graph_are_lifecycle_lengths(spark):
     log = clickstream(spark, DIR)
     n = lifecycle(log).count() + log.objects.count()
     assert oc_dfg(log).edges.agg({"weight": "sum"}).first()[0] == n
+
+
+def test_map_learns_from_all_windows(spark, monkeypatch):
+    from tracewright.operators import detection
+    from tracewright.sources.adapters import clickstream
+
+    train, seen = detection.train_map, []
+    monkeypatch.setattr(detection, "train_map", lambda points, *how: seen.append(len(points)) or train(points, *how))
+    found = detection.detect(clickstream(spark, "/root/testdata/sf0.1"), "user", width=3, height=3, epochs=10)
+    assert seen == [found.points.count()] and seen[0] > 20_000
+
+
+def test_training_goes_point_by_point(monkeypatch):
+    import numpy as np
+
+    from tracewright.operators import detection
+
+    monkeypatch.setattr(detection, "PIECE", 7)
+    points = np.random.default_rng(1).normal(size=(50, 2))
+    lo, hi = points.min(axis=0), points.max(axis=0)
+    y, x = np.divmod(np.arange(12), 4)
+    w = np.stack([lo[0] + (hi[0] - lo[0]) * (x / 3), lo[1] + (hi[1] - lo[1]) * (y / 2)], axis=1)
+    for epoch in range(10):
+        done = epoch / 9
+        rate, radius = 0.5 * (1 - done) + 0.05 * done, 2 * (1 - done) + 0.75 * done
+        for p in points:
+            best = ((w - p) ** 2).sum(axis=1).argmin()
+            w += (rate * np.exp(-((x - x[best]) ** 2 + (y - y[best]) ** 2) / (2 * radius**2)))[:, None] * (p - w)
+    assert np.allclose(detection.train_map(points, 4, 3, 10), w, rtol=1e-12)

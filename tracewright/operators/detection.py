@@ -1,16 +1,20 @@
 """Execution states found from data: windows over lifecycles, two principal components and a self-organising map.
 
 Windows, their features, the Gram matrix, projections and assignments are distributed. The driver holds the means
-and the Gram matrix of the features, two components and the map (at most 144 cells); the map is trained there on
-all points of small logs, and on a sample by hash, of a size that is a parameter, of larger ones.
+and the Gram matrix of the features, two components and the map (at most 144 cells). The map is trained there on all
+points, one by one and in order, as each depends on the one before: they are streamed to a file of 16 bytes a window
+in the driver's temporary folder, which every epoch reads in pieces. Time is epochs times windows times cells.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +22,7 @@ from ..functions.stats import EPSILON, numeric_value, value_label
 from ..model import EventLog, lifecycle
 from .features import CATEGORIES, feature_columns, object_features
 
-SAMPLE = 20_000
+PIECE = 1 << 16  # points that are read at a time
 
 
 @dataclass(frozen=True)
@@ -101,23 +105,43 @@ def _power(matrix: np.ndarray, steps: int = 80) -> np.ndarray:
 
 def train_map(points: np.ndarray, width: int, height: int, epochs: int) -> np.ndarray:
     """Weights of a self-organising map, trained point by point; they start as a grid over the points' bounds."""
-    lo, hi = points.min(axis=0), points.max(axis=0)
+    pieces = range(0, len(points), PIECE)
+    lo, hi = (f([f(points[i : i + PIECE], axis=0) for i in pieces], axis=0) for f in (np.min, np.max))
     y, x = np.divmod(np.arange(width * height), width)
     share = lambda i, n: i / (n - 1) if n > 1 else np.full(len(i), 0.5)
-    w = np.stack([lo[0] + (hi[0] - lo[0]) * share(x, width), lo[1] + (hi[1] - lo[1]) * share(y, height)], axis=1)
+    w = np.stack([lo[0] + (hi[0] - lo[0]) * share(x, width), lo[1] + (hi[1] - lo[1]) * share(y, height)])
+    d, square, away = np.empty_like(w), np.empty_like(w), np.empty(len(x))
     far = ((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2).astype(float)
     widest = max(max(width, height) / 2, 1.0)
     for epoch in range(epochs):
         done = epoch / (epochs - 1) if epochs > 1 else 1.0
         rate, radius = 0.5 * (1 - done) + 0.05 * done, widest * (1 - done) + 0.75 * done
         pull = rate * np.exp(-far / (2 * max(radius * radius, 0.01)))
-        for p in points:
-            best = int(np.argmin(((w - p) ** 2).sum(axis=1)))
-            w += pull[best][:, None] * (p - w)
-    return w
+        for i in pieces:
+            for p in np.array(points[i : i + PIECE])[:, :, None]:
+                np.subtract(p, w, out=d)
+                np.multiply(d, d, out=square)
+                np.add(square[0], square[1], out=away)
+                np.multiply(d, pull[away.argmin()], out=d)
+                w += d
+    return w.T
 
 
-def detect(log: EventLog, object_type: str, size: int = 4, width: int | None = None, height: int | None = None, epochs: int = 120, sample: int = SAMPLE) -> Detection:
+def _in_order(points: DataFrame, path: str) -> np.ndarray:
+    """The points of all windows, by object and start, in a mapped file; a partition at a time passes through the driver."""
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([np.asarray(c, np.float64) for c in batch.columns]).tobytes()], pa.binary())], ["b"])
+
+    with open(path, "wb") as f:
+        for r in points.orderBy("object_seq", "start").select("pc1", "pc2").mapInArrow(pack, "b binary").toLocalIterator():
+            f.write(r["b"])
+    return np.memmap(path, np.float64, "r").reshape(-1, 2) if os.path.getsize(path) else np.zeros((0, 2))
+
+
+def detect(log: EventLog, object_type: str, size: int = 4, width: int | None = None, height: int | None = None, epochs: int = 120) -> Detection:
     """Project all windows to two components and assign each to a cell of a map."""
     features = window_features(log, object_type, size)
     columns = feature_columns(features)
@@ -157,9 +181,9 @@ def detect(log: EventLog, object_type: str, size: int = 4, width: int | None = N
     count = int(n)
     side = min(max(int(np.ceil(np.sqrt(count))), 3), 8)
     width, height = (min(max(d or side, 2), 12) for d in (width, height))
-    some = points if count <= sample else points.filter(F.pmod(F.xxhash64("object_id", "start"), F.lit(1 << 20)) < int(sample / count * (1 << 20)))
-    local = np.array([(r["pc1"], r["pc2"]) for r in some.orderBy("object_seq", "start").collect()]).reshape(-1, 2)  # about ``sample`` rows at most
-    weights = train_map(local, width, height, min(max(epochs, 10), 500)) if len(local) else np.zeros((width * height, 2))
+    with tempfile.TemporaryDirectory() as folder:
+        local = _in_order(points, f"{folder}/points")
+        weights = train_map(local, width, height, min(max(epochs, 10), 500)) if len(local) else np.zeros((width * height, 2))
     away = [F.struct(((F.col("pc1") - float(a)) * (F.col("pc1") - float(a)) + (F.col("pc2") - float(b)) * (F.col("pc2") - float(b))).alias("d"), F.lit(i).alias("i")) for i, (a, b) in enumerate(weights)]
     best = F.least(*away)["i"]
     points = points.select("object_id", "start", "pc1", "pc2", (best % width).alias("x"), F.floor(best / width).cast("int").alias("y"))
