@@ -329,6 +329,14 @@ def test_decontamination(spark, docs, none):
     assert {r["n_hit"] for r in decontam.contamination(docs, items.limit(0)).collect()} == {0}
 
 
+def test_decontamination_by_items_without_an_id_or_with_one_for_several_texts(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "one five three"), (4, "six")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (None, "four five six seven"), (None, "four five"), (9, "one two three"), (9, "x five y"), (8, "six")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.contamination(docs, items).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (3, 2, sha("9"), True), 2: (2, 1, sha(""), True), 3: (0, 0, sha(""), False), 4: (1, 1, sha("8"), True)}
+
+
 def test_proximity(spark, docs):
     pairs = spark.createDataFrame([("fox", "dog"), ("again", "again")], "a string, b string")
     got = {(r["a"], r["pos_a"], r["b"], r["pos_b"]) for r in decontam.near_matches(docs.filter("doc_id = 15"), pairs, 5).collect()}

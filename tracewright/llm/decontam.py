@@ -39,10 +39,14 @@ def phrase_matches(docs: DataFrame, tests: DataFrame, width: int = 10) -> DataFr
     """All places where a window of a test occurs: doc_id, th, item, s (in the test), start (in the document), k.
 
     ``docs`` has doc_id and text, ``tests`` item_id and text. A window is ``width`` consecutive words of a test, or
-    all words of a shorter one. ``th`` is the text's hash, which tells rows with one doc_id apart; equal rows and
+    all words of a shorter one. A null item_id is an item like others, and one
+    id may have several texts. ``th`` is the text's hash, which tells rows with one doc_id apart; equal rows and
     equal tests give each match once. Null texts hold no words. No documents or tests: no rows.
     """
-    items = materialise(tests.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).distinct(), "items")
+    named = materialise(tests.select(F.col("item_id").cast("string").alias("name"), words_of(F.col("text")).alias("words")).distinct(), "named")
+    # a number for each text, which ids that repeat or are null don't tell apart
+    items = materialise(named.select("words").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    names = materialise(named.join(items, "words").select("item", "name"), "names")
     slots = items.select("item", F.posexplode("words").alias("q", "term"))
     terms = materialise(slots.select("term").distinct(), "terms")
     # lengths of the terms' lists, over all documents
@@ -79,10 +83,8 @@ def phrase_matches(docs: DataFrame, tests: DataFrame, width: int = 10) -> DataFr
     sets = got.groupBy("doc_id", "th", "item", "at").agg(F.collect_set("q").alias("qs"))  # as many as a test has words
     same = F.expr("a.doc_id <=> m.doc_id AND a.th = m.th AND a.item = m.item AND a.at = m.at")
     whole = F.forall(F.expr("sequence(m.s, m.s + m.k - 1)"), lambda q: F.array_contains(F.col("a.qs"), q))
-    return (
-        sets.alias("a").join(meet.alias("m"), same).filter(whole)
-        .select("m.doc_id", "m.th", "m.item", "m.s", (F.col("m.at") + F.col("m.s")).alias("start"), "m.k")
-    )
+    found = sets.alias("a").join(meet.alias("m"), same).filter(whole).select("m.doc_id", "m.th", "m.item", "m.s", (F.col("m.at") + F.col("m.s")).alias("start"), "m.k")
+    return join_small(found, names, ["item"], "inner").select("doc_id", "th", F.col("name").alias("item"), "s", "start", "k").distinct()
 
 
 def near_matches(docs: DataFrame, pairs: DataFrame, distance: int) -> DataFrame:
@@ -104,7 +106,8 @@ def contamination(docs: DataFrame, tests: DataFrame, width: int = 10, id_col: st
     """For each row of ``docs``: doc_id, th, n_words, n_hit, n_items, items_sha256 and contaminated.
 
     A word is hit if it lies inside an occurrence of a window of a test (see phrase_matches). Equal rows get equal
-    results. Rows with null or no text have no words. With no tests nothing is hit.
+    results. Rows with null or no text have no words. Items without an id are one item, counted in n_items, whose name
+    items_sha256 leaves out. With no tests nothing is hit.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     matches = materialise(phrase_matches(docs, tests, width), "matches")
@@ -113,13 +116,13 @@ def contamination(docs: DataFrame, tests: DataFrame, width: int = 10, id_col: st
     reached = "max(start + k) OVER (PARTITION BY doc_id, th ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     covered = spans.select("doc_id", "th", F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.expr(reached), F.lit(0)))).alias("new"))
     hit = covered.groupBy("doc_id", "th").agg(F.sum("new").cast("long").alias("n_hit"))
-    items = matches.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = matches.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("item"))).alias("items"))  # a struct, as sets leave out nulls
     both = hit.alias("h").join(items.alias("i"), F.expr("h.doc_id <=> i.doc_id AND h.th = i.th")).select(F.col("h.doc_id").alias("_d"), F.col("h.th").alias("_t"), "n_hit", "items")
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = rows.join(both, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     return out.select(
         "doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        F.sha2(F.coalesce(F.array_join("items.item", ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"),
     )
