@@ -38,9 +38,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by 0.8 of their five-word shingles; of rows that
-    repeat an id and its text, one."""
-    found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    single = _without(docs, found.filter("NOT kept"))
+    repeat an id and its text, one. Rows of one id with unlike texts, and rows without an id, are documents of their
+    own, and one without an id is kept only where its group has no other."""
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).alias("_row")
+    found = minhash.near_duplicates(docs.select(row, "text"), shingle=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "th", "component_id")
+    found = materialise(found.distinct().join(docs.select(row, "doc_id").distinct(), "_row"), "groups")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
+    single = _without(docs, found.join(first, "_row", "left_anti"))
     again = docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).count().filter("count > 1").select("doc_id", "th")
     again = materialise(again, "again")
     if again.isEmpty():

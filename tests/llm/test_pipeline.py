@@ -51,3 +51,11 @@ def test_stages(spark, corpus, tmp_path):
 
 def test_run(spark, corpus):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, corpus).collect()) == sorted([i for i in range(400) if not 300 <= i < 350] + [500, 501])
+
+
+def test_one_row_of_near_copies_that_share_an_id_or_have_none(spark):
+    text = lambda k: " ".join(f"k{k}x{i}" for i in range(60))
+    rows = [(5, text(1)), (5, text(1).upper()), (None, text(2)), (None, text(2) + " more"), (None, text(3)), (8, text(3) + " end"), (9, text(4)), (9, text(5)), (9, text(5)), (6, text(6)), (7, text(6) + " x")]
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in rows], SCHEMA)
+    left = [(r["doc_id"], r["text"].lower().split("x")[0]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([(5, "k1"), (None, "k2"), (8, "k3"), (9, "k4"), (9, "k5"), (6, "k6")], key=str)
