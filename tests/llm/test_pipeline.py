@@ -59,3 +59,41 @@ def test_one_row_of_near_copies_that_share_an_id_or_have_none(spark):
     docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in rows], SCHEMA)
     left = [(r["doc_id"], r["text"].lower().split("x")[0]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(left, key=str) == sorted([(5, "k1"), (None, "k2"), (8, "k3"), (9, "k4"), (9, "k5"), (6, "k6")], key=str)
+
+
+def test_stages_keep_columns_of_any_name_and_rows_of_any_kind(spark, corpus, tmp_path):
+    long = " ".join(f"w{i % 9000}" for i in range(60_000))
+    rows = [(1, long, "a", 1), (None, "x y z " * 10, None, 2), (None, "x y z " * 10, None, 2), (3, "", "b", 3), (4, None, "b", 4), (4, None, "b", 4), (5, "one two three four five six", "b", 5)]
+    more = ["d", "t", "_d", "_t", "_h", "th", "row", "number", "name", "at", "i", "h", "file_name"]
+    docs = spark.createDataFrame([(*r[:3], *[r[3] * 10 + k for k in range(len(more))]) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in more))
+    left = {"toxicity": 7, "near_copies": 5, "decontamination": 5, "mixing": 5, "tokens": 5}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, corpus)
+        out.write.parquet(f"file://{tmp_path}/{name}")
+        was, docs = docs, spark.read.parquet(f"file://{tmp_path}/{name}")
+        assert docs.count() == left[name], name
+        if name != "tokens":
+            assert docs.columns == was.columns
+            assert all([r[c] for c in more] == [r["d"] + k for k in range(len(more))] for r in docs.collect())
+    assert docs.filter("doc_id = 4").first()["n_tokens"] == 1
+
+
+def test_stages_without_rows(spark, corpus, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, corpus).write.parquet(f"file://{tmp_path}/{name}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{name}")
+        assert docs.count() == 0
+
+
+def test_rows_go_by_the_numbers_of_their_files(spark, tmp_path):
+    import os
+
+    folder, ids = tmp_path / "docs", {"part-99999-a.parquet": 2, "part-100000-a.parquet": 1, "part-00007-a.parquet": 3}
+    folder.mkdir()
+    for name, i in ids.items():
+        spark.createDataFrame([(i, f"text {i}")], "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/one-{i}")
+        part = next(x for x in os.listdir(tmp_path / f"one-{i}") if x.endswith(".parquet"))
+        os.rename(tmp_path / f"one-{i}" / part, folder / name)
+    out = corpus_pipeline.write_tokens(spark, spark.read.parquet(f"file://{folder}"), "")
+    assert [r["doc_id"] for r in out.orderBy("start").collect()] == [3, 2, 1]

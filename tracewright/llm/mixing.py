@@ -126,6 +126,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` in the mix's order: partitions, and rows within them, and so the files they are written to."""
     names = {"id_col": "doc_id", "text_col": "text"} | {k: v for k, v in how.items() if k in ("id_col", "text_col")}
     order = place(docs, **how).groupBy("doc_id", "th").agg(F.min(F.struct("slot", "at")).alias("_order")).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(names["text_col"]), F.lit(""))))
-    same = rows[names["id_col"]].eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
-    return rows.join(materialise(order, "order"), same).orderBy("_order", "_d", "_t").select(*docs.columns)
+    th = F.xxhash64(F.coalesce(F.col(names["text_col"]), F.lit("")))
+    rows = docs.select(F.struct("*").alias("row"), F.col(names["id_col"]).alias("i"), th.alias("h"))  # whole, so that no names clash
+    same = rows["i"].eqNullSafe(F.col("_d")) & (rows["h"] == F.col("_t"))
+    return rows.join(materialise(order, "order"), same).orderBy("_order", "i", "h").select("row.*")
