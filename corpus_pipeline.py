@@ -12,7 +12,7 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontam, minhash, mixing, tokens, toxicity
@@ -22,18 +22,29 @@ from tracewright.llm.shared import join_small, materialise, shared_dir
 ORACLE_SQL = None
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, d, t): the rows whole, so that no name of a column clashes, their ids as text and the hashes of their texts."""
+    return docs.select(F.struct("*").alias("row"), _plain("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+
+
+def _plain(c: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, hash of the text) isn't in ``bad``; null ids compare as equal."""
-    plain = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    bad = materialise(bad.select(plain(F.col("doc_id")).alias("_d"), F.col("th").alias("_t")).distinct(), "bad")
-    rows = docs.withColumn("_d", plain(F.col("doc_id"))).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return join_small(rows, bad, ["_d", "_t"], "left_anti").select(*docs.columns)
+    bad = materialise(bad.select(_plain("doc_id").alias("d"), F.col("th").alias("t")).distinct(), "bad")
+    return join_small(_keyed(docs), bad, ["d", "t"], "left_anti").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of toxicity 0.5 or more, by a model of the labelled ones among them."""
+    """Without documents of toxicity 0.5 or more, by a model of the labelled ones among them.
+
+    Null and empty texts score as the model's intercept; rows that repeat an id are judged each by its text, equal
+    rows alike. No rows, or no labels: all stay.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out_col="_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
+    return _without(docs, toxicity.toxic_rows(docs, model, 0.5))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,38 +56,49 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = materialise(found.distinct().join(docs.select(row, "doc_id").distinct(), "_row"), "groups")
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
     single = _without(docs, found.join(first, "_row", "left_anti"))
-    again = docs.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).count().filter("count > 1").select("doc_id", "th")
-    again = materialise(again, "again")
+    keyed = _keyed(docs)
+    again = materialise(keyed.groupBy("d", "t").count().filter("count > 1").select("d", "t"), "again")
     if again.isEmpty():
         return single
-    keys = again.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
-    rows = single.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
-    first = rows.join(keys, same, "left_semi").dropDuplicates(["doc_id", "_h"])
-    return rows.join(keys, same, "left_anti").unionByName(first).select(*docs.columns)
+    keyed = _keyed(single)
+    first = join_small(keyed, again, ["d", "t"], "left_semi").dropDuplicates(["d", "t"])
+    return join_small(keyed, again, ["d", "t"], "left_anti").unionByName(first).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents in which a window of a benchmark item occurs."""
+    """Without documents in which a window of a benchmark item occurs.
+
+    Null and empty texts have no words and stay; rows that repeat an id are judged each by its text, equal rows alike.
+    No rows or no items: all stay.
+    """
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.filter("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: its files, by name, and their rows hold it."""
+    """All documents, in the order of the mix: its files, by number, and their rows hold it.
+
+    Null sources are one source, null texts take a byte; equal rows stay, side by side. No rows: no rows.
+    """
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token blocks in the order of the files that ``docs`` reads (of ids, where it reads none), read back."""
+    """Token blocks in the order of the files that ``docs`` reads (of ids, where it reads none), read back.
+
+    Null texts are empty: an end alone. Rows that repeat an id, and equal rows, are all written. No rows: no rows.
+    """
     order = ["doc_id"]
+    rows = docs.select("doc_id", "text")
     try:
-        docs = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-        order = ["_file", "_at"]
+        name = F.col("_metadata.file_name")
+        number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")  # as text, the names of many files don't go by their numbers
+        rows = docs.select("doc_id", "text", number.alias("number"), name.alias("name"), F.col("_metadata.row_index").alias("at"))
+        order = ["number", "name", "at"]
     except AnalysisException:  # not straight from files
         pass
     path = f"{shared_dir(spark)}/tracewright/{spark.sparkContext.applicationId}/corpus-{uuid.uuid4().hex}"
-    tokens.write_blocks(docs, path, Path(public_tokenizers.path("word_bpe_49k.json")).read_text(), 2, order)
+    tokens.write_blocks(rows, path, Path(public_tokenizers.path("word_bpe_49k.json")).read_text(), 2, order)
     return tokens.read_blocks(spark, path)
 
 
