@@ -23,6 +23,7 @@ from .components import components
 from .shared import chunks, join_small, materialise, word_codes
 
 CHUNKS, WIDTH = 12, 6
+TEXT = 2_000_000  # bytes of text whose shingles are held at a time
 K = CHUNKS * WIDTH
 #: Signatures of candidates further apart than this are of sets too unlike: at 0.8, one in a million is.
 FAR = 32
@@ -114,7 +115,7 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sketch(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, TEXT):
             offsets, key = shingle_sets(batch.column(2), shingle)
             s = signatures(offsets, key)
             names = [xxhash.xxh3_128_digest(key[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
@@ -191,7 +192,7 @@ def _confirm(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     ends = materialise(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
 
     def full(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, TEXT):
             offsets, key = shingle_sets(batch.column(1), shingle)
             sets = [key[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])

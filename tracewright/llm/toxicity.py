@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import chunks, word_codes
 
 BITS = 20
-CHUNK = 8_000_000  # bytes of text whose words are numbered at a time
+CHUNK = 2_000_000  # bytes of text whose words are numbered at a time
 SLICE = 250_000  # words whose pairs are hashed at a time, so that memory doesn't follow the longest text's features
 STEMS = (4, 6)
 #: Ends of a word that aren't part of it for features.
