@@ -9,11 +9,13 @@ of a block decode side by side. Checksums guard the table, each block's bytes an
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,9 +27,98 @@ SEGMENT = LANES * STEPS
 LOW = 1 << 31
 MAGIC = b"TWR1"
 HEAD = "<4sIIIII"  # mark, ids, segments, words, checksum of the table, checksum of the rest
-#: Distinct pieces of text whose ids a worker keeps at hand.
-CACHE, WORDS = 1_000_000, 500_000
-STOPS = ".,;:!?"
+#: Distinct words whose ids a worker keeps at hand.
+WORDS = 500_000
+#: A run of letters whose lower-case forms are one character each and which no normal form changes, and
+#: the ASCII signs that make one run of their own after it (an apostrophe may begin an ending).
+LETTERS, SIGNS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}", r"!-&(-/:-@\[-`{-~"
+CHUNK = 4_000_000  # bytes of text cut into pieces at a time
+
+
+class Ids:
+    """Ids of texts that a tokenizer splits at white space: each word's are found once, and a text's put together.
+
+    Texts are cut at ASCII white space and their distinct pieces numbered in Arrow. A piece of plain letters, and maybe
+    signs after them, has the ids of the lower-case word and of the signs; all others go to the tokenizer as they are.
+    """
+
+    def __init__(self, tokenizer_json: str, kind: str):
+        from tokenizers import Tokenizer
+
+        vocab = json.loads(tokenizer_json)
+        # words of lower-case letters need neither normalising nor the search for runs of letters
+        steps = [{"type": "WhitespaceSplit"}, *vocab["pre_tokenizer"]["pretokenizers"][1:]]
+        light = vocab | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}
+        self.whole, self.light, self.kind = Tokenizer.from_str(tokenizer_json), Tokenizer.from_str(json.dumps(light)), kind
+        ids = vocab["model"]["vocab"]
+        self.last = np.zeros(max(ids.values()) + 1, bool)
+        self.last[[i for t, i in ids.items() if t.endswith(vocab["model"]["end_of_word_suffix"])]] = True
+        self._forget()
+
+    @staticmethod
+    def fits(vocab: dict) -> bool:
+        """Whether white space is dropped and ends of words are marked in the ids, so that no id spans two words."""
+        first = (vocab["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        return bool(vocab["model"].get("end_of_word_suffix")) and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"]
+
+    def _forget(self) -> None:
+        """Start with the empty string alone, whose number is 0."""
+        self.number, self.ids, self.starts = {"": 0}, np.zeros(0, self.kind), np.zeros(2, np.int64)
+
+    def _keep(self, texts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.number.update(zip(texts, range(len(self.starts) - 1, len(self.starts) - 1 + len(texts)), strict=True))
+        self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, len(self.ids) + ends])
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and their ends, from the tokenizer as it is."""
+        found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return np.array([i for ids in found for i in ids], self.kind), np.cumsum([len(x) for x in found], dtype=np.int64)
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Numbers of lower-case words, each one run of letters, whose last id ends it."""
+        new = [w for w in words if w not in self.number]
+        found = self.light.encode_batch_fast([" ".join(new[i : i + 500]) for i in range(0, len(new), 500)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, self.kind), *[np.array(e.ids, self.kind) for e in found]])
+        self._keep(new, ids, np.flatnonzero(self.last[ids]) + 1)
+        return np.array([self.number[w] for w in words], np.int64)
+
+    def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct pieces: numbers of their first and second parts; ids by number, and where each number's begin."""
+        if len(self.number) > WORDS:
+            self._forget()
+        first, second = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        cut = pc.extract_regex(pieces, f"^(?P<letters>[{LETTERS}]+)(?P<signs>[{SIGNS}]*)$")
+        plain = np.asarray(pc.is_valid(cut))
+        cut = cut.filter(pa.array(plain))
+        for part, to in ((0, first), (1, second)):
+            named = pc.dictionary_encode(pc.utf8_lower(pc.struct_field(cut, part)))
+            texts = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+            if part:
+                new = [x for x in texts if x not in self.number]
+                self._keep(new, *self._whole(new))
+                numbers = np.array([self.number[x] for x in texts], np.int64)
+            else:
+                numbers = self.of_words(texts)
+            to[plain] = numbers[np.asarray(named.indices)] if len(texts) else 0
+        ids, ends = self._whole(pieces.filter(pa.array(~plain)).to_pylist())
+        first[~plain] = np.arange(len(ends)) + len(self.starts) - 1
+        return first, second, np.concatenate([self.ids, ids]), np.concatenate([self.starts, len(self.ids) + ends])
+
+    def of_texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, each with its end, one after the other, and where each begins (and the last one ends)."""
+        texts = pc.take(pc.fill_null(texts.cast(pa.large_string()), ""), pa.array(np.arange(len(texts))))
+        lists = pc.ascii_split_whitespace(texts)
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        named = pc.dictionary_encode(lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])))
+        offsets, codes = offsets - offsets[0], np.asarray(named.indices)
+        first, second, ids, starts = self.of_pieces(named.dictionary)
+        both = np.stack([first[codes], second[codes]], axis=1).ravel()
+        both = np.insert(both, 2 * offsets[1:], len(starts) - 1)  # an end after each text
+        ids, starts = np.append(ids, np.array([end_id], self.kind)), np.append(starts, len(ids) + 1)
+        sizes = np.diff(starts)[both]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        out = ids[np.repeat(starts[both] - before[:-1], sizes) + np.arange(before[-1])]
+        return out, before[2 * offsets + np.arange(len(offsets))]
 
 
 class Tables:
@@ -128,79 +219,34 @@ def decode_block(data: bytes, tables: Tables, segments: tuple[int, int] | None =
 
 def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, order: list[str], id_col: str, text_col: str) -> DataFrame:
     """Ids of whole texts: pid, seq, doc_id, n, ids (little-endian), rows ranged and sorted by ``order``."""
-    import json
-
     vocab = json.loads(tokenizer_json)
     top = max([end_id, *vocab["model"]["vocab"].values(), *(t["id"] for t in vocab["added_tokens"])])
     kind = "<u2" if top < 1 << 16 else "<u4"
-
-    # where white space is dropped and marks of word ends are in the ids, no id spans two words
-    first = (vocab["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-    suffix = vocab["model"].get("end_of_word_suffix")
-    by_word = bool(suffix) and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"]
+    width = np.dtype(kind).itemsize
+    by_word = Ids.fits(vocab)
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import sys
-        from types import ModuleType
-        from unicodedata import is_normalized
-
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-
-        pack = lambda ids: np.array(ids, kind).tobytes()
-        each = lambda texts: [pack(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        known, end, seq, pid = {"": b""}, pack([end_id]), 0, TaskContext.get().partitionId()
-        # ids of lower-case words outlive a task, in the worker
-        kept = sys.modules.setdefault("tracewright_word_ids", ModuleType("tracewright_word_ids"))
-        words = kept.__dict__.setdefault(f"ids_{zlib.crc32(tokenizer_json.encode())}_{kind[1:]}", {})
-        # such words need neither normalising nor the search for runs of letters
-        light = vocab | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *vocab["pre_tokenizer"]["pretokenizers"][1:]]}} if by_word else vocab
-        light = Tokenizer.from_str(json.dumps(light))
-        last = np.zeros(top + 1, bool)
-        last[[i for t, i in vocab["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
-
-        def learn(pieces: list[str]) -> None:
-            """Ids of pieces between blanks. Those of letters and maybe a stop share their lower-case word's ids."""
-            cut = {p: (p[:-1], p[-1]) if p[-1] in STOPS else (p, "") for p in pieces}
-            plain = {p: (c.lower(), s) for p, (c, s) in cut.items() if c.lower().isalpha() and max(c) < "\u0250" and is_normalized("NFC", c)}
-            if len(words) > WORDS:
-                words.clear()
-            new = sorted({c for c, _ in plain.values()} - words.keys())
-            ids = [np.array(e.ids, kind) for e in light.encode_batch_fast([" ".join(new[i : i + 500]) for i in range(0, len(new), 500)], add_special_tokens=False)]
-            ids = np.concatenate(ids) if ids else np.zeros(0, kind)
-            ends = np.flatnonzero(last[ids]) + 1  # each word is one run of letters, whose last id ends it
-            for w, i, j in zip(new, [0, *ends.tolist()][: len(ends)], ends.tolist(), strict=True):
-                words[w] = ids[i:j].tobytes()
-            odd = [p for p in pieces if p not in plain]
-            known.update(zip(odd, each(odd), strict=True))
-            known.update((p, words[c] + stops[s]) for p, (c, s) in plain.items())
-
-        stops = {"": b""} | (dict(zip(STOPS, each(list(STOPS)), strict=True)) if by_word else {})
-        for batch in chunks(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        seq, pid = 0, TaskContext.get().partitionId()
+        tokenizer = Ids(tokenizer_json, kind) if by_word else Tokenizer.from_str(tokenizer_json)
+        for batch in chunks(batches, CHUNK):
             if by_word:
-                texts = [t.replace("\n", " ").split(" ") for t in texts]
-                new = set().union(*texts).difference(known)
-                if len(known) + len(new) > CACHE:
-                    known = {"": b""}
-                    new = set().union(*texts) - {""}
-                learn(list(new))
-                ids = [b"".join(map(known.__getitem__, pieces)) + end for pieces in texts]
+                ids, starts = tokenizer.of_texts(batch.column(1), end_id)
             else:
-                ids = [x + end for x in each(texts)]
-            width = np.dtype(kind).itemsize
+                found = tokenizer.encode_batch_fast(pc.fill_null(batch.column(1), "").to_pylist(), add_special_tokens=False)
+                every = [np.array([*e.ids, end_id], kind) for e in found]
+                ids, starts = np.concatenate([np.zeros(0, kind), *every]), np.concatenate([[0], np.cumsum([len(x) for x in every])]).astype(np.int64)
+            n = batch.num_rows
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(starts * width), pa.py_buffer(ids)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(ids), pid, np.int32)), pa.array(np.arange(seq, seq + len(ids))), batch.column(0).cast(pa.int64()),
-                    pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()),
-                ],
+                [pa.array(np.full(n, pid, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column(0).cast(pa.int64()), pa.array(np.diff(starts)), data],
                 ["pid", "seq", "doc_id", "n", "ids"],
-            )
-            seq += len(ids)
+            )
+            seq += n
 
     keys = [F.col(c).asc_nulls_first() for c in order]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[c for c in order if c not in (id_col, text_col)])
