@@ -29,8 +29,10 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is set."""
+    """The folder that driver and executors share; where none is set, a temporary one, on a local master alone."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", where)
@@ -139,3 +141,4 @@ def chunks(batches, size: int = 8_000_000):
         step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task should hold little

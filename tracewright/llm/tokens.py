@@ -28,11 +28,11 @@ LOW = 1 << 31
 MAGIC = b"TWR1"
 HEAD = "<4sIIIII"  # mark, ids, segments, words, checksum of the table, checksum of the rest
 #: Distinct words whose ids a worker keeps at hand.
-WORDS = 500_000
+WORDS = 300_000
 #: A run of letters whose lower-case forms are one character each and which no normal form changes, and
 #: the ASCII signs that make one run of their own after it (an apostrophe may begin an ending).
 LETTERS, SIGNS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}", r"!-&(-/:-@\[-`{-~"
-CHUNK = 4_000_000  # bytes of text cut into pieces at a time
+CHUNK = 2_000_000  # bytes of text cut into pieces at a time
 
 
 class Ids:
