@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+import re
 
 import pytest
 
@@ -109,3 +110,30 @@ def test_session(spark, tmp_path):
     assert s.time_perspective(buckets=4)["performance"].first()["sample_count"] == 1
     found = s.state_detection("Cart", size=2, width=2, height=2, epochs=10)
     assert found.points.count() == 5 and s.apply_state_detection("Cart", size=2, width=2, height=2, epochs=10)["assigned_events"] == 5
+
+
+@pytest.mark.parametrize("kind", ["json", "xml"])
+def test_documents_of_several_files_go_on_in_the_order_of_their_paths(spark, tmp_path, kind):
+    one, two, three = doc(), doc(), doc()
+    for k, d in (("2", two), ("3", three)):
+        for rows in (d["objects"], d["events"]):
+            for r in rows:
+                r["id"] = r["id"] + k
+                for x in r.get("relationships", []):
+                    x["objectId"] = x["objectId"] + k
+        d["objectTypes"], d["eventTypes"] = [], []
+    for name, d in (("b", two), ("a", one), ("c", three)):
+        text = json.dumps(d)
+        if kind == "xml":
+            whole = d | {"objectTypes": one["objectTypes"], "eventTypes": one["eventTypes"]}
+            text = export.export_xml(documents.read_text(spark, json.dumps(whole)))
+            text = text if d is one else re.sub(r"<(object|event)-types>.*?</\1-types>", "", text, flags=re.S)
+        (tmp_path / f"{name}.{kind}").write_text(text)
+    log = documents.read_log(spark, f"file://{tmp_path}", kind)
+    n = len(one["events"])
+    seqs = {r["event_id"]: r["event_seq"] for r in log.events.collect()}
+    assert sorted(seqs.values()) == list(range(3 * n))
+    first = [e["id"] for e in one["events"]]
+    assert [seqs[i] for i in first] == list(range(n)) and [seqs[f"{i}3"] for i in first] == list(range(2 * n, 3 * n))
+    assert summary.object_lifecycle(log, "k12") == [f"{i}2" for i in ["a", "b", "c", "c", "e"]]
+    assert summary.object_lifecycle(log, "k1") == ["a", "b", "c", "c", "e"]

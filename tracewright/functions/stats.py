@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import plain_number
+
 #: The words that mark a recovered state, wherever they stand in its name.
 RECOVERED = "(?i)(normal|available|standard)"
 EPSILON = 2.220446049250313e-16
 
 
-def upper_median(c: str | Column) -> Column:
+def upper_median(c: str) -> Column:
     """The value at place n // 2 (from 0) of the sorted ones: the larger of the two middle ones."""
-    values = F.array_sort(F.collect_list(c))
-    return F.get(values, (F.size(values) / 2).cast("int"))
+    # counted by value in each partition, so that no group is gathered
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
 
 
 def duration_stats(c: str) -> list[Column]:
@@ -25,10 +27,9 @@ def duration_stats(c: str) -> list[Column]:
 
 
 def value_label(prefix: str = "") -> Column:
-    """An attribute's value as text: strings as they are, times in ms, whole floats without decimals."""
+    """An attribute's value as text: strings as they are, times in ms, floats in plain decimals, whole ones without."""
     c = lambda n: F.col(prefix + n)
-    whole = F.when(c("v_float") == F.floor(c("v_float")), c("v_float").cast("decimal(38,0)").cast("string")).otherwise(c("v_float").cast("string"))
-    return F.coalesce(c("v_string"), c("v_int").cast("string"), whole, c("v_bool").cast("string"), c("v_time_ms").cast("string"))
+    return F.coalesce(c("v_string"), c("v_int").cast("string"), plain_number(c("v_float")), c("v_bool").cast("string"), c("v_time_ms").cast("string"))
 
 
 def numeric_value(prefix: str = "") -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import EPSILON, numeric_value, value_label
+from ..functions.stats import EPSILON, format_number, numeric_value, value_label
 from ..model import EventLog, lifecycle
 from .features import CATEGORIES, feature_columns, object_features
 
@@ -33,8 +33,10 @@ class Detection:
     height: int
     weights: list[tuple[float, float]]
     ratios: tuple[float, float]
+    variances: tuple[float, float]
+    log: EventLog
     windows: DataFrame
-    points: DataFrame  # object_id, start, pc1, pc2, x, y
+    points: DataFrame  # object_id, object_seq, start, pc1, pc2, x, y
     events: DataFrame  # object_id, start, pos, event_seq, event_id, event_type, time_ms
 
 
@@ -186,20 +188,62 @@ def detect(log: EventLog, object_type: str, size: int = 4, width: int | None = N
         weights = train_map(local, width, height, min(max(epochs, 10), 500)) if len(local) else np.zeros((width * height, 2))
     away = [F.struct(((F.col("pc1") - float(a)) * (F.col("pc1") - float(a)) + (F.col("pc2") - float(b)) * (F.col("pc2") - float(b))).alias("d"), F.lit(i).alias("i")) for i, (a, b) in enumerate(weights)]
     best = F.least(*away)["i"]
-    points = points.select("object_id", "start", "pc1", "pc2", (best % width).alias("x"), F.floor(best / width).cast("int").alias("y"))
-    return Detection(object_type, columns, width, height, [tuple(map(float, w)) for w in weights], (l1 / trace, l2 / trace), spans, points, window_events(log, object_type, size))
+    points = points.select("object_id", "object_seq", "start", "pc1", "pc2", (best % width).alias("x"), F.floor(best / width).cast("int").alias("y"))
+    return Detection(object_type, columns, width, height, [tuple(map(float, w)) for w in weights], (l1 / trace, l2 / trace), (l1, l2), log, spans, points, window_events(log, object_type, size))
 
 
-def cells(found: Detection) -> DataFrame:
-    """Every cell of the map: x, y, label, count, avg_pc1, avg_pc2 (its weights, if empty), dominant_activity."""
+def attribute_at_windows(found: Detection, name: str) -> DataFrame:
+    """object_id, start, number and label of an attribute as of each window's last event; windows without a value are left out."""
+    value = F.struct(numeric_value().alias("number"), value_label().alias("label"))
+    left = found.windows.select("object_id", F.col("end_ms").alias("time_ms"), F.lit(1).alias("probe"), F.lit(None).cast("long").alias("attr_seq"), "start")
+    right = found.log.object_attrs.filter(F.col("name") == name).select("object_id", "time_ms", F.lit(0).alias("probe"), "attr_seq", value.alias("v"))
+    order = Window.partitionBy("object_id").orderBy("time_ms", "probe", "attr_seq", "start").rowsBetween(Window.unboundedPreceding, 0)
+    rows = left.unionByName(right, allowMissingColumns=True).withColumn("v", F.last("v", ignorenulls=True).over(order))
+    return rows.filter("probe = 1 AND v.label IS NOT NULL").select("object_id", "start", "v.*")
+
+
+def _top(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """Of each key the row with the largest n, the first by ``what`` among equals."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), what)
+    return rows.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+
+
+def cells(found: Detection, colour: str | None = None) -> DataFrame:
+    """Every cell of the map: x, y, label, count, avg_pc1, avg_pc2 (its weights, if empty), dominant_activity and colour.
+
+    ``colour`` is an id of ``colour_options``; another one, or none, colours by the number of windows. color_value is
+    from 0 to 1: the count's share of the largest, a numeric attribute's mean between the least and largest cell's, or
+    the number of windows of the cell's commonest category as a share of the largest such number.
+    """
     spark = found.points.sparkSession
     grid = spark.createDataFrame([(i % found.width, i // found.width, a, b) for i, (a, b) in enumerate(found.weights)], "x int, y int, w1 double, w2 double")
     sums = found.points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"), F.avg("pc1").alias("m1"), F.avg("pc2").alias("m2"))
     own = found.events.groupBy("object_id", "start", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    top = lambda df, keys, what: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), what))).filter("r = 1").drop("r", "n")
-    activity = top(own, ["object_id", "start"], "event_type").join(found.points, ["object_id", "start"]).groupBy("x", "y", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    out = grid.join(sums, ["x", "y"], "left").join(top(activity, ["x", "y"], "event_type"), ["x", "y"], "left")
-    return out.select("x", "y", F.concat(F.lit("S"), F.col("x") + 1, F.lit("-"), F.col("y") + 1).alias("label"), F.coalesce("count", F.lit(0).cast("long")).alias("count"), F.coalesce("m1", "w1").alias("avg_pc1"), F.coalesce("m2", "w2").alias("avg_pc2"), F.col("event_type").alias("dominant_activity"))
+    place = found.points.select("object_id", "start", "x", "y")
+    activity = _top(own, ["object_id", "start"], "event_type").drop("n").join(place, ["object_id", "start"]).groupBy("x", "y", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    out = grid.join(sums, ["x", "y"], "left").join(_top(activity, ["x", "y"], "event_type").drop("n"), ["x", "y"], "left")
+    out = out.withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+    kinds = {r["id"]: (r["label"], r["kind"]) for r in colour_options(found.log, found.object_type).collect()} if colour else {}
+    name, kind = kinds.get(colour, (None, "count"))
+    whole = Window.partitionBy(F.lit(1))  # of a map's cells, 144 at most
+    if kind == "count":
+        value, label = F.col("count") / F.greatest(F.max("count").over(whole), F.lit(1)), F.concat(F.col("count").cast("string"), F.lit(" windows"))
+    elif kind == "numeric":
+        mean = attribute_at_windows(found, name).join(place, ["object_id", "start"]).groupBy("x", "y").agg(F.avg("number").alias("mean"))
+        out = out.join(mean, ["x", "y"], "left")
+        span = F.max("mean").over(whole) - F.min("mean").over(whole)
+        value = F.when(F.col("mean").isNull(), 0.0).when(span <= EPSILON, 1.0).otherwise((F.col("mean") - F.min("mean").over(whole)) / span)
+        label = F.concat(F.lit(f"avg {name}: "), F.coalesce(format_number(F.col("mean")), F.lit("n/a")))
+    else:
+        per = attribute_at_windows(found, name).join(place, ["object_id", "start"]).groupBy("x", "y", F.col("label").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+        out = out.join(_top(per, ["x", "y"], "category"), ["x", "y"], "left")
+        value = F.coalesce(F.col("n") / F.greatest(F.max("n").over(whole), F.lit(1)), F.lit(0.0))
+        label = F.concat(F.lit(f"{name}: "), F.coalesce(F.concat("category", F.lit(" ("), F.col("n").cast("string"), F.lit(")")), F.lit("n/a")))
+    return out.select(
+        "x", "y", F.concat(F.lit("S"), F.col("x") + 1, F.lit("-"), F.col("y") + 1).alias("label"), "count", F.coalesce("m1", "w1").alias("avg_pc1"),
+        F.coalesce("m2", "w2").alias("avg_pc2"), F.col("event_type").alias("dominant_activity"),
+        F.round(value, 6).alias("color_value"), label.alias("color_label"), F.lit(kind).alias("color_kind"),
+    )
 
 
 def _moves(found: Detection) -> DataFrame:
@@ -224,29 +268,55 @@ def boundary_windows(found: Detection, x: int, y: int) -> DataFrame:
     return entering.unionByName(leaving)
 
 
-def cell_graph(found: Detection, x: int, y: int):
-    """The directly-follows graph of a cell's windows, START and END around each."""
+def _graph(found: Detection, own: DataFrame):
     from .graphs import directly_follows
 
-    own = found.points.filter((F.col("x") == x) & (F.col("y") == y)).select("object_id", "start")
-    rows = found.events.join(own, ["object_id", "start"])
+    rows = found.events.join(own.select("object_id", "start").distinct(), ["object_id", "start"])
     rows = rows.select(F.concat_ws("@", "object_id", "start").alias("object_id"), F.lit(found.object_type).alias("object_type"), "event_type", (F.col("pos") - F.col("start")).alias("pos"))
     return directly_follows(rows)
 
 
+def cell_graph(found: Detection, x: int, y: int):
+    """The directly-follows graph of a cell's windows, START and END around each."""
+    return _graph(found, found.points.filter((F.col("x") == x) & (F.col("y") == y)))
+
+
+def boundary_graph(found: Detection, x: int, y: int, direction: str):
+    """The directly-follows graph of the windows ``entering`` or ``exiting`` a cell."""
+    return _graph(found, boundary_windows(found, x, y).filter(F.col("direction") == direction))
+
+
+def boundary_details(found: Detection, x: int, y: int) -> DataFrame:
+    """``boundary_windows`` with the events of each: start_event, end_event and ``activities`` in order."""
+    events = found.events.groupBy("object_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "event_id", "event_type"))).alias("e"))  # a window has 30 events at most
+    rows = boundary_windows(found, x, y).join(events, ["object_id", "start"])
+    return rows.select("direction", "object_id", "start", "other_x", "other_y", F.col("e")[0]["event_id"].alias("start_event"), F.element_at("e", -1)["event_id"].alias("end_event"), F.col("e.event_type").alias("activities"))
+
+
 def colour_options(log: EventLog, object_type: str) -> DataFrame:
-    """Attributes to colour cells by: all-numeric ones, and those of few categories."""
+    """id, label and kind of what cells can be coloured by: the number of windows, attributes of numbers alone, and
+    those with some but fewer than CATEGORIES values that are no numbers."""
     rows = log.object_attrs.join(log.objects.filter(F.col("object_type") == object_type).select("object_id"), "object_id", "left_semi")
     kinds = rows.groupBy("name").agg(F.count(numeric_value()).alias("numeric"), F.countDistinct(F.when(numeric_value().isNull(), value_label())).alias("categories"))
-    kind = F.when(F.col("categories") == 0, "numeric").when((F.col("numeric") == 0) & (F.col("categories") < CATEGORIES), "categorical")
-    return kinds.withColumn("kind", kind).filter("kind IS NOT NULL").select("name", "kind")
+    kind = F.when((F.col("categories") == 0) & (F.col("numeric") > 0), "numeric").when((F.col("categories") > 0) & (F.col("categories") < CATEGORIES), "categorical")
+    first = log.objects.sparkSession.createDataFrame([("__window_count", "Assigned windows", "count")], "id string, label string, kind string")
+    found = kinds.withColumn("kind", kind).filter("kind IS NOT NULL").select(F.concat(F.lit("attribute::"), F.col("name")).alias("id"), F.col("name").alias("label"), "kind")
+    return first.unionByName(found)
+
+
+def projected_windows(found: Detection, limit: int = 500) -> DataFrame:
+    """The first windows, by object and start: object_id, start_event, end_event, pc1, pc2 and their cell."""
+    some = found.points.orderBy("object_seq", "start").limit(limit)
+    ends = found.events.groupBy("object_id", "start").agg(F.min_by("event_id", "pos").alias("start_event"), F.max_by("event_id", "pos").alias("end_event"))
+    six = lambda c: (F.round(c, 6) + F.lit(0.0)).alias(c)  # noqa: E731  no negative zeros
+    return some.join(ends, ["object_id", "start"]).select("object_id", "start_event", "end_event", six("pc1"), six("pc2"), F.col("x").alias("cell_x"), F.col("y").alias("cell_y"))
 
 
 def event_labels(found: Detection) -> DataFrame:
-    """event_id, event_seq and value: the cell of most of an event's windows (ties: the later window, the smaller cell)."""
-    index = F.row_number().over(Window.partitionBy("object_id").orderBy("start"))
-    rows = found.events.select("event_id", "event_seq", "object_id", "start").join(found.points.withColumn("w", index), ["object_id", "start"])
-    votes = rows.groupBy("event_id", "event_seq", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("last"))
-    order = Window.partitionBy("event_seq").orderBy(F.desc("n"), F.desc("last"), "x", "y")
+    """event_id, event_seq and value: the cell of most of an event's windows; of ties that of the last window, over all
+    objects in their order."""
+    rows = found.events.select("event_id", "event_seq", "object_id", "start").join(found.points, ["object_id", "start"])
+    votes = rows.groupBy("event_id", "event_seq", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("object_seq", "start")).alias("last"))
+    order = Window.partitionBy("event_seq").orderBy(F.desc("n"), F.desc("last"))
     best = votes.withColumn("r", F.row_number().over(order)).filter("r = 1")
     return best.select("event_id", "event_seq", F.concat(F.lit("S"), F.col("x") + 1, F.lit("-"), F.col("y") + 1).alias("value"))

@@ -106,13 +106,15 @@ def most_frequent_transition(log: EventLog, object_type: str) -> tuple[str, str]
 def performance_samples(log: EventLog, object_type: str, from_state: str, to_state: str, roundtrip: bool = False) -> DataFrame:
     """For each event in from_state, the first later one in to_state, and for round trips the first one back.
 
-    Two window passes over each lifecycle; no pairs of events are formed.
+    Two running windows over each lifecycle, last row first, so that each row's frame goes on from the one before.
     """
     rows = stateful_lifecycle(log, object_type).select("object_id", "pos", "time_ms", STATE)
-    later = Window.partitionBy("object_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    spot = lambda s: F.when(F.col(STATE) == s, F.struct("pos", "time_ms", "back"))
-    back = F.min(F.when(F.col(STATE) == from_state, F.struct("pos", "time_ms"))).over(later)
-    rows = rows.withColumn("back", back).withColumn("mid", F.min(spot(to_state)).over(later)).filter((F.col(STATE) == from_state) & F.col("mid").isNotNull())
+    later = Window.partitionBy("object_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    spot = lambda s, *c: F.when(F.col(STATE) == s, F.struct("pos", "time_ms", *c))
+    rows = rows.withColumn("own_from", spot(from_state)).withColumn("upto", F.last("own_from", ignorenulls=True).over(later))
+    order = Window.partitionBy("object_id").orderBy(F.desc("pos"))
+    rows = rows.withColumn("back", F.lag("upto").over(order)).withColumn("own_to", spot(to_state, "back"))
+    rows = rows.withColumn("upto", F.last("own_to", ignorenulls=True).over(later)).withColumn("mid", F.lag("upto").over(order)).filter((F.col(STATE) == from_state) & F.col("mid").isNotNull())
     end = F.col("mid.back.time_ms") if roundtrip else F.lit(None).cast("long")
     rows = rows.select("object_id", F.col("time_ms").alias("start_time_ms"), F.col("mid.time_ms").alias("middle_time_ms"), end.alias("end_time_ms"))
     if roundtrip:

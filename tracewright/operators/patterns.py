@@ -19,7 +19,7 @@ def instances(log: EventLog, family: str | None = None) -> DataFrame:
     """
     rows = _islands(stateful_lifecycle(log, log.leading_object_type))
     if rows.isEmpty():
-        raise LogError("event state attribute is empty; apply a state query first")
+        raise LogError("no event has a state yet; apply a state query or a detection")
     label = F.concat("event_type", F.lit(" ["), STATE, F.lit("]"))
     types = log.objects.select(F.col("object_id").alias("other"), F.col("object_type").alias("related"))
     related = log.e2o.select("event_seq", F.col("object_id").alias("other")).join(types, "other")

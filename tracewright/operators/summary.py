@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import LOWER, UPPER, ascii_lower
 from ..functions.stats import numeric_value, value_label
 from ..model import STATE, EventLog, LogError, lifecycle
 
@@ -55,7 +56,7 @@ def time_histogram(log: EventLog, buckets: int = 32) -> DataFrame:
 def object_search(log: EventLog, text: str = "", object_type: str | None = None, limit: int = 30) -> DataFrame:
     """object_id, object_type, event_count of the first objects whose id holds ``text``; an unknown type is ignored."""
     limit = min(max(limit, 1), 200)
-    rows = log.objects.filter(F.lower("object_id").contains(text.lower()))
+    rows = log.objects.filter(ascii_lower("object_id").contains(text.translate(str.maketrans(UPPER, LOWER))))
     if object_type is not None and object_type in log.object_type_names():
         rows = rows.filter(F.col("object_type") == object_type)
     rows = rows.orderBy("object_seq").limit(limit)
@@ -91,5 +92,5 @@ def related_objects(log: EventLog, object_id: str) -> DataFrame:
 def stock_points(log: EventLog, object_id: str) -> DataFrame:
     """event_id, time_ms, name, value of numeric event attributes whose name holds ``stock``."""
     rows = lifecycle(_one(log, object_id))
-    attrs = log.event_attrs.filter(F.lower("name").contains("stock") & F.col("attr_type").isin("integer", "float"))
+    attrs = log.event_attrs.filter(ascii_lower("name").contains("stock") & F.col("attr_type").isin("integer", "float"))
     return rows.join(attrs.select("event_seq", "name", numeric_value().alias("value")), "event_seq").filter("value IS NOT NULL").select("event_id", "time_ms", "name", "value")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import EPSILON
+from ..functions.text import LOWER, UPPER, ascii_lower, plain_number
 from ..model import EventLog, LogError
 
 
@@ -29,7 +30,8 @@ TOKEN = re.compile(
     re.X,
 )
 #: What a string must look like to count as a number.
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?)$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+MOST = (1 << 63) - 1
 DEFAULT = "STATE state FOR LEADING OBJECT TYPE '{}' AS CASE WHEN event.type IS NOT NULL THEN 'Active' ELSE 'Other' END"
 
 
@@ -185,7 +187,7 @@ class Parser:
             return Literal(float(value))
         if kind == "ident":
             if value.lower() in ("event", "object") and self.op("."):
-                return Field(value.lower(), self.name(strings=True).lower())
+                return Field(value.lower(), self.name(strings=True).translate(ASCII))
             return Literal({"TRUE": True, "FALSE": False}.get(value.upper(), value))
         raise StateQueryError(f"expected a value, found '{value or 'end of query'}'")
 
@@ -203,7 +205,9 @@ def fields(node) -> set[Field]:
 
 
 def _number_text(n: Column) -> Column:
-    return F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.cast("decimal(38,0)").cast("string")).otherwise(n.cast("string"))
+    """Whole numbers as 64-bit integers, the largest and smallest beyond those; others in plain decimals."""
+    whole = F.when(n >= 2.0**63, MOST).when(n <= -(2.0**63), -MOST - 1).otherwise(F.when(F.abs(n) < 2.0**63, n).cast("long")).cast("string")
+    return F.when((n == F.rint(n)) & (F.abs(n) < float("inf")), whole).otherwise(plain_number(n))
 
 
 def typed(s: Column | None = None, n: Column | None = None, b: Column | None = None) -> Column:
@@ -215,10 +219,13 @@ def typed(s: Column | None = None, n: Column | None = None, b: Column | None = N
     return F.struct(b.alias("b"), F.coalesce(n, read).alias("n"), F.coalesce(s, _number_text(n), b.cast("string")).alias("s"))
 
 
+ASCII = str.maketrans(UPPER, LOWER)
+
+
 def like_pattern(pattern: str) -> str:
     """% is any run; segments are found leftmost, without going back, and case (of ASCII) doesn't count."""
     quote = lambda s: "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E" if s else ""
-    parts = pattern.lower().split("%")
+    parts = pattern.translate(ASCII).split("%")
     if len(parts) == 1:
         return f"(?s)^{quote(parts[0])}\\z"
     body = quote(parts[0]) + "".join(f"(?>.*?{quote(p)})" for p in parts[1:] if p)
@@ -229,13 +236,13 @@ def _like(value: Column, pattern, compiled: Column) -> Column:
     if isinstance(pattern, Literal):
         p = pattern.value
         text = ("true" if p else "false") if isinstance(p, bool) else (str(int(p)) if isinstance(p, float) and p == int(p) else str(p))
-        return F.lower(value["s"]).rlike(like_pattern(text))
+        return ascii_lower(value["s"]).rlike(like_pattern(text))
     quote = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    p = F.lower(compiled["s"])
+    p = ascii_lower(compiled["s"])
     parts = F.split(p, "%")
     rest = F.transform(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda x: x != ""), lambda x: F.concat(F.lit("(?>.*?"), quote(x), F.lit(")")))
     whole = F.concat(F.lit("(?s)^"), quote(F.get(parts, F.lit(0))), F.array_join(rest, ""), F.when(p.endswith("%"), "").otherwise("\\z"))
-    return F.regexp_like(F.lower(value["s"]), whole)
+    return F.regexp_like(ascii_lower(value["s"]), whole)
 
 
 class Compiler:
@@ -269,10 +276,12 @@ class Compiler:
             return F.coalesce(_like(left, node.right, right), F.lit(False))
         numbers, flags = left["n"].isNotNull() & right["n"].isNotNull(), left["b"].isNotNull() & right["b"].isNotNull()
         if node.op in ("=", "!="):
-            same = F.when(flags, left["b"] == right["b"]).when(numbers, F.abs(left["n"] - right["n"]) < EPSILON).otherwise(left["s"] == right["s"])
+            apart = F.nanvl(F.abs(left["n"] - right["n"]), F.lit(1.0))  # what isn't a number equals nothing
+            same = F.when(flags, left["b"] == right["b"]).when(numbers, apart < EPSILON).otherwise(left["s"] == right["s"])
             return F.coalesce(same if node.op == "=" else ~same, F.lit(False))
         test = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[node.op]
-        return F.coalesce(F.when(numbers, test(left["n"], right["n"])).otherwise(test(left["s"], right["s"])), F.lit(False))
+        ordered = ~(F.isnan(left["n"]) | F.isnan(right["n"]))
+        return F.coalesce(F.when(numbers, ordered & test(left["n"], right["n"])).otherwise(test(left["s"], right["s"])), F.lit(False))
 
 
 def _attribute() -> Column:
@@ -286,7 +295,7 @@ def as_of(probes: DataFrame, changes: DataFrame, names: list[str]) -> DataFrame:
     Probes and changes are put in one order of time for each object, so no change is paired with a probe.
     """
     more = [c for c in probes.columns if c not in ("object_id", "time_ms")]
-    changes = changes.withColumn("name", F.lower("name")).filter(F.col("name").isin(names))
+    changes = changes.withColumn("name", ascii_lower("name")).filter(F.col("name").isin(names))
     left = probes.select("object_id", "time_ms", F.lit(1).alias("_probe"), F.lit(None).cast("long").alias("attr_seq"), F.struct(*more).alias("_row"))
     values = [F.when(F.col("name") == n, _attribute()).alias(f"_v{i}") for i, n in enumerate(names)]
     right = changes.select("object_id", "time_ms", F.lit(0).alias("_probe"), "attr_seq", *values)
@@ -309,7 +318,7 @@ def assignments(log: EventLog, query: StateQuery) -> DataFrame:
     if object_names:
         rows = as_of(rows, log.object_attrs, object_names)
     if event_names:
-        attrs = log.event_attrs.withColumn("name", F.lower("name")).filter(F.col("name").isin(event_names))
+        attrs = log.event_attrs.withColumn("name", ascii_lower("name")).filter(F.col("name").isin(event_names))
         last = [F.max_by(F.when(F.col("name") == n, _attribute()), F.when(F.col("name") == n, F.col("attr_seq"))).alias(f"event.{n}") for n in event_names]
         rows = rows.join(attrs.groupBy("event_seq").agg(*last), "event_seq", "left")
         rows = rows.select(*[c for c in rows.columns if "." not in c], *[F.col(f"`{c}`") for c in rows.columns if c.startswith("object.")], *[F.coalesce(F.col(f"`event.{n}`"), typed()).alias(f"event.{n}") for n in event_names])

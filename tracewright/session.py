@@ -36,7 +36,7 @@ class LogSession:
 
     def _stateful(self) -> EventLog:
         if event_states(self.active).isEmpty():
-            raise LogError("event state attribute is empty; apply a state query first")
+            raise LogError("no event has a state yet; apply a state query or a detection")
         return self.active
 
     def summary(self) -> DataFrame:
@@ -95,10 +95,26 @@ class LogSession:
     def state_detection(self, object_type: str, **how) -> detection.Detection:
         return detection.detect(self.active, object_type, **how)
 
-    def state_detection_cell(self, found: detection.Detection, x: int, y: int) -> dict:
+    def state_detection_result(self, found: detection.Detection, colour: str | None = None) -> dict:
+        """What a detection found: figures, the map's cells and moves, and the first rows and windows."""
+        table = features.feature_table(found.log, found.object_type)
+        return {
+            "object_type": found.object_type, "som_width": found.width, "som_height": found.height, "colors": detection.colour_options(found.log, found.object_type),
+            "object_count": found.windows.select("object_id").distinct().count(), "window_count": found.points.count(), "feature_columns": found.columns, "feature_count": len(found.columns),
+            "pca": {"pc1_variance": found.variances[0], "pc2_variance": found.variances[1], "pc1_explained_ratio": found.ratios[0], "pc2_explained_ratio": found.ratios[1]},
+            "table_preview": features.preview(table), "cells": detection.cells(found, colour), "transitions": detection.transitions(found), "windows": detection.projected_windows(found),
+        }
+
+    def state_detection_cell(self, found: detection.Detection, x: int, y: int, colour: str | None = None) -> dict:
         if not (0 <= x < found.width and 0 <= y < found.height):
             raise LogError(f"no cell {x}, {y}")
-        return {"cell": detection.cells(found).filter(f"x = {x} AND y = {y}"), "graph": detection.cell_graph(found, x, y), "boundary": detection.boundary_windows(found, x, y)}
+        around = detection.boundary_details(found, x, y)
+        counts = {r["direction"]: r["count"] for r in around.groupBy("direction").count().collect()}
+        return {
+            "cell": detection.cells(found, colour).filter(f"x = {x} AND y = {y}"), "graph": detection.cell_graph(found, x, y), "boundary": around,
+            "entering_graph": detection.boundary_graph(found, x, y, "entering"), "exiting_graph": detection.boundary_graph(found, x, y, "exiting"),
+            "entering_count": counts.get("entering", 0), "exiting_count": counts.get("exiting", 0),
+        }
 
     def state_patterns(self) -> DataFrame:
         return patterns.explorer(self._stateful())

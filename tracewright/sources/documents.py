@@ -55,12 +55,19 @@ def _types(rows: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Row numbers in the order of a non-splittable scan."""
-    return df.withColumn("seq", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long") - 1)
+    """``seq``: rows numbered file by file, in the order of the files' paths; ``path`` and ``at``, a row's place in its file, go.
+
+    A file is read in one task, so numbers within it are the file's own; the files' counts (a row each) give where
+    each begins.
+    """
+    counts = df.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    first = counts.select(F.col("path").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # a row for each file
+    return df.join(F.broadcast(first), F.col("path") == F.col("p")).withColumn("seq", F.col("first") + F.col("at")).drop("p", "first", "path", "at")
 
 
 def _json_parts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(JSON_SCHEMA + ", _corrupt_record string").json(path)
+    raw = raw.withColumn("path", F.col("_metadata.file_path"))
     keys = ["objectTypes", "eventTypes", "objects", "events"]
     missing = raw.select(*[F.max(F.col(k).isNull()).alias(k) for k in keys], F.max("_corrupt_record").alias("bad")).first()
     if missing["bad"] is not None:
@@ -68,7 +75,7 @@ def _json_parts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     for k in keys:
         if missing[k]:
             raise LogError(f"missing key '{k}'")
-    part = lambda k: raw.select(F.posexplode(k).alias("seq", "x")).select(F.col("seq").cast("long"), "x.*")
+    part = lambda k: _numbered(raw.select("path", F.posexplode(k).alias("at", "x")).select("path", F.col("at").cast("long"), "x.*"))
     kind = lambda v: F.schema_of_variant(v)
 
     def attributes(df, timed):
@@ -88,7 +95,9 @@ def _json_parts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def _xml_parts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     relations = "array<struct<`_object-id`: string, _qualifier: string, _relationship: string>>"
-    read = lambda tag, schema: _numbered(spark.read.format("xml").option("rowTag", tag).option("valueTag", "_VALUE").option("ignoreSurroundingSpaces", False).schema(schema).load(path))
+    in_file = F.row_number().over(Window.partitionBy("path").orderBy("row")).cast("long") - 1  # rows come in the file's order
+    placed = lambda df: _numbered(df.withColumn("path", F.col("_metadata.file_path")).withColumn("row", F.monotonically_increasing_id()).withColumn("at", in_file).drop("row"))
+    read = lambda tag, schema: placed(spark.read.format("xml").option("rowTag", tag).option("valueTag", "_VALUE").option("ignoreSurroundingSpaces", False).schema(schema).load(path))
     listed = "struct<attribute: array<struct<_name: string, _type: string>>>"
     types = lambda tag: read(tag, f"_name string, attributes {listed}").select(
         F.col("_name").alias("type_name"), F.col("seq").alias("type_seq"), F.transform("attributes.attribute", lambda a: F.struct(a["_name"].alias("name"), a["_type"].alias("type"))).alias("attributes")
@@ -179,10 +188,23 @@ def read_log(spark: SparkSession, path: str, hint: str | None = None, validate:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where none is set, a temporary one, on a local master alone."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise LogError("set spark.checkpoint.dir to a folder that driver and executors share")
+    import tempfile
+
+    where = "file://" + tempfile.mkdtemp(prefix="tracewright-")
+    spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
 def read_text(spark: SparkSession, data: str | bytes, hint: str | None = None) -> EventLog:
     """A log from a document in memory, plain or gzipped."""
-    import os
-    import tempfile
+    import uuid
 
     raw = data.encode() if isinstance(data, str) else data
     if raw[:2] == b"\x1f\x8b":
@@ -192,8 +214,7 @@ def read_text(spark: SparkSession, data: str | bytes, hint: str | None = None) -
     except UnicodeDecodeError as e:
         raise LogError("the document isn't valid UTF-8") from e
     kind = detect_format(hint, raw)
-    folder = tempfile.mkdtemp(prefix="tracewright-")  # the driver's; large logs are read by path
-    path = os.path.join(folder, f"log.{kind}")
-    with open(path, "wb") as f:
-        f.write(raw)
-    return read_log(spark, f"file://{path}", kind)
+    # to where executors can read it, through Spark's own writer
+    path = f"{shared_folder(spark)}/tracewright-documents/{uuid.uuid4().hex}"
+    spark.createDataFrame([(raw.decode("utf-8"),)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
+    return read_log(spark, path, kind)

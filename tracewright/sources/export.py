@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_number
 from ..model import EventLog
 from .values import format_time
 
@@ -25,7 +26,7 @@ def _xml_text(attribute: bool, c: Column) -> Column:
 
 
 def _xml_value() -> Column:
-    plain = F.coalesce("v_string", F.col("v_int").cast("string"), F.col("v_float").cast("string"), F.col("v_bool").cast("int").cast("string"), format_time(F.col("v_time_ms")))
+    plain = F.coalesce("v_string", F.col("v_int").cast("string"), plain_number(F.col("v_float")), F.col("v_bool").cast("int").cast("string"), format_time(F.col("v_time_ms")))
     return _xml_text(False, plain)
 
 
