@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Prefix, join_small, materialise
+from .shared import BROADCAST_ROWS, Prefix, join_small, materialise
 
 PERIOD = 4096
 #: Sources whose schedule is worked out on the driver at most; more raise an error.
@@ -128,5 +128,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     order = place(docs, **how).groupBy("doc_id", "th").agg(F.min(F.struct("slot", "at")).alias("_order")).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
     th = F.xxhash64(F.coalesce(F.col(names["text_col"]), F.lit("")))
     rows = docs.select(F.struct("*").alias("row"), F.col(names["id_col"]).alias("i"), th.alias("h"))  # whole, so that no names clash
+    order = materialise(order, "order")
+    few = order.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then rows aren't shuffled for the join, only for the order
     same = rows["i"].eqNullSafe(F.col("_d")) & (rows["h"] == F.col("_t"))
-    return rows.join(materialise(order, "order"), same).orderBy("_order", "i", "h").select("row.*")
+    return rows.join(F.broadcast(order) if few else order, same).orderBy("_order", "i", "h").select("row.*")

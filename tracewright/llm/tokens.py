@@ -16,7 +16,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +27,7 @@ LOW = 1 << 31
 MAGIC = b"TWR1"
 HEAD = "<4sIIIII"  # mark, ids, segments, words, checksum of the table, checksum of the rest
 #: Distinct words whose ids a worker keeps at hand.
-WORDS = 300_000
+WORDS = 200_000
 #: A run of letters whose lower-case forms are one character each and which no normal form changes, and
 #: the ASCII signs that make one run of their own after it (an apostrophe may begin an ending).
 LETTERS, SIGNS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}", r"!-&(-/:-@\[-`{-~"
@@ -42,24 +41,30 @@ class Ids:
     signs after them, has the ids of the lower-case word and of the signs; all others go to the tokenizer as they are.
     """
 
-    def __init__(self, tokenizer_json: str, kind: str):
+    def __init__(self, tokenizer_json: str, kind: str, last: np.ndarray):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        vocab = json.loads(tokenizer_json)
-        # words of lower-case letters need neither normalising nor the search for runs of letters
-        steps = [{"type": "WhitespaceSplit"}, *vocab["pre_tokenizer"]["pretokenizers"][1:]]
-        light = vocab | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}
-        self.whole, self.light, self.kind = Tokenizer.from_str(tokenizer_json), Tokenizer.from_str(json.dumps(light)), kind
-        ids = vocab["model"]["vocab"]
-        self.last = np.zeros(max(ids.values()) + 1, bool)
-        self.last[[i for t, i in ids.items() if t.endswith(vocab["model"]["end_of_word_suffix"])]] = True
+        self.whole, self.kind, self.last = Tokenizer.from_str(tokenizer_json), kind, last
+        # words of lower-case letters need neither normalising nor the search for runs of letters; the model is shared
+        self.light = Tokenizer(self.whole.model)
+        self.light.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self._forget()
 
+    @staticmethod
+    def ends(vocab: dict) -> np.ndarray:
+        """Which ids end a word."""
+        ids = vocab["model"]["vocab"]
+        last = np.zeros(max(ids.values()) + 1, bool)
+        last[[i for t, i in ids.items() if t.endswith(vocab["model"]["end_of_word_suffix"])]] = True
+        return last
+
     @staticmethod
     def fits(vocab: dict) -> bool:
-        """Whether white space is dropped and ends of words are marked in the ids, so that no id spans two words."""
-        first = (vocab["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        return bool(vocab["model"].get("end_of_word_suffix")) and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"]
+        """Whether white space is dropped, what is left becomes bytes, and ids mark ends of words, so that none spans two."""
+        first, *rest = (vocab["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        bytewise = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+        return bool(vocab["model"].get("end_of_word_suffix")) and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and bytewise
 
     def _forget(self) -> None:
         """Start with the empty string alone, whose number is 0."""
@@ -217,13 +222,34 @@ def decode_block(data: bytes, tables: Tables, segments: tuple[int, int] | None =
     return out.transpose(1, 0, 2).reshape(-1)[: max(0, min(n, b * SEGMENT) - a * SEGMENT)]
 
 
-def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, order: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Ids of whole texts: pid, seq, doc_id, n, ids (little-endian), rows ranged and sorted by ``order``."""
+def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, pid and seq: rows ranged and sorted by id, then text, with their partition and place in it."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # rows that tie go by their texts' hash, so that one id in a third of all rows spreads
+    keys = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    return ranged.select("doc_id", "text", F.spark_partition_id().alias("pid"), at.alias("seq"))
+
+
+def placed_by_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``placed`` for rows whose order is that of the files which ``docs`` reads: by part number, name and row. No shuffle."""
+    name = F.col("_metadata.file_name")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), name.alias("name"), F.col("_metadata.row_index").alias("seq"))
+    number = F.regexp_extract("name", r"^part-(\d+)", 1).try_cast("long")  # as text, the names of many files don't go by their numbers
+    files = materialise(rows.select("name").distinct(), "files")  # a row for each file
+    files = files.select(F.col("name").alias("n"), (F.row_number().over(Window.orderBy(number, "name")) - 1).alias("pid"))
+    return rows.join(F.broadcast(files), F.col("name") == F.col("n")).select("doc_id", "text", "pid", "seq")
+
+
+def tokenise(rows: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
+    """Ids of whole texts of ``placed`` rows: pid, seq, doc_id, n, ids (little-endian)."""
     vocab = json.loads(tokenizer_json)
     top = max([end_id, *vocab["model"]["vocab"].values(), *(t["id"] for t in vocab["added_tokens"])])
     kind = "<u2" if top < 1 << 16 else "<u4"
     width = np.dtype(kind).itemsize
     by_word = Ids.fits(vocab)
+    last = Ids.ends(vocab) if by_word else None
 
     def run(batches):
         import os
@@ -231,8 +257,7 @@ def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, order: list[str]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        seq, pid = 0, TaskContext.get().partitionId()
-        tokenizer = Ids(tokenizer_json, kind) if by_word else Tokenizer.from_str(tokenizer_json)
+        tokenizer = Ids(tokenizer_json, kind, last) if by_word else Tokenizer.from_str(tokenizer_json)
         for batch in chunks(batches, CHUNK):
             if by_word:
                 ids, starts = tokenizer.of_texts(batch.column(1), end_id)
@@ -243,27 +268,22 @@ def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int, order: list[str]
             n = batch.num_rows
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(starts * width), pa.py_buffer(ids)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, pid, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column(0).cast(pa.int64()), pa.array(np.diff(starts)), data],
+                [batch.column(2), batch.column(3), batch.column(0).cast(pa.int64()), pa.array(np.diff(starts)), data],
                 ["pid", "seq", "doc_id", "n", "ids"],
             )
-            seq += n
 
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[c for c in order if c not in (id_col, text_col)])
-    keys = [F.col("doc_id").asc_nulls_first() if c == id_col else k for c, k in zip(order, keys, strict=True)]
-    # rows that tie go by their texts' hash, so that one id in a third of all rows spreads
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), *keys, F.xxhash64("text")).sortWithinPartitions(*keys, F.xxhash64("text"))
-    return ranged.select("doc_id", "text").mapInArrow(run, "pid int, seq long, doc_id long, n long, ids binary")
+    return rows.mapInArrow(run, "pid int, seq long, doc_id long, n long, ids binary")
 
 
-def write_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 2, order: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Tokenise all texts, in ascending order of ``order`` (the id, unless given), and write blocks under ``path``.
+def write_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 2, by_files: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Tokenise all texts, in ascending order of ids, or ``by_files`` as ``docs`` reads them, and write blocks under ``path``.
 
     Each text's ids are those that the tokenizer gives for the whole text, without special tokens, and ``end_id``.
     Null texts are empty. Null ids come first; rows with equal keys are all written, ordered by their texts. No
     rows: an empty table. Other columns are not read. A text is never cut; one larger than a block has its own.
     """
-    ids = materialise(tokenise(docs, tokenizer_json, end_id, order or [id_col], id_col, text_col), "ids")
+    rows = placed_by_files(docs, id_col, text_col) if by_files else placed(docs, id_col, text_col)
+    ids = materialise(tokenise(rows, tokenizer_json, end_id), "ids")
 
     def count(batches):
         total = np.zeros(0, np.int64)
