@@ -88,17 +88,13 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null texts are empty: an end alone. Rows that repeat an id, and equal rows, are all written. No rows: no rows.
     """
-    order = ["doc_id"]
-    rows = docs.select("doc_id", "text")
     try:
-        name = F.col("_metadata.file_name")
-        number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")  # as text, the names of many files don't go by their numbers
-        rows = docs.select("doc_id", "text", number.alias("number"), name.alias("name"), F.col("_metadata.row_index").alias("at"))
-        order = ["number", "name", "at"]
+        docs.select("_metadata.row_index")
+        by_files = True
     except AnalysisException:  # not straight from files
-        pass
+        by_files = False
     path = f"{shared_dir(spark)}/tracewright/{spark.sparkContext.applicationId}/corpus-{uuid.uuid4().hex}"
-    tokens.write_blocks(rows, path, Path(public_tokenizers.path("word_bpe_49k.json")).read_text(), 2, order)
+    tokens.write_blocks(docs, path, Path(public_tokenizers.path("word_bpe_49k.json")).read_text(), 2, by_files)
     return tokens.read_blocks(spark, path)
 
 
