@@ -134,6 +134,11 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return before[offsets], np.asarray(named.indices).astype(np.int64), named.dictionary
 
 
+def release() -> None:
+    """Give memory that isn't used back to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(batches, size: int = 8_000_000):
     """Record batches cut to at most about ``size`` bytes, so that memory follows the longest text, not the batch."""
     pa.set_memory_pool(pa.system_memory_pool())  # gives back what it doesn't need; two workers share an executor
@@ -141,4 +146,4 @@ def chunks(batches, size: int = 8_000_000):
         step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-        pa.default_memory_pool().release_unused()  # a worker that waits for its next task should hold little
+        release()

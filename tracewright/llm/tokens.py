@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, materialise, partitions
+from .shared import chunks, materialise, partitions, release
 
 SCALE, LANES, STEPS, BLOCK = 20, 32, 512, 1 << 18
 SEGMENT = LANES * STEPS
@@ -27,11 +27,11 @@ LOW = 1 << 31
 MAGIC = b"TWR1"
 HEAD = "<4sIIIII"  # mark, ids, segments, words, checksum of the table, checksum of the rest
 #: Distinct words whose ids a worker keeps at hand.
-WORDS = 200_000
+WORDS = 100_000
 #: A run of letters whose lower-case forms are one character each and which no normal form changes, and
 #: the ASCII signs that make one run of their own after it (an apostrophe may begin an ending).
 LETTERS, SIGNS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}", r"!-&(-/:-@\[-`{-~"
-CHUNK = 2_000_000  # bytes of text cut into pieces at a time
+CHUNK = 1_500_000  # bytes of text cut into pieces at a time
 
 
 class Ids:
@@ -271,6 +271,8 @@ def tokenise(rows: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
                 [batch.column(2), batch.column(3), batch.column(0).cast(pa.int64()), pa.array(np.diff(starts)), data],
                 ["pid", "seq", "doc_id", "n", "ids"],
             )
+        tokenizer = ids = starts = data = None
+        release()
 
     return rows.mapInArrow(run, "pid int, seq long, doc_id long, n long, ids binary")
 
