@@ -47,8 +47,7 @@ def _six(df: DataFrame, *names: str) -> DataFrame:
 
 def _seq(df: DataFrame) -> DataFrame:
     """Sequences and edge sets as text."""
-    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(">", x["source"], x["target"])), "|")
-    return df.select("leading_object_type", "state", "to_state", F.array_join("sequence", "|").alias("sequence"), flat("eo").alias("eo"), flat("oo").alias("oo"), "support", "mass")
+    return df.select("id", "label", "leading_object_type", "state", "to_state", F.array_join("sequence", "|").alias("sequence"), patterns.edge_text("eo").alias("eo"), patterns.edge_text("oo").alias("oo"), "support", "mass")
 
 
 NODES = [
@@ -268,13 +267,15 @@ s AS (SELECT a.object_id, a.pos, a.t, min(b.pos) AS m FROM u a JOIN u b ON a.obj
 e AS (SELECT s.*, min(c.pos) AS f FROM s JOIN u c ON c.object_id = s.object_id AND c.pos > m AND c.state = 'Failed' GROUP BY ALL)
 SELECT e.object_id, e.t AS start_time_ms, x.t AS middle_time_ms, y.t AS end_time_ms, y.t - e.t AS duration_ms FROM e JOIN u x ON x.object_id = e.object_id AND x.pos = m JOIN u y ON y.object_id = e.object_id AND y.pos = f WHERE y.t >= e.t""",
     "dominant_state": f"WITH {STATED} SELECT object_id, state FROM (SELECT object_id, state, row_number() OVER (PARTITION BY object_id ORDER BY count(*) DESC, max(pos) DESC, state) AS r FROM slife WHERE object_type = 'user' GROUP BY object_id, state) WHERE r = 1",
-    "patterns_intra": f"""WITH {STATED}, {_WORDS}
+    "patterns_intra": f"""SELECT 'intra-' || row_number() OVER (ORDER BY support DESC, mass DESC, label, sequence, eo, oo) AS id, * FROM (
+SELECT *, state || ' on ' || leading_object_type AS label FROM (WITH {STATED}, {_WORDS}
 SELECT 'user' AS leading_object_type, state, NULL::VARCHAR AS to_state, 'START ' || state || '|' || array_to_string(labels, '|') || '|END ' || state AS sequence, {_JOIN.format('eo')} AS eo, {_JOIN.format('oo')} AS oo, count(*) AS support, count(*) * (len(any_value(labels)) + 1) AS mass
-FROM sp GROUP BY ALL""",
-    "patterns_inter": f"""WITH {STATED}, {_WORDS},
+FROM sp GROUP BY ALL))""",
+    "patterns_inter": f"""SELECT 'inter-' || row_number() OVER (ORDER BY support DESC, mass DESC, label, sequence, eo, oo) AS id, * FROM (
+SELECT *, state || ' -> ' || to_state || ' on ' || leading_object_type AS label FROM (WITH {STATED}, {_WORDS},
 n AS (SELECT *, lead(state) OVER w AS ns, lead(labels) OVER w AS nl, lead(eo) OVER w AS neo, lead(oo) OVER w AS noo FROM sp WINDOW w AS (PARTITION BY object_id ORDER BY episode))
 SELECT 'user' AS leading_object_type, state, ns AS to_state, 'START ' || state || '|' || array_to_string(labels, '|') || '|CHANGE ' || state || ' -> ' || ns || '|' || array_to_string(nl, '|') || '|END ' || ns AS sequence,
-  {_JOIN.format('eo || neo')} AS eo, {_JOIN.format('oo || noo')} AS oo, count(*) AS support, count(*) * (len(any_value(labels)) + len(any_value(nl)) + 2) AS mass FROM n WHERE ns IS NOT NULL GROUP BY ALL""",
+  {_JOIN.format('eo || neo')} AS eo, {_JOIN.format('oo || noo')} AS oo, count(*) AS support, count(*) * (len(any_value(labels)) + len(any_value(nl)) + 2) AS mass FROM n WHERE ns IS NOT NULL GROUP BY ALL))""",
     "feature_table": f"""WITH {_ORDERS}
 SELECT object_id, 'activity.' || event_type AS feature, count(*)::DOUBLE AS value FROM olife WHERE object_type = 'order' GROUP BY object_id, event_type
 UNION ALL SELECT object_id, 'related_objects.' || type, count(DISTINCT other)::DOUBLE FROM (

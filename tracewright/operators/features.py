@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import EPSILON, format_number, numeric_value, value_label
 from ..model import STATE, EventLog, LogError
+from ..tables import ranked, written
 from .episodes import dominant_states
 
 CATEGORIES = 50
@@ -82,12 +83,23 @@ def write_csv(table: DataFrame, path: str) -> None:
 
 def state_correlations(log: EventLog, object_type: str) -> DataFrame:
     """For each feature the state with the strongest point-biserial correlation (ties: first by name)."""
-    states = dominant_states(log, object_type)
-    sizes = states.groupBy(STATE).agg(F.count(F.lit(1)).alias("state_count")).withColumn("n", F.sum("state_count").over(Window.partitionBy(F.lit(1))))  # a row for each state
-    rows = object_features(log, object_type)
-    sums = rows.join(states, "object_id").groupBy("feature", STATE).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    names = rows.select("feature").distinct()
-    grid = names.join(F.broadcast(sizes), F.lit(True)).join(sums, ["feature", STATE], "left").na.fill(0.0, ["s", "q"])
+    states = written(dominant_states(log, object_type), "states")
+    sizes = states.groupBy(STATE).agg(F.count(F.lit(1)).alias("state_count")).withColumn("one", F.lit(1))
+    sizes = ranked(sizes, "one", [F.desc("state_count"), F.col(STATE)], "rank").drop("one")
+    n = states.count()
+    both = object_features(log, object_type).join(states, "object_id", "left").groupBy("feature", STATE)
+    both = written(both.agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")), "sums")
+    sums = both.join(sizes, STATE)
+    # of the states in which a feature has no value, correlations fall with the state's size: the largest will do, and
+    # the first by name where all are nought
+    by_rank = Window.partitionBy("feature").orderBy("rank")
+    met = sums.select("feature", "rank", (F.col("rank") == F.row_number().over(by_rank)).cast("long").alias("full"))
+    missing = met.groupBy("feature").agg((F.sum("full") + 1).alias("rank"))
+    names = both.select("feature").distinct()
+    least = sizes.agg(F.min(F.struct(STATE, "rank"))["rank"]).first()[0] if n else 1
+    absent = names.join(missing, "feature", "left").select("feature", F.explode(F.array_distinct(F.array(F.coalesce("rank", F.lit(1)).cast("long"), F.lit(least).cast("long")))).alias("rank"))
+    absent = absent.join(sums.select("feature", F.col("rank").cast("long").alias("rank")), ["feature", "rank"], "left_anti").join(sizes.withColumn("rank", F.col("rank").cast("long")), "rank")
+    grid = sums.drop("rank").unionByName(absent.select("feature", STATE, F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), "state_count")).withColumn("n", F.lit(n))
     of = Window.partitionBy("feature")
     grid = grid.withColumn("total", F.sum("s").over(of)).withColumn("squares", F.sum("q").over(of))
     mean, outside = F.col("total") / F.col("n"), F.col("n") - F.col("state_count")

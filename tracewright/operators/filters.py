@@ -25,6 +25,20 @@ class LogFilter:
     text_attributes: list[dict] = field(default_factory=list)  # scope, name, values
     patterns: list[dict] = field(default_factory=list)  # arguments of objects_with_pattern
 
+    @classmethod
+    def of_request(cls, request: dict) -> LogFilter:
+        """A filter from a request as it comes in JSON: missing parts mean no restriction."""
+        span = request.get("time_range") or {}
+        pairs = lambda found: [(e["source"], e["target"]) for e in found or []]
+        return cls(
+            list(request.get("event_types") or []), list(request.get("object_types") or []), span.get("start_ms"), span.get("end_ms"), list(request.get("df_nodes") or []), pairs(request.get("df_edges")),
+            [{"scope": t.get("scope", "event"), "name": t["name"], "values": list(t.get("values") or [])} for t in request.get("text_attributes") or []],
+            [
+                {"family": p.get("family") or "intra", "state": p.get("state") or p.get("from_state"), "to_state": p.get("to_state"), "sequence": list(p.get("sequence") or []), "eo": pairs(p.get("eo_edges")), "oo": pairs(p.get("oo_edges"))}
+                for p in request.get("patterns") or []
+            ],
+        )
+
     def about_objects(self) -> bool:
         return bool(self.df_nodes or self.df_edges or self.patterns or any(t.get("values") for t in self.text_attributes))
 

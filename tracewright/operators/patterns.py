@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import STATE, EventLog, LogError, stateful_lifecycle
+from ..model import STATE, EventLog, LogError, event_states, stateful_lifecycle
+from ..tables import ranked
 from .episodes import _islands
 
 KEY = ["family", "leading_object_type", "state", "to_state", "sequence", "eo", "oo"]
@@ -18,7 +19,7 @@ def instances(log: EventLog, family: str | None = None) -> DataFrame:
     weighted edges follow from ``eo_list`` and ``oo_list``, which keep repeats.
     """
     rows = _islands(stateful_lifecycle(log, log.leading_object_type))
-    if rows.isEmpty():
+    if event_states(log).isEmpty():
         raise LogError("no event has a state yet; apply a state query or a detection")
     label = F.concat("event_type", F.lit(" ["), STATE, F.lit("]"))
     types = log.objects.select(F.col("object_id").alias("other"), F.col("object_type").alias("related"))
@@ -50,17 +51,23 @@ def instances(log: EventLog, family: str | None = None) -> DataFrame:
     return both.withColumn("eo", F.array_sort(F.array_distinct("eo_list"))).withColumn("oo", F.array_sort(F.array_distinct("oo_list")))
 
 
-def patterns(log: EventLog, family: str) -> DataFrame:
-    """Patterns of a family: id by rank, support (instances) and mass (steps of all instances).
+def edge_text(c: str) -> Column:
+    """A set of edges as text."""
+    return F.array_join(F.transform(c, lambda x: F.concat_ws(">", x["source"], x["target"])), "|")
 
-    Ranked by support, mass and label; remaining ties by sequence and edge sets.
+
+def patterns(log: EventLog, family: str | None) -> DataFrame:
+    """Patterns of a family (of both, each ranked by itself): id by rank, label, support (instances) and mass (steps of
+    all instances).
+
+    Ranked by support, mass and label; remaining ties by the texts of sequence and edge sets.
     """
     rows = instances(log, family).groupBy(*KEY).agg(F.count(F.lit(1)).alias("support"))
     rows = rows.withColumn("mass", F.col("support") * (F.size("sequence") - 1))
     label = F.concat(F.coalesce(F.concat(STATE, F.lit(" -> "), "to_state"), F.col(STATE)), F.lit(" on "), "leading_object_type")
-    rows = rows.withColumn("label", label)
-    order = Window.orderBy(F.desc("support"), F.desc("mass"), "label", "sequence", "eo", "oo")  # of patterns, not of instances
-    return rows.withColumn("id", F.concat(F.lit(f"{family}-"), F.row_number().over(order)))
+    order = [F.desc("support"), F.desc("mass"), F.col("label"), F.array_join("sequence", "|"), edge_text("eo"), edge_text("oo")]
+    rows = ranked(rows.withColumn("label", label), "family", order, "rank")
+    return rows.withColumn("id", F.concat("family", F.lit("-"), "rank")).drop("rank")
 
 
 def pattern_edges(log: EventLog, family: str, kind: str) -> DataFrame:
@@ -73,7 +80,7 @@ def pattern_edges(log: EventLog, family: str, kind: str) -> DataFrame:
 
 def explorer(log: EventLog) -> DataFrame:
     """Both families by support, mass and label."""
-    return patterns(log, "intra").unionByName(patterns(log, "inter")).orderBy(F.desc("support"), F.desc("mass"), "label")
+    return patterns(log, None).orderBy(F.desc("support"), F.desc("mass"), "label")
 
 
 def objects_with_pattern(log: EventLog, family: str, state: str, sequence: list[str], to_state: str | None = None, eo: list[tuple] = (), oo: list[tuple] = ()) -> DataFrame:

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .model import EventLog, LogError, event_states
+from .model import EventLog, LogError, event_states, stateful_lifecycle
 from .operators import detection, episodes, features, filters, graphs, patterns, summary
 from .plans import stateql
 from .sources import documents, export
 
 
+def as_json(result) -> str:
+    """An endpoint's result as JSON: tables become lists of rows, graphs their nodes and edges. For results of a bounded size."""
+
+    def plain(x):
+        if isinstance(x, DataFrame):
+            return [json.loads(r) for r in x.toJSON().collect()]
+        if isinstance(x, graphs.Graph):
+            return {"nodes": plain(x.nodes), "edges": plain(x.edges)}
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, list | tuple) else x
+
+    return json.dumps(plain(result))
+
+
 class LogSession:
     """The original log, the filter on it, and the active log that follows from both.
 
@@ -45,14 +63,20 @@ class LogSession:
     def original_summary(self) -> DataFrame:
         return summary.summary(self.original)
 
-    def filter_options(self) -> dict[str, DataFrame]:
+    def filter_options(self) -> dict:
         log = self.original
         return {
             "event_types": log.event_types.select("type_name", "type_seq").distinct(), "object_types": log.object_types.select("type_name", "type_seq").distinct(),
             "text_attributes": summary.text_attribute_options(log), "time_buckets": summary.time_histogram(log, 32),
+            **dict(zip(("time_min_ms", "time_max_ms"), log.events.agg(F.min("time_ms"), F.max("time_ms")).first(), strict=True)),
         }
 
-    def apply_filter(self, chosen: filters.LogFilter) -> DataFrame:
+    def apply_filter(self, chosen: filters.LogFilter | dict | str) -> DataFrame:
+        """Filter by a LogFilter, or by a request as a dict or as JSON."""
+        if isinstance(chosen, str):
+            chosen = json.loads(chosen)
+        if isinstance(chosen, dict):
+            chosen = filters.LogFilter.of_request(chosen)
         self.filter, self._active = chosen, None
         return self.summary()
 
@@ -66,8 +90,6 @@ class LogSession:
         return summary.object_lifecycle(self.active, object_id)
 
     def object_lifecycle_detail(self, object_id: str) -> dict[str, DataFrame]:
-        from pyspark.sql import functions as F
-
         log = self.active
         one = log.but(e2o=log.e2o.filter(F.col("object_id") == object_id))
         return {
@@ -119,9 +141,19 @@ class LogSession:
     def state_patterns(self) -> DataFrame:
         return patterns.explorer(self._stateful())
 
-    def state_correlations(self) -> DataFrame:
+    def state_correlations(self) -> dict:
+        """Correlations by strength, with the objects and dominant states that they rest on."""
         log = self._stateful()
-        return features.state_correlations(log, episodes.resolve_object_type(log, log.leading_object_type))
+        kind = episodes.resolve_object_type(log, log.leading_object_type)
+        spread = episodes.dominant_states(log, kind).groupBy("state").agg(F.count(F.lit(1)).alias("count"))
+        rows = features.state_correlations(log, kind).orderBy(F.desc("strength"), "feature")
+        return {"object_type": kind, **self._counts(log, kind), "state_distribution": spread, "rows": rows}
+
+    @staticmethod
+    def _counts(log: EventLog, kind: str) -> dict:
+        own = log.objects.filter(F.col("object_type") == kind)
+        states = stateful_lifecycle(log, kind).agg(F.countDistinct("object_id").alias("n"), F.sort_array(F.collect_set("state")).alias("s")).first()  # names of states
+        return {"object_count": own.count(), "stateful_object_count": states["n"], "state_count": len(states["s"]), "states": states["s"]}
 
     def time_perspective(self, object_type: str | None = None, from_state: str | None = None, to_state: str | None = None, roundtrip: bool = False, buckets: int = 24) -> dict:
         log = self._stateful()
@@ -135,10 +167,10 @@ class LogSession:
             out |= {"from_state": start, "to_state": end, "performance": episodes.performance_spectrum(log, kind, start, end, roundtrip), "samples": episodes.performance_samples(log, kind, start, end, roundtrip)}
         return out
 
-    def state_transition_kpis(self, object_type: str | None = None, stuck_limit: int = 15) -> dict[str, DataFrame]:
+    def state_transition_kpis(self, object_type: str | None = None, stuck_limit: int = 15) -> dict:
         log = self._stateful()
         kind = episodes.resolve_object_type(log, object_type)
-        return {"transitions": episodes.transition_kpis(log, kind), "dwell": episodes.dwell_kpis(log, kind), "recovery": episodes.recovery(log, kind), "stuck": episodes.stuck(log, kind, stuck_limit)}
+        return {"object_type": kind, **self._counts(log, kind), "transitions": episodes.transition_kpis(log, kind), "dwell": episodes.dwell_kpis(log, kind), "recovery": episodes.recovery(log, kind), "stuck": episodes.stuck(log, kind, stuck_limit)}
 
     def feature_table(self, object_type: str) -> DataFrame:
         return features.feature_table(self.active, object_type)

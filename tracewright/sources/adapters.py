@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import EventLog
+from ..tables import written
 
 _NONE = {"v_string": "string", "v_int": "long", "v_float": "double", "v_bool": "boolean", "v_time_ms": "long"}
 
@@ -63,6 +64,7 @@ def orders(spark: SparkSession, sf_dir: str) -> EventLog:
     day = F.floor(F.col("time_ms") / 86_400_000).cast("long")
     placed = o.select(F.concat(F.lit("place-"), F.col("o_orderkey")).alias("event_id"), F.lit("Place Order").alias("event_type"), ms("o_orderdate").alias("time_ms"), (F.col("o_orderkey") * F.lit(1 << 20)).alias("event_seq"), order.alias("o"), customer.alias("c"), "o_totalprice", "o_orderpriority")
     lines = items.select("l_orderkey", ms("l_shipdate").alias("time_ms"), "l_partkey", "l_suppkey").distinct()
+    lines = written(lines, "lines")  # six tables come from them
     shipped = lines.select(
         F.concat(F.lit("ship-"), F.col("l_orderkey"), F.lit("-"), day).alias("event_id"), F.lit("Ship").alias("event_type"), "time_ms",
         (F.col("l_orderkey") * F.lit(1 << 20) + 1 + day).alias("event_seq"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("o"), F.concat(F.lit("p"), F.col("l_partkey")).alias("p"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("s"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import SCHEMAS, EventLog, LogError
+from ..tables import shared_folder
 from .values import KINDS, coerce, parse_time
 
 _TYPE = "array<struct<name: string, attributes: array<struct<name: string, type: string>>>>"
@@ -188,20 +189,6 @@ def read_log(spark: SparkSession, path: str, hint: str | None = None, validate:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where none is set, a temporary one, on a local master alone."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise LogError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    where = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def read_text(spark: SparkSession, data: str | bytes, hint: str | None = None) -> EventLog:
     """A log from a document in memory, plain or gzipped."""
     import uuid
