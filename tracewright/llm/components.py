@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps (Kiveris and others, 2014).
 
-All steps are joins and grouped minima of (a, b) rows. A step's result is written to the shared folder, so lineage
-stays short; the driver sees counts only.
+All steps are joins and grouped minima of (a, b) rows. Minima are written before they are joined, a row a node: they
+are broadcast while they are few, and beyond that both sides of the join are plain shuffles, in which Spark splits the
+rows of a hub. A step's result is written to the shared folder, so lineage stays short; the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import join_small, materialise
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,10 +24,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: all larger neighbours of a node move to its smallest one
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = join_small(both, materialise(least, "least"), ["a"], "inner").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = materialise(large, "large")
         # small star: all smaller neighbours of a node, and itself, move to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        small = join_small(large, materialise(least, "least"), ["a"], "inner").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         edges = materialise(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == last:
