@@ -5,21 +5,26 @@ from __future__ import annotations
 import numpy as np
 
 ONE = np.uint64(1)
-#: For each byte, the place of its k-th set bit (8 where it has fewer).
-_SELECT = np.full((256, 8), 8, np.uint8)
+#: For each byte, the place of its k-th set bit (8 where it has fewer), at 8 * byte + k.
+_SELECT = np.full((256, 8), 8, np.uint64)
 for _b in range(256):
     _at = [i for i in range(8) if _b >> i & 1]
     _SELECT[_b, : len(_at)] = _at
+_SELECT = _SELECT.ravel()
+_EACH = 0x0101010101010101  # a one in each byte of a word
+_PAIRS, _FOURS, _BYTES, _TOPS, _LOWS = (np.uint64(x * _EACH) for x in (0x55, 0x33, 0x0F, 0x80, 1))
+_1, _2, _3, _4, _8, _FF = (np.uint64(x) for x in (1, 2, 3, 4, 8, 0xFF))
 
 
 def _in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The place of the k-th set bit (from 0) in each 64-bit word, which has more than k."""
-    data = words.astype("<u8").view(np.uint8).reshape(-1, 8)
-    sums = np.cumsum(np.bitwise_count(data), axis=1, dtype=np.int64)
-    byte = (sums <= k[:, None]).sum(axis=1)
-    row = np.arange(len(k))
-    before = np.where(byte > 0, sums[row, np.maximum(byte - 1, 0)], 0)
-    return byte * 8 + _SELECT[data[row, byte], k - before]
+    k = k.astype(np.uint64)
+    x = words - ((words >> _1) & _PAIRS)
+    x = (x & _FOURS) + ((x >> _2) & _FOURS)
+    sums = ((x + (x >> _4)) & _BYTES) * _LOWS  # in each byte: the set bits up to its end
+    at = np.bitwise_count(((k * _LOWS | _TOPS) - sums) & _TOPS).astype(np.uint64) << _3  # where the bit's byte begins
+    before = ((sums << _8) >> at) & _FF
+    return (at + _SELECT[((((words >> at) & _FF) << _3) + k - before).astype(np.int64)]).astype(np.int64)
 
 
 class EliasFano:
@@ -83,9 +88,23 @@ class EliasFano:
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The first place in [lo, hi) whose value is at least ``x``, else hi; values below lo are below x."""
+        return self._search(x, lo, hi)[0]
+
+    def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The first place in [lo, hi) whose value is ``x``, else -1; values below lo are below x."""
+        a, end, want = self._search(x, lo, hi)
+        hit = np.flatnonzero(a < end)  # those whose high part is x's
+        hit = hit[self._low(a[hit]) == want[hit]]
+        out = np.full(len(a), -1, np.int64)
+        out[hit] = a[hit]
+        return out
+
+    def _search(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Successors of ``x``, where the values with its high part end, and its low part."""
         x = np.asarray(x, np.uint64)
         high = (x >> np.uint64(self.bits)).astype(np.int64)
         a, b = np.clip(self._before(high), lo, hi), np.clip(self._before(high + 1), lo, hi)
+        end = b.copy()
         want = x & self.mask
         live = np.flatnonzero(a < b)
         while len(live):
@@ -94,4 +113,4 @@ class EliasFano:
             a[live[small]] = mid[small] + 1
             b[live[~small]] = mid[~small]
             live = live[a[live] < b[live]]
-        return a
+        return a, end, want

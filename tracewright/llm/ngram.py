@@ -68,7 +68,7 @@ def map_arrays(folder: str, name: str) -> list[np.ndarray]:
         store, base = fs.FileSystem.from_uri(folder)
         path = os.path.join(tempfile.mkdtemp(prefix="levels-"), name)
         fs.copy_files(f"{base}/{name}", path, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-    data = np.memmap(path, np.uint8, "r")
+    data = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain view: each access through a memmap object costs more
     count = int(data[:8].view(np.int64)[0])
     head, at, out = data[8 : 8 + 16 * count].view(np.int64), 8 + 16 * count, []
     for size, n in head.reshape(-1, 2).tolist():
@@ -81,7 +81,8 @@ def map_arrays(folder: str, name: str) -> list[np.ndarray]:
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of texts (words, then an end each): offsets by text, codes, hashes by code (the last code is the end)."""
     offsets, codes, distinct = word_codes(texts)
-    hashes = np.array([max(2, xxhash.xxh3_64_intdigest(w) >> 1) for w in distinct.to_pylist()] + [END], np.uint64)
+    named = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
+    hashes = np.append(np.maximum(named >> np.uint64(1), np.uint64(2)), np.uint64(END))
     n = len(offsets) - 1
     out = np.full(len(codes) + n, len(hashes) - 1, np.int64)
     ends = offsets[1:] + np.arange(n)
@@ -110,10 +111,8 @@ class Words:
         for i in np.unique(which[which >= 0]).tolist():
             at = np.flatnonzero(which == i)
             sequence, counts = self.segment(i)
-            place = sequence.successor(h[at], np.zeros(len(at), np.int64), np.full(len(at), sequence.n))
-            place, at = place[place < sequence.n], at[place < sequence.n]
-            same = sequence[place] == h[at]
-            place, at = place[same], at[same]
+            place = sequence.find(h[at], np.zeros(len(at), np.int64), np.full(len(at), sequence.n))
+            place, at = place[place >= 0], at[place >= 0]
             number[at], count[at] = place + self.bases[i], counts[place]
         return number, count
 
@@ -140,10 +139,7 @@ def find_follower(sequence: EliasFano, lo: np.ndarray, hi: np.ndarray, word: np.
     some = np.flatnonzero((hi > lo) & (word >= 0))
     lo, hi = lo[some], hi[some]
     x = word[some].astype(np.uint64) + np.where(lo > 0, sequence[np.maximum(lo - 1, 0)], np.uint64(0)) if len(some) else np.zeros(0, np.uint64)
-    place = sequence.successor(x, lo, hi)
-    hit = np.flatnonzero(place < hi)
-    hit = hit[sequence[place[hit]] == x[hit]]
-    out[some[hit]] = place[hit]
+    out[some] = sequence.find(x, lo, hi)
     return out
 
 
