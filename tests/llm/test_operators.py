@@ -311,9 +311,10 @@ def test_decontamination(spark, docs, none):
     tests = [(1, LINE), (2, "lazy DOG; again"), (3, "the"), (4, None), (5, "?!"), (6, "never seen words at all"), (7, "".join(BASE[20:60])), (7, "".join(BASE[20:60])), (8, "again and again")]
     items = spark.createDataFrame([(i, t, "x") for i, t in tests], "item_id long, text string, th string")
     split = lambda t: [w for w in BREAK.split(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
-    got = {(r["doc_id"], r["n_words"]): r for r in decontam.contamination(docs, items).collect()}
+    got = {(r["doc_id"], r["n_words"]): r for r in decontam.contamination(docs, items, near=4).collect()}
+    freq = Counter(w for _, text, _ in ROWS for w in split(text))
     for i, text, _ in ROWS:
-        w, hit, seen = split(text), set(), set()
+        w, hit, seen, near = split(text), set(), set(), set()
         for item, t in tests:
             q = split(t)
             k = min(10, len(q))
@@ -322,10 +323,14 @@ def test_decontamination(spark, docs, none):
                     if w[at : at + k] == q[s : s + k]:
                         hit |= set(range(at, at + k))
                         seen.add(item)
+            pair = sorted(set(q), key=lambda x: (freq[x], x))[:2]
+            if len(pair) == 2 and any({w[x], w[y]} == set(pair) for x in range(len(w)) for y in range(x + 1, min(x + 5, len(w)))):
+                near.add(item)
+        assert got[i, len(w)]["n_near"] == len(near), i
         r = got[i, len(w)]
         names = ",".join(sorted(map(str, seen)))
         assert (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(hit), len(seen), hashlib.sha256(names.encode()).hexdigest(), bool(hit)), i
-    assert decontam.contamination(none, items).count() == 0
+    assert decontam.contamination(none, items, near=4).count() == 0
     assert {r["n_hit"] for r in decontam.contamination(docs, items.limit(0)).collect()} == {0}
 
 

@@ -57,7 +57,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("th")
+    return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), near=10).drop("th")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +168,19 @@ sizes AS (SELECT DISTINCT k FROM win),
 places AS (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM d, sizes WHERE len(w) >= k),
 hits AS (SELECT r, s, places.k, item_id FROM places JOIN win ON places.k = win.k AND array_to_string(w[s:s + places.k - 1], ' ') = g),
 covered AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + k - 1)) AS j FROM hits) GROUP BY r),
-items AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS i FROM hits GROUP BY r)
+items AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS i FROM hits GROUP BY r),
+held AS (SELECT DISTINCT item_id, w AS x, unnest(w) AS t FROM b),
+post AS (SELECT * FROM (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d) SEMI JOIN held USING (t)),
+rarity AS (
+  SELECT item_id, x, t, row_number() OVER (PARTITION BY item_id, x ORDER BY coalesce(n, 0), t) AS k
+  FROM held LEFT JOIN (SELECT t, count(*) AS n FROM post GROUP BY t) USING (t)),
+near AS (
+  SELECT u.r, count(DISTINCT y.item_id) AS n_near FROM rarity y JOIN rarity z ON z.item_id = y.item_id AND z.x = y.x AND y.k = 1 AND z.k = 2
+  JOIN post u ON u.t = y.t JOIN post v ON v.t = z.t AND v.r = u.r AND abs(u.p - v.p) <= 10 GROUP BY u.r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(i), 0)::BIGINT AS n_items,
-  sha256(coalesce(array_to_string(i, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
+  sha256(coalesce(array_to_string(i, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)""",
     "op9_chat": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
