@@ -17,21 +17,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, join_small, materialise, partitions, word_codes
+from .shared import chunks, join_small, materialise, partitions, sorted_distinct, word_codes, word_hashes
 
 BITS, ROUND = 20, 3
 MASK = np.uint64((1 << BITS) - 1)
 LINE = "doc_id long, line long, set long"
 
 
-def line_sets(texts: pa.Array, counts: np.ndarray | None = None):
+def line_sets(texts: pa.Array, counts: np.ndarray | None = None, only: pa.ListArray | None = None):
     """Sets of the lines with a word of each text: text, line number, set's hash, offsets, words' hashes in order.
 
-    The order is that of ``counts`` (by place of the hash) and hash; without it, of hashes.
+    The order is that of ``counts`` (by place of the hash) and hash; without it, of hashes. ``only`` names the
+    line numbers that are wanted of each text; the others aren't split into words.
     """
     lists = pc.split_pattern(pc.fill_null(texts.cast(pa.string()), ""), "\n")
     ends = np.asarray(lists.offsets).astype(np.int64)
@@ -39,14 +39,21 @@ def line_sets(texts: pa.Array, counts: np.ndarray | None = None):
     ends = ends - ends[0]
     owner = np.repeat(np.arange(len(texts)), np.diff(ends))
     number = np.arange(len(owner)) - ends[owner]
+    if only is not None:
+        of = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(only)))
+        wanted = ends[of] + np.asarray(only.flatten()).astype(np.int64)
+        wanted = wanted[wanted < ends[of + 1]]  # another row of the same id may have fewer lines
+        lines, owner, number = lines.take(pa.array(wanted)), owner[wanted], number[wanted]
     offsets, codes, distinct = word_codes(lines)
-    names = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()], np.uint64)
+    names = word_hashes(distinct)
     rank = np.empty(len(names), np.int64)
     rank[np.lexsort((names, counts[(names & MASK).astype(np.int64)] if counts is not None else names))] = np.arange(len(names))
     line = np.repeat(np.arange(len(lines)), np.diff(offsets))
-    both = np.unique(line * max(1, len(names)) + rank[codes]) if len(codes) else np.zeros(0, np.int64)
-    line = both // max(1, len(names))
-    words = names[np.argsort(rank)][both % max(1, len(names))] if len(both) else np.zeros(0, np.uint64)
+    both = sorted_distinct((line << 32) | rank[codes])
+    line = both >> 32
+    ranked = np.empty(len(names), np.uint64)
+    ranked[rank] = names
+    words = ranked[both & 0xFFFFFFFF]
     starts = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(lines)))])
     full = np.flatnonzero(np.diff(starts))
     starts = np.append(starts[full], len(words))
@@ -79,7 +86,7 @@ def find_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
         total = np.zeros(1 << BITS, np.int64)
         for batch in chunks(batches):
             _, codes, distinct = word_codes(batch.column(0))
-            names = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()], np.uint64)
+            names = word_hashes(distinct)
             total += np.bincount((names & MASK).astype(np.int64), np.bincount(codes, minlength=len(names)), minlength=1 << BITS).astype(np.int64)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["h", "c"])
@@ -201,12 +208,13 @@ def find_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
 
 def _verify(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (materialised) whose sets match, from the texts that hold them."""
-    ends = pairs.select("doc_id", "set").union(pairs.select("x_doc", "x_set")).distinct()
-    wanted = materialise(ends.groupBy("doc_id").agg(F.collect_list("set").alias("sets")), "wanted")  # a text's own lines
+    ends = pairs.select("doc_id", "line", "set").union(pairs.select("x_doc", "x_line", "x_set")).distinct()
+    mine = [F.collect_set("set").alias("sets"), F.collect_set("line").alias("lines")]  # a text's own lines
+    wanted = materialise(ends.groupBy("doc_id").agg(*mine), "wanted")
 
     def read(batches):
         for batch in chunks(batches):
-            owner, _, name, starts, words = line_sets(batch.column(1))
+            owner, _, name, starts, words = line_sets(batch.column(1), only=batch.column(3))
             sets = [set(x) for x in batch.column(2).to_pylist()]
             ids = batch.column(0).to_pylist()
             some = [i for i, (o, s) in enumerate(zip(owner.tolist(), name.tolist(), strict=True)) if s in sets[o]]

@@ -14,6 +14,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,6 +135,17 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return before[offsets], np.asarray(named.indices).astype(np.int64), named.dictionary
 
 
+def word_hashes(distinct: pa.Array) -> np.ndarray:
+    """64-bit hashes of words; NumPy takes strings from Arrow ten times as fast as ``to_pylist``."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_numpy(zero_copy_only=False)), np.uint64, len(distinct))
+
+
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order; ``np.unique`` hashes them before it sorts, which takes longer where most differ."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def release() -> None:
     """Give memory that isn't used back to the system: a worker that waits for its next task should hold little."""
     pa.default_memory_pool().release_unused()
