@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import chunks, join_small, materialise, word_codes
+from .shared import chunks, join_small, materialise, word_codes, word_hashes
 
 CHUNKS, WIDTH = 12, 6
 TEXT = 2_000_000  # bytes of text whose shingles are held at a time
@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct ``n``-word shingles of each text (of all its words, if fewer): offsets, sorted hashes."""
     offsets, codes, distinct = word_codes(texts)
-    names = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()], np.uint64)
+    names = word_hashes(distinct)
     h = names[codes] if len(codes) else np.zeros(0, np.uint64)
     counts = np.diff(offsets)
     shingles = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano
-from .shared import chunks, materialise, partitions, shared_dir, word_codes
+from .shared import chunks, materialise, partitions, shared_dir, word_codes, word_hashes
 
 END = 1  # the hash of a text's end, which is also the context of its first word
 DISCOUNT = 0.75
@@ -81,7 +81,7 @@ def map_arrays(folder: str, name: str) -> list[np.ndarray]:
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of texts (words, then an end each): offsets by text, codes, hashes by code (the last code is the end)."""
     offsets, codes, distinct = word_codes(texts)
-    named = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
+    named = word_hashes(distinct)
     hashes = np.append(np.maximum(named >> np.uint64(1), np.uint64(2)), np.uint64(END))
     n = len(offsets) - 1
     out = np.full(len(codes) + n, len(hashes) - 1, np.int64)

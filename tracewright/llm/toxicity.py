@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, word_codes
+from .shared import chunks, sorted_distinct, word_codes
 
 BITS = 20
 CHUNK = 2_000_000  # bytes of text whose words are numbered at a time
@@ -34,7 +34,7 @@ def _place(key: np.ndarray) -> np.ndarray:
 def features(texts: pa.Array, wanted: np.ndarray | None = None) -> np.ndarray:
     """Distinct hashed features of texts as sorted ``text << BITS | place``; of all places, or of those ``wanted``."""
     offsets, codes, distinct = word_codes(texts)
-    words = [w.strip(PUNCTUATION) for w in distinct.to_pylist()]
+    words = [w.strip(PUNCTUATION) for w in distinct.to_numpy(zero_copy_only=False)]
     named = lambda found, salt: np.array([xxhash.xxh3_64_intdigest(w, salt) for w in found], np.uint64)
     h = named(words, 0)
     single = [_place(h * M1), *[_place(named([w[:k] for w in words], k) * M1) for k in STEMS]]
@@ -56,8 +56,8 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> np.ndarray:
                 if wanted is not None:
                     hit &= wanted[place]
                 some.append((doc[: len(x)][hit] << BITS) | place[hit])
-        out.append(np.unique(np.concatenate(some)))
-    return np.unique(np.concatenate(out))
+        out.append(sorted_distinct(np.concatenate(some)))
+    return sorted_distinct(np.concatenate(out))
 
 
 class Ftrl:
