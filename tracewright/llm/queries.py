@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linedups, minhash, mixing, ngram, quality, sharding, tokens, toxicity
+from . import chat, decontam, fim, hardneg, linedups, minhash, mixing, ngram, quality, sharding, tokens, toxicity
 from .shared import read_table, shared_dir
 
 
@@ -78,6 +78,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return out.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_linedups": op2_linedups,
@@ -89,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_fim": op11_fim,
+    "op12_hardneg": op12_hardneg,
 }
 
 _ESC = "replace({}, chr(92), chr(92) || chr(92))"
@@ -205,4 +221,33 @@ SELECT p.conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
   any_value(chars.c)::BIGINT AS formatted_chars
 FROM placed p JOIN chars USING (conv_id) GROUP BY p.conv_id""",
+    "op11_fim": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+    ('0x' || h[17:24])::BIGINT % 100 AS r, ('0x' || h[25:32])::BIGINT % 100 AS q FROM d),
+y AS (
+  SELECT doc_id, t, n, length(coalesce(array_to_string(u[1:least(a, b)], ''), '')) AS p, length(coalesce(array_to_string(u[1:greatest(a, b)], ''), '')) AS e,
+    CASE WHEN n = 0 OR r >= 90 OR regexp_matches(t, '<[PSM]>') THEN 'plain' WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form FROM x)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN e - p END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, p) || '<S>' || substr(t, e + 1) || '<M>' || substr(t, p + 1, e - p)
+    ELSE '<S>' || substr(t, e + 1) || '<P>' || substr(t, 1, p) || '<M>' || substr(t, p + 1, e - p) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM y""",
+    "op12_hardneg": """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT ar, anchor_id, br AS pr, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY s.score DESC, s.vec_id) <= 5""",
 }
