@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fim, hardneg, linedups, minhash, mixing, ngram, quality, sharding, tokens, toxicity
+from . import chat, decontam, fim, hardneg, linedups, minhash, mixing, ngram, quality, sharding, suffixes, tokens, toxicity
 from .shared import read_table, shared_dir
 
 
@@ -92,6 +92,11 @@ def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_linedups": op2_linedups,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_fim": op11_fim,
     "op12_hardneg": op12_hardneg,
+    "op13_suffixes": op13_suffixes,
 }
 
 _ESC = "replace({}, chr(92), chr(92) || chr(92))"
@@ -250,4 +256,18 @@ SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.ar, p.pr OR
   s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
 FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
 QUALIFY row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY s.score DESC, s.vec_id) <= 5""",
+    # texts as hexadecimal digits, two for a byte
+    "op13_suffixes": """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, p, substr(h, 2 * p + 1, 200) AS g FROM (SELECT r, h, unnest(generate_series(0, len(h) // 2 - 100)) AS p FROM d)),
+late AS (SELECT r, p FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY r, p) > 1),
+fresh AS (SELECT r, p, coalesce(p > 100 + lag(p) OVER (PARTITION BY r ORDER BY p), true) AS f FROM late),
+runs AS (SELECT r, min(p) AS a, max(p) + 100 AS b FROM (SELECT r, p, sum(f::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM fresh) GROUP BY r, k),
+cuts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x FROM runs),
+kept AS (
+  SELECT r, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * x + 1, 2 * (a - x)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k
+  FROM cuts JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
 }
