@@ -11,8 +11,8 @@ earliest are repeats. Rows alone in their first digit are unique. What is left,
 around one gram, gets its bytes, and the passes go on over them, eight bytes at a time.
 
 Equal rows meet first in their batch, so a passage that many documents hold is a row a batch, not a row a document. A
-gram around which more than ``CROWD`` unlike stretches stand isn't taken to one task: its windows are grouped one by
-one, by their bytes.
+gram around which more than ``CROWD`` unlike stretches stand isn't taken to one task: the first digit is drawn out, first
+to what a fifth of the windows have in common, and where that is a crowd's too, to whole windows, whose groups are equal.
 """
 
 from __future__ import annotations
@@ -265,17 +265,38 @@ def _ordered(length: int):
     return run
 
 
-def _one_by_one(length: int):
-    """Stretches to their windows: (w, d, q), q with the window's first byte."""
+def _refined(length: int, width: int):
+    """Stretches to shorter ones under a longer first digit: their windows by ranges of ``width`` places of the anchor,
+    and all bytes that the windows of a range have in common. Equal ones of a batch become one, and the others runs of
+    repeated bytes (k null)."""
+    top = length - max(1, length * 24 // 100)  # the last place of an anchor
+    schema = pa.schema([("k", pa.int64()), ("d", pa.int64()), ("q", pa.int64()), ("span", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches):
-        for batch in chunks(batches, HELD // 64):
-            span, parts = np.asarray(batch.column("span")), batch.column("bytes").to_pylist()
-            n = (span & 0x7FFF).astype(np.int64) + 1
-            of = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            windows = pa.array([parts[i][j : j + length] for i, j in zip(of.tolist(), step.tolist(), strict=True)], pa.binary())
-            yield pa.record_batch([windows, np.asarray(batch.column("d"))[of], (np.asarray(batch.column("q")) - (span >> 15))[of] + step], names=["w", "d", "q"])
+        for batch in chunks(batches, HELD // 4):
+            k, d, q, span = (np.asarray(batch.column(x)) for x in ("k", "d", "q", "span"))
+            parts = batch.column("bytes").to_pylist()
+            lead, low = (span >> 15).astype(np.int64), (span >> 15).astype(np.int64) - (span & 0x7FFF)
+            n = lead // width - low // width + 1
+            of = np.repeat(np.arange(len(k)), n)
+            place = (low // width)[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            last, first = np.minimum(lead[of], (place + 1) * width - 1), np.maximum(low[of], place * width)
+            ends = [x.tolist() for x in (lead[of] - last, lead[of] - first + length, lead[of] - place * width, lead[of] - np.minimum((place + 1) * width - 1, top) + length)]
+            seeds = (k.view(np.uint64)[of] * np.uint64(_BASE) + place.astype(np.uint64)).tolist()
+            own, new, same = [], np.empty(len(of), np.uint64), np.empty(len(of), np.uint64)
+            for j, (i, a, b, x, y, seed) in enumerate(zip(of.tolist(), *ends, seeds, strict=True)):
+                own.append(parts[i][a:b])
+                new[j] = xxhash.xxh3_64_intdigest(parts[i][x:y], seed)
+                same[j] = xxhash.xxh3_64_intdigest(own[j], int(last[j]))
+            order = np.lexsort((q[of], d[of], same, new))
+            head = np.concatenate([[True], (new[order][1:] != new[order][:-1]) | (same[order][1:] != same[order][:-1])]) if len(order) else order.astype(bool)
+            keep, gone = order[head], order[~head]
+            spans = (last << 15) + last - first
+            yield pa.record_batch(
+                [pa.array(np.concatenate([new[keep].view(np.int64), np.zeros(len(gone), np.int64)]), mask=np.arange(len(order)) >= len(keep)), d[of][np.concatenate([keep, gone])],
+                 np.concatenate([q[of][keep], (q[of] - last)[gone]]), np.concatenate([spans[keep], (last - first + length)[gone]]).astype(np.int32),
+                 pa.array([own[j] for j in keep.tolist()] + [None] * len(gone), pa.binary())], schema=schema,
+            )
 
     return run
 
@@ -341,13 +362,22 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     asked = classes.filter("k IS NOT NULL").groupBy("d", seq).agg(F.collect_list(F.struct("k", "q", "span")).alias("asked"))
     cut = texts.select("d", "seq", "text").join(asked, ["d", "seq"]).select("d", "text", "asked")
     stretches = materialise(cut.mapInArrow(_stretches(length), "k long, d long, q long, span int, bytes binary"), "stretches")
-    crowds = materialise(stretches.groupBy("k").count().filter(F.col("count") > CROWD).select("k"), "crowds")
-    few = join_small(stretches, crowds, ["k"], "left_anti").repartition(partitions(docs.sparkSession), "k").sortWithinPartitions("k")
-    runs = [classes.filter("k IS NULL").select("d", "q", "span"), few.mapInArrow(_ordered(length), "d long, q long, span int")]
-    if not crowds.isEmpty():
-        windows = materialise(join_small(stretches, crowds, ["k"], "left_semi").mapInArrow(_one_by_one(length), "w binary, d long, q long"), "windows")
-        first = windows.groupBy("w").agg(F.min(F.struct("d", "q")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        runs.append(windows.join(first, "w").filter("d <> first.d OR q <> first.q").select("d", "q", F.lit(length).alias("span")))
+    runs, few = [classes.filter("k IS NULL").select("d", "q", "span")], []
+    shape = "k long, d long, q long, span int, bytes binary"
+    for width in (-(-length // 5), 1):
+        crowds = materialise(stretches.groupBy("k").count().filter(F.col("count") > CROWD).select("k"), "crowds")
+        few.append(join_small(stretches, crowds, ["k"], "left_anti"))
+        stretches = materialise(join_small(stretches, crowds, ["k"], "left_semi").mapInArrow(_refined(length, width), shape), "stretches")
+        runs.append(stretches.filter("k IS NULL").select("d", "q", "span"))
+        stretches = stretches.filter("k IS NOT NULL")
+    # single windows now: equal bytes are a group, of which only the first is needed
+    first = stretches.groupBy("bytes").agg(F.min(F.struct("d", "q")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = stretches.join(first, "bytes").filter("d <> first.d OR q <> first.q")
+    runs.append(later.select("d", (F.col("q") - F.shiftright("span", 15)).alias("q"), F.lit(length).alias("span")))
+    for more in few[1:]:
+        few[0] = few[0].unionByName(more)
+    dealt = few[0].repartition(partitions(docs.sparkSession), "k").sortWithinPartitions("k")
+    runs.append(dealt.mapInArrow(_ordered(length), "d long, q long, span int"))
     every = runs[0]
     for more in runs[1:]:
         every = every.unionByName(more)
