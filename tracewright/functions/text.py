@@ -23,10 +23,12 @@ def plain_number(n: Column) -> Column:
     sign = F.when(text.startswith("-"), "-").otherwise("")
     parts = F.split(F.regexp_replace(text, "^-", ""), "E")
     head = F.split(parts[0], r"\.")
-    power = F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(0))
-    digits = F.concat(head[0], F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), "0+$", ""))
+    power = parts[1].try_cast("int")
+    digits = F.concat(head[0], F.regexp_replace(head[1], "0+$", ""))
     point, size = F.length(head[0]) + power, F.length(digits)  # the point's place among the digits
     zeros = lambda k: F.repeat(F.lit("0"), k)
     middle = F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size))
     written = F.when(point <= 0, F.concat(F.lit("0."), zeros(-point), digits)).when(point < size, middle).otherwise(F.concat(digits, zeros(point - size)))
-    return F.when(F.isnan(n), "NaN").when(F.abs(n) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, written))
+    # most numbers have no exponent and end here
+    plain = F.when(text.rlike(r"^-?\d+\.\d+$"), F.regexp_replace(text, r"\.0$", ""))
+    return plain.when(F.isnan(n), "NaN").when(F.abs(n) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, written))

@@ -211,12 +211,19 @@ def _number_text(n: Column) -> Column:
 
 
 def typed(s: Column | None = None, n: Column | None = None, b: Column | None = None) -> Column:
-    """A value as a struct: b if it is a boolean, n if it is or reads as a number, s its text; s is null if missing."""
+    """A value as a struct: b if it is a boolean, n if it is or reads as a number, s if it is a string; all null if missing.
+
+    Numbers are written as text only where text is asked for, by ``text_of``.
+    """
     null = lambda t: F.lit(None).cast(t)
     s, n, b = s if s is not None else null("string"), n if n is not None else null("double"), b if b is not None else null("boolean")
     trimmed = F.trim(s)
     read = F.when(trimmed.rlike(NUMBER), trimmed.try_cast("double"))
-    return F.struct(b.alias("b"), F.coalesce(n, read).alias("n"), F.coalesce(s, _number_text(n), b.cast("string")).alias("s"))
+    return F.struct(b.alias("b"), F.coalesce(n, read).alias("n"), s.alias("s"))
+
+
+def text_of(v: Column) -> Column:
+    return F.coalesce(v["s"], _number_text(v["n"]), v["b"].cast("string"))
 
 
 ASCII = str.maketrans(UPPER, LOWER)
@@ -236,13 +243,13 @@ def _like(value: Column, pattern, compiled: Column) -> Column:
     if isinstance(pattern, Literal):
         p = pattern.value
         text = ("true" if p else "false") if isinstance(p, bool) else (str(int(p)) if isinstance(p, float) and p == int(p) else str(p))
-        return ascii_lower(value["s"]).rlike(like_pattern(text))
+        return ascii_lower(text_of(value)).rlike(like_pattern(text))
     quote = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    p = ascii_lower(compiled["s"])
+    p = ascii_lower(text_of(compiled))
     parts = F.split(p, "%")
     rest = F.transform(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda x: x != ""), lambda x: F.concat(F.lit("(?>.*?"), quote(x), F.lit(")")))
     whole = F.concat(F.lit("(?s)^"), quote(F.get(parts, F.lit(0))), F.array_join(rest, ""), F.when(p.endswith("%"), "").otherwise("\\z"))
-    return F.regexp_like(ascii_lower(value["s"]), whole)
+    return F.regexp_like(ascii_lower(text_of(value)), whole)
 
 
 class Compiler:
@@ -269,7 +276,8 @@ class Compiler:
                 out = out & p if node.op == "AND" else out | p
             return out
         if isinstance(node, IsNull):
-            missing = self.value(node.value)["s"].isNull()
+            value = self.value(node.value)
+            missing = F.coalesce(value["s"], value["n"].cast("string"), value["b"].cast("string")).isNull()
             return ~missing if node.negated else missing
         left, right = self.value(node.left), self.value(node.right)
         if node.op == "LIKE":
@@ -277,11 +285,11 @@ class Compiler:
         numbers, flags = left["n"].isNotNull() & right["n"].isNotNull(), left["b"].isNotNull() & right["b"].isNotNull()
         if node.op in ("=", "!="):
             apart = F.nanvl(F.abs(left["n"] - right["n"]), F.lit(1.0))  # what isn't a number equals nothing
-            same = F.when(flags, left["b"] == right["b"]).when(numbers, apart < EPSILON).otherwise(left["s"] == right["s"])
+            same = F.when(flags, left["b"] == right["b"]).when(numbers, apart < EPSILON).otherwise(text_of(left) == text_of(right))
             return F.coalesce(same if node.op == "=" else ~same, F.lit(False))
         test = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[node.op]
         ordered = ~(F.isnan(left["n"]) | F.isnan(right["n"]))
-        return F.coalesce(F.when(numbers, ordered & test(left["n"], right["n"])).otherwise(test(left["s"], right["s"])), F.lit(False))
+        return F.coalesce(F.when(numbers, ordered & test(left["n"], right["n"])).otherwise(test(text_of(left), text_of(right))), F.lit(False))
 
 
 def _attribute() -> Column:
@@ -330,7 +338,7 @@ def assignments(log: EventLog, query: StateQuery) -> DataFrame:
     )
     if object_names:
         rows = rows.select(*[F.coalesce(F.col(f"`{c}`"), typed()).alias(c) if c in {f"object.{n}" for n in object_names} else F.col(f"`{c}`") for c in rows.columns])
-    found = lambda i, v: F.struct(F.lit(i).alias("branch"), F.col("rel_seq"), v["s"].alias("value"))
+    found = lambda i, v: F.struct(F.lit(i).alias("branch"), F.col("rel_seq"), text_of(v).alias("value"))
     case = None
     for i, (condition, value) in enumerate(query.branches):
         compiler = Compiler(any(f.scope == "object" for f in fields(condition)))
