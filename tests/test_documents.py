@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from tracewright.model import LogError
+from tracewright.model import SCHEMAS, LogError
 from tracewright.operators import graphs, summary
 from tracewright.session import LogSession
 from tracewright.sources import documents, export
@@ -137,3 +137,50 @@ def test_documents_of_several_files_go_on_in_the_order_of_their_paths(spark, tmp
     assert [seqs[i] for i in first] == list(range(n)) and [seqs[f"{i}3"] for i in first] == list(range(2 * n, 3 * n))
     assert summary.object_lifecycle(log, "k12") == [f"{i}2" for i in ["a", "b", "c", "c", "e"]]
     assert summary.object_lifecycle(log, "k1") == ["a", "b", "c", "c", "e"]
+
+
+def odd_document(kind, indent, spark):
+    """Strings with every character that documents are cut at, other keys of the root, and nothing where much could be."""
+    d = doc()
+    for i in range(30):
+        links = [{"objectId": "k1"}, {"objectId": "ann", "qualifier": 'a>b <event id="q"> ] }'}] if i % 2 else []
+        d["events"].append({"id": f'x{i} }}{{["\\', "type": "Add Item", "time": "2024-05-01T00:00:00Z", "attributes": [{"name": "price", "value": i / 2}] if i % 3 else [], "relationships": links})
+    if kind == "json":
+        d = {"meta": {"a": {"b": "x}y"}, "k": '"events": [ {'}, "tags": ["a}", {"z": 1}], "version": "2.0"} | d | {"tail": [[{"q": 1}], []]}
+        return json.dumps(d, indent=indent, ensure_ascii=bool(indent)) + ("\n" if indent else "")
+    return export.export_xml(documents.read_text(spark, json.dumps(d)))
+
+
+@pytest.mark.parametrize("kind, indent, size", [("json", None, 90), ("json", 1, 700), ("xml", None, 90)])
+def test_several_tasks_read_a_file_as_one_does(spark, tmp_path, kind, indent, size):
+    path = tmp_path / f"log.{kind}"
+    path.write_text(odd_document(kind, indent, spark))
+    rows = lambda log: {t: sorted(map(repr, getattr(log, t).collect())) for t in SCHEMAS}
+    one = rows(documents.read_log(spark, f"file://{path}", kind, cut=False))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        assert spark.read.option("lineSep", "}" if kind == "json" else ">").text(f"file://{path}").rdd.getNumPartitions() > 5
+        assert rows(documents.read_log(spark, f"file://{path}", kind)) == one  # the file is larger than a task's share
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("text", ['{"objects": [], "events": [', '{"a": "b}', '{"objectTypes": [], "eventTypes": [], "objects": [{"id": 1,}], "events": []}', '{"objectTypes": [], "eventTypes": [], "objects": [5], "events": []}', ""])
+def test_several_tasks_see_that_a_document_is_broken(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(LogError, match="valid JSON|missing key"):
+        documents.read_log(spark, f"file://{tmp_path}/x.json", cut=True)
+
+
+def test_several_tasks_read_several_files_in_the_order_of_their_paths(spark, tmp_path):
+    for name, first in (("b", 100), ("a", 0)):
+        d = doc() | ({"objectTypes": [], "eventTypes": [], "objects": []} if first else {})
+        for i, e in enumerate(d["events"]):
+            e["id"] = f"e{first + i}"
+        (tmp_path / f"{name}.json").write_text(json.dumps(d))
+    log = documents.read_log(spark, f"file://{tmp_path}", "json", cut=True)
+    found = [r["event_id"] for r in log.events.orderBy("event_seq").collect()]
+    assert found == [f"e{first + i}" for first in (0, 100) for i in range(6)]

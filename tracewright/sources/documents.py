@@ -1,8 +1,8 @@
 """OCEL 2.0 documents, JSON and XML, plain or gzipped, to event logs.
 
-A document is one file and not splittable, so a scan is one task; what follows it is distributed. JSON values keep
-their scalar kind through ``variant``. Many documents of one log can be given as a folder or a list: positions go
-on from file to file in the order of their paths.
+A file that is larger than a task's share is cut at byte ranges, and several tasks read it (``split``); a smaller one
+is one task's. JSON values keep their scalar kind through ``variant``. Many documents of one log can be given as a
+folder or a list: positions go on from file to file in the order of their paths.
 """
 
 from __future__ import annotations
@@ -16,15 +16,17 @@ from pyspark.sql import types as T
 
 from ..model import SCHEMAS, EventLog, LogError
 from ..tables import shared_folder
+from .split import json_elements, largest_file, split_size, xml_elements
 from .values import KINDS, coerce, parse_time
 
-_TYPE = "array<struct<name: string, attributes: array<struct<name: string, type: string>>>>"
+_TYPE = "name: string, attributes: array<struct<name: string, type: string>>"
 _LINK = "array<struct<objectId: string, qualifier: string>>"
-JSON_SCHEMA = (
-    f"objectTypes {_TYPE}, eventTypes {_TYPE}, "
-    f"objects array<struct<id: string, type: string, attributes: array<struct<name: string, time: string, value: variant>>, relationships: {_LINK}>>, "
-    f"events array<struct<id: string, type: string, time: string, attributes: array<struct<name: string, value: variant>>, relationships: {_LINK}>>"
-)
+ELEMENTS = {
+    "objectTypes": _TYPE, "eventTypes": _TYPE,
+    "objects": f"id: string, type: string, attributes: array<struct<name: string, time: string, value: variant>>, relationships: {_LINK}",
+    "events": f"id: string, type: string, time: string, attributes: array<struct<name: string, value: variant>>, relationships: {_LINK}",
+}
+JSON_SCHEMA = ", ".join(f"{k} array<struct<{v}>>" for k, v in ELEMENTS.items())
 
 
 def detect_format(name: str | None, head: bytes = b"") -> str:
@@ -66,17 +68,35 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(first), F.col("path") == F.col("p")).withColumn("seq", F.col("first") + F.col("at")).drop("p", "first", "path", "at")
 
 
-def _json_parts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def _require(keys) -> None:
+    for k in ELEMENTS:
+        if k not in keys:
+            raise LogError(f"missing key '{k}'")
+
+
+def _json_rows(spark: SparkSession, path: str, cut: bool):
+    """The elements of a key, with ``seq``: read by several tasks if ``cut``, else by one for each file."""
+    if cut:
+        elements, found = json_elements(spark, path)
+        _require(found)
+        parsed = {}
+        for k, kind in ELEMENTS.items():
+            x = F.from_json("text", f"{kind}, _corrupt_record: string".replace(": ", " "), {"columnNameOfCorruptRecord": "_corrupt_record"})
+            parsed[k] = elements.filter(F.col("key") == k).select("seq", x.alias("x")).select("seq", "x.*")
+            if not parsed[k].filter("_corrupt_record IS NOT NULL").isEmpty():
+                raise LogError("the document isn't valid JSON")
+        return lambda k: parsed[k].drop("_corrupt_record")
     raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(JSON_SCHEMA + ", _corrupt_record string").json(path)
     raw = raw.withColumn("path", F.col("_metadata.file_path"))
-    keys = ["objectTypes", "eventTypes", "objects", "events"]
-    missing = raw.select(*[F.max(F.col(k).isNull()).alias(k) for k in keys], F.max("_corrupt_record").alias("bad")).first()
+    missing = raw.select(*[F.max(F.col(k).isNull()).alias(k) for k in ELEMENTS], F.max("_corrupt_record").alias("bad")).first()
     if missing["bad"] is not None:
         raise LogError("the document isn't valid JSON")
-    for k in keys:
-        if missing[k]:
-            raise LogError(f"missing key '{k}'")
-    part = lambda k: _numbered(raw.select("path", F.posexplode(k).alias("at", "x")).select("path", F.col("at").cast("long"), "x.*"))
+    _require([k for k in ELEMENTS if not missing[k]])
+    return lambda k: _numbered(raw.select("path", F.posexplode(k).alias("at", "x")).select("path", F.col("at").cast("long"), "x.*"))
+
+
+def _json_parts(spark: SparkSession, path: str, cut: bool) -> dict[str, DataFrame]:
+    part = _json_rows(spark, path, cut)
     kind = lambda v: F.schema_of_variant(v)
 
     def attributes(df, timed):
@@ -94,17 +114,27 @@ def _json_parts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def _xml_parts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    relations = "array<struct<`_object-id`: string, _qualifier: string, _relationship: string>>"
+def _xml_rows(spark: SparkSession, path: str, cut: bool):
+    """The elements of a row tag, with ``seq``: read by several tasks if ``cut``, else by one for each file."""
+    how = {"valueTag": "_VALUE", "ignoreSurroundingSpaces": "false"}
+    if cut:
+        elements = xml_elements(spark, path)
+        parsed = lambda tag, schema: elements.filter(F.col("key") == tag).select("seq", F.from_xml("text", schema, how).alias("x")).select("seq", "x.*")
+        return lambda tag, schema: parsed(tag, schema)
     in_file = F.row_number().over(Window.partitionBy("path").orderBy("row")).cast("long") - 1  # rows come in the file's order
     placed = lambda df: _numbered(df.withColumn("path", F.col("_metadata.file_path")).withColumn("row", F.monotonically_increasing_id()).withColumn("at", in_file).drop("row"))
-    read = lambda tag, schema: placed(spark.read.format("xml").option("rowTag", tag).option("valueTag", "_VALUE").option("ignoreSurroundingSpaces", False).schema(schema).load(path))
+    if spark.read.format("xml").option("rowTag", "log").schema("events string, objects string").load(path).limit(1).count() == 0:
+        raise LogError("the root isn't <log>")
+    return lambda tag, schema: placed(spark.read.format("xml").option("rowTag", tag).options(**how).schema(schema).load(path))
+
+
+def _xml_parts(spark: SparkSession, path: str, cut: bool) -> dict[str, DataFrame]:
+    relations = "array<struct<`_object-id`: string, _qualifier: string, _relationship: string>>"
+    read = _xml_rows(spark, path, cut)
     listed = "struct<attribute: array<struct<_name: string, _type: string>>>"
     types = lambda tag: read(tag, f"_name string, attributes {listed}").select(
         F.col("_name").alias("type_name"), F.col("seq").alias("type_seq"), F.transform("attributes.attribute", lambda a: F.struct(a["_name"].alias("name"), a["_type"].alias("type"))).alias("attributes")
     )
-    if spark.read.format("xml").option("rowTag", "log").schema("events string, objects string").load(path).limit(1).count() == 0:
-        raise LogError("the root isn't <log>")
     value = "_name: string, _VALUE: string"
     events = read("event", f"_id string, _type string, _time string, attributes struct<attribute: array<struct<{value}>>>, objects struct<relationship: {relations}>")
     objects = read("object", f"_id string, _type string, attributes struct<attribute: array<struct<_time: string, {value}>>>, objects struct<relationship: {relations}>")
@@ -142,17 +172,22 @@ def _typed(attrs: DataFrame, types: DataFrame) -> DataFrame:
     return rows.select("*", *[c.alias(n) for n, c in coerce(F.col("attr_type"), F.col("source"), F.col("text")).items()])
 
 
-def read_log(spark: SparkSession, path: str, hint: str | None = None, validate: bool = True) -> EventLog:
-    """An event log from an OCEL 2.0 document. Raises LogError for the first fault, in a fixed order of checks."""
+def read_log(spark: SparkSession, path: str, hint: str | None = None, validate: bool = True, cut: bool | None = None) -> EventLog:
+    """An event log from an OCEL 2.0 document. Raises LogError for the first fault, in a fixed order of checks.
+
+    ``cut``: whether several tasks read a file; the log is the same. If not said, they do where a file is larger than
+    ``spark.sql.files.maxPartitionBytes``.
+    """
+    cut = largest_file(spark, path) > split_size(spark) if cut is None else cut
     head = b""
     if not hint:
         try:
             hint = detect_format(path)
         except LogError:
-            head = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+            head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("head")).first()["head"])
             hint = detect_format(None, head)
     kind = detect_format(hint)
-    parts = (_json_parts if kind == "json" else _xml_parts)(spark, path)
+    parts = (_json_parts if kind == "json" else _xml_parts)(spark, path, cut)
     event_types, object_types = _types(parts["event_types"]), _types(parts["object_types"])
     events = parts["events"].withColumn("time_ms", parse_time(F.col("time")))
     e2o = _relations(events.select(F.col("id").alias("event_id"), F.col("seq").alias("event_seq"), "relationships"), ["event_id", "event_seq"])
