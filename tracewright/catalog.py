@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import EventLog, lifecycle
-from .operators import detection, episodes, features, filters, graphs, patterns, summary
+from .operators import detection, episodes, features, filters, graphs, layout, patterns, summary
 from .plans import stateql
 from .sources.adapters import clickstream, orders
 
@@ -50,6 +50,10 @@ def _seq(df: DataFrame) -> DataFrame:
     return df.select("id", "label", "leading_object_type", "state", "to_state", F.array_join("sequence", "|").alias("sequence"), patterns.edge_text("eo").alias("eo"), patterns.edge_text("oo").alias("oo"), "support", "mass")
 
 
+def _drawn(log: EventLog) -> layout.Layout:
+    return layout.layout(graphs.oc_dfg(log), layout.colours(log))
+
+
 NODES = [
     features.CausalNode("clicks", "observable", "activity.click", "sqrt"), features.CausalNode("views", "observable", "activity.view", "log_e"),
     features.CausalNode("interest", "latent"), features.CausalNode("sales", "outcome", "activity.purchase"),
@@ -84,6 +88,8 @@ QUERIES = {
     "oc_dfg_nodes": lambda s, d: _six(graphs.oc_dfg(clickstream(s, d)).nodes, "avg_order"),
     "oc_dfg_edges": lambda s, d: graphs.oc_dfg(clickstream(s, d)).edges,
     "oc_dfg_orders": lambda s, d: graphs.oc_dfg(orders(s, d)).edges,
+    "oc_dfg_layout": lambda s, d: _drawn(clickstream(s, d)).nodes.withColumn("lines", F.array_join("lines", "|")),
+    "oc_dfg_routes": lambda s, d: _drawn(clickstream(s, d)).edges.select("id", "source", "target", "weight", "object_type", "color", "path", "label_x", "label_y"),
     "oc_dfg_filtered": lambda s, d: graphs.oc_dfg(clickstream(s, d), ["user", "key"], 1, 100).edges,
     "state_query_event": _states("STATE state FOR LEADING OBJECT TYPE 'user' AS CASE WHEN event.value >= 50 AND event.type != 'view' THEN event.type WHEN event.k < 10 THEN 'low' ELSE 'rest' END"),
     "state_query_asof_object": _states(QUERY),
@@ -157,6 +163,19 @@ SELECT label, kind, count(*) AS count, round(avg(o), 6) AS avg_order FROM (
   SELECT event_type AS label, 'activity' AS kind, pos + 1 AS o FROM life
   UNION ALL SELECT 'START' || chr(10) || object_type, 'start', 0 FROM life WHERE pos = 0
   UNION ALL SELECT 'END' || chr(10) || object_type, 'end', max(pos) + 2 FROM life GROUP BY object_id, object_type) GROUP BY label, kind"""
+#: The labels of this log fit a line, but for the breaks that they have.
+_DRAWN = f"""
+types AS (
+  SELECT object_type, printf('hsl(%d 68%% 38%%)', (214 + 137 * (row_number() OVER (ORDER BY first) - 1)) % 360) AS color
+  FROM (SELECT object_type, CASE object_type WHEN 'user' THEN 0 ELSE 1 END AS first FROM rel GROUP BY ALL)),
+spots AS ({SPOTS}),
+layers AS (SELECT *, floor(avg_order * 2 + 0.5) AS layer FROM spots),
+rws AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY count DESC, label) - 1 AS i, count(*) OVER (PARTITION BY layer) AS n, dense_rank() OVER (ORDER BY layer) - 1 AS lx FROM layers),
+places AS (
+  SELECT 'n' || row_number() OVER (ORDER BY lx, i) AS id, label, kind, CASE kind WHEN 'activity' THEN 'rect' ELSE 'ellipse' END AS shape, coalesce(t.color, '#42635c') AS color, t.object_type, count,
+    76.0::DOUBLE + lx * 340 AS x, 76.0::DOUBLE + (max(n) OVER () - n) * 158.0::DOUBLE / 2 + CASE WHEN lx % 2 = 1 AND n > 1 THEN 158 * 0.12::DOUBLE ELSE 0 END + i * 158 AS y,
+    CASE kind WHEN 'activity' THEN 215.0 ELSE 168.0 END::DOUBLE AS width, CASE kind WHEN 'activity' THEN 72.0 ELSE 76.0 END::DOUBLE AS height, replace(label, chr(10), '|') AS lines
+  FROM rws LEFT JOIN types t ON kind <> 'activity' AND label LIKE '%' || chr(10) || t.object_type)"""
 STEPS = """
 sx AS (
   SELECT *, event_type || ' [' || state || ']' AS label, lead(event_type || ' [' || state || ']') OVER w AS nl, lead(state) OVER w AS ns
@@ -232,6 +251,19 @@ SELECT object_id, state, arg_min(t, pos) AS start_ms, arg_max(t, pos) AS end_ms,
     "oc_dfg_nodes": f"WITH {LOG}" + SPOTS,
     "oc_dfg_edges": f"WITH {LOG}" + EDGE.format("life"),
     "oc_dfg_orders": f"WITH {_ORDERS}" + EDGE.format("olife"),
+    "oc_dfg_layout": f"WITH {LOG}, {_DRAWN} SELECT id, label, kind, shape, color, object_type, count, x, y, width, height, lines FROM places",
+    "oc_dfg_routes": f"""WITH {LOG}, {_DRAWN},
+e AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY object_type) - 1 AS i, count(*) OVER (PARTITION BY source, target) AS k FROM ({EDGE.format('life')})),
+b AS (
+  SELECT e.source, e.target, e.object_type, e.weight, s.id AS sid, t.id AS tid, s.x AS sx, s.y AS sy, s.width AS sw, s.y + s.height / 2 AS sm, t.x AS tx, t.width AS tw, t.y + t.height / 2 AS tm, (i - (k - 1) / 2) * 30 AS lane, types.color
+  FROM e JOIN places s ON s.label = e.source JOIN places t ON t.label = e.target JOIN types ON types.object_type = e.object_type),
+p AS (
+  SELECT *, CASE WHEN sid = tid OR sx + sw <= tx THEN sx + sw ELSE sx END AS x0, CASE WHEN sid = tid THEN sx WHEN sx + sw <= tx THEN tx ELSE tx + tw END AS x3 FROM b),
+q AS (
+  SELECT *, CASE WHEN sid = tid THEN x0 + 44 ELSE (x0 + x3) / 2 END AS x1, CASE WHEN sid = tid THEN sx + sw / 2 ELSE (x0 + x3) / 2 END AS x2,
+    CASE WHEN sid = tid THEN sm - 42 + lane ELSE sm + lane END AS y1, CASE WHEN sid = tid THEN sy - 28 + lane ELSE tm + lane END AS y2, CASE WHEN sid = tid THEN sm - 16 ELSE tm END AS y3 FROM p)
+SELECT 'e' || row_number() OVER (ORDER BY weight DESC, sid, tid, object_type) AS id, sid AS source, tid AS target, weight, object_type, color,
+  printf('M %.1f %.1f C %.1f %.1f %.1f %.1f %.1f %.1f', x0, sm, x1, y1, x2, y2, x3, y3) AS path, (x1 + x2) / 2 AS label_x, (y1 + y2) / 2 - 6 AS label_y FROM q""",
     "oc_dfg_filtered": f"WITH {LOG}" + EDGE.format("life") + " HAVING count(*) >= 100",
     "state_query_event": f"WITH {LOG} SELECT event_id, CASE WHEN value >= 50 AND event_type <> 'view' THEN event_type WHEN coalesce(k < 10, false) THEN 'low' ELSE 'rest' END AS state FROM ev",
     "state_query_asof_object": f"WITH {STATED} SELECT event_id, state FROM st WHERE state IS NOT NULL",

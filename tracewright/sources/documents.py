@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import SCHEMAS, EventLog, LogError
-from ..tables import shared_folder
+from ..tables import shared_folder, written
 from .split import json_elements, largest_file, split_size, xml_elements
 from .values import KINDS, coerce, parse_time
 
@@ -188,6 +188,7 @@ def read_log(spark: SparkSession, path: str, hint: str | None = None, validate:
             hint = detect_format(None, head)
     kind = detect_format(hint)
     parts = (_json_parts if kind == "json" else _xml_parts)(spark, path, cut)
+    parts = {name: written(df, name) for name, df in parts.items()}  # parsed once for all checks and tables
     event_types, object_types = _types(parts["event_types"]), _types(parts["object_types"])
     events = parts["events"].withColumn("time_ms", parse_time(F.col("time")))
     e2o = _relations(events.select(F.col("id").alias("event_id"), F.col("seq").alias("event_seq"), "relationships"), ["event_id", "event_seq"])
