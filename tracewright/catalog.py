@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .model import EventLog, lifecycle
 from .operators import detection, episodes, features, filters, graphs, layout, patterns, summary
 from .plans import stateql
+from .session import LogSession
 from .sources.adapters import clickstream, orders
 
 QUERY = """
@@ -54,6 +55,15 @@ def _drawn(log: EventLog) -> layout.Layout:
     return layout.layout(graphs.oc_dfg(log), layout.colours(log))
 
 
+def _answer(endpoint: str, request: dict | None = None):
+    """An endpoint's document over the log with states."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return LogSession(_stated(spark, sf_dir)).answer(endpoint, request)
+
+    return run
+
+
 NODES = [
     features.CausalNode("clicks", "observable", "activity.click", "sqrt"), features.CausalNode("views", "observable", "activity.view", "log_e"),
     features.CausalNode("interest", "latent"), features.CausalNode("sales", "outcome", "activity.purchase"),
@@ -99,6 +109,8 @@ QUERIES = {
     "state_aware_dfg_nodes": lambda s, d: _six(graphs.state_aware_oc_dfg(_stated(s, d), ["user"]).nodes, "avg_order"),
     "episodes": lambda s, d: episodes.episodes(_stated(s, d), "user").select("object_id", "episode", "state", "start_ms", "last_ms", "event_count", "dwell_ms", "next_state"),
     "transition_kpis": lambda s, d: episodes.transition_kpis(_stated(s, d), "user"),
+    "transition_matrix": lambda s, d: _six(episodes.transition_matrix(_stated(s, d), "user"), "intensity"),
+    "performance_quartiles": lambda s, d: episodes.sample_quartiles(_stated(s, d), "user", "Failed", "Valued"),
     "dwell_kpis": lambda s, d: episodes.dwell_kpis(_stated(s, d), "user"),
     "recovery": lambda s, d: episodes.recovery(_stated(s, d), "user"),
     "stuck_states": lambda s, d: episodes.stuck(_stated(s, d), "user", 25),
@@ -108,6 +120,11 @@ QUERIES = {
     "dominant_state": lambda s, d: episodes.dominant_states(_stated(s, d), "user"),
     "patterns_intra": lambda s, d: _seq(patterns.patterns(_stated(s, d), "intra")),
     "patterns_inter": lambda s, d: _seq(patterns.patterns(_stated(s, d), "inter")),
+    "patterns_document": _answer("state_patterns"),
+    "lifecycle_document": _answer("object_lifecycle_detail", {"object_id": "u1"}),
+    "time_document": _answer("time_perspective", {"object_type": "user", "from_state": "Failed", "to_state": "Valued", "buckets": 32}),
+    "kpi_document": _answer("state_transition_kpis", {"object_type": "user", "stuck_limit": 25}),
+    "correlation_document": _answer("state_correlations"),
     "feature_table": lambda s, d: features.object_features(orders(s, d), "order"),
     "feature_table_wide": lambda s, d: features.feature_table(clickstream(s, d), "user").toDF("object_id", "click", "error", "purchase", "signup", "view", "keys", "last_purchase"),
     "state_correlation": lambda s, d: features.state_correlations(_stated(s, d), "user"),
@@ -115,7 +132,7 @@ QUERIES = {
     "causal_fit_edges": lambda s, d: features.fit_causal_model(clickstream(s, d), "user", NODES, EDGES)[1],
     "lifecycle_windows": lambda s, d: detection.windows(clickstream(s, d), "user", 4).groupBy("object_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("start").alias("starts"), F.sum("end_ms").alias("ends")),
     "window_features": lambda s, d: detection.window_features(clickstream(s, d), "user", 4),
-    "pca_projection": lambda s, d: detection.detect(clickstream(s, d), "user").points,
+    "pca_projection": lambda s, d: _six(detection.project(clickstream(s, d), "user").points, "pc1", "pc2").select("object_id", "start", (F.col("pc1") + F.lit(0.0)).alias("pc1"), (F.col("pc2") + F.lit(0.0)).alias("pc2")),
     "som_cells": lambda s, d: detection.cells(detection.detect(clickstream(s, d), "user", width=3, height=3)),
     "som_transitions": lambda s, d: detection.transitions(detection.detect(clickstream(s, d), "user", width=3, height=3)),
     "cell_boundary_windows": lambda s, d: detection.boundary_windows(detection.detect(clickstream(s, d), "user", width=3, height=3), 1, 1),
@@ -182,6 +199,19 @@ sx AS (
   FROM slife WHERE object_type = 'user' WINDOW w AS (PARTITION BY object_id ORDER BY pos)),
 sc AS (SELECT *, CASE WHEN ns <> state THEN 'CHANGE ' || state || ' -> ' || ns END AS ch FROM sx)"""
 
+_SPANS = """
+u AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n FROM life WHERE object_type = 'user'),
+w AS (SELECT a.object_id, a.pos AS start, b.pos AS last, b.t AS e FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos = least(a.pos + 3, a.n - 1) WHERE a.pos <= greatest(a.n - 4, 0)),
+we AS (SELECT w.object_id, w.start, u.seq, u.event_type FROM w JOIN u ON u.object_id = w.object_id AND u.pos BETWEEN w.start AND w.last)"""
+_VALUES = """
+SELECT object_id, start, 'activity.' || event_type AS feature, count(*)::DOUBLE AS value FROM we GROUP BY object_id, start, event_type
+UNION ALL SELECT we.object_id, start, 'related_objects.' || r.object_type, count(DISTINCT r.object_id)::DOUBLE FROM we JOIN rel r ON r.seq = we.seq AND r.object_id <> we.object_id GROUP BY we.object_id, start, r.object_type
+UNION ALL SELECT w.object_id, start, 'attribute.last_purchase', b.last_purchase FROM w ASOF JOIN (SELECT 'u' || user_id AS o, t, last_purchase FROM bought) b ON b.o = w.object_id AND w.e >= b.t"""
+
+_FOUND = """
+s AS (SELECT a.object_id, a.pos, a.t, min(b.pos) AS m FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos > a.pos AND b.state = 'Valued' WHERE a.state = 'Failed' GROUP BY ALL),
+d AS (SELECT s.object_id, s.t, u.t AS m, u.t - s.t AS d FROM s JOIN u ON u.object_id = s.object_id AND u.pos = s.m)"""
+
 
 def _counts(kept_events: str, chosen: str, drop_bare: bool) -> str:
     """SQL of a filtered log's counts: conditions on ``ev`` rows and on objects (object_id, object_type)."""
@@ -280,6 +310,13 @@ SELECT label, kind, count(*) AS count, round(avg(o), 6) AS avg_order FROM (
   UNION ALL SELECT 'END' || chr(10) || 'user', 'end', 2 * pos + 2 FROM sc WHERE nl IS NULL UNION ALL SELECT ch, 'state_change', 2 * pos + 2 FROM sc WHERE ch IS NOT NULL) GROUP BY label, kind""",
     "episodes": f"WITH {STATED} SELECT object_id, episode, state, start_ms, last_ms, event_count, dwell_ms, next_state FROM uep",
     "transition_kpis": f"WITH {STATED} SELECT state AS from_state, next_state AS to_state, count(*) AS count, count(DISTINCT object_id) AS object_count, {STATS.format('dwell_ms')} FROM uep WHERE next_state IS NOT NULL GROUP BY state, next_state",
+    "transition_matrix": f"""WITH {STATED}, s AS (SELECT DISTINCT state FROM uep),
+p AS (SELECT state AS a, next_state AS b, count(*) AS n, count(DISTINCT object_id) AS o, list_sort(list(dwell_ms))[count(*) // 2 + 1] AS m FROM uep WHERE next_state IS NOT NULL GROUP BY ALL)
+SELECT x.state AS from_state, y.state AS to_state, coalesce(n, 0) AS count, coalesce(o, 0) AS object_count, m AS median_ms, round(coalesce(n / (SELECT max(n) FROM p), 0), 6) AS intensity
+FROM s x CROSS JOIN s y LEFT JOIN p ON a = x.state AND b = y.state""",
+    "performance_quartiles": f"""WITH {STATED}, u AS (SELECT * FROM slife WHERE object_type = 'user'), {_FOUND}, q AS (SELECT list_sort(list(d)) AS l FROM d WHERE d >= 0)
+SELECT object_id, t AS start_time_ms, m AS middle_time_ms, NULL::BIGINT AS end_time_ms, d AS duration_ms,
+  CASE WHEN d <= l[len(l) // 4 + 1] THEN 1 WHEN d <= l[len(l) // 2 + 1] THEN 2 WHEN d <= l[len(l) * 3 // 4 + 1] THEN 3 ELSE 4 END AS quartile FROM d, q WHERE d >= 0""",
     "dwell_kpis": f"WITH {STATED} SELECT state, count(*) AS episode_count, count(DISTINCT object_id) AS object_count, sum(dwell_ms)::BIGINT AS total_ms, {STATS.format('dwell_ms')} FROM uep GROUP BY state",
     "recovery": f"WITH {STATED} SELECT state AS from_state, next_state AS to_state, count(*) AS count, count(DISTINCT object_id) AS object_count, {STATS.format('dwell_ms')} FROM uep WHERE regexp_matches(lower(next_state), 'normal|available|standard') GROUP BY state, next_state",
     "stuck_states": f"WITH {STATED} SELECT object_id, state, start_ms AS entered_time_ms, last_ms AS last_time_ms, dwell_ms AS duration_ms, event_count FROM uep WHERE next_state IS NULL ORDER BY dwell_ms DESC, object_id LIMIT 25",
@@ -334,13 +371,87 @@ UNION ALL SELECT 'sales', 'sales', 'outcome', 'activity.purchase', 'identity', r
     "causal_fit_edges": f"""WITH {LOG}, {_USERS}, {_FIT},
 c AS (SELECT 'clicks' AS source, 'interest' AS target, corr(clicks, interest) AS r, count(*) AS n FROM full_ UNION ALL SELECT 'views', 'interest', corr(views, interest), count(*) FROM full_ UNION ALL SELECT 'interest', 'sales', corr(interest, sales), count(*) FROM full_)
 SELECT source, target, round(r, 6) AS correlation, round(abs(r), 6) AS intensity, round(exp(0 - (r * r * (n - 2) / greatest(1 - r * r, 1e-12)) / 2), 6) AS p_value, n AS sample_count FROM c""",
-    "window_features": f"""WITH {ASOF}, u AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n FROM life WHERE object_type = 'user'),
-w AS (SELECT a.object_id, a.pos AS start, b.pos AS last, b.t AS e FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos = least(a.pos + 3, a.n - 1) WHERE a.pos <= greatest(a.n - 4, 0)),
-we AS (SELECT w.object_id, w.start, u.seq, u.event_type FROM w JOIN u ON u.object_id = w.object_id AND u.pos BETWEEN w.start AND w.last)
-SELECT object_id, start, 'activity.' || event_type AS feature, count(*)::DOUBLE AS value FROM we GROUP BY object_id, start, event_type
-UNION ALL SELECT we.object_id, start, 'related_objects.' || r.object_type, count(DISTINCT r.object_id)::DOUBLE FROM we JOIN rel r ON r.seq = we.seq AND r.object_id <> we.object_id GROUP BY we.object_id, start, r.object_type
-UNION ALL SELECT w.object_id, start, 'attribute.last_purchase', b.last_purchase FROM w ASOF JOIN (SELECT 'u' || user_id AS o, t, last_purchase FROM bought) b ON b.o = w.object_id AND w.e >= b.t""",
+    "window_features": f"WITH {ASOF}, {_SPANS} {_VALUES}",
+    # the power iteration, 80 steps from the same vector, and once more without the first component
+    "pca_projection": f"""WITH RECURSIVE {ASOF}, {_SPANS}, wf AS ({_VALUES}),
+nm AS (SELECT feature, row_number() OVER (ORDER BY CASE split_part(feature, '.', 1) WHEN 'activity' THEN 0 WHEN 'related_objects' THEN 1 ELSE 2 END, feature) AS i FROM (SELECT DISTINCT feature FROM wf)),
+nn AS (SELECT count(*)::DOUBLE AS n FROM w), x AS (SELECT object_id, start, i, value FROM wf JOIN nm USING (feature)),
+mn AS (SELECT i, sum(value) / any_value(n) AS mean FROM x, nn GROUP BY i),
+gr AS (SELECT a.i, b.i AS j, sum(a.value * b.value) AS s FROM x a JOIN x b ON a.object_id = b.object_id AND a.start = b.start GROUP BY ALL),
+cv AS (SELECT a.i, b.i AS j, coalesce(s, 0) / n - a.mean * b.mean AS c FROM mn a CROSS JOIN mn b CROSS JOIN nn LEFT JOIN gr ON gr.i = a.i AND gr.j = b.i),
+sd AS (SELECT i, CASE WHEN sqrt(greatest(c, 0)) <= 2.220446049250313e-16 THEN 1 ELSE sqrt(greatest(c, 0)) END AS sd FROM cv WHERE i = j),
+rw AS (SELECT cv.i, list(c / (a.sd * b.sd) * n / greatest(1, n - 1) ORDER BY j) AS r FROM cv JOIN sd a ON a.i = cv.i JOIN sd b ON b.i = cv.j, nn GROUP BY cv.i),
+mx AS (SELECT list(r ORDER BY i) AS m, list_transform(range(1, count(*) + 1), lambda y: y / count(*)) AS v0 FROM rw),
+p1 AS (
+  SELECT 0 AS k, list_transform(v0, lambda y: y / sqrt(list_dot_product(v0, v0))) AS v FROM mx
+  UNION ALL SELECT k + 1, list_transform(u, lambda y: y / sqrt(list_dot_product(u, u))) FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM p1, mx WHERE k < 80)),
+c1 AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM p1, mx WHERE k = 80),
+m2 AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda y, j: y - l * v[i] * v[j])) AS m, v0 FROM mx, c1),
+p2 AS (
+  SELECT 0 AS k, list_transform(v0, lambda y: y / sqrt(list_dot_product(v0, v0))) AS v FROM m2
+  UNION ALL SELECT k + 1, list_transform(u, lambda y: y / sqrt(list_dot_product(u, u))) FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM p2, m2 WHERE k < 80)),
+wt AS (SELECT sd.i, c1.v[sd.i] / sd AS a, q.v[sd.i] / sd AS b, mean FROM sd JOIN mn USING (i), c1, (SELECT v FROM p2 WHERE k = 80) q),
+sm AS (SELECT object_id, start, sum(value * a) AS a, sum(value * b) AS b FROM x JOIN wt USING (i) GROUP BY ALL),
+sh AS (SELECT sum(mean * a) AS a, sum(mean * b) AS b FROM wt)
+SELECT w.object_id, w.start, round(coalesce(sm.a, 0) - sh.a, 6) + 0.0 AS pc1, round(coalesce(sm.b, 0) - sh.b, 6) + 0.0 AS pc2
+FROM w LEFT JOIN sm ON sm.object_id = w.object_id AND sm.start = w.start, sh""",
     "lifecycle_windows": f"""WITH {LOG}, u AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n FROM life WHERE object_type = 'user'),
 w AS (SELECT a.object_id, a.pos AS start, b.t AS e FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos = least(a.pos + 3, a.n - 1) WHERE a.pos <= greatest(a.n - 4, 0))
 SELECT object_id, count(*) AS windows, sum(start)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM w GROUP BY object_id""",
 }
+
+
+def _listed(part: str, shown: str, order: str, rows: str) -> str:
+    """SQL of a document's list: ``shown`` is a struct."""
+    return f"SELECT '{part}' AS part, row_number() OVER (ORDER BY {order}) - 1 AS place, to_json({shown})::VARCHAR AS json FROM ({rows})"
+
+
+#: DuckDB writes decimals of JSON as doubles: their text goes in as it is.
+def _plain(sql: str, *numbers: str) -> str:
+    for n in numbers:
+        sql = f"SELECT part, place, regexp_replace(json, '\"{n}\":\"([^\"]*)\"', '\"{n}\":\\1', 'g') AS json FROM ({sql})"
+    return sql
+
+
+def _text(c: str) -> str:
+    return f"{c}::DECIMAL(38,6)::VARCHAR"
+
+
+_STATS = "min_duration_ms: min_ms, median_duration_ms: median_ms, max_duration_ms: max_ms, avg_duration_ms: " + _text("avg_ms")
+_HEAD = "(SELECT count(DISTINCT object_id) FROM rel WHERE object_type = 'user')"
+ORACLES["kpi_document"] = _plain(
+    " UNION ALL ".join([
+        f"SELECT '' AS part, 0 AS place, to_json({{object_type: 'user', object_count: o, stateful_object_count: n, state_count: len(s), states: s}})::VARCHAR AS json FROM (WITH {STATED} SELECT {_HEAD} AS o, count(DISTINCT object_id) AS n, list_sort(list(DISTINCT state)) AS s FROM uep)",
+        _listed("transitions", f"{{from_state: from_state, to_state: to_state, count: count, object_count: object_count, {_STATS}}}", "count DESC, from_state, to_state", ORACLES["transition_kpis"]),
+        _listed("recovery_times", f"{{from_state: from_state, to_state: to_state, count: count, object_count: object_count, {_STATS}}}", "count DESC, from_state, to_state", ORACLES["recovery"]),
+        _listed("dwell_times", f"{{state: state, episode_count: episode_count, object_count: object_count, total_duration_ms: total_ms, {_STATS}}}", "total_ms DESC, state", ORACLES["dwell_kpis"]),
+        _listed("stuck_objects", "{object_id: object_id, state: state, entered_time_ms: entered_time_ms, last_time_ms: last_time_ms, duration_ms: duration_ms, event_count: event_count}", "duration_ms DESC, object_id", ORACLES["stuck_states"]),
+    ]), "avg_duration_ms",
+)
+ORACLES["correlation_document"] = _plain(
+    " UNION ALL ".join([
+        f"SELECT '' AS part, 0 AS place, to_json({{object_type: 'user', object_count: o, stateful_object_count: n, state_count: s, feature_count: f}})::VARCHAR AS json FROM (WITH {STATED} SELECT {_HEAD} AS o), (SELECT count(*) AS n, count(DISTINCT state) AS s FROM ({ORACLES['dominant_state']})), (SELECT count(*) AS f FROM ({ORACLES['state_correlation']}))",
+        _listed("state_distribution", "{state: state, count: n}", "state", f"SELECT state, count(*) AS n FROM ({ORACLES['dominant_state']}) GROUP BY state"),
+        _listed("rows", f"{{feature: feature, state: state, correlation: {_text('correlation')}, strength: {_text('strength')}, sample_count: sample_count, state_count: state_count, mean_in_state: {_text('mean_in_state')}, mean_outside_state: {_text('mean_outside_state')}}}", "strength DESC, feature", ORACLES["state_correlation"]),
+    ]), "correlation", "strength", "mean_in_state", "mean_outside_state",
+)
+ORACLES["time_document"] = _plain(
+    " UNION ALL ".join([
+        f"""SELECT '' AS part, 0 AS place, to_json({{object_type: 'user', event_min_ms: lo, event_max_ms: hi, states: s, performance: {{object_type: 'user', from_state: 'Failed', to_state: 'Valued', roundtrip: false,
+          sample_count: sample_count, min_duration_ms: min_ms, median_duration_ms: median_ms, avg_duration_ms: avg, max_duration_ms: max_ms}}}})::VARCHAR AS json
+        FROM (WITH {LOG} SELECT min(t) AS lo, max(t) AS hi FROM ev), (WITH {STATED} SELECT list_sort(list(DISTINCT state)) AS s FROM st WHERE state IS NOT NULL), ({ORACLES['performance_spectrum']}),
+          (SELECT avg(duration_ms) AS avg FROM ({ORACLES['performance_quartiles']}))""",
+        _listed("buckets", "{start_ms: start_ms, end_ms: end_ms, total: total, percentages: p}", "start_ms, end_ms", f"SELECT start_ms, end_ms, total, list({{state: state, percentage: {_text('percentage')}, count: count}} ORDER BY state) AS p FROM ({ORACLES['time_buckets']}) GROUP BY bucket, start_ms, end_ms, total"),
+        _listed("samples", "{object_id: object_id, start_time_ms: start_time_ms, middle_time_ms: middle_time_ms, end_time_ms: end_time_ms, duration_ms: duration_ms}", "start_time_ms, duration_ms, object_id, middle_time_ms", ORACLES["performance_quartiles"]),
+    ]), "percentage",
+)
+_OWN = "own AS (SELECT l.pos, l.seq, l.event_id, l.event_type, l.t, st.state, e.value, e.k FROM life l JOIN ev e USING (seq) JOIN st USING (seq) WHERE l.object_id = 'u1')"
+_VALUE = "CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END"
+ORACLES["lifecycle_document"] = " UNION ALL ".join([
+    f"SELECT '' AS part, 0 AS place, to_json({{object_id: 'u1', object_type: 'user', event_count: n, event_min_ms: lo, event_max_ms: hi}})::VARCHAR AS json FROM (WITH {STATED}, {_OWN} SELECT count(*) AS n, min(t) AS lo, max(t) AS hi FROM own)",
+    _listed("events", "{event_id: event_id, event_type: event_type, time_ms: t, state: state, attributes: a, related_objects: r}", "pos", f"""WITH {STATED}, {_OWN} SELECT *,
+      list_concat([{{name: 'value', value: {_VALUE}}}, {{name: 'k', value: k::VARCHAR}}], CASE WHEN state IS NULL THEN [] ELSE [{{name: 'state', value: state}}] END) AS a,
+      CASE WHEN k IS NULL THEN [] ELSE [{{object_id: 'k' || k, object_type: 'key', qualifier: 'subject'}}] END AS r FROM own"""),
+    _listed("state_bands", "{state: state, start_ms: start_ms, end_ms: end_ms, event_count: event_count}", "start_ms, end_ms, state", f"SELECT * FROM ({ORACLES['state_bands']}) WHERE object_id = 'u1'"),
+    _listed("related_objects", "{object_id: object_id, object_type: object_type, qualifier: qualifier, event_count: count}", "object_id, qualifier", ORACLES["lifecycle_related"]),
+])

@@ -13,13 +13,13 @@ import tempfile
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import EPSILON, format_number, numeric_value, value_label
-from ..model import EventLog, lifecycle
+from ..model import EventLog, LogError, lifecycle
+from ..tables import written
 from .features import CATEGORIES, feature_columns, object_features
 
 PIECE = 1 << 16  # points that are read at a time
@@ -143,33 +143,48 @@ def _in_order(points: DataFrame, path: str) -> np.ndarray:
     return np.memmap(path, np.float64, "r").reshape(-1, 2) if os.path.getsize(path) else np.zeros((0, 2))
 
 
-def detect(log: EventLog, object_type: str, size: int = 4, width: int | None = None, height: int | None = None, epochs: int = 120) -> Detection:
-    """Project all windows to two components and assign each to a cell of a map."""
+@dataclass(frozen=True)
+class Projection:
+    """Windows on two components: points (object_id, object_seq, start, pc1, pc2), and how much the components explain."""
+
+    columns: list[str]
+    count: int
+    points: DataFrame
+    spans: DataFrame
+    ratios: tuple[float, float]
+    variances: tuple[float, float]
+
+
+def project(log: EventLog, object_type: str, size: int = 4) -> Projection:
+    """The two principal components of the standardised features of all windows.
+
+    Features stay a long table, a row for each value that isn't nought: products are summed by pair of features, and
+    points are sums of values times weights, all in the JVM. The driver sees features squared. LogError for a type
+    without objects, features or windows.
+    """
+    log.require_type(object_type)
+    if log.objects.filter(F.col("object_type") == object_type).isEmpty():
+        raise LogError(f"no objects of type '{object_type}' are in the log")
     features = window_features(log, object_type, size)
     columns = feature_columns(features)
+    if not columns:
+        raise LogError(f"objects of type '{object_type}' have no numeric features")
     spans = windows(log, object_type, size)
+    count = spans.count()
+    if not count:
+        raise LogError(f"lifecycles of type '{object_type}' have no windows")
     place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
-    cells_ = features.groupBy("object_id", "start").agg(F.map_from_entries(F.collect_list(F.struct(place[F.col("feature")].alias("i"), "value"))).alias("f"))
-    zero = F.lit(0.0)
-    vector = F.transform(F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: F.coalesce(F.try_element_at("f", i), zero))
-    rows = spans.join(cells_, ["object_id", "start"]).select("object_id", "object_seq", "start", vector.alias("v"))
-
-    def gram(batches):
-        total = np.zeros((len(columns) + 1, len(columns) + 1))
-        for batch in batches:
-            if len(batch):
-                v = np.column_stack([np.ones(len(batch)), np.array(batch["v"].tolist())])
-                total += v.T @ v
-        i, j = np.nonzero(total)
-        yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
-
-    sums = rows.select("v").mapInPandas(gram, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # features squared
-    g = np.zeros((len(columns) + 1, len(columns) + 1))
-    for r in sums:
-        g[r["i"], r["j"]] = r["s"]
-    n = max(1.0, g[0, 0])
-    mean = g[0, 1:] / n
-    cov = g[1:, 1:] / n - np.outer(mean, mean)
+    held = features.select("object_id", "start", place[F.col("feature")].alias("i"), "value").filter("value <> 0")
+    held = written(held.groupBy("object_id", "start", "i").agg(F.sum("value").alias("value")), "windows")
+    both = held.join(held.select("object_id", "start", F.col("i").alias("j"), F.col("value").alias("other")), ["object_id", "start"]).filter("i <= j")
+    total, g = np.zeros(len(columns)), np.zeros((len(columns), len(columns)))
+    for r in both.groupBy("i", "j").agg(F.sum(F.col("value") * F.col("other")).alias("s")).collect():  # features squared
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["s"]
+    for r in held.groupBy("i").agg(F.sum("value").alias("s")).collect():  # features
+        total[r["i"]] = r["s"]
+    n = float(count)
+    mean = total / n
+    cov = g / n - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
     sd = np.where(sd <= EPSILON, 1.0, sd)
     cov = cov / np.outer(sd, sd) * n / max(1.0, n - 1)
@@ -178,10 +193,20 @@ def detect(log: EventLog, object_type: str, size: int = 4, width: int | None = N
     second = _power(cov - l1 * np.outer(first, first))
     l2 = float(second @ cov @ second)
     trace = float(np.trace(cov)) or 1.0
-    dot = lambda c: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in c / sd]), lambda a, b: a * b), F.lit(-float(mean @ (c / sd))), lambda a, b: a + b)
-    points = rows.select("object_id", "object_seq", "start", dot(first).alias("pc1"), dot(second).alias("pc2"))
-    count = int(n)
-    side = min(max(int(np.ceil(np.sqrt(count))), 3), 8)
+    weights = lambda c: F.array(*[F.lit(float(x)) for x in c / sd])
+    dot = lambda c, name: F.sum(F.col("value") * weights(c)[F.col("i")]).alias(name)
+    sums = held.groupBy("object_id", "start").agg(dot(first, "pc1"), dot(second, "pc2"))
+    points = spans.select("object_id", "object_seq", "start").join(sums, ["object_id", "start"], "left")
+    shifted = lambda name, c: (F.coalesce(name, F.lit(0.0)) - float(mean @ (c / sd))).alias(name)
+    points = points.select("object_id", "object_seq", "start", shifted("pc1", first), shifted("pc2", second))
+    return Projection(columns, count, points, spans, (l1 / trace, l2 / trace), (l1, l2))
+
+
+def detect(log: EventLog, object_type: str, size: int = 4, width: int | None = None, height: int | None = None, epochs: int = 120) -> Detection:
+    """Project all windows to two components and assign each to a cell of a map."""
+    found = project(log, object_type, size)
+    points = written(found.points, "points")
+    side = min(max(int(np.ceil(np.sqrt(found.count))), 3), 8)
     width, height = (min(max(d or side, 2), 12) for d in (width, height))
     with tempfile.TemporaryDirectory() as folder:
         local = _in_order(points, f"{folder}/points")
@@ -189,7 +214,7 @@ def detect(log: EventLog, object_type: str, size: int = 4, width: int | None = N
     away = [F.struct(((F.col("pc1") - float(a)) * (F.col("pc1") - float(a)) + (F.col("pc2") - float(b)) * (F.col("pc2") - float(b))).alias("d"), F.lit(i).alias("i")) for i, (a, b) in enumerate(weights)]
     best = F.least(*away)["i"]
     points = points.select("object_id", "object_seq", "start", "pc1", "pc2", (best % width).alias("x"), F.floor(best / width).cast("int").alias("y"))
-    return Detection(object_type, columns, width, height, [tuple(map(float, w)) for w in weights], (l1 / trace, l2 / trace), (l1, l2), log, spans, points, window_events(log, object_type, size))
+    return Detection(object_type, found.columns, width, height, [tuple(map(float, w)) for w in weights], found.ratios, found.variances, log, found.spans, points, window_events(log, object_type, size))
 
 
 def attribute_at_windows(found: Detection, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import RECOVERED, duration_stats, upper_median
 from ..model import STATE, EventLog, lifecycle, stateful_lifecycle
+from ..tables import with_quantiles, written
 
 
 def _islands(rows: DataFrame) -> DataFrame:
@@ -43,6 +44,23 @@ def transition_kpis(log: EventLog, object_type: str) -> DataFrame:
     )
 
 
+def transition_matrix(log: EventLog, object_type: str) -> DataFrame:
+    """from_state, to_state, count, object_count, median_ms (null without a transition) and intensity (count by the
+    largest count) for every pair of the states that objects of the type have."""
+    found = written(episodes(log, object_type).select("object_id", STATE, "next_state", "dwell_ms"), "episodes")
+    pairs = found.filter("next_state IS NOT NULL").groupBy(F.col(STATE).alias("from_state"), F.col("next_state").alias("to_state"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("count"), F.countDistinct("object_id").alias("object_count"), upper_median("dwell_ms").alias("median_ms"))
+    states = found.groupBy(STATE).agg(F.count(F.lit(1)).alias("n"))
+    # every state meets all: the table that is asked for, states squared
+    listed = states.agg(F.array_sort(F.collect_set(STATE)).alias("all"))
+    grid = listed.select(F.explode("all").alias("from_state"), "all").select("from_state", F.explode("all").alias("to_state"))
+    dense = grid.join(pairs, ["from_state", "to_state"], "left")
+    most = F.max("count").over(Window.partitionBy(F.lit(0)))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    intensity = F.coalesce(F.col("count") / most, F.lit(0.0)).alias("intensity")
+    return dense.select("from_state", "to_state", zero("count"), zero("object_count"), "median_ms", intensity)
+
+
 def dwell_kpis(log: EventLog, object_type: str) -> DataFrame:
     return episodes(log, object_type).groupBy(STATE).agg(
         F.count(F.lit(1)).alias("episode_count"), F.countDistinct("object_id").alias("object_count"), F.sum("dwell_ms").alias("total_ms"), *duration_stats("dwell_ms")
@@ -122,6 +140,12 @@ def performance_samples(log: EventLog, object_type: str, from_state: str, to_sta
     return rows.withColumn("duration_ms", F.coalesce("end_time_ms", "middle_time_ms") - F.col("start_time_ms")).filter("duration_ms >= 0")
 
 
+def sample_quartiles(log: EventLog, object_type: str, from_state: str, to_state: str, roundtrip: bool = False) -> DataFrame:
+    """The samples of a spectrum, each with its quartile, from 1 to 4, by the durations at a quarter, half and three
+    quarters of their places."""
+    return with_quantiles(performance_samples(log, object_type, from_state, to_state, roundtrip), "duration_ms", [0.25, 0.5, 0.75], "quartile")
+
+
 def performance_spectrum(log: EventLog, object_type: str, from_state: str, to_state: str, roundtrip: bool = False) -> DataFrame:
     samples = performance_samples(log, object_type, from_state, to_state, roundtrip)
     return samples.agg(

@@ -76,10 +76,17 @@ def object_lifecycle(log: EventLog, object_id: str) -> list[str]:
 
 
 def lifecycle_events(log: EventLog, object_id: str) -> DataFrame:
-    """The events of one object with their attributes (name, value as text)."""
-    rows = lifecycle(_one(log, object_id), True)
-    attrs = log.event_attrs.groupBy("event_seq").agg(F.array_sort(F.collect_list(F.struct("attr_seq", "name", value_label().alias("value")))).alias("attributes"))
-    return rows.join(attrs, "event_seq", "left")
+    """The events of one object with their attributes (name, value as text) and the other objects that each names
+    (object_id, object_type, qualifier, in the order of its relations)."""
+    one = _one(log, object_id)
+    rows = lifecycle(one, True)
+    own = one.e2o.select("event_seq").distinct()
+    attrs = log.event_attrs.join(own, "event_seq", "left_semi").groupBy("event_seq").agg(F.array_sort(F.collect_list(F.struct("attr_seq", "name", value_label().alias("value")))).alias("attributes"))
+    others = log.e2o.join(own, "event_seq", "left_semi").filter(F.col("object_id") != object_id).join(log.objects.select("object_id", "object_type"), "object_id")
+    others = others.groupBy("event_seq").agg(F.array_sort(F.collect_list(F.struct("rel_seq", "object_id", "object_type", "qualifier"))).alias("others"))
+    none = F.array().cast("array<struct<rel_seq:bigint,object_id:string,object_type:string,qualifier:string>>")
+    related = F.transform(F.coalesce("others", none), lambda r: r.dropFields("rel_seq"))
+    return rows.join(attrs, "event_seq", "left").join(others, "event_seq", "left").withColumn("related_objects", related).drop("others")
 
 
 def related_objects(log: EventLog, object_id: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import EPSILON
 from ..functions.text import LOWER, UPPER, ascii_lower, plain_number
 from ..model import EventLog, LogError
+from ..tables import written
 
 
 class StateQueryError(LogError):
@@ -351,7 +352,11 @@ def assignments(log: EventLog, query: StateQuery) -> DataFrame:
 
 
 def write_states(log: EventLog, attribute: str, leading_type: str, labels: DataFrame) -> EventLog:
-    """The log whose events have ``labels`` (event_seq, event_id, value) as their only attribute of that name."""
+    """The log whose events have ``labels`` (event_seq, event_id, value) as their only attribute of that name.
+
+    Labels are written once: most analyses read them more than once.
+    """
+    labels = written(labels.select("event_id", "event_seq", "value"), "labels")
     columns = log.event_attrs.columns
     new = labels.select("event_id", "event_seq", F.lit(1 << 40).cast("long").alias("attr_seq"), F.lit(attribute).alias("name"), F.lit("string").alias("attr_type"), F.col("value").alias("v_string"))
     attrs = log.event_attrs.filter(F.col("name") != attribute).unionByName(new, allowMissingColumns=True).select(*columns)

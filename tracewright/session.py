@@ -7,9 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import results
 from .model import EventLog, LogError, event_states, stateful_lifecycle
-from .operators import detection, episodes, features, filters, graphs, patterns, summary
+from .operators import detection, episodes, features, filters, graphs, layout, patterns, summary
 from .plans import stateql
+from .requests import decode
 from .sources import documents, export
 
 
@@ -73,10 +75,8 @@ class LogSession:
 
     def apply_filter(self, chosen: filters.LogFilter | dict | str) -> DataFrame:
         """Filter by a LogFilter, or by a request as a dict or as JSON."""
-        if isinstance(chosen, str):
-            chosen = json.loads(chosen)
-        if isinstance(chosen, dict):
-            chosen = filters.LogFilter.of_request(chosen)
+        if isinstance(chosen, dict | str):
+            chosen = filters.LogFilter.of_request(decode("apply_filter", chosen))
         self.filter, self._active = chosen, None
         return self.summary()
 
@@ -146,8 +146,12 @@ class LogSession:
         log = self._stateful()
         kind = episodes.resolve_object_type(log, log.leading_object_type)
         spread = episodes.dominant_states(log, kind).groupBy("state").agg(F.count(F.lit(1)).alias("count"))
+        n, states = spread.agg(F.sum("count"), F.count(F.lit(1))).first()
+        if not n:
+            raise LogError(f"no object of type '{kind}' has a state")
         rows = features.state_correlations(log, kind).orderBy(F.desc("strength"), "feature")
-        return {"object_type": kind, **self._counts(log, kind), "state_distribution": spread, "rows": rows}
+        own = log.objects.filter(F.col("object_type") == kind).count()
+        return {"object_type": kind, "object_count": own, "stateful_object_count": n, "state_count": states, "feature_count": rows.count(), "state_distribution": spread, "rows": rows}
 
     @staticmethod
     def _counts(log: EventLog, kind: str) -> dict:
@@ -162,10 +166,11 @@ class LogSession:
         states = sorted(r[0] for r in event_states(log).select("state").distinct().collect())
         start = from_state or usual[0] or states[0]
         end = (to_state if to_state != start else None) or (usual[1] if usual[1] != start else None) or next((s for s in states if s != start), None)
-        out = {"object_type": kind, "states": states, "buckets": episodes.time_buckets(log, buckets)}
-        if end:
-            out |= {"from_state": start, "to_state": end, "performance": episodes.performance_spectrum(log, kind, start, end, roundtrip), "samples": episodes.performance_samples(log, kind, start, end, roundtrip)}
-        return out
+        lo, hi = log.events.agg(F.min("time_ms"), F.max("time_ms")).first()
+        out = {"object_type": kind, "event_min_ms": lo, "event_max_ms": hi, "states": states, "buckets": episodes.time_buckets(log, buckets), "from_state": start if end else "", "to_state": end or "", "roundtrip": roundtrip}
+        chosen = (log, kind, start, end, roundtrip)
+        none = log.events.sparkSession.createDataFrame([(0, None, None, None, None)], "sample_count long, min_ms long, median_ms long, avg_ms double, max_ms long")
+        return out | {"performance": episodes.performance_spectrum(*chosen) if end else none, "samples": episodes.performance_samples(*chosen) if end else None}
 
     def state_transition_kpis(self, object_type: str | None = None, stuck_limit: int = 15) -> dict:
         log = self._stateful()
@@ -189,3 +194,43 @@ class LogSession:
 
     def state_aware_graph(self, **how) -> graphs.Graph:
         return graphs.state_aware_oc_dfg(self._stateful(), **how)
+
+    def object_centric_layout(self, **how) -> layout.Layout:
+        return layout.layout(self.object_centric_graph(**how), layout.colours(self.active, how.get("object_types")))
+
+    def state_aware_layout(self, **how) -> layout.Layout:
+        return layout.layout(self.state_aware_graph(**how), layout.colours(self.active, how.get("object_types"), True))
+
+    def answer(self, endpoint: str, request: dict | str | None = None) -> DataFrame:
+        """A request's result as a document (part, place, json), written by executors where it is long."""
+        how = decode(endpoint, request)
+        log = self.active
+        if endpoint == "state_patterns":
+            return results.state_patterns(self._stateful())
+        if endpoint == "object_lifecycle_detail":
+            return results.lifecycle_detail(log, how["object_id"])
+        if endpoint == "time_perspective":
+            found = self.time_perspective(**how)
+            row = found["performance"].first()
+            stats = {"sample_count": row["sample_count"], "min_duration_ms": row["min_ms"], "median_duration_ms": row["median_ms"] if row["median_ms"] is None else int(row["median_ms"]), "avg_duration_ms": row["avg_ms"], "max_duration_ms": row["max_ms"]}
+            head = {"object_type": found["object_type"], "from_state": found["from_state"], "to_state": found["to_state"], "roundtrip": found["roundtrip"], **stats}
+            return results.time_perspective(log, found | {"performance_head": head})
+        if endpoint == "state_transition_kpis":
+            return results.transition_kpis(log, self.state_transition_kpis(**how))
+        if endpoint == "state_correlations":
+            return results.state_correlations(log, self.state_correlations())
+        if endpoint == "causal_feature_table":
+            return results.causal_feature_table(log, how["object_type"])
+        spark = log.events.sparkSession
+        if endpoint == "object_search":
+            hits = self.object_search(how["query"].strip(), how["object_type"], how["limit"]).join(log.objects.select("object_id", "object_seq"), "object_id")
+            return results.document(results.listed("objects", hits, "object_seq", hidden=("object_seq",)))
+        if endpoint in ("object_centric_graph", "state_aware_graph"):
+            drawn = self.object_centric_layout if endpoint == "object_centric_graph" else self.state_aware_layout
+            found = drawn(object_types=how["object_types"], min_activity=how["min_activity_frequency"], min_path=how["min_path_frequency"])
+            number = F.substring("id", 2, 20).cast("long")
+            size = found.size.first()
+            return results.document(results.scalars(spark, size.asDict()), results.listed("nodes", found.nodes, number), results.listed("edges", found.edges, number))
+        if endpoint == "summary":
+            return results.scalars(spark, {"source_format": log.source_format, **self.summary().first().asDict()})
+        raise LogError(f"'{endpoint}' has no document; call the method of that name")

@@ -44,3 +44,37 @@ def ranked(df: DataFrame, group: str, order: list[Column], name: str) -> DataFra
     rows = rows.join(F.broadcast(starts), F.col("_pid") == F.col("p")).withColumn("_at", F.col("_at") + F.col("start")).drop("_pid", "p", "start")
     first = rows.groupBy(F.col(group).alias("_g")).agg(F.min("_at").alias("_first"))
     return rows.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_g", "_first")
+
+
+def order_statistics(df: DataFrame, value: str, shares: list[float]) -> dict[float, object]:
+    """For each share q the value at place floor(n * q) (from 0) of the sorted ones, exactly; null values are left out.
+
+    Values are counted before they are sorted, and sorted over range partitions whose totals (a row each) tell in which
+    partition a place lies; only the values at the places asked for reach the driver. No values: an empty dict.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rows = written(counts.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v").withColumn("p", F.spark_partition_id()), "counts")
+    totals = rows.groupBy("p").agg(F.sum("n").alias("t"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(totals.select("p", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"), "t"), "starts")  # a row a partition
+    total = starts.agg(F.sum("t")).first()[0] or 0
+    places = {q: int(total * q) for q in shares if int(total * q) < total}
+    if not places:
+        return {}
+    inside = F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("low", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts.drop("t")), "p").withColumn("low", F.col("low") + F.col("start"))
+    hit = F.lit(False)
+    for at in set(places.values()):
+        hit = hit | ((F.col("low") <= at) & (F.col("low") + F.col("n") > at))
+    found = rows.filter(hit).select("v", "low", "n").collect()  # a row for each share at most
+    return {q: next(r["v"] for r in found if r["low"] <= at < r["low"] + r["n"]) for q, at in places.items()}
+
+
+def with_quantiles(df: DataFrame, value: str, shares: list[float], name: str) -> DataFrame:
+    """``df`` with a column ``name``: 1 for values up to the first share's, and so on; one more than shares beyond the last."""
+    df = written(df, "samples")
+    cuts = order_statistics(df, value, sorted(shares))
+    kind = F.lit(len(shares) + 1)
+    for i, q in reversed(list(enumerate(sorted(shares), 1))):
+        kind = F.when(F.col(value) <= cuts[q], i).otherwise(kind) if q in cuts else kind
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), kind))
