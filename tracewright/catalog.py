@@ -100,6 +100,7 @@ QUERIES = {
     "oc_dfg_orders": lambda s, d: graphs.oc_dfg(orders(s, d)).edges,
     "oc_dfg_layout": lambda s, d: _drawn(clickstream(s, d)).nodes.withColumn("lines", F.array_join("lines", "|")),
     "oc_dfg_routes": lambda s, d: _drawn(clickstream(s, d)).edges.select("id", "source", "target", "weight", "object_type", "color", "path", "label_x", "label_y"),
+    "df_edge_options": lambda s, d: graphs.edge_options(graphs.oc_dfg(clickstream(s, d))),
     "oc_dfg_filtered": lambda s, d: graphs.oc_dfg(clickstream(s, d), ["user", "key"], 1, 100).edges,
     "state_query_event": _states("STATE state FOR LEADING OBJECT TYPE 'user' AS CASE WHEN event.value >= 50 AND event.type != 'view' THEN event.type WHEN event.k < 10 THEN 'low' ELSE 'rest' END"),
     "state_query_asof_object": _states(QUERY),
@@ -294,6 +295,8 @@ q AS (
     CASE WHEN sid = tid THEN sm - 42 + lane ELSE sm + lane END AS y1, CASE WHEN sid = tid THEN sy - 28 + lane ELSE tm + lane END AS y2, CASE WHEN sid = tid THEN sm - 16 ELSE tm END AS y3 FROM p)
 SELECT 'e' || row_number() OVER (ORDER BY weight DESC, sid, tid, object_type) AS id, sid AS source, tid AS target, weight, object_type, color,
   printf('M %.1f %.1f C %.1f %.1f %.1f %.1f %.1f %.1f', x0, sm, x1, y1, x2, y2, x3, y3) AS path, (x1 + x2) / 2 AS label_x, (y1 + y2) / 2 - 6 AS label_y FROM q""",
+    "df_edge_options": f"""WITH {LOG}, n AS (SELECT object_id, event_type AS source, lead(event_type) OVER (PARTITION BY object_id ORDER BY pos) AS target FROM life)
+SELECT source, target, source || ' -> ' || target AS label, count(*) AS weight FROM n WHERE target IS NOT NULL GROUP BY source, target""",
     "oc_dfg_filtered": f"WITH {LOG}" + EDGE.format("life") + " HAVING count(*) >= 100",
     "state_query_event": f"WITH {LOG} SELECT event_id, CASE WHEN value >= 50 AND event_type <> 'view' THEN event_type WHEN coalesce(k < 10, false) THEN 'low' ELSE 'rest' END AS state FROM ev",
     "state_query_asof_object": f"WITH {STATED} SELECT event_id, state FROM st WHERE state IS NOT NULL",

@@ -109,3 +109,13 @@ def state_aware_oc_dfg(log: EventLog, object_types: list[str] | None = None, min
 
 def top_edges(graph: Graph, k: int = 12) -> DataFrame:
     return graph.edges.orderBy(F.desc("weight"), "source", "target", "object_type").limit(k)
+
+
+def edge_options(graph: Graph) -> DataFrame:
+    """source, target, label, weight: the pairs of activities that an edge filter can name, of all types together."""
+    activities = graph.nodes.filter(F.col("kind") == "activity").select("label")
+    edges = graph.edges
+    for end in ("source", "target"):
+        edges = edges.join(activities.withColumnRenamed("label", end), end, "left_semi")
+    pairs = edges.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+    return pairs.select("source", "target", F.concat("source", F.lit(" -> "), "target").alias("label"), "weight")

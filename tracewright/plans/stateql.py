@@ -197,6 +197,25 @@ def parse(text: str) -> StateQuery:
     return Parser(text).query()
 
 
+_NAMED = r"(?:'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|[A-Za-z_][A-Za-z0-9_-]*)"
+_HEADER = re.compile(rf"^\s*STATE\s+(?P<name>[A-Za-z_][A-Za-z0-9_-]*)(?:\s+FOR\s+LEADING\s+OBJECT\s+TYPE\s+{_NAMED})?\s+AS\s+CASE", re.I | re.M)
+
+
+def default_query(object_type: str) -> str:
+    """A query to start from."""
+    return DEFAULT.format(object_type.replace("'", "''"))
+
+
+def with_leading_type(text: str, object_type: str) -> str:
+    """``text`` with its header naming another leading type; a query to start from, where there is no header."""
+    found = _HEADER.search(text)
+    if not found:
+        return default_query(object_type)
+    quoted = object_type.replace("'", "''")
+    blank = re.match(r"\s*", text)[0]
+    return f"{text[: found.start()]}{blank}STATE {found['name']} FOR LEADING OBJECT TYPE '{quoted}' AS CASE{text[found.end() :]}"
+
+
 def fields(node) -> set[Field]:
     """Fields that an expression names."""
     if isinstance(node, Field):
