@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import fim, hardneg
+from tracewright.llm import fim, hardneg, ngram
 
 TEXTS = [
     (0, None), (1, ""), (2, "one"), (3, "two words, three\nlines\x00and é ü \U0001f600 more"), (4, "holds <S> itself"), (5, "<P"), (None, "no id here at all"),
@@ -106,3 +106,9 @@ def test_ball_tree_takes_the_best_and_prunes():
         s = points @ q[i]
         fit = sorted((-x, j) for j, x in enumerate(s) if 20_000 <= x <= 60_000)[:4]
         assert [(-x, y) for x, y in zip(scores[i], ids[places[i]], strict=True) if np.isfinite(x)] == fit
+
+
+def test_scores_beside_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"a b c {i % 3}", "x", 1.5, i) for i in range(30)], "doc_id long, text string, _text string, `a.b` double, _text_ int")
+    rows = ngram.score(docs, ngram.train(docs)).collect()
+    assert len(rows) == 30 and {r["_text"] for r in rows} == {"x"} and {r["a.b"] for r in rows} == {1.5} and all(r["n_tokens"] == 5 and r["score"] < 0 for r in rows)

@@ -401,7 +401,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score and score (log10 of whole texts).
 
     Null texts are empty: an end alone. Words are lower-cased in A-Z and parted by ASCII white space. base_score is
-    the add-one unigram's. Input columns named like the results are replaced.
+    the add-one unigram's. Input columns named like the results are replaced; others may have any name. A long text is
+    scored by itself, equal rows score alike, and no rows give no rows.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in docs.columns if c not in (*new, text_col)]
@@ -437,12 +438,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     *batch.columns[:-1], pa.array(np.diff(offsets)), pa.array(sums((count[codes] > 0).astype(np.int64))),
                     pa.array(np.full(batch.num_rows, model.total, np.int64)), pa.array(sums(base)), pa.array(sums(logs)),
                 ],
-                [*keep, *new],
+                ["row", *new],
             )
 
     from pyspark.sql.types import DoubleType, LongType, StructType
 
-    schema = StructType([docs.schema[c] for c in keep])
+    # the other columns in a struct, so that no name clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("")).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    schema = StructType([rows.schema["row"]])
     for c in new:
         schema = schema.add(c, DoubleType() if "score" in c else LongType())
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in keep], *new)
