@@ -112,3 +112,11 @@ def test_scores_beside_columns_of_any_name(spark):
     docs = spark.createDataFrame([(i, f"a b c {i % 3}", "x", 1.5, i) for i in range(30)], "doc_id long, text string, _text string, `a.b` double, _text_ int")
     rows = ngram.score(docs, ngram.train(docs)).collect()
     assert len(rows) == 30 and {r["_text"] for r in rows} == {"x"} and {r["a.b"] for r in rows} == {1.5} and all(r["n_tokens"] == 5 and r["score"] < 0 for r in rows)
+
+
+def test_all_operators_are_registered():
+    import __spark_entry__
+
+    found = __spark_entry__.queries()
+    assert [n.split("_")[0] for n in found if re.match(r"op\d+_", n)] == [f"op{i}" for i in range(1, 14)] and "pipeline" in found
+    assert set(__spark_entry__.oracle_sql()) <= set(found)
