@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tracewright.model import LogError
 from tracewright.operators import detection
 from tracewright.session import LogSession, as_json
 from tracewright.sources import documents
@@ -162,3 +163,28 @@ def test_results_as_json(spark, found):
     assert len(detail["cell"]) == 1 and set(detail["graph"]) == {"nodes", "edges"}
     session.apply_filter('{"event_types": ["P", "Q"], "time_range": {"start_ms": 0}}')
     assert session.filter.event_types == ["P", "Q"] and session.summary().first()["events"] == sum(e["type"] in "PQ" for e in json.loads(text())["events"])
+
+
+def test_batch_training(spark):
+    """The batch map against plain Python; copies of points, and points in other partitions, change nothing."""
+    points = np.random.default_rng(3).normal(size=(60, 2)).round(2)
+    w = np.array([(a, b) for b in np.linspace(points[:, 1].min(), points[:, 1].max(), 2) for a in np.linspace(points[:, 0].min(), points[:, 0].max(), 4)])
+    for epoch in range(10):
+        done = epoch / 9
+        radius = 2 * (1 - done) + 0.75 * done
+        cells = [min(range(8), key=lambda i: (((p - w[i]) ** 2).sum(), i)) for p in points]  # noqa: B023
+        pull = np.array([[math.exp(-((i % 4 - c % 4) ** 2 + (i // 4 - c // 4) ** 2) / (2 * radius**2)) for c in cells] for i in range(8)])
+        w = pull @ points / pull.sum(axis=1, keepdims=True)
+    df = spark.createDataFrame([tuple(map(float, p)) for p in points], "pc1 double, pc2 double")
+    assert np.allclose(detection.train_batch(df, 4, 2, 10), w, rtol=1e-9)
+    assert np.allclose(detection.train_batch(df.union(df).repartition(7), 4, 2, 10), w, rtol=1e-9)
+    one = df.limit(1)
+    assert np.allclose(detection.train_batch(one, 2, 2, 10), [list(one.first())] * 4)
+    assert (detection.train_batch(df.limit(0), 2, 2, 10) == 0).all()
+
+
+def test_batch_detection(spark, found):
+    batch = detection.detect(found.log, "Cart", size=3, width=3, height=2, epochs=12, training="batch")
+    assert detection.cells(batch).agg({"count": "sum"}).first()[0] == found.points.count() and batch.variances == pytest.approx(found.variances)
+    with pytest.raises(LogError, match="training"):
+        detection.detect(found.log, "Cart", training="other")

@@ -51,6 +51,10 @@ def _seq(df: DataFrame) -> DataFrame:
     return df.select("id", "label", "leading_object_type", "state", "to_state", F.array_join("sequence", "|").alias("sequence"), patterns.edge_text("eo").alias("eo"), patterns.edge_text("oo").alias("oo"), "support", "mass")
 
 
+def _batch(spark: SparkSession, sf_dir: str) -> detection.Detection:
+    return detection.detect(clickstream(spark, sf_dir), "user", width=3, height=3, training="batch")
+
+
 def _drawn(log: EventLog) -> layout.Layout:
     return layout.layout(graphs.oc_dfg(log), layout.colours(log))
 
@@ -137,6 +141,10 @@ QUERIES = {
     "som_cells": lambda s, d: detection.cells(detection.detect(clickstream(s, d), "user", width=3, height=3)),
     "som_transitions": lambda s, d: detection.transitions(detection.detect(clickstream(s, d), "user", width=3, height=3)),
     "cell_boundary_windows": lambda s, d: detection.boundary_windows(detection.detect(clickstream(s, d), "user", width=3, height=3), 1, 1),
+    "som_batch_cells": lambda s, d: _six(detection.cells(_batch(s, d)), "avg_pc1", "avg_pc2").withColumns({n: F.col(n) + F.lit(0.0) for n in ("avg_pc1", "avg_pc2")}),
+    "som_batch_transitions": lambda s, d: detection.transitions(_batch(s, d)),
+    "som_batch_boundary": lambda s, d: detection.boundary_windows(_batch(s, d), 1, 1),
+    "apply_batch_detection": lambda s, d: detection.event_labels(_batch(s, d)),
     "apply_detection": lambda s, d: detection.event_labels(detection.detect(clickstream(s, d), "user", width=3, height=3)),
 }
 
@@ -209,6 +217,49 @@ SELECT object_id, start, 'activity.' || event_type AS feature, count(*)::DOUBLE
 UNION ALL SELECT we.object_id, start, 'related_objects.' || r.object_type, count(DISTINCT r.object_id)::DOUBLE FROM we JOIN rel r ON r.seq = we.seq AND r.object_id <> we.object_id GROUP BY we.object_id, start, r.object_type
 UNION ALL SELECT w.object_id, start, 'attribute.last_purchase', b.last_purchase FROM w ASOF JOIN (SELECT 'u' || user_id AS o, t, last_purchase FROM bought) b ON b.o = w.object_id AND w.e >= b.t"""
 
+#: Points of all windows: the power iteration, 80 steps from the same vector, and once more without the first component.
+_PCA = f"""wf AS ({_VALUES}),
+nm AS (SELECT feature, row_number() OVER (ORDER BY CASE split_part(feature, '.', 1) WHEN 'activity' THEN 0 WHEN 'related_objects' THEN 1 ELSE 2 END, feature) AS i FROM (SELECT DISTINCT feature FROM wf)),
+nn AS (SELECT count(*)::DOUBLE AS n FROM w), x AS (SELECT object_id, start, i, value FROM wf JOIN nm USING (feature)),
+mn AS (SELECT i, sum(value) / any_value(n) AS mean FROM x, nn GROUP BY i),
+gr AS (SELECT a.i, b.i AS j, sum(a.value * b.value) AS s FROM x a JOIN x b ON a.object_id = b.object_id AND a.start = b.start GROUP BY ALL),
+cv AS (SELECT a.i, b.i AS j, coalesce(s, 0) / n - a.mean * b.mean AS c FROM mn a CROSS JOIN mn b CROSS JOIN nn LEFT JOIN gr ON gr.i = a.i AND gr.j = b.i),
+sd AS (SELECT i, CASE WHEN sqrt(greatest(c, 0)) <= 2.220446049250313e-16 THEN 1 ELSE sqrt(greatest(c, 0)) END AS sd FROM cv WHERE i = j),
+rw AS (SELECT cv.i, list(c / (a.sd * b.sd) * n / greatest(1, n - 1) ORDER BY j) AS r FROM cv JOIN sd a ON a.i = cv.i JOIN sd b ON b.i = cv.j, nn GROUP BY cv.i),
+mx AS (SELECT list(r ORDER BY i) AS m, list_transform(range(1, count(*) + 1), lambda y: y / count(*)) AS v0 FROM rw),
+p1 AS (
+  SELECT 0 AS k, list_transform(v0, lambda y: y / sqrt(list_dot_product(v0, v0))) AS v FROM mx
+  UNION ALL SELECT k + 1, list_transform(u, lambda y: y / sqrt(list_dot_product(u, u))) FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM p1, mx WHERE k < 80)),
+c1 AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM p1, mx WHERE k = 80),
+m2 AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda y, j: y - l * v[i] * v[j])) AS m, v0 FROM mx, c1),
+p2 AS (
+  SELECT 0 AS k, list_transform(v0, lambda y: y / sqrt(list_dot_product(v0, v0))) AS v FROM m2
+  UNION ALL SELECT k + 1, list_transform(u, lambda y: y / sqrt(list_dot_product(u, u))) FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM p2, m2 WHERE k < 80)),
+wt AS (SELECT sd.i, c1.v[sd.i] / sd AS a, q.v[sd.i] / sd AS b, mean FROM sd JOIN mn USING (i), c1, (SELECT v FROM p2 WHERE k = 80) q),
+sm AS (SELECT object_id, start, sum(value * a) AS a, sum(value * b) AS b FROM x JOIN wt USING (i) GROUP BY ALL),
+sh AS (SELECT sum(mean * a) AS a, sum(mean * b) AS b FROM wt),
+pt AS MATERIALIZED (
+  SELECT w.object_id, w.start, coalesce(sm.a, 0) - sh.a AS a, coalesce(sm.b, 0) - sh.b AS b
+  FROM w LEFT JOIN sm ON sm.object_id = w.object_id AND sm.start = w.start, sh)"""
+#: The batch map of 3 x 3 cells, 20 epochs, and the cell of each window.
+_BATCH = """
+g AS (SELECT c::INTEGER AS c, (c % 3)::INTEGER AS x, (c // 3)::INTEGER AS y FROM range(9) t(c)),
+som AS (
+  SELECT 0 AS k, c, la + (ha - la) * x / 2.0 AS wa, lb + (hb - lb) * y / 2.0 AS wb FROM g, (SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM pt)
+  UNION ALL
+  SELECT k + 1, g.c, sum(h * sa) / sum(h * n), sum(h * sb) / sum(h * n) FROM (
+    SELECT k, g.c, sa, sb, n, exp(-((g.x - z.c % 3) ** 2 + (g.y - z.c // 3) ** 2) / (2 * (1.5 * (1 - k / 19.0::DOUBLE) + 0.75 * k / 19.0::DOUBLE) ** 2)) AS h
+    FROM g, (SELECT k, c, sum(a) AS sa, sum(b) AS sb, count(*) AS n FROM (
+      SELECT object_id, start, any_value(k) AS k, any_value(a) AS a, any_value(b) AS b, arg_min(c, ((a - wa) * (a - wa) + (b - wb) * (b - wb), c)) AS c FROM pt, som WHERE k < 20 GROUP BY object_id, start) GROUP BY k, c) z) g
+  GROUP BY k, g.c),
+fin AS (SELECT c, wa, wb FROM som WHERE k = 20),
+cell AS MATERIALIZED (
+  SELECT object_id, start, any_value(a) AS a, any_value(b) AS b, arg_min(c, ((a - wa) * (a - wa) + (b - wb) * (b - wb), c)) AS c FROM pt, fin GROUP BY object_id, start),
+lagged AS (
+  SELECT object_id, start, (c % 3)::INTEGER AS x, (c // 3)::INTEGER AS y, lag((c % 3)::INTEGER) OVER o AS px, lag((c // 3)::INTEGER) OVER o AS py, lag(start) OVER o AS ps
+  FROM cell WINDOW o AS (PARTITION BY object_id ORDER BY start)),
+mv AS (SELECT * FROM lagged WHERE px IS NOT NULL AND (px <> x OR py <> y))"""
+
 _FOUND = """
 s AS (SELECT a.object_id, a.pos, a.t, min(b.pos) AS m FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos > a.pos AND b.state = 'Valued' WHERE a.state = 'Failed' GROUP BY ALL),
 d AS (SELECT s.object_id, s.t, u.t AS m, u.t - s.t AS d FROM s JOIN u ON u.object_id = s.object_id AND u.pos = s.m)"""
@@ -375,29 +426,23 @@ UNION ALL SELECT 'sales', 'sales', 'outcome', 'activity.purchase', 'identity', r
 c AS (SELECT 'clicks' AS source, 'interest' AS target, corr(clicks, interest) AS r, count(*) AS n FROM full_ UNION ALL SELECT 'views', 'interest', corr(views, interest), count(*) FROM full_ UNION ALL SELECT 'interest', 'sales', corr(interest, sales), count(*) FROM full_)
 SELECT source, target, round(r, 6) AS correlation, round(abs(r), 6) AS intensity, round(exp(0 - (r * r * (n - 2) / greatest(1 - r * r, 1e-12)) / 2), 6) AS p_value, n AS sample_count FROM c""",
     "window_features": f"WITH {ASOF}, {_SPANS} {_VALUES}",
-    # the power iteration, 80 steps from the same vector, and once more without the first component
-    "pca_projection": f"""WITH RECURSIVE {ASOF}, {_SPANS}, wf AS ({_VALUES}),
-nm AS (SELECT feature, row_number() OVER (ORDER BY CASE split_part(feature, '.', 1) WHEN 'activity' THEN 0 WHEN 'related_objects' THEN 1 ELSE 2 END, feature) AS i FROM (SELECT DISTINCT feature FROM wf)),
-nn AS (SELECT count(*)::DOUBLE AS n FROM w), x AS (SELECT object_id, start, i, value FROM wf JOIN nm USING (feature)),
-mn AS (SELECT i, sum(value) / any_value(n) AS mean FROM x, nn GROUP BY i),
-gr AS (SELECT a.i, b.i AS j, sum(a.value * b.value) AS s FROM x a JOIN x b ON a.object_id = b.object_id AND a.start = b.start GROUP BY ALL),
-cv AS (SELECT a.i, b.i AS j, coalesce(s, 0) / n - a.mean * b.mean AS c FROM mn a CROSS JOIN mn b CROSS JOIN nn LEFT JOIN gr ON gr.i = a.i AND gr.j = b.i),
-sd AS (SELECT i, CASE WHEN sqrt(greatest(c, 0)) <= 2.220446049250313e-16 THEN 1 ELSE sqrt(greatest(c, 0)) END AS sd FROM cv WHERE i = j),
-rw AS (SELECT cv.i, list(c / (a.sd * b.sd) * n / greatest(1, n - 1) ORDER BY j) AS r FROM cv JOIN sd a ON a.i = cv.i JOIN sd b ON b.i = cv.j, nn GROUP BY cv.i),
-mx AS (SELECT list(r ORDER BY i) AS m, list_transform(range(1, count(*) + 1), lambda y: y / count(*)) AS v0 FROM rw),
-p1 AS (
-  SELECT 0 AS k, list_transform(v0, lambda y: y / sqrt(list_dot_product(v0, v0))) AS v FROM mx
-  UNION ALL SELECT k + 1, list_transform(u, lambda y: y / sqrt(list_dot_product(u, u))) FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM p1, mx WHERE k < 80)),
-c1 AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM p1, mx WHERE k = 80),
-m2 AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda y, j: y - l * v[i] * v[j])) AS m, v0 FROM mx, c1),
-p2 AS (
-  SELECT 0 AS k, list_transform(v0, lambda y: y / sqrt(list_dot_product(v0, v0))) AS v FROM m2
-  UNION ALL SELECT k + 1, list_transform(u, lambda y: y / sqrt(list_dot_product(u, u))) FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM p2, m2 WHERE k < 80)),
-wt AS (SELECT sd.i, c1.v[sd.i] / sd AS a, q.v[sd.i] / sd AS b, mean FROM sd JOIN mn USING (i), c1, (SELECT v FROM p2 WHERE k = 80) q),
-sm AS (SELECT object_id, start, sum(value * a) AS a, sum(value * b) AS b FROM x JOIN wt USING (i) GROUP BY ALL),
-sh AS (SELECT sum(mean * a) AS a, sum(mean * b) AS b FROM wt)
-SELECT w.object_id, w.start, round(coalesce(sm.a, 0) - sh.a, 6) + 0.0 AS pc1, round(coalesce(sm.b, 0) - sh.b, 6) + 0.0 AS pc2
-FROM w LEFT JOIN sm ON sm.object_id = w.object_id AND sm.start = w.start, sh""",
+    "pca_projection": f"WITH RECURSIVE {ASOF}, {_SPANS}, {_PCA} SELECT object_id, start, round(a, 6) + 0.0 AS pc1, round(b, 6) + 0.0 AS pc2 FROM pt",
+    "som_batch_cells": f"""WITH RECURSIVE {ASOF}, {_SPANS}, {_PCA}, {_BATCH},
+act AS (SELECT object_id, start, event_type, row_number() OVER (PARTITION BY object_id, start ORDER BY count(*) DESC, event_type) AS r FROM we GROUP BY object_id, start, event_type),
+top AS (SELECT c, event_type, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, event_type) AS r FROM act JOIN cell USING (object_id, start) WHERE r = 1 GROUP BY c, event_type),
+m AS (SELECT c, count(*) AS n, avg(a) AS a, avg(b) AS b FROM cell GROUP BY c)
+SELECT g.x, g.y, 'S' || (g.x + 1) || '-' || (g.y + 1) AS label, coalesce(n, 0) AS count, round(coalesce(m.a, f.wa), 6) + 0.0 AS avg_pc1, round(coalesce(m.b, f.wb), 6) + 0.0 AS avg_pc2,
+  top.event_type AS dominant_activity, round(coalesce(n, 0) / max(n) OVER (), 6) AS color_value, coalesce(n, 0) || ' windows' AS color_label, 'count' AS color_kind
+FROM g JOIN fin f USING (c) LEFT JOIN m USING (c) LEFT JOIN top ON top.c = g.c AND top.r = 1""",
+    "som_batch_transitions": f"""WITH RECURSIVE {ASOF}, {_SPANS}, {_PCA}, {_BATCH}
+SELECT px AS source_x, py AS source_y, x AS target_x, y AS target_y, count(*) AS count, abs(px - x) + abs(py - y) AS distance, abs(px - x) + abs(py - y) <= 1 AS nearby FROM mv GROUP BY px, py, x, y""",
+    "som_batch_boundary": f"""WITH RECURSIVE {ASOF}, {_SPANS}, {_PCA}, {_BATCH}
+SELECT 'entering' AS direction, object_id, start, px AS other_x, py AS other_y FROM mv WHERE x = 1 AND y = 1
+UNION ALL SELECT 'exiting', object_id, ps, x, y FROM mv WHERE px = 1 AND py = 1""",
+    "apply_batch_detection": f"""WITH RECURSIVE {ASOF}, {_SPANS}, {_PCA}, {_BATCH},
+votes AS (SELECT seq AS event_seq, c, count(*) AS n, max((substr(object_id, 2)::BIGINT, start)) AS last FROM we JOIN cell USING (object_id, start) GROUP BY seq, c)
+SELECT event_seq::VARCHAR AS event_id, event_seq, 'S' || (c % 3 + 1) || '-' || (c // 3 + 1) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_seq ORDER BY n DESC, last DESC) AS r FROM votes) WHERE r = 1""",
     "lifecycle_windows": f"""WITH {LOG}, u AS (SELECT *, count(*) OVER (PARTITION BY object_id) AS n FROM life WHERE object_type = 'user'),
 w AS (SELECT a.object_id, a.pos AS start, b.t AS e FROM u a JOIN u b ON a.object_id = b.object_id AND b.pos = least(a.pos + 3, a.n - 1) WHERE a.pos <= greatest(a.n - 4, 0))
 SELECT object_id, count(*) AS windows, sum(start)::BIGINT AS starts, sum(e)::BIGINT AS ends FROM w GROUP BY object_id""",

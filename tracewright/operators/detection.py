@@ -4,6 +4,8 @@ Windows, their features, the Gram matrix, projections and assignments are distri
 and the Gram matrix of the features, two components and the map (at most 144 cells). The map is trained there on all
 points, one by one and in order, as each depends on the one before: they are streamed to a file of 16 bytes a window
 in the driver's temporary folder, which every epoch reads in pieces. Time is epochs times windows times cells.
+``training="batch"`` trains another map, by Spark alone and at every size: each epoch is one pass over the written
+points that sums them by cell, and the driver sees a row a cell.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import EPSILON, format_number, numeric_value, value_label
@@ -23,6 +25,7 @@ from ..tables import written
 from .features import CATEGORIES, feature_columns, object_features
 
 PIECE = 1 << 16  # points that are read at a time
+TRAININGS = {"sequential": 120, "batch": 20}  # with their usual epochs
 
 
 @dataclass(frozen=True)
@@ -105,19 +108,27 @@ def _power(matrix: np.ndarray, steps: int = 80) -> np.ndarray:
     return v
 
 
+def _grid(lo, hi, width: int, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A map's first weights, two rows, over the bounds of its points; the cells' columns; squared distances of cells."""
+    y, x = np.divmod(np.arange(width * height), width)
+    share = lambda i, n: i / (n - 1) if n > 1 else np.full(len(i), 0.5)
+    w = np.stack([lo[0] + (hi[0] - lo[0]) * share(x, width), lo[1] + (hi[1] - lo[1]) * share(y, height)])
+    return w, x, ((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2).astype(float)
+
+
+def _radius(width: int, height: int, done: float) -> float:
+    return max(max(width, height) / 2, 1.0) * (1 - done) + 0.75 * done
+
+
 def train_map(points: np.ndarray, width: int, height: int, epochs: int) -> np.ndarray:
     """Weights of a self-organising map, trained point by point; they start as a grid over the points' bounds."""
     pieces = range(0, len(points), PIECE)
     lo, hi = (f([f(points[i : i + PIECE], axis=0) for i in pieces], axis=0) for f in (np.min, np.max))
-    y, x = np.divmod(np.arange(width * height), width)
-    share = lambda i, n: i / (n - 1) if n > 1 else np.full(len(i), 0.5)
-    w = np.stack([lo[0] + (hi[0] - lo[0]) * share(x, width), lo[1] + (hi[1] - lo[1]) * share(y, height)])
+    w, x, far = _grid(lo, hi, width, height)
     d, square, away = np.empty_like(w), np.empty_like(w), np.empty(len(x))
-    far = ((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2).astype(float)
-    widest = max(max(width, height) / 2, 1.0)
     for epoch in range(epochs):
         done = epoch / (epochs - 1) if epochs > 1 else 1.0
-        rate, radius = 0.5 * (1 - done) + 0.05 * done, widest * (1 - done) + 0.75 * done
+        rate, radius = 0.5 * (1 - done) + 0.05 * done, _radius(width, height, done)
         pull = rate * np.exp(-far / (2 * max(radius * radius, 0.01)))
         for i in pieces:
             for p in np.array(points[i : i + PIECE])[:, :, None]:
@@ -129,6 +140,34 @@ def train_map(points: np.ndarray, width: int, height: int, epochs: int) -> np.nd
     return w.T
 
 
+def _nearest(weights) -> Column:
+    """The cell whose weights are nearest to (pc1, pc2), the first of several."""
+    away = [F.struct(((F.col("pc1") - float(a)) * (F.col("pc1") - float(a)) + (F.col("pc2") - float(b)) * (F.col("pc2") - float(b))).alias("d"), F.lit(i).alias("i")) for i, (a, b) in enumerate(weights)]
+    return F.least(*away)["i"]
+
+
+def train_batch(points: DataFrame, width: int, height: int, epochs: int) -> np.ndarray:
+    """Weights of a map trained epoch by epoch on ``points`` (pc1, pc2), a table that each epoch reads once.
+
+    Points are given to their nearest cell, whose numbers and sums are added up before anything is shuffled; a cell's
+    new weights are the mean of all points, each weighed by how near its cell is. The order of points doesn't matter,
+    and a lost task is read again. The driver holds a row a cell. No points: noughts.
+    """
+    lowest = points.agg(F.min("pc1"), F.min("pc2"), F.max("pc1"), F.max("pc2")).first()
+    if lowest[0] is None:
+        return np.zeros((width * height, 2))
+    w, _, far = _grid(lowest[:2], lowest[2:], width, height)
+    for epoch in range(epochs):
+        done = epoch / (epochs - 1) if epochs > 1 else 1.0
+        near = np.exp(-far / (2 * max(_radius(width, height, done) ** 2, 0.01)))
+        sums = np.zeros((width * height, 3))
+        for r in points.groupBy(_nearest(w.T).alias("cell")).agg(F.sum("pc1"), F.sum("pc2"), F.count(F.lit(1))).collect():  # cells
+            sums[r[0]] = r[1:]
+        total = near @ sums
+        w = (total[:, :2] / total[:, 2:]).T
+    return w.T
+
+
 def _in_order(points: DataFrame, path: str) -> np.ndarray:
     """The points of all windows, by object and start, in a mapped file; a partition at a time passes through the driver."""
 
@@ -202,17 +241,27 @@ def project(log: EventLog, object_type: str, size: int = 4) -> Projection:
     return Projection(columns, count, points, spans, (l1 / trace, l2 / trace), (l1, l2))
 
 
-def detect(log: EventLog, object_type: str, size: int = 4, width: int | None = None, height: int | None = None, epochs: int = 120) -> Detection:
-    """Project all windows to two components and assign each to a cell of a map."""
+def detect(
+    log: EventLog, object_type: str, size: int = 4, width: int | None = None, height: int | None = None, epochs: int | None = None, training: str = "sequential",
+) -> Detection:
+    """Project all windows to two components and assign each to a cell of a map.
+
+    ``training`` is "sequential" (120 epochs, point by point on the driver) or "batch" (20 epochs, each a job).
+    """
+    if training not in TRAININGS:
+        raise LogError(f"training is one of {', '.join(TRAININGS)}, not '{training}'")
     found = project(log, object_type, size)
     points = written(found.points, "points")
     side = min(max(int(np.ceil(np.sqrt(found.count))), 3), 8)
     width, height = (min(max(d or side, 2), 12) for d in (width, height))
-    with tempfile.TemporaryDirectory() as folder:
-        local = _in_order(points, f"{folder}/points")
-        weights = train_map(local, width, height, min(max(epochs, 10), 500)) if len(local) else np.zeros((width * height, 2))
-    away = [F.struct(((F.col("pc1") - float(a)) * (F.col("pc1") - float(a)) + (F.col("pc2") - float(b)) * (F.col("pc2") - float(b))).alias("d"), F.lit(i).alias("i")) for i, (a, b) in enumerate(weights)]
-    best = F.least(*away)["i"]
+    epochs = min(max(TRAININGS[training] if epochs is None else epochs, 10), 500)
+    if training == "batch":
+        weights = train_batch(points, width, height, epochs)
+    else:
+        with tempfile.TemporaryDirectory() as folder:
+            local = _in_order(points, f"{folder}/points")
+            weights = train_map(local, width, height, epochs) if len(local) else np.zeros((width * height, 2))
+    best = _nearest(weights)
     points = points.select("object_id", "object_seq", "start", "pc1", "pc2", (best % width).alias("x"), F.floor(best / width).cast("int").alias("y"))
     return Detection(object_type, found.columns, width, height, [tuple(map(float, w)) for w in weights], found.ratios, found.variances, log, found.spans, points, window_events(log, object_type, size))
 
