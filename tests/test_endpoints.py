@@ -118,6 +118,40 @@ def test_other_documents(session):
         session.answer("causal_feature_table", {})
 
 
+def test_documents_of_detection(session):
+    """The documents of requests against the session's own results; moves and boundary windows add up."""
+    asked = {"object_type": "Cart", "window_size": 2, "som_width": 2, "som_height": 2, "epochs": 10}
+    found = session.state_detection("Cart", size=2, width=2, height=2, epochs=10)
+    own = json.loads(results.assemble(session.answer("state_detection", asked)))
+    assert own["window_count"] == found.points.count() == len(own["windows"]) == sum(c["count"] for c in own["cells"]) and own["feature_columns"] == found.columns and own["color_options"][0]["kind"] == "count"
+    assert [(c["x"], c["y"]) for c in own["cells"]] == [(0, 0), (1, 0), (0, 1), (1, 1)] and own["window_size"] == 2
+    moves = own.get("transitions", [])
+    assert moves == sorted(moves, key=lambda m: (-m["count"], m["distance"], m["source_y"], m["source_x"]))
+    total = 0
+    for x, y in [(0, 0), (1, 0), (0, 1), (1, 1)]:
+        cell = json.loads(results.assemble(results.detection_cell(found, x, y) if x or y else session.answer("state_detection_cell", asked | {"cell_x": x, "cell_y": y})))
+        assert cell["entering_count"] == len(cell.get("entering_windows", [])) == sum(m["count"] for m in moves if (m["target_x"], m["target_y"]) == (x, y))
+        assert all(w["target_cell"] == f"S{x + 1}-{y + 1}" != w["source_cell"] and len(w["activities"]) <= 2 for w in cell.get("entering_windows", []))
+        starts = sum(e["weight"] for e in cell.get("graph_edges", []) if e["source"].startswith("START"))
+        assert starts == cell["cell"][0]["count"] == next(c["count"] for c in own["cells"] if (c["x"], c["y"]) == (x, y))
+        total += cell["exiting_count"]
+    assert total == sum(m["count"] for m in moves)
+    with pytest.raises(LogError, match="no cell 2, 0"):
+        session.answer("state_detection_cell", asked | {"cell_x": 2, "cell_y": 0})
+
+
+def test_documents_of_options_and_graphs(session):
+    options = json.loads(results.assemble(session.answer("filter_options")))
+    assert [t["type_name"] for t in options["object_types"]] == [r["type_name"] for r in session.filter_options()["object_types"].orderBy("type_seq").collect()]
+    assert len(options["time_buckets"]) == 32 and options["time_buckets"][0]["start_ms"] == options["time_min_ms"] and sum(b["count"] for b in options["time_buckets"]) == session.original.events.count()
+    assert all(t["values"] == sorted(t["values"]) for t in options["text_attributes"])
+    graph = json.loads(results.assemble(session.answer("directly_follows_graph", {"object_type": "Cart"})))
+    edges = session.directly_follows_graph("Cart").edges.collect()
+    assert sorted(e["weight"] for e in graph["edges"]) == sorted(e["weight"] for e in edges) and {n["kind"] for n in graph["nodes"]} == {"start", "activity", "end"}
+    with pytest.raises(LogError):
+        session.answer("directly_follows_graph", {"object_type": "nothing"})
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 1000])
 def test_order_statistics(spark, n):
     rng = np.random.default_rng(n)

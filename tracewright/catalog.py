@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import results
 from .model import EventLog, lifecycle
 from .operators import detection, episodes, features, filters, graphs, layout, patterns, summary
 from .plans import stateql
@@ -130,6 +131,9 @@ QUERIES = {
     "time_document": _answer("time_perspective", {"object_type": "user", "from_state": "Failed", "to_state": "Valued", "buckets": 32}),
     "kpi_document": _answer("state_transition_kpis", {"object_type": "user", "stuck_limit": 25}),
     "correlation_document": _answer("state_correlations"),
+    "detection_document": lambda s, d: results.state_detection(_batch(s, d), 4),
+    "cell_document": lambda s, d: results.detection_cell(_batch(s, d), 1, 1),
+    "causal_document": _answer("fit_causal_model", {"object_type": "user", "nodes": [{"id": n.id, "label": n.id, "role": n.role, "feature": n.feature, "operation": n.operation} for n in NODES], "edges": [{"source": a, "target": b} for a, b in EDGES]}),
     "feature_table": lambda s, d: features.object_features(orders(s, d), "order"),
     "feature_table_wide": lambda s, d: features.feature_table(clickstream(s, d), "user").toDF("object_id", "click", "error", "purchase", "signup", "view", "keys", "last_purchase"),
     "state_correlation": lambda s, d: features.state_correlations(_stated(s, d), "user"),
@@ -420,7 +424,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(abs(r), 1
     "causal_fit_nodes": f"""WITH {LOG}, {_USERS}, {_FIT}
 SELECT 'clicks' AS id, 'clicks' AS label, 'observable' AS role, 'activity.click' AS feature, 'sqrt' AS operation, round(avg(clicks), 6) AS mean, round(stddev_pop(clicks), 6) AS std_dev FROM full_
 UNION ALL SELECT 'views', 'views', 'observable', 'activity.view', 'log_e', round(avg(views), 6), round(stddev_pop(views), 6) FROM full_
-UNION ALL SELECT 'interest', 'interest', 'latent', NULL, 'identity', abs(round(avg(interest), 6)), round(stddev_pop(interest), 6) FROM full_
+UNION ALL SELECT 'interest', 'interest', 'latent', NULL, 'identity', round(avg(interest), 6) + 0.0, round(stddev_pop(interest), 6) FROM full_
 UNION ALL SELECT 'sales', 'sales', 'outcome', 'activity.purchase', 'identity', round(avg(sales), 6), round(stddev_pop(sales), 6) FROM full_""",
     "causal_fit_edges": f"""WITH {LOG}, {_USERS}, {_FIT},
 c AS (SELECT 'clicks' AS source, 'interest' AS target, corr(clicks, interest) AS r, count(*) AS n FROM full_ UNION ALL SELECT 'views', 'interest', corr(views, interest), count(*) FROM full_ UNION ALL SELECT 'interest', 'sales', corr(interest, sales), count(*) FROM full_)
@@ -503,3 +507,56 @@ ORACLES["lifecycle_document"] = " UNION ALL ".join([
     _listed("state_bands", "{state: state, start_ms: start_ms, end_ms: end_ms, event_count: event_count}", "start_ms, end_ms, state", f"SELECT * FROM ({ORACLES['state_bands']}) WHERE object_id = 'u1'"),
     _listed("related_objects", "{object_id: object_id, object_type: object_type, qualifier: qualifier, event_count: count}", "object_id, qualifier", ORACLES["lifecycle_related"]),
 ])
+
+
+def _decimals(sql: str) -> str:
+    """``_plain`` for all texts of numbers with six decimals."""
+    return f"SELECT part, place, regexp_replace(json, '\"(-?[0-9]+[.][0-9]{{6}})\"', '\\1', 'g') AS json FROM ({sql})"
+
+
+ORACLES["causal_document"] = _decimals(" UNION ALL ".join([
+    _listed("nodes", f"{{id: id, label: label, role: role, feature: feature, operation: operation, mean: {_text('mean')}, std_dev: {_text('std_dev')}}}", "list_position(['clicks', 'views', 'interest', 'sales'], id)", ORACLES["causal_fit_nodes"]),
+    _listed("edges", f"{{source: source, target: target, correlation: {_text('correlation')}, intensity: {_text('intensity')}, p_value: {_text('p_value')}, sample_count: sample_count}}", "source, target", ORACLES["causal_fit_edges"]),
+]))
+_MAPPED = f"WITH RECURSIVE {ASOF}, {_SPANS}, {_PCA}, {_BATCH}"
+_CELL = f"{{x: x, y: y, label: label, count: count, avg_pc1: {_text('avg_pc1')}, avg_pc2: {_text('avg_pc2')}, dominant_activity: dominant_activity, color_value: {_text('color_value')}, color_label: color_label, color_kind: color_kind}}"
+_ENDS = "(SELECT object_id, start, min(seq)::VARCHAR AS se, max(seq)::VARCHAR AS ee, list(event_type ORDER BY seq) AS acts FROM we GROUP BY object_id, start)"
+ORACLES["detection_document"] = _decimals(" UNION ALL ".join([
+    f"""SELECT '' AS part, 0 AS place, to_json({{object_type: 'user', window_size: 4, som_width: 3, som_height: 3, color_attribute: NULL, object_count: o, feature_count: len(f), window_count: n, feature_columns: f, table_columns: f,
+      pca: {{pc1_variance: round(l1, 6), pc2_variance: round(l2, 6), pc1_explained_ratio: round(l1 / tr, 6), pc2_explained_ratio: round(l2 / tr, 6)}}}})::VARCHAR AS json FROM ({_MAPPED}
+      SELECT (SELECT count(DISTINCT object_id) FROM pt) AS o, (SELECT count(*) FROM pt) AS n, (SELECT list(feature ORDER BY i) FROM nm) AS f, c1.l AS l1, list_sum(list_transform(mx.m, lambda r, i: r[i])) AS tr,
+        (SELECT list_dot_product(v, list_transform(mx.m, lambda r: list_dot_product(r, v))) FROM p2, mx WHERE k = 80) AS l2 FROM c1, mx)""",
+    _listed("table_preview", "{object_id: object_id, values: v}", "substr(object_id, 2)::BIGINT", f"SELECT object_id, list_transform([click, error, purchase, signup, view, keys, last_purchase], lambda y: y::DECIMAL(38,6)::VARCHAR) AS v FROM ({ORACLES['feature_table_wide']}) ORDER BY substr(object_id, 2)::BIGINT LIMIT 15"),
+    _listed("color_options", "{id: id, label: label, kind: kind}", "id", "SELECT '__window_count' AS id, 'Assigned windows' AS label, 'count' AS kind UNION ALL SELECT 'attribute::last_purchase', 'last_purchase', 'numeric'"),
+    _listed("cells", _CELL, "y, x", ORACLES["som_batch_cells"]),
+    _listed("transitions", "{source_x: source_x, source_y: source_y, target_x: target_x, target_y: target_y, count: count, distance: distance, nearby: nearby}", "count DESC, distance, source_y, source_x, target_y, target_x", ORACLES["som_batch_transitions"]),
+    _listed("windows", f"{{object_id: object_id, start_event: se, end_event: ee, pc1: {_text('a')}, pc2: {_text('b')}, cell_x: c % 3, cell_y: c // 3}}", "substr(object_id, 2)::BIGINT, start", f"{_MAPPED} SELECT * FROM cell JOIN {_ENDS} USING (object_id, start) ORDER BY substr(object_id, 2)::BIGINT, start LIMIT 500"),
+]))
+
+
+def _around(direction: str, own: str) -> str:
+    """SQL of the windows that enter or leave the cell in the middle, and of their graph's nodes and edges."""
+    chosen = f"{_MAPPED}, sel AS ({own}), gw AS (SELECT object_id || '@' || start AS o, event_type, seq FROM we SEMI JOIN sel USING (object_id, start))"
+    name = "graph" if direction == "own" else f"{direction}_graph"
+    start, end = "'START' || chr(10) || 'user'", "'END' || chr(10) || 'user'"
+    edges = f"""{chosen} SELECT source, target, count(*) AS weight FROM (
+      SELECT event_type AS source, coalesce(lead(event_type) OVER (PARTITION BY o ORDER BY seq), {end}) AS target FROM gw UNION ALL SELECT {start}, arg_min(event_type, seq) FROM gw GROUP BY o) GROUP BY ALL"""
+    nodes = f"""{chosen} SELECT label, kind, count(*) AS n FROM (
+      SELECT event_type AS label, 'activity' AS kind FROM gw UNION ALL SELECT {start}, 'start' FROM (SELECT DISTINCT o FROM gw) UNION ALL SELECT {end}, 'end' FROM (SELECT DISTINCT o FROM gw)) GROUP BY ALL"""
+    found = [_listed(f"{name}_nodes", "{label: label, kind: kind, count: n}", "kind, label", nodes), _listed(f"{name}_edges", "{source: source, target: target, weight: weight}", "weight DESC, source, target", edges)]
+    if direction != "own":
+        cell = lambda x, y: f"'S' || ({x} + 1) || '-' || ({y} + 1)"
+        ends = (cell("ox", "oy"), "'S2-2'") if direction == "entering" else ("'S2-2'", cell("ox", "oy"))
+        shown = f"{{object_id: object_id, start_event: se, end_event: ee, source_cell: {ends[0]}, target_cell: {ends[1]}, pc1: {_text('a')}, pc2: {_text('b')}, activities: acts}}"
+        order = "substr(object_id, 2)::BIGINT, start"
+        found.append(_listed(f"{direction}_windows", shown, order, f"{chosen} SELECT * FROM sel JOIN cell USING (object_id, start) JOIN {_ENDS} USING (object_id, start) ORDER BY {order} LIMIT 100"))
+    return " UNION ALL ".join(found)
+
+
+ORACLES["cell_document"] = _decimals(" UNION ALL ".join([
+    f"SELECT '' AS part, 0 AS place, to_json({{entering_count: a, exiting_count: b}})::VARCHAR AS json FROM (SELECT count(*) FILTER (direction = 'entering') AS a, count(*) FILTER (direction = 'exiting') AS b FROM ({ORACLES['som_batch_boundary']}))",
+    _listed("cell", _CELL, "x", f"SELECT * FROM ({ORACLES['som_batch_cells']}) WHERE x = 1 AND y = 1"),
+    _around("own", "SELECT object_id, start FROM cell WHERE c = 4"),
+    _around("entering", "SELECT object_id, start, px AS ox, py AS oy FROM mv WHERE x = 1 AND y = 1"),
+    _around("exiting", "SELECT object_id, ps AS start, x AS ox, y AS oy FROM mv WHERE px = 1 AND py = 1"),
+]))

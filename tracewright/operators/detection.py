@@ -360,11 +360,21 @@ def boundary_graph(found: Detection, x: int, y: int, direction: str):
     return _graph(found, boundary_windows(found, x, y).filter(F.col("direction") == direction))
 
 
-def boundary_details(found: Detection, x: int, y: int) -> DataFrame:
-    """``boundary_windows`` with the events of each: start_event, end_event and ``activities`` in order."""
+def boundary_details(found: Detection, x: int, y: int, limit: int | None = None) -> DataFrame:
+    """``boundary_windows`` with the events of each: start_event, end_event and ``activities`` in order, with its point
+    and the cells that it leaves and enters; the first ``limit`` of each direction, by object and start, if it is given."""
+    rows = boundary_windows(found, x, y).join(found.points.select("object_id", "object_seq", "start", "pc1", "pc2"), ["object_id", "start"])
+    if limit is not None:
+        first = rows.filter("direction = 'entering'").orderBy("object_seq", "start").limit(limit)
+        rows = first.unionByName(rows.filter("direction = 'exiting'").orderBy("object_seq", "start").limit(limit))
     events = found.events.groupBy("object_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "event_id", "event_type"))).alias("e"))  # a window has 30 events at most
-    rows = boundary_windows(found, x, y).join(events, ["object_id", "start"])
-    return rows.select("direction", "object_id", "start", "other_x", "other_y", F.col("e")[0]["event_id"].alias("start_event"), F.element_at("e", -1)["event_id"].alias("end_event"), F.col("e.event_type").alias("activities"))
+    rows = rows.join(events, ["object_id", "start"])
+    name = lambda x, y: F.concat(F.lit("S"), x + 1, F.lit("-"), y + 1)
+    here, other, enters = name(F.lit(x), F.lit(y)), name(F.col("other_x"), F.col("other_y")), F.col("direction") == "entering"
+    return rows.select(
+        "direction", "object_id", "start", "other_x", "other_y", F.col("e")[0]["event_id"].alias("start_event"), F.element_at("e", -1)["event_id"].alias("end_event"), F.col("e.event_type").alias("activities"),
+        F.when(enters, other).otherwise(here).alias("source_cell"), F.when(enters, here).otherwise(other).alias("target_cell"), "pc1", "pc2", "object_seq",
+    )
 
 
 def colour_options(log: EventLog, object_type: str) -> DataFrame:
@@ -383,7 +393,7 @@ def projected_windows(found: Detection, limit: int = 500) -> DataFrame:
     some = found.points.orderBy("object_seq", "start").limit(limit)
     ends = found.events.groupBy("object_id", "start").agg(F.min_by("event_id", "pos").alias("start_event"), F.max_by("event_id", "pos").alias("end_event"))
     six = lambda c: (F.round(c, 6) + F.lit(0.0)).alias(c)  # noqa: E731  no negative zeros
-    return some.join(ends, ["object_id", "start"]).select("object_id", "start_event", "end_event", six("pc1"), six("pc2"), F.col("x").alias("cell_x"), F.col("y").alias("cell_y"))
+    return some.join(ends, ["object_id", "start"]).select("object_id", "start_event", "end_event", six("pc1"), six("pc2"), F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), "object_seq", "start")
 
 
 def event_labels(found: Detection) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import STATE, EventLog
-from .operators import episodes, features, patterns, summary
+from .operators import detection, episodes, features, patterns, summary
 from .tables import ranked, written
 
 _COLUMNS = ["part", "place", "json"]
@@ -136,12 +136,72 @@ def state_correlations(log: EventLog, found: dict) -> DataFrame:
     return document(scalars(log.events.sparkSession, head), listed("state_distribution", found["state_distribution"], STATE), listed("rows", rows, F.col("strength") * -1, "feature"))
 
 
-def causal_feature_table(log: EventLog, object_type: str) -> DataFrame:
-    """Counts, names of columns, and the first 15 objects with their values."""
+def _preview(log: EventLog, object_type: str) -> tuple[list[str], DataFrame]:
+    """Names of a type's features, and its first 15 objects with their values as a list."""
     table = features.feature_table(log, object_type)
     columns = table.columns[1:]
     values = F.array(*[exact(f"`{c}`") for c in columns]) if columns else F.array().cast("array<decimal(38,6)>")
     first = table.join(log.objects.select("object_id", "object_seq"), "object_id").orderBy("object_seq").limit(15).select("object_seq", "object_id", values.alias("values"))
-    rows = listed("table_preview", first, "object_seq", hidden=("object_seq",))
+    return columns, listed("table_preview", first, "object_seq", hidden=("object_seq",))
+
+
+def causal_feature_table(log: EventLog, object_type: str) -> DataFrame:
+    """Counts, names of columns, and the first 15 objects with their values."""
+    columns, rows = _preview(log, object_type)
     count = log.objects.filter(F.col("object_type") == object_type).count()
     return document(scalars(log.events.sparkSession, {"object_type": object_type, "object_count": count, "feature_count": len(columns), "feature_columns": columns}), rows)
+
+
+def _cells(found: detection.Detection, colour: str | None) -> DataFrame:
+    return written(detection.cells(found, colour), "cells").withColumns({c: exact(c) for c in ("color_value", "avg_pc1", "avg_pc2")})
+
+
+def state_detection(found: detection.Detection, window_size: int, colour: str | None = None) -> DataFrame:
+    """Counts, components, ways to colour, the first objects' features, the map's cells and moves, the first 500 windows."""
+    columns, preview = _preview(found.log, found.object_type)
+    objects, windows = found.points.agg(F.countDistinct("object_id"), F.count(F.lit(1))).first()
+    six = lambda x: round(x, 6) + 0.0
+    head = {
+        "object_type": found.object_type, "window_size": window_size, "som_width": found.width, "som_height": found.height, "color_attribute": colour, "object_count": objects, "feature_count": len(found.columns),
+        "window_count": windows, "feature_columns": found.columns, "table_columns": columns,
+        "pca": {"pc1_variance": six(found.variances[0]), "pc2_variance": six(found.variances[1]), "pc1_explained_ratio": six(found.ratios[0]), "pc2_explained_ratio": six(found.ratios[1])},
+    }
+    options = detection.colour_options(found.log, found.object_type).withColumn("first", F.col("kind") != "count")
+    shown = detection.projected_windows(found).withColumns({c: exact(c) for c in ("pc1", "pc2")})
+    return document(
+        scalars(found.log.events.sparkSession, head), preview, listed("color_options", options, "first", "label", hidden=("first",)), listed("cells", _cells(found, colour), "y", "x"),
+        listed("transitions", detection.transitions(found), F.col("count") * -1, "distance", "source_y", "source_x", "target_y", "target_x"),
+        listed("windows", shown, "object_seq", "start", hidden=("object_seq", "start")),
+    )
+
+
+def detection_cell(found: detection.Detection, x: int, y: int, colour: str | None = None) -> DataFrame:
+    """A cell; the first 100 windows that enter and that leave it, with their full numbers; the graphs of its own windows
+    and of both kinds."""
+    counts = {r["direction"]: r["count"] for r in detection.boundary_windows(found, x, y).groupBy("direction").count().collect()}
+    around = written(detection.boundary_details(found, x, y, 100).withColumns({c: exact(c) for c in ("pc1", "pc2")}), "around")
+    parts = [scalars(found.log.events.sparkSession, {f"{d}_count": counts.get(d, 0) for d in ("entering", "exiting")}), listed("cell", _cells(found, colour).filter((F.col("x") == x) & (F.col("y") == y)), "x")]
+    shown = ["object_id", "start_event", "end_event", "source_cell", "target_cell", "pc1", "pc2", "activities", "object_seq", "start"]
+    for d in ("entering", "exiting"):
+        parts.append(listed(f"{d}_windows", around.filter(F.col("direction") == d).select(*shown), "object_seq", "start", hidden=("object_seq", "start")))
+    drawn = {"graph": detection.cell_graph(found, x, y)} | {f"{d}_graph": detection.boundary_graph(found, x, y, d) for d in ("entering", "exiting")}
+    for name, graph in drawn.items():
+        parts += [listed(f"{name}_nodes", graph.nodes.select("label", "kind", "count"), "kind", "label"), listed(f"{name}_edges", graph.edges.select("source", "target", "weight"), F.col("weight") * -1, "source", "target")]
+    return document(*parts)
+
+
+def causal_fit(order: list[features.CausalNode], nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A fitted model's nodes, in the order of the request, and its edges."""
+    at = F.array_position(F.array(*[F.lit(n.id) for n in order]), F.col("id")).alias("at")
+    nodes = nodes.select(at, "id", "label", "role", "feature", "operation", exact("mean").alias("mean"), exact("std_dev").alias("std_dev"))
+    edges = edges.withColumns({c: exact(c) for c in ("correlation", "intensity", "p_value")})
+    return document(listed("nodes", nodes, "at", hidden=("at",)), listed("edges", edges, "source", "target"))
+
+
+def filter_options(log: EventLog, found: dict) -> DataFrame:
+    """Types in the order of the log, the first texts of each attribute, bounds of time and a histogram."""
+    named = lambda kind: listed(kind, found[kind], "type_seq", "type_name", hidden=("type_seq",))
+    texts = found["text_attributes"].groupBy("scope", "name").agg(F.array_sort(F.collect_list("value")).alias("values"))  # 200 at most
+    buckets = found["time_buckets"].select("start_ms", "end_ms", "count", "bucket")
+    head = {k: found[k] for k in ("time_min_ms", "time_max_ms")}
+    return document(scalars(log.events.sparkSession, head), named("event_types"), named("object_types"), listed("text_attributes", texts, "scope", "name"), listed("time_buckets", buckets, "bucket", hidden=("bucket",)))

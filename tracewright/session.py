@@ -124,14 +124,14 @@ class LogSession:
             "object_type": found.object_type, "som_width": found.width, "som_height": found.height, "colors": detection.colour_options(found.log, found.object_type),
             "object_count": found.windows.select("object_id").distinct().count(), "window_count": found.points.count(), "feature_columns": found.columns, "feature_count": len(found.columns),
             "pca": {"pc1_variance": found.variances[0], "pc2_variance": found.variances[1], "pc1_explained_ratio": found.ratios[0], "pc2_explained_ratio": found.ratios[1]},
-            "table_preview": features.preview(table), "cells": detection.cells(found, colour), "transitions": detection.transitions(found), "windows": detection.projected_windows(found),
+            "table_preview": features.preview(table), "cells": detection.cells(found, colour), "transitions": detection.transitions(found), "windows": detection.projected_windows(found).drop("object_seq", "start"),
         }
 
     def state_detection_cell(self, found: detection.Detection, x: int, y: int, colour: str | None = None) -> dict:
         if not (0 <= x < found.width and 0 <= y < found.height):
             raise LogError(f"no cell {x}, {y}")
-        around = detection.boundary_details(found, x, y)
-        counts = {r["direction"]: r["count"] for r in around.groupBy("direction").count().collect()}
+        around = detection.boundary_details(found, x, y, 100).drop("object_seq")
+        counts = {r["direction"]: r["count"] for r in detection.boundary_windows(found, x, y).groupBy("direction").count().collect()}
         return {
             "cell": detection.cells(found, colour).filter(f"x = {x} AND y = {y}"), "graph": detection.cell_graph(found, x, y), "boundary": around,
             "entering_graph": detection.boundary_graph(found, x, y, "entering"), "exiting_graph": detection.boundary_graph(found, x, y, "exiting"),
@@ -225,9 +225,24 @@ class LogSession:
         if endpoint == "object_search":
             hits = self.object_search(how["query"].strip(), how["object_type"], how["limit"]).join(log.objects.select("object_id", "object_seq"), "object_id")
             return results.document(results.listed("objects", hits, "object_seq", hidden=("object_seq",)))
-        if endpoint in ("object_centric_graph", "state_aware_graph"):
-            drawn = self.object_centric_layout if endpoint == "object_centric_graph" else self.state_aware_layout
-            found = drawn(object_types=how["object_types"], min_activity=how["min_activity_frequency"], min_path=how["min_path_frequency"])
+        if endpoint in ("state_detection", "state_detection_cell"):
+            found = self.state_detection(how["object_type"], size=how["window_size"], width=how["som_width"], height=how["som_height"], epochs=how["epochs"])
+            if endpoint == "state_detection":
+                return results.state_detection(found, how["window_size"], how["color_attribute"])
+            if not (how["cell_x"] < found.width and how["cell_y"] < found.height):
+                raise LogError(f"no cell {how['cell_x']}, {how['cell_y']}")
+            return results.detection_cell(found, how["cell_x"], how["cell_y"], how["color_attribute"])
+        if endpoint == "fit_causal_model":
+            nodes = [features.CausalNode(n["id"], n["role"], n["feature"], n["operation"] or "identity", n["label"]) for n in how["nodes"]]
+            return results.causal_fit(nodes, *self.fit_causal_model(how["object_type"], nodes, [(e["source"], e["target"]) for e in how["edges"]]))
+        if endpoint == "filter_options":
+            return results.filter_options(self.original, self.filter_options())
+        if endpoint in ("object_centric_graph", "state_aware_graph", "directly_follows_graph"):
+            if endpoint == "directly_follows_graph":
+                found = layout.layout(self.directly_follows_graph(how["object_type"]), layout.colours(log, [how["object_type"]]))
+            else:
+                drawn = self.object_centric_layout if endpoint == "object_centric_graph" else self.state_aware_layout
+                found = drawn(object_types=how["object_types"], min_activity=how["min_activity_frequency"], min_path=how["min_path_frequency"])
             number = F.substring("id", 2, 20).cast("long")
             size = found.size.first()
             return results.document(results.scalars(spark, size.asDict()), results.listed("nodes", found.nodes, number), results.listed("edges", found.edges, number))
