@@ -96,10 +96,9 @@ class Index:
         if keys.limit(200_001).count() <= 200_000:  # else all postings meet ``due``
             same = some["doc_id"].eqNullSafe(keys["doc_id"]) & (some["th"] == keys["th"])
             some = some.join(F.broadcast(keys), same, "left_semi")
-        got = some.distinct().alias("l").join(
-            due.alias("d"),
-            F.expr("l.doc_id <=> d.doc_id AND l.th = d.th AND l.pos = d.pos AND l.t = d.t"),
-        ).select("d.doc_id", "d.th", "d.item", "d.at", "d.q")
+        # each alignment is due once, so equal rows' postings needn't be made distinct
+        here = F.expr("d.doc_id <=> l.doc_id AND d.th = l.th AND d.pos = l.pos AND d.t = l.t")
+        got = due.alias("d").join(some.alias("l"), here, "left_semi").select("doc_id", "th", "item", "at", "q")
         sets = got.groupBy("doc_id", "th", "item", "at").agg(F.collect_set("q").alias("qs"))  # as many as a test has words
         same = F.expr("a.doc_id <=> m.doc_id AND a.th = m.th AND a.item = m.item AND a.at = m.at")
         whole = F.forall(F.expr("sequence(m.s, m.s + m.k - 1)"), lambda q: F.array_contains(F.col("a.qs"), q))
