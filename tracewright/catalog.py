@@ -43,6 +43,18 @@ def _filtered(chosen: filters.LogFilter):
     return run
 
 
+def _filtered_rows(chosen: filters.LogFilter):
+    """What a filtered log keeps: its events, objects and links, each by name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        log = filters.apply_filter(clickstream(spark, sf_dir), chosen)
+        named = lambda df, kind, event, obj: df.select(F.lit(kind).alias("kind"), event.cast("string").alias("event_id"), obj.cast("string").alias("object_id"))
+        none, event, obj = F.lit(None), F.col("event_id"), F.col("object_id")
+        return named(log.events, "event", event, none).unionByName(named(log.objects, "object", none, obj)).unionByName(named(log.e2o, "link", event, obj))
+
+    return run
+
+
 def _six(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -98,6 +110,9 @@ QUERIES = {
     "filter_df_edge": _filtered(filters.LogFilter(df_edges=[("purchase", "purchase"), ("signup", "error")])),
     "filter_text_attribute": _filtered(filters.LogFilter(text_attributes=[{"scope": "event", "name": "k", "values": ["7", "12"]}])),
     "filter_combined": _filtered(filters.LogFilter(event_types=["click", "view", "error"], object_types=["user"], end_ms=T1, df_nodes=["signup"])),
+    "filter_combined_rows": _filtered_rows(filters.LogFilter(event_types=["click", "view", "error"], object_types=["user"], end_ms=T1, df_nodes=["signup"])),
+    "filter_df_edge_rows": _filtered_rows(filters.LogFilter(df_edges=[("purchase", "purchase"), ("signup", "error")])),
+    "filter_text_attribute_rows": _filtered_rows(filters.LogFilter(text_attributes=[{"scope": "event", "name": "k", "values": ["7", "12"]}])),
     "filter_pattern": _pattern,
     "dfg_user": lambda s, d: graphs.dfg(clickstream(s, d), "user").edges,
     "oc_dfg_nodes": lambda s, d: _six(graphs.oc_dfg(clickstream(s, d)).nodes, "avg_order"),
@@ -269,16 +284,28 @@ s AS (SELECT a.object_id, a.pos, a.t, min(b.pos) AS m FROM u a JOIN u b ON a.obj
 d AS (SELECT s.object_id, s.t, u.t AS m, u.t - s.t AS d FROM s JOIN u ON u.object_id = s.object_id AND u.pos = s.m)"""
 
 
-def _counts(kept_events: str, chosen: str, drop_bare: bool) -> str:
-    """SQL of a filtered log's counts: conditions on ``ev`` rows and on objects (object_id, object_type)."""
+def _kept(kept_events: str, chosen: str) -> str:
+    """SQL of a filtered log's events and links: conditions on ``ev`` rows and on objects (object_id, object_type)."""
     return f"""WITH {LOG},
 o AS (SELECT DISTINCT object_id, object_type FROM rel), chosen AS (SELECT object_id FROM o WHERE {chosen}),
 kept AS (SELECT * FROM ev WHERE {kept_events}),
-r AS (SELECT rel.* FROM rel JOIN kept USING (seq) WHERE object_id IN (FROM chosen))
+r AS (SELECT rel.* FROM rel JOIN kept USING (seq) WHERE object_id IN (FROM chosen))"""
+
+
+def _counts(kept_events: str, chosen: str, drop_bare: bool) -> str:
+    """SQL of a filtered log's counts."""
+    return f"""{_kept(kept_events, chosen)}
 SELECT (SELECT count(*) FROM kept WHERE {'seq IN (SELECT seq FROM r)' if drop_bare else 'true'}) AS events, (SELECT count(DISTINCT object_id) FROM r) AS objects,
   (SELECT count(*) FROM r) AS e2o_relationships, (SELECT count(DISTINCT object_id) FROM r) AS objects_with_lifecycle"""
 
 
+def _rows(kept_events: str, chosen: str) -> str:
+    """SQL of what a filtered log keeps, where events without an object go."""
+    return f"""{_kept(kept_events, chosen)}
+SELECT 'event' AS kind, event_id, NULL::VARCHAR AS object_id FROM kept WHERE seq IN (SELECT seq FROM r)
+UNION ALL SELECT DISTINCT 'object', NULL, object_id FROM r UNION ALL SELECT 'link', event_id, object_id FROM r JOIN ev USING (seq)"""
+
+
 _NEXT = "(SELECT object_id, event_type AS a, lead(event_type) OVER (PARTITION BY object_id ORDER BY pos) AS b FROM life)"
 _WORDS = """
 lab AS (SELECT object_id, object_type, episode, list(event_type || ' [' || state || ']' ORDER BY pos) AS labels, any_value(state) AS state FROM runs WHERE object_type = 'user' GROUP BY ALL),
@@ -332,6 +359,9 @@ SELECT object_id, state, arg_min(t, pos) AS start_ms, arg_max(t, pos) AS end_ms,
     "filter_df_edge": _counts("true", f"object_id IN (SELECT object_id FROM {_NEXT} WHERE a = 'purchase' AND b = 'purchase') AND object_id IN (SELECT object_id FROM {_NEXT} WHERE a = 'signup' AND b = 'error')", True),
     "filter_text_attribute": _counts("true", "object_id IN (SELECT object_id FROM rel JOIN ev USING (seq) WHERE k IN (7, 12))", True),
     "filter_combined": _counts(f"event_type IN ('click', 'view', 'error') AND t <= {T1}", "object_type = 'user' AND object_id IN (SELECT object_id FROM life WHERE event_type = 'signup')", True),
+    "filter_combined_rows": _rows(f"event_type IN ('click', 'view', 'error') AND t <= {T1}", "object_type = 'user' AND object_id IN (SELECT object_id FROM life WHERE event_type = 'signup')"),
+    "filter_df_edge_rows": _rows("true", f"object_id IN (SELECT object_id FROM {_NEXT} WHERE a = 'purchase' AND b = 'purchase') AND object_id IN (SELECT object_id FROM {_NEXT} WHERE a = 'signup' AND b = 'error')"),
+    "filter_text_attribute_rows": _rows("true", "object_id IN (SELECT object_id FROM rel JOIN ev USING (seq) WHERE k IN (7, 12))"),
     "filter_pattern": f"WITH {STATED}, {_WORDS} SELECT DISTINCT object_id, 'user' AS object_type FROM sp WHERE state = 'Failed' AND labels = ['error [Failed]'] AND eo = ['error [Failed]>key'] AND oo = ['key>user']",
     "dfg_user": f"WITH {LOG}, u AS (SELECT * FROM life WHERE object_type = 'user')" + EDGE.format("u"),
     "oc_dfg_nodes": f"WITH {LOG}" + SPOTS,
