@@ -70,21 +70,46 @@ class EliasFano:
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``."""
         word = np.searchsorted(self.ones, i, side="right") - 1
-        place = word * 64 + _in_word(self.high[word], i - self.ones[word])
+        return self._value(i, word * 64 + _in_word(self.high[word], i - self.ones[word]))
+
+    def _value(self, i: np.ndarray, place: np.ndarray) -> np.ndarray:
         return ((place - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
-    def _before(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a high part below ``high``."""
+    def ranges(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places ``i`` and those at the places after them, which there must be."""
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        bit = _in_word(self.high[word], i - self.ones[word])
+        later = (self.high[word] >> bit.astype(np.uint64)) >> ONE
+        # the next one, most often in the same word
+        after = self._value(i + 1, word * 64 + bit + 1 + np.bitwise_count((later & (~later + ONE)) - ONE))
+        far = np.flatnonzero(later == 0)
+        after[far] = self[i[far] + 1]
+        return self._value(i, word * 64 + bit), after
+
+    def _around(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values have a high part below ``high``, and how many one of at most ``high``."""
         if self._zeros is None:
             self._zeros = np.arange(len(self.ones)) * 64 - self.ones
+        zeros = self._zeros[-1]
+        out, upto = np.zeros(len(high), np.int64), np.full(len(high), self.n)
+        out[high > zeros] = self.n
         k = high - 1  # the zero that ends the bucket before
-        out = np.zeros(len(high), np.int64)
-        inner = (k >= 0) & (k < self._zeros[-1])
-        out[k >= self._zeros[-1]] = self.n
+        inner = np.flatnonzero((k >= 0) & (k < zeros))
         k = k[inner]
         word = np.searchsorted(self._zeros, k, side="right") - 1
-        out[inner] = word * 64 + _in_word(~self.high[word], k - self._zeros[word]) - k
-        return out
+        bit = _in_word(~self.high[word], k - self._zeros[word])
+        out[inner] = word * 64 + bit - k
+        # the next zero, most often in the same word, ends the bucket
+        later = (~self.high[word] >> bit.astype(np.uint64)) >> ONE
+        near = np.flatnonzero(later)
+        first = later[near]
+        upto[inner[near]] = out[inner[near]] + np.bitwise_count((first & (~first + ONE)) - ONE)
+        rest = np.concatenate([np.flatnonzero(high == 0), inner[later == 0]])
+        k = high[rest]
+        rest, k = rest[k < zeros], k[k < zeros]
+        word = np.searchsorted(self._zeros, k, side="right") - 1
+        upto[rest] = word * 64 + _in_word(~self.high[word], k - self._zeros[word]) - k
+        return out, upto
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The first place in [lo, hi) whose value is at least ``x``, else hi; values below lo are below x."""
@@ -103,7 +128,7 @@ class EliasFano:
         """Successors of ``x``, where the values with its high part end, and its low part."""
         x = np.asarray(x, np.uint64)
         high = (x >> np.uint64(self.bits)).astype(np.int64)
-        a, b = np.clip(self._before(high), lo, hi), np.clip(self._before(high + 1), lo, hi)
+        a, b = (np.minimum(np.maximum(x, lo), hi) for x in self._around(high))
         end = b.copy()
         want = x & self.mask
         live = np.flatnonzero(a < b)

@@ -34,7 +34,7 @@ DISCOUNT = 0.75
 NONE = (1 << 31) - 1  # the number of no word: what comes after an end, or after any pair in a model of order 2
 CHUNK = 8_000_000  # bytes of text whose n-grams are counted at a time
 SAMPLE = 2_000_000  # words, about, from which cuts between segments are chosen; results don't depend on them
-SCORED = 2_000_000  # bytes scored at a time: a score takes about a hundred bytes a token
+SCORED = 4_000_000  # bytes scored at a time: a score takes about a hundred bytes a token
 
 
 def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> None:
@@ -133,13 +133,22 @@ def followers(groups: np.ndarray, follower: np.ndarray) -> list[np.ndarray]:
     return EliasFano.build(follower.astype(np.uint64) + np.repeat(added, ends - starts))
 
 
-def find_follower(sequence: EliasFano, lo: np.ndarray, hi: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The place of ``word`` among the followers in [lo, hi), or -1."""
-    out = np.full(len(lo), -1, np.int64)
-    some = np.flatnonzero((hi > lo) & (word >= 0))
-    lo, hi = lo[some], hi[some]
-    x = word[some].astype(np.uint64) + np.where(lo > 0, sequence[np.maximum(lo - 1, 0)], np.uint64(0)) if len(some) else np.zeros(0, np.uint64)
-    out[some] = sequence.find(x, lo, hi)
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of runs of equal ones, and each element's run."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new], np.cumsum(new) - 1
+
+
+def find_follower(sequence: EliasFano, lo: np.ndarray, hi: np.ndarray, of: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The place of each ``word`` among the followers in [lo, hi) of its context, whose number is in ``of``, or -1."""
+    out = np.full(len(word), -1, np.int64)
+    below = np.zeros(len(lo), np.uint64)
+    later = np.flatnonzero((hi > lo) & (lo > 0))
+    below[later] = sequence[lo[later] - 1]
+    some = np.flatnonzero((hi > lo)[of] & (word >= 0))
+    of = of[some]
+    out[some] = sequence.find(word[some].astype(np.uint64) + below[of], lo[of], hi[of])
     return out
 
 
@@ -182,9 +191,10 @@ class Segment:
         place, kinds = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
         c = context - self.first
         at = np.flatnonzero((c >= 0) & (c < self.pointers.n - 1))
-        lo, hi = self.pointers[c[at]].astype(np.int64), self.pointers[c[at] + 1].astype(np.int64)
-        kinds[at] = hi - lo
-        place[at] = find_follower(self.words, lo, hi, word[at])
+        c, of = runs(c[at])
+        lo, hi = (x.astype(np.int64) for x in self.pointers.ranges(c))
+        kinds[at] = (hi - lo)[of]
+        place[at] = find_follower(self.words, lo, hi, of, word[at])
         return place, kinds
 
 
@@ -281,9 +291,10 @@ class Model:
             own = at[at_edge[at]]
             place[own] = segment.pair(context[own], word[own])[0]
             at = at[place[at] >= 0]
-            lo, hi = segment.next_pointers[place[at]].astype(np.int64), segment.next_pointers[place[at] + 1].astype(np.int64)
-            kinds[at] = hi - lo
-            found = find_follower(segment.next_words, lo, hi, after[at])
+            contexts, of = runs(place[at])
+            lo, hi = (x.astype(np.int64) for x in segment.next_pointers.ranges(contexts))
+            kinds[at] = (hi - lo)[of]
+            found = find_follower(segment.next_words, lo, hi, of, after[at])
             hit = found >= 0
             seen[at[hit]] = segment.next_book[segment.next_counts[found[hit]]]
         kinds[edge] = self.edge_pairs[2][e]
