@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import chunks, join_small, materialise, word_codes, word_hashes
+from .shared import chunks, freeing, join_small, materialise, word_codes, word_hashes
 
 CHUNKS, WIDTH = 12, 6
 TEXT = 2_000_000  # bytes of text whose shingles are held at a time
@@ -132,7 +132,7 @@ def near_duplicates(
     )
 
     def enter(batches):
-        for batch in batches:
+        for batch in freeing(batches):
             s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, K)
             e = entries(s).view(np.int64)
             n = len(s)
@@ -182,7 +182,7 @@ def _confirm(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     sig = lambda s: nodes.select(F.col("id").alias(s), F.col("n").alias(f"{s}n"), F.col("sig").alias(f"{s}s"))
 
     def near(batches):
-        for batch in batches:
+        for batch in freeing(batches):
             s = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, K) for i in (2, 3)]
             keep = (s[0] != s[1]).sum(axis=1) <= FAR if len(s[0]) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
@@ -201,7 +201,7 @@ def _confirm(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     sets = materialise(sets.filter(F.length("set") > 0).distinct(), "sets")  # an id with several sets has them all
 
     def alike(batches):
-        for batch in batches:
+        for batch in freeing(batches):
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)

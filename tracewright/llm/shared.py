@@ -10,6 +10,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows up to which a narrow, already materialised table is broadcast.
 BROADCAST_ROWS = 400_000
+#: Rows of a batch for Python: texts of 4 KB make 8 MB.
+ARROW_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,11 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While it holds, what starts hands Python ARROW_ROWS rows at once at most: an executor holds a batch several times
+    outside its heap for each task, and the worker once more. The session's own number is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ARROW_ROWS if int(before) <= 0 else min(ARROW_ROWS, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return a DataFrame that reads it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewright/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -151,11 +168,19 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def chunks(batches, size: int = 8_000_000):
-    """Record batches cut to at most about ``size`` bytes, so that memory follows the longest text, not the batch."""
+def freeing(batches):
+    """Record batches as they are; after each one, memory that isn't used goes back to the system."""
     pa.set_memory_pool(pa.system_memory_pool())  # gives back what it doesn't need; two workers share an executor
     for batch in batches:
+        yield batch
+        batch = None
+        release()
+
+
+def chunks(batches, size: int = 8_000_000):
+    """Record batches cut to at most about ``size`` bytes, so that memory follows the longest text, not the batch."""
+    for batch in freeing(batches):
         step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-        release()
+        batch = None

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, sorted_distinct, word_codes
+from .shared import chunks, freeing, sorted_distinct, word_codes
 
 BITS = 20
 CHUNK = 2_000_000  # bytes of text whose words are numbered at a time
@@ -108,7 +108,7 @@ def train(
     def fit(batches):
         model, sizes, ys = Ftrl(alpha, beta, l1, l2), [], []
         with tempfile.TemporaryFile() as held:  # the task's own, for its epochs; gone with it
-            for batch in batches:
+            for batch in freeing(batches):
                 ys += batch.column(0).to_pylist()
                 for x in batch.column(1).to_pylist():
                     sizes.append(len(x))
