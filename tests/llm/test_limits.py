@@ -1,8 +1,13 @@
 """What keeps operators within memory and time: batches, words at hand."""
 
+import json
+from pathlib import Path
+
+import numpy as np
 import pyarrow as pa
 
-from tracewright.llm import shared
+import public_tokenizers
+from tracewright.llm import shared, tokens
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -15,3 +20,26 @@ def test_tables_are_written_in_small_batches(spark):
     before = spark.conf.get(ROWS)
     got = [r["n"] for r in shared.materialise(spark.range(0, 9000, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()]
     assert sum(got) == 9000 and max(got) <= shared.ARROW_ROWS and spark.conf.get(ROWS) == before
+
+
+def test_words_of_several_chunks_stay_at_hand(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 300)
+    text = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    ids = tokens.Ids(text, "<u2", tokens.Ids.ends(json.loads(text)))
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    often = [f"often{name(i)}" for i in range(40)]
+    for k in range(8):
+        chunk = [" ".join(often + [f"rare{name(1000 * k + i)}!" for i in range(100)]), "X " * 3, None]
+        got, starts = ids.of_texts(pa.array(chunk), 2)
+        want = [[*ids.whole.encode(t or "", add_special_tokens=False).ids, 2] for t in chunk]
+        assert [got[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+        if k > 1:
+            assert all(w in ids.number for w in often) and len(ids.number) < 600
+
+
+def test_ids_of_a_batch_are_read_at_once():
+    rows = [[1, 2, 70], [2], [9, 9]]
+    data = pa.array([np.array(x, "<u2").tobytes() for x in rows], pa.binary())
+    assert tokens.joined_ids(pa.array([3, 1, 2]), data).tolist() == [1, 2, 70, 2, 9, 9]
+    assert tokens.joined_ids(pa.array([3, 1, 2]).slice(1), data.slice(1)).tolist() == [2, 9, 9]
+    assert len(tokens.joined_ids(pa.array([], pa.int64()), pa.array([], pa.binary()))) == 0

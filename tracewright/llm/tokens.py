@@ -19,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, materialise, partitions, release
+from .shared import chunks, freeing, materialise, partitions, release
 
-SCALE, LANES, STEPS, BLOCK = 20, 32, 512, 1 << 18
+SCALE, LANES, STEPS, BLOCK = 20, 32, 512, 1 << 20
 SEGMENT = LANES * STEPS
 LOW = 1 << 31
 MAGIC = b"TWR1"
 HEAD = "<4sIIIII"  # mark, ids, segments, words, checksum of the table, checksum of the rest
-#: Distinct words whose ids a worker keeps at hand.
+#: Distinct words whose ids a task keeps at hand; beyond them, those that several chunks had stay.
 WORDS = 100_000
 #: A run of letters whose lower-case forms are one character each and which no normal form changes, and
 #: the ASCII signs that make one run of their own after it (an apostrophe may begin an ending).
@@ -68,11 +68,22 @@ class Ids:
 
     def _forget(self) -> None:
         """Start with the empty string alone, whose number is 0."""
-        self.number, self.ids, self.starts = {"": 0}, np.zeros(0, self.kind), np.zeros(2, np.int64)
+        self.number, self.ids, self.starts, self.uses = {"": 0}, np.zeros(0, self.kind), np.zeros(2, np.int64), np.zeros(1, np.int64)
+
+    def _keep_used(self) -> None:
+        """Forget all but words that several chunks had; all, if these are many."""
+        old, ids, starts, kept = list(self.number), self.ids, self.starts, np.flatnonzero(self.uses > 1)
+        self._forget()
+        kept = kept[kept > 0]
+        if len(kept) <= WORDS // 2:
+            sizes = np.diff(starts)[kept]
+            ends = np.cumsum(sizes)
+            self._keep([old[i] for i in kept.tolist()], ids[np.repeat(starts[kept] - ends + sizes, sizes) + np.arange(sizes.sum())], ends)
 
     def _keep(self, texts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         self.number.update(zip(texts, range(len(self.starts) - 1, len(self.starts) - 1 + len(texts)), strict=True))
         self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, len(self.ids) + ends])
+        self.uses = np.concatenate([self.uses, np.zeros(len(texts), np.int64)])
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, one after the other, and their ends, from the tokenizer as it is."""
@@ -90,7 +101,7 @@ class Ids:
     def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of distinct pieces: numbers of their first and second parts; ids by number, and where each number's begin."""
         if len(self.number) > WORDS:
-            self._forget()
+            self._keep_used()
         first, second = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         cut = pc.extract_regex(pieces, f"^(?P<letters>[{LETTERS}]+)(?P<signs>[{SIGNS}]*)$")
         plain = np.asarray(pc.is_valid(cut))
@@ -104,6 +115,7 @@ class Ids:
                 numbers = np.array([self.number[x] for x in texts], np.int64)
             else:
                 numbers = self.of_words(texts)
+            self.uses[numbers] += 1
             to[plain] = numbers[np.asarray(named.indices)] if len(texts) else 0
         ids, ends = self._whole(pieces.filter(pa.array(~plain)).to_pylist())
         first[~plain] = np.arange(len(ends)) + len(self.starts) - 1
@@ -277,6 +289,14 @@ def tokenise(rows: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
     return rows.mapInArrow(run, "pid int, seq long, doc_id long, n long, ids binary")
 
 
+def joined_ids(n: pa.Array, data: pa.Array) -> np.ndarray:
+    """The ids of all rows, one after the other, from their numbers of ids and their bytes."""
+    data = data.cast(pa.large_binary())
+    ends = np.asarray(np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]) if len(data) else np.zeros(1, np.int64)
+    size = int(ends[-1] - ends[0])
+    return np.frombuffer(data.buffers()[2], f"<u{size // pc.sum(n).as_py()}", pc.sum(n).as_py(), int(ends[0])) if size else np.zeros(0, np.uint16)
+
+
 def write_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 2, by_files: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenise all texts, in ascending order of ids, or ``by_files`` as ``docs`` reads them, and write blocks under ``path``.
 
@@ -289,12 +309,11 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id: int =
 
     def count(batches):
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.bincount(np.frombuffer(data, f"<u{len(data) // n}"))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+        for batch in freeing(batches):
+            found = np.bincount(joined_ids(batch.column(0), batch.column(1)))
+            if len(found) > len(total):
+                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
+            total[: len(found)] += found
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["id", "n"])
 
@@ -319,7 +338,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_json: str, end_id: int =
                 ["pid", "first", "n_tokens", "doc_ids", "lengths", "ids_crc32", "data"],
             )
 
-        for batch in batches:
+        for batch in freeing(batches):
             for pid, seq, doc, n, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if held and (pid != head[0] or seq != head[1] + len(held) or size + n > BLOCK):
                     yield block()
@@ -345,7 +364,7 @@ def read_blocks(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         raise ValueError("damaged table")
 
     def decode(batches):
-        for batch in batches:
+        for batch in freeing(batches):
             for pid, first, docs, lengths, crc, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 raw = decode_block(data, tables).astype("<u4").tobytes()
                 if zlib.crc32(raw) != crc:
