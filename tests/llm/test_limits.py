@@ -43,3 +43,21 @@ def test_ids_of_a_batch_are_read_at_once():
     assert tokens.joined_ids(pa.array([3, 1, 2]), data).tolist() == [1, 2, 70, 2, 9, 9]
     assert tokens.joined_ids(pa.array([3, 1, 2]).slice(1), data.slice(1)).tolist() == [2, 9, 9]
     assert len(tokens.joined_ids(pa.array([], pa.int64()), pa.array([], pa.binary()))) == 0
+
+
+def test_line_dedup_packs_entries_and_tells_long_lines_apart(spark):
+    from tracewright.llm import linedups
+
+    # lines of more words than 64 bits tell apart, which all share their rarest word; two of them match
+    rng = np.random.default_rng(3)
+    lines = [["rare", *(f"w{j}" for j in rng.choice(600, 110, replace=False))] for _ in range(80)]
+    lines[70] = [*lines[20][:-3], "other"]
+    docs = spark.createDataFrame([(i, "\n \n" + " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    rows = linedups._rows(docs, "doc_id", "text")
+    numbers = linedups._numbers(rows)
+    entries = linedups._entries(rows, linedups._word_counts(numbers), 80)
+    assert entries.count() <= 4 * entries.rdd.getNumPartitions()  # a row for each task and bucket, not for each entry
+    found = linedups._candidates(entries, 80).filter("x_set IS NOT NULL").select("doc_id", "x_doc").distinct().collect()
+    assert [tuple(r) for r in found] == [(70, 20)]
+    got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in linedups.dedup_lines(docs).collect()}
+    assert got == {i: (1, [2] if i == 70 else []) for i in range(80)}
