@@ -61,3 +61,18 @@ def test_line_dedup_packs_entries_and_tells_long_lines_apart(spark):
     assert [tuple(r) for r in found] == [(70, 20)]
     got = {r["doc_id"]: (r["n_lines"], r["removed"]) for r in linedups.dedup_lines(docs).collect()}
     assert got == {i: (1, [2] if i == 70 else []) for i in range(80)}
+
+
+def test_ids_of_large_chunks(monkeypatch):
+    # distinct pieces are looked up once a chunk: 2.5 MB of text are one, and its ids are those of small ones
+    tokenizer = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    rng = np.random.default_rng(11)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 3000, 5000)) for _ in range(100)])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    assert 2_400_000 < batch.nbytes < 2_900_000
+    assert len(list(shared.chunks([batch], tokens.CHUNK))) == 1
+    last = tokens.Ids.ends(json.loads(tokenizer))
+    ids, starts = tokens.Ids(tokenizer, "<u2", last).of_texts(texts, 2)
+    again = tokens.Ids(tokenizer, "<u2", last)
+    parts = [again.of_texts(texts.slice(i, 10), 2)[0] for i in range(0, 100, 10)]
+    assert (np.concatenate(parts) == ids).all() and starts[-1] == len(ids)
