@@ -76,3 +76,14 @@ def test_ids_of_large_chunks(monkeypatch):
     again = tokens.Ids(tokenizer, "<u2", last)
     parts = [again.of_texts(texts.slice(i, 10), 2)[0] for i in range(0, 100, 10)]
     assert (np.concatenate(parts) == ids).all() and starts[-1] == len(ids)
+
+
+def test_distinct_keys_and_places():
+    from tracewright.llm import ngram
+
+    rng = np.random.default_rng(12)
+    for n, most in ((0, 5), (1, 1), (5000, 900), (5000, 1 << 50), (5000, (1 << 62) - 1)):
+        keys = rng.integers(0, most + 1, n) if n else np.zeros(0, np.int64)
+        want, back = np.unique(keys, return_inverse=True)
+        got, places = ngram.distinct(keys, most)
+        assert (got == want).all() and (places == back).all()

@@ -92,6 +92,21 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([[0], ends + 1]), out, hashes
 
 
+def distinct(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, from 0 to ``most``, in order, and each element's place among them, as ``np.unique`` finds them.
+
+    Keys and their places are sorted as one number where they fit, which takes less than half as long.
+    """
+    bits = len(keys).bit_length()
+    if int(most).bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort((keys << bits) | np.arange(len(keys)))
+    found, at = runs(both >> bits)
+    back = np.empty(len(keys), np.int64)
+    back[both & ((1 << bits) - 1)] = at
+    return found, back
+
+
 class Words:
     """Level 1: numbers and counts of hashed words."""
 
@@ -354,7 +369,7 @@ def train(rows: DataFrame, order: int = 2) -> Model:
         if order == 2:
             key, count = np.unique(pair, return_counts=True)
             return (ordered[key // n] << 32) | ordered[key % n], np.full(len(key), NONE), count
-        key, back = np.unique(pair, return_inverse=True)
+        key, back = distinct(pair, n * n)
         after = np.empty_like(codes)
         after[:-1] = rank[codes[1:]]
         after[offsets[1:] - 1] = n
@@ -429,7 +444,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             # each pair and each triple once, in the order of the trie
             n = len(hashes)
             rank = np.argsort(np.argsort(number, kind="stable"), kind="stable")
-            pair, back = np.unique(rank[before] * n + rank[codes], return_inverse=True)
+            pair, back = distinct(rank[before] * n + rank[codes], n * n)
             order = np.argsort(rank, kind="stable")
             a, b = order[pair // n], order[pair % n]
             p, *found = model.pairs(number[a], count[a], number[b], model.unigram(count[b]))
@@ -438,7 +453,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 later = np.ones(len(codes), bool)
                 later[offsets[:-1]] = False
                 later = np.flatnonzero(later)
-                triple, to = np.unique(back[later - 1] * n + rank[codes[later]], return_inverse=True)
+                triple, to = distinct(back[later - 1] * n + rank[codes[later]], len(pair) * n)
                 q, w = triple // n, order[triple % n]
                 own = np.searchsorted(pair, rank[b[q]] * n + rank[w])  # the triple's later pair
                 logs[later] = np.log10(model.triples(number[a[q]], number[b[q]], number[w], *(x[q] for x in found), p[own]))[to]
