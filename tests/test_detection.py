@@ -2,11 +2,13 @@
 
 import json
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from tracewright.catalog import QUERIES
 from tracewright.model import LogError
 from tracewright.operators import detection
 from tracewright.session import LogSession, as_json
@@ -188,3 +190,37 @@ def test_batch_detection(spark, found):
     assert detection.cells(batch).agg({"count": "sum"}).first()[0] == found.points.count() and batch.variances == pytest.approx(found.variances)
     with pytest.raises(LogError, match="training"):
         detection.detect(found.log, "Cart", training="other")
+
+
+def mapped(tmp_path, points):
+    points.tofile(tmp_path / "points")
+    return np.memmap(tmp_path / "points", np.float64, "r").reshape(-1, 2)
+
+
+@pytest.mark.parametrize("width,height", [(3, 3), (4, 2), (12, 12)])
+def test_compiled_training_gives_the_same_weights(spark, tmp_path, monkeypatch, width, height):
+    """Points with ties and copies, in more than one read of a megabyte."""
+    points = np.random.default_rng(5).normal(size=(70_000, 2)).round(1)
+    want = detection.train_map(points, width, height, 2)
+    monkeypatch.setattr(detection, "_epoch", None)
+    assert (detection.train_map(mapped(tmp_path, points), width, height, 2) == want).all()
+
+
+def test_compiled_training_takes_a_tenth_of_the_time(spark, tmp_path):
+    points = np.random.default_rng(6).normal(size=(20_000, 2))
+    took = []
+    for p, epochs in ((points, 12), (mapped(tmp_path, points), 120)):
+        began = time.perf_counter()
+        detection.train_map(p, 3, 3, epochs)
+        took.append(time.perf_counter() - began)
+    assert took[1] < took[0]
+
+
+@pytest.mark.parametrize("name", ["apply_detection", "cell_boundary_windows", "som_cells", "som_transitions"])
+def test_queries_train_by_the_compiled_loop(spark, monkeypatch, name):
+    run = lambda: sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=repr)
+    with monkeypatch.context() as m:
+        m.setattr(detection, "_epoch", None)
+        got = run()
+    monkeypatch.setattr(detection, "SparkContext", type("None", (), {"_active_spark_context": None}))
+    assert got == run() and got

@@ -3,7 +3,8 @@
 Windows, their features, the Gram matrix, projections and assignments are distributed. The driver holds the means
 and the Gram matrix of the features, two components and the map (at most 144 cells). The map is trained there on all
 points, one by one and in order, as each depends on the one before: they are streamed to a file of 16 bytes a window
-in the driver's temporary folder, which every epoch reads in pieces. Time is epochs times windows times cells.
+in the driver's temporary folder, which every epoch reads in pieces, by a loop that Spark's own compiler makes for the
+driver's JVM. Time is epochs times windows times cells.
 ``training="batch"`` trains another map, by Spark alone and at every size: each epoch is one pass over the written
 points that sums them by cell, and the driver sees a row a cell.
 """
@@ -12,17 +13,20 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import EPSILON, format_number, numeric_value, value_label
 from ..model import EventLog, LogError, lifecycle
 from ..tables import written
-from .features import CATEGORIES, feature_columns, object_features
+from .features import CATEGORIES, attribute_features, feature_columns
 
 PIECE = 1 << 16  # points that are read at a time
 TRAININGS = {"sequential": 120, "batch": 20}  # with their usual epochs
@@ -75,7 +79,7 @@ def window_features(log: EventLog, object_type: str, size: int = 4) -> DataFrame
     met = events.select(*key, "event_seq").distinct().join(log.e2o.select("event_seq", F.col("object_id").alias("other")), "event_seq").filter("other <> object_id").select(*key, "other")
     linked = spans.select(*key).join(log.o2o.select(F.col("source_id").alias("object_id"), F.col("target_id").alias("other")), "object_id").select(*key, "other")
     others = met.unionByName(linked).distinct().join(kinds, "other").groupBy(*key, F.concat(F.lit("related_objects."), F.col("type")).alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    names = [c for c in feature_columns(object_features(log, object_type)) if c.startswith("attribute.")]
+    names = feature_columns(attribute_features(log, object_type))
     hot = sorted({n[10:].split("=", 1)[0] for n in names if "=" in n})
     plain = sorted({n[10:] for n in names if "=" not in n})
     own = log.object_attrs.filter(F.col("name").isin(hot + plain))
@@ -120,23 +124,85 @@ def _radius(width: int, height: int, done: float) -> float:
     return max(max(width, height) / 2, 1.0) * (1 - done) + 0.75 * done
 
 
+#: One epoch over a file of points: the same sums, in the same order, as ``_epoch``.
+_LOOP = """
+public class MapEpoch {
+    public byte[] run(String path, byte[] weights, byte[] pull) throws java.io.IOException {
+        double[] w = doubles(weights, weights.length), h = doubles(pull, pull.length);
+        java.io.FileInputStream in = new java.io.FileInputStream(path);
+        try {
+            byte[] piece = new byte[1 << 20];
+            for (int n = in.readNBytes(piece, 0, piece.length); n > 0; n = in.readNBytes(piece, 0, piece.length)) points(doubles(piece, n), w, h);
+        } finally { in.close(); }
+        java.nio.ByteBuffer out = java.nio.ByteBuffer.allocate(weights.length).order(java.nio.ByteOrder.nativeOrder());
+        out.asDoubleBuffer().put(w);
+        return out.array();
+    }
+    private static double[] doubles(byte[] b, int n) {
+        double[] out = new double[n / 8];
+        java.nio.ByteBuffer.wrap(b, 0, n).order(java.nio.ByteOrder.nativeOrder()).asDoubleBuffer().get(out);
+        return out;
+    }
+    private static void points(double[] p, double[] w, double[] h) {
+        int cells = w.length / 2;
+        for (int i = 0; i < p.length; i += 2) {
+            double x = p[i], y = p[i + 1];
+            long least = Long.MAX_VALUE;
+            int best = 0;
+            for (int c = 0; c < cells; c++) {
+                double dx = x - w[c], dy = y - w[cells + c];
+                long away = Double.doubleToLongBits(dx * dx + dy * dy); // of numbers from 0 on: in their order, and no branch
+                best = away < least ? c : best;
+                least = Math.min(away, least);
+            }
+            int row = best * cells;
+            for (int c = 0; c < cells; c++) {
+                w[c] += (x - w[c]) * h[row + c];
+                w[cells + c] += (y - w[cells + c]) * h[row + c];
+            }
+        }
+    }
+}"""
+
+
+@lru_cache(maxsize=1)
+def _compiled(gateway):
+    """``_LOOP`` in the driver's JVM, under a new name, as the gateway keeps methods by their class's."""
+    compiler, name = gateway.jvm.org.codehaus.janino.SimpleCompiler(), f"MapEpoch{uuid.uuid4().hex}"
+    compiler.cook(_LOOP.replace("MapEpoch", name))
+    return compiler.getClassLoader().loadClass(name).newInstance()
+
+
+def _epoch(points: np.ndarray, w: np.ndarray, pull: np.ndarray) -> None:
+    """Moves the weights, two rows, towards each point by how near a cell is to the point's: ``pull``, a row a cell."""
+    d, square, away = np.empty_like(w), np.empty_like(w), np.empty(w.shape[1])
+    for i in range(0, len(points), PIECE):
+        for p in np.array(points[i : i + PIECE])[:, :, None]:
+            np.subtract(p, w, out=d)
+            np.multiply(d, d, out=square)
+            np.add(square[0], square[1], out=away)
+            np.multiply(d, pull[away.argmin()], out=d)
+            w += d
+
+
 def train_map(points: np.ndarray, width: int, height: int, epochs: int) -> np.ndarray:
-    """Weights of a self-organising map, trained point by point; they start as a grid over the points' bounds."""
+    """Weights of a self-organising map, trained point by point; they start as a grid over the points' bounds.
+
+    Points of a mapped file are read from there by the driver's JVM, others by NumPy, with equal weights.
+    """
     pieces = range(0, len(points), PIECE)
     lo, hi = (f([f(points[i : i + PIECE], axis=0) for i in pieces], axis=0) for f in (np.min, np.max))
-    w, x, far = _grid(lo, hi, width, height)
-    d, square, away = np.empty_like(w), np.empty_like(w), np.empty(len(x))
+    w, _, far = _grid(lo, hi, width, height)
+    context = SparkContext._active_spark_context
+    loop = _compiled(context._gateway) if context and isinstance(points, np.memmap) else None
     for epoch in range(epochs):
         done = epoch / (epochs - 1) if epochs > 1 else 1.0
         rate, radius = 0.5 * (1 - done) + 0.05 * done, _radius(width, height, done)
         pull = rate * np.exp(-far / (2 * max(radius * radius, 0.01)))
-        for i in pieces:
-            for p in np.array(points[i : i + PIECE])[:, :, None]:
-                np.subtract(p, w, out=d)
-                np.multiply(d, d, out=square)
-                np.add(square[0], square[1], out=away)
-                np.multiply(d, pull[away.argmin()], out=d)
-                w += d
+        if loop is None:
+            _epoch(points, w, pull)
+        else:
+            w = np.frombuffer(loop.run(str(points.filename), bytearray(w.tobytes()), bytearray(pull.tobytes()))).reshape(2, -1)
     return w.T
 
 
@@ -204,7 +270,8 @@ def project(log: EventLog, object_type: str, size: int = 4) -> Projection:
     log.require_type(object_type)
     if log.objects.filter(F.col("object_type") == object_type).isEmpty():
         raise LogError(f"no objects of type '{object_type}' are in the log")
-    features = window_features(log, object_type, size)
+    features = window_features(log, object_type, size).groupBy("object_id", "start", "feature").agg(F.sum("value").alias("value"))
+    features = written(features, "windows")  # names and values are read from it
     columns = feature_columns(features)
     if not columns:
         raise LogError(f"objects of type '{object_type}' have no numeric features")
@@ -214,7 +281,6 @@ def project(log: EventLog, object_type: str, size: int = 4) -> Projection:
         raise LogError(f"lifecycles of type '{object_type}' have no windows")
     place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
     held = features.select("object_id", "start", place[F.col("feature")].alias("i"), "value").filter("value <> 0")
-    held = written(held.groupBy("object_id", "start", "i").agg(F.sum("value").alias("value")), "windows")
     both = held.join(held.select("object_id", "start", F.col("i").alias("j"), F.col("value").alias("other")), ["object_id", "start"]).filter("i <= j")
     total, g = np.zeros(len(columns)), np.zeros((len(columns), len(columns)))
     for r in both.groupBy("i", "j").agg(F.sum(F.col("value") * F.col("other")).alias("s")).collect():  # features squared
