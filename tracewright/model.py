@@ -7,6 +7,7 @@ with one column for each of the five types.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
@@ -44,9 +45,14 @@ class EventLog:
     o2o: DataFrame
     source_format: str = "json"
     leading_object_type: str | None = None
+    #: What a source may know without joining the tables, dealt by object_id: the rows of ``relations`` of a type, or of
+    #: all, and (object_id, other, type) of the objects related to those of a type. None: the tables are joined.
+    lives: Callable[[str | None], DataFrame] | None = None
+    met: Callable[[str], DataFrame | None] | None = None
 
     def but(self, **changes) -> EventLog:
-        return replace(self, **changes)
+        known = {} if changes.keys().isdisjoint(("events", "e2o", "objects", "o2o")) else {"lives": None, "met": None}
+        return replace(self, **(known | changes))
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
@@ -77,14 +83,21 @@ def event_states(log: EventLog) -> DataFrame:
     return rows.groupBy("event_seq").agg(F.min_by("v_string", "attr_seq").alias(STATE))
 
 
+def relations(log: EventLog, object_type: str | None = None) -> DataFrame:
+    """One row for each relation of an event to an object. The type filter is applied to objects before the join."""
+    if log.lives is not None:
+        return log.lives(object_type)
+    objects = log.objects if object_type is None else log.objects.filter(F.col("object_type") == object_type)
+    events = log.events.select("event_seq", "event_id", "event_type", "time_ms")
+    return log.e2o.select("event_seq", "rel_seq", "object_id").join(events, "event_seq").join(objects, "object_id")
+
+
 def lifecycle(log: EventLog, with_state: bool = False, object_type: str | None = None) -> DataFrame:
-    """One row for each relation of an event to an object, ``pos`` counting an object's rows from 0 by time.
+    """``relations`` with ``pos``, which counts an object's rows from 0 by time.
 
-    An event that names an object twice is there twice. The type filter is applied to objects before the join.
+    An event that names an object twice is there twice.
     """
-    objects = log.objects if object_type is None else log.objects.filter(F.col("object_type") == object_type)
-    events = log.events.select("event_seq", "event_id", "event_type", "time_ms")
-    rows = log.e2o.select("event_seq", "rel_seq", "object_id").join(events, "event_seq").join(objects, "object_id")
+    rows = relations(log, object_type)
     columns = ["object_id", "object_type", "object_seq", "event_id", "event_seq", "rel_seq", "event_type", "time_ms"]
     if with_state:
         rows = rows.join(event_states(log), "event_seq", "left")
