@@ -86,7 +86,8 @@ def frequent(graph: Graph, min_activity: int = 0, min_path: int = 0) -> Graph:
     labels = nodes.select("label")
     edges = graph.edges.filter(F.col("weight") >= min_path)
     for end in ("source", "target"):
-        edges = edges.join(labels.withColumnRenamed("label", end), end, "left_semi")
+        # where no node goes, each end is one
+        edges = edges.join(labels.withColumnRenamed("label", end), end, "left_semi") if min_activity > 0 else edges.filter(F.col(end).isNotNull())
     edges = edges.select("source", "target", "object_type", "weight")
     used = edges.select(F.explode(F.array("source", "target")).alias("label")).distinct()
     linked = nodes.filter(boundary).join(used, "label", "left_semi")
