@@ -69,7 +69,7 @@ def test_filtered_orders_are_joined(spark):
     assert lifecycle(some, object_type="order").filter("event_type <> 'Ship'").isEmpty() and not lifecycle(some, object_type="order").isEmpty()
 
 
-@pytest.mark.parametrize("name,most", [("lifecycle_order", 2), ("oc_dfg_orders", 6)])
+@pytest.mark.parametrize("name,most", [("lifecycle_order", 2), ("oc_dfg_orders", 6), ("feature_table", 13)])
 def test_exchanges(spark, name, most):
     """Of tables as they are read, not of what is joined; nothing is written."""
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import EPSILON, format_number, numeric_value, value_label
-from ..model import STATE, EventLog, LogError
+from ..model import STATE, EventLog, LogError, relations
 from ..tables import ranked, written
 from .episodes import dominant_states
 
@@ -42,7 +42,7 @@ def attribute_features(log: EventLog, object_type: str) -> DataFrame:
     last = latest_attributes(log, object_type)
     # an attribute with a value that is no number is one-hot if it has few of them, else left out
     kinds = last.groupBy("name").agg(F.countDistinct(F.when(F.col("number").isNull(), F.col("label"))).alias("kinds"))
-    last = last.join(kinds, "name")
+    last = last.join(F.broadcast(kinds), "name")  # a row a name
     plain = last.filter("kinds = 0").select("object_id", F.concat(F.lit("attribute."), F.col("name")).alias("feature"), F.col("number").alias("value"))
     hot = last.filter((F.col("kinds") > 0) & (F.col("kinds") < CATEGORIES) & F.col("number").isNull())
     hot = hot.select("object_id", F.concat(F.lit("attribute."), F.col("name"), F.lit("="), F.col("label")).alias("feature"), F.lit(1.0).alias("value"))
@@ -53,9 +53,9 @@ def object_features(log: EventLog, object_type: str) -> DataFrame:
     """object_id, feature, value of all objects of a type, without zeros."""
     log.require_type(object_type)
     own = log.objects.filter(F.col("object_type") == object_type).select("object_id")
-    done = log.e2o.join(own, "object_id", "left_semi").join(log.events.select("event_seq", "event_type"), "event_seq")
-    activity = done.groupBy("object_id", F.concat(F.lit("activity."), F.col("event_type")).alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    others = related(log, own).groupBy("object_id", F.concat(F.lit("related_objects."), F.col("type")).alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    met = log.met(object_type) if log.met is not None else None
+    activity = relations(log, object_type).groupBy("object_id", F.concat(F.lit("activity."), F.col("event_type")).alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    others = (related(log, own) if met is None else met).groupBy("object_id", F.concat(F.lit("related_objects."), F.col("type")).alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return activity.unionByName(others).unionByName(attribute_features(log, object_type))
 
 
