@@ -45,8 +45,8 @@ class EventLog:
     o2o: DataFrame
     source_format: str = "json"
     leading_object_type: str | None = None
-    #: What a source may know without joining the tables, dealt by object_id: the rows of ``relations`` of a type, or of
-    #: all, and (object_id, other, type) of the objects related to those of a type. None: the tables are joined.
+    #: What a source may know without joining the tables, dealt by object_id: ``lifecycle`` of a type, or of all, and
+    #: (object_id, other, type) of the objects related to those of a type. None: the tables are joined.
     lives: Callable[[str | None], DataFrame] | None = None
     met: Callable[[str], DataFrame | None] | None = None
 
@@ -102,6 +102,8 @@ def lifecycle(log: EventLog, with_state: bool = False, object_type: str | None =
     if with_state:
         rows = rows.join(event_states(log), "event_seq", "left")
         columns.append(STATE)
+    if log.lives is not None:
+        return rows.select(*columns, "pos")
     order = Window.partitionBy("object_id").orderBy("time_ms", "event_seq", "rel_seq")
     return rows.select(*columns, (F.row_number().over(order) - 1).cast("long").alias("pos"))
 
