@@ -202,7 +202,7 @@ def train_map(points: np.ndarray, width: int, height: int, epochs: int) -> np.nd
         if loop is None:
             _epoch(points, w, pull)
         else:
-            w = np.frombuffer(loop.run(str(points.filename), bytearray(w.tobytes()), bytearray(pull.tobytes()))).reshape(2, -1)
+            w = np.frombuffer(loop.run(os.path.realpath(points.filename), bytearray(w.tobytes()), bytearray(pull.tobytes()))).reshape(2, -1)
     return w.T
 
 
